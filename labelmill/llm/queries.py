@@ -7,16 +7,56 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup
+import corpus_pipeline
+
+from . import langid, mixing, neardup, shard, spbpe
 from .common import table
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = shard.shard_rows(table(spark, sf_dir, "documents"), "doc_id", shards=8)
+    text = F.coalesce("text", F.lit(""))
+    return sharded.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spbpe.coded_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op5_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = langid.fit(docs.filter(~held_out))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "topic", "n_words", F.round("chance", 6).alias("chance"), "sampled")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hypergeometric_shards": op1_hypergeometric_shards,
+    "op5_nearest_centroid_language": op5_nearest_centroid_language,
+    "op7_mix_to_targets": op7_mix_to_targets,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_mix_to_targets": mixing.mixed_sql(),
+}
