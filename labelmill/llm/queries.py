@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import langid, mixing, neardup, shard, spbpe
+from . import ann, langid, mixing, neardup, shard, spbpe, vecdedup
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spbpe.coded_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op3_projection_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -40,6 +44,10 @@ def op5_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_sorted_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.linked_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op7_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "topic", "n_words", F.round("chance", 6).alias("chance"), "sampled")
 
@@ -50,7 +58,9 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hypergeometric_shards": op1_hypergeometric_shards,
+    "op3_projection_forest_neighbours": op3_projection_forest_neighbours,
     "op5_nearest_centroid_language": op5_nearest_centroid_language,
+    "op6_sorted_projection_dedup": op6_sorted_projection_dedup,
     "op7_mix_to_targets": op7_mix_to_targets,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
