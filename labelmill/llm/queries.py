@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import ann, langid, mixing, neardup, shard, spbpe, vecdedup
+from . import ann, htmltext, langid, mixing, neardup, shard, spbpe, urlfilter, vecdedup
 from .common import table
 
 
@@ -33,6 +33,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spbpe.coded_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op2_segmented_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op4_layout_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_text(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+
+
 def op3_projection_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -58,7 +66,9 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hypergeometric_shards": op1_hypergeometric_shards,
+    "op2_segmented_url_filter": op2_segmented_url_filter,
     "op3_projection_forest_neighbours": op3_projection_forest_neighbours,
+    "op4_layout_html_text": op4_layout_html_text,
     "op5_nearest_centroid_language": op5_nearest_centroid_language,
     "op6_sorted_projection_dedup": op6_sorted_projection_dedup,
     "op7_mix_to_targets": op7_mix_to_targets,
