@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import ann, htmltext, langid, mixing, neardup, shard, spbpe, urlfilter, vecdedup
+from . import ann, htmltext, idfile, langid, mixing, neardup, shard, spbpe, urlfilter, vecdedup
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op7_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "topic", "n_words", F.round("chance", 6).alias("chance"), "sampled")
 
 
+def op8_context_mixing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfile.read_ids(idfile.write_ids(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_nearest_centroid_language": op5_nearest_centroid_language,
     "op6_sorted_projection_dedup": op6_sorted_projection_dedup,
     "op7_mix_to_targets": op7_mix_to_targets,
+    "op8_context_mixing_ids": op8_context_mixing_ids,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
     "pipeline": corpus_pipeline.run,
