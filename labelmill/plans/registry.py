@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import box_queries, decode_queries, raster_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**raster_queries.Q, **box_queries.Q, **decode_queries.Q}
+ORACLE_SQL: dict[str, str] = {**raster_queries.SQL, **box_queries.SQL, **decode_queries.SQL}
