@@ -111,12 +111,10 @@ def precision_recall(matches: DataFrame, keys: list[str]) -> DataFrame:
 def average_precision(matches: DataFrame, truth: DataFrame, keys: list[str], points: int = 101) -> DataFrame:
     """ap and ar for each key with truth (keys, n_gt): precision at the first recall >= r, mean over r = 0, .01, ..."""
     curve = precision_recall(matches.join(truth, keys), keys)
-    lookup = curve.withColumn("_from", F.ceil(F.col("recall") * (points - 1) + 1e-9 - 1))
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "det_id")
-    low = F.ceil(F.coalesce(F.lag("recall").over(w), F.lit(-1.0)) * (points - 1) - 1e-9)
-    low = F.when(F.lag("recall").over(w).isNull(), 0).otherwise(F.floor(F.lag("recall").over(w) * (points - 1) + 1e-9) + 1)
-    high = F.floor(F.col("recall") * (points - 1) + 1e-9)
-    gained = lookup.withColumn("_hits", F.greatest(F.lit(0), high - low + 1)).groupBy(*keys).agg((F.sum(F.col("envelope") * F.col("_hits")) / points).alias("ap"), F.max("recall").alias("ar"))
+    before = F.lag("recall").over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "det_id"))
+    low = F.when(before.isNull(), 0).otherwise(F.floor(before * (points - 1) + 1e-9) + 1)
+    high = F.least(F.lit(points - 1), F.floor(F.col("recall") * (points - 1) + 1e-9))
+    gained = curve.withColumn("_hits", F.greatest(F.lit(0), high - low + 1)).groupBy(*keys).agg((F.sum(F.col("envelope") * F.col("_hits")) / points).alias("ap"), F.max("recall").alias("ar"))
     return truth.join(gained, keys, "left").select(*keys, "n_gt", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("ar", F.lit(0.0)).alias("ar"))
 
 

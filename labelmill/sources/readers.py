@@ -101,7 +101,7 @@ def inventory(images: DataFrame) -> DataFrame:
 
 def read_id_map(spark: SparkSession, path: str, key_shift: int = 0, value_shift: int = -1) -> DataFrame:
     """(ins_id, sem_id) of a white-space separated text file with a header; a later line replaces an earlier one."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
     return ann.read_id_map_lines(lines, key_shift, value_shift)
 
