@@ -27,6 +27,8 @@ from .components import connected_components
 COORDINATES = 64
 #: Rows of one side of a block of postings, and of a block of full sets.
 POSTING_BLOCK, SET_BLOCK = 1024, 512
+#: Up to so many ids of clustered documents (16 MB) are broadcast to keep other texts out of the shuffle; more are joined.
+BROADCAST_IDS = 2_000_000
 
 
 def match_threshold(percent: int, k: int = COORDINATES) -> int:
@@ -200,7 +202,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     near = connected_components(candidate_edges(land(reps), match_threshold(percent)))
     clusters = near.groupBy("component").agg(F.ceil(F.count("*") / SET_BLOCK).alias("nb"))
     asked = near.join(clusters, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "nb")
-    sets = asked.join(docs.select("doc_id", "text"), "doc_id").mapInArrow(lambda it: set_batches(it, width), "doc_id long, cluster long, nb long, hashes binary")
+    texts = docs.select("doc_id", "text")
+    if near.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(near.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+    sets = asked.join(texts, "doc_id").mapInArrow(lambda it: set_batches(it, width), "doc_id long, cluster long, nb long, hashes binary")
     keys = ["cluster", "lo", "hi"]
     exact = sorted_blocks(in_blocks(sets, "cluster"), keys).mapInArrow(lambda it: exact_batches(it, percent, keys), "a long, b long")
     component = connected_components(exact)
