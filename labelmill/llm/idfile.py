@@ -20,6 +20,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -254,7 +255,7 @@ class Words:
     letter and a following `.` or `,` moves no border either, where these never share a token."""
 
     REMEMBERED = 400_000
-    _split = re.compile(r"(?<=[a-z])(?=[.,])")
+    _split = re.compile(rb"(?<=[a-z])(?=[.,])")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -264,13 +265,13 @@ class Words:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _add(self, fresh: list[str]) -> None:
-        ids = [e.ids for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)]
+    def _add(self, fresh: list[bytes]) -> None:
+        ids = [e.ids for e in self.library.encode_batch_fast([f.decode("utf-8", "surrogatepass") for f in fresh], add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
         self.known.update(zip(fresh, range(len(self.size), len(self.size) + len(fresh))))
         self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
         self.size, self.flat = np.append(self.size, size), np.append(self.flat, flat)
@@ -279,9 +280,10 @@ class Words:
         """The ids of all texts one after another, END behind each, and how many each text has with it."""
         runs = []
         for t in texts:
-            if "<|" not in t:  # special tokens are spelt in lower case; elsewhere A-Z and a-z have the same ids
-                t = self._split.sub(" ", t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
-            runs.append([r for r in re.split("[ \t\n\r\f\v]+", t) if r] if not t.isascii() else t.split())
+            raw = t.encode("utf-8", "surrogatepass")
+            if b"<|" not in raw:  # special tokens are spelt in lower case; elsewhere A-Z and a-z have the same ids
+                raw = self._split.sub(b" ", raw.lower())
+            runs.append(raw.split())  # at ASCII white space only
         new = set().union(*runs) if runs else set()
         fresh = list(new.difference(self.known))
         if len(self.known) + len(fresh) > self.REMEMBERED:
