@@ -105,7 +105,8 @@ def precision_recall(matches: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "det_id")
     run = matches.withColumn("_tp", F.sum("tp").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
     run = run.withColumn("recall", F.col("_tp") / F.col("n_gt")).withColumn("precision", F.col("_tp") / F.col("_n"))
-    return run.withColumn("envelope", F.max("precision").over(w.rowsBetween(0, Window.unboundedFollowing))).drop("_tp", "_n")
+    back = Window.partitionBy(*keys).orderBy("score", F.col("det_id").desc()).rowsBetween(Window.unboundedPreceding, 0)  # a running maximum, in linear time
+    return run.withColumn("envelope", F.max("precision").over(back)).drop("_tp", "_n")
 
 
 def average_precision(matches: DataFrame, truth: DataFrame, keys: list[str], points: int = 101) -> DataFrame:
