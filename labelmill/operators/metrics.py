@@ -98,21 +98,21 @@ def semantic_suite(conf: DataFrame, void_index: int) -> DataFrame:
     )
 
 
-def precision_recall(matches: DataFrame, keys: list[str]) -> DataFrame:
+def precision_recall(matches: DataFrame, keys: list[str], ties: tuple[str, ...] = ("det_id",)) -> DataFrame:
     """Running precision and recall by falling score, with the non-increasing precision envelope.
 
-    matches: keys, score, det_id, tp (0/1), n_gt. Ties are ordered by det_id."""
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "det_id")
+    matches: keys, score, tp (0/1), n_gt and the columns that order ties."""
+    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), *ties)
     run = matches.withColumn("_tp", F.sum("tp").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
     run = run.withColumn("recall", F.col("_tp") / F.col("n_gt")).withColumn("precision", F.col("_tp") / F.col("_n"))
-    back = Window.partitionBy(*keys).orderBy("score", F.col("det_id").desc()).rowsBetween(Window.unboundedPreceding, 0)  # a running maximum, in linear time
+    back = Window.partitionBy(*keys).orderBy("score", *[F.col(c).desc() for c in ties]).rowsBetween(Window.unboundedPreceding, 0)  # a running maximum, in linear time
     return run.withColumn("envelope", F.max("precision").over(back)).drop("_tp", "_n")
 
 
-def average_precision(matches: DataFrame, truth: DataFrame, keys: list[str], points: int = 101) -> DataFrame:
+def average_precision(matches: DataFrame, truth: DataFrame, keys: list[str], points: int = 101, ties: tuple[str, ...] = ("det_id",)) -> DataFrame:
     """ap and ar for each key with truth (keys, n_gt): precision at the first recall >= r, mean over r = 0, .01, ..."""
-    curve = precision_recall(matches.join(truth, keys), keys)
-    before = F.lag("recall").over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "det_id"))
+    curve = precision_recall(matches.join(truth, keys), keys, ties)
+    before = F.lag("recall").over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), *ties))
     low = F.when(before.isNull(), 0).otherwise(F.floor(before * (points - 1) + 1e-9) + 1)
     high = F.least(F.lit(points - 1), F.floor(F.col("recall") * (points - 1) + 1e-9))
     gained = curve.withColumn("_hits", F.greatest(F.lit(0), high - low + 1)).groupBy(*keys).agg((F.sum(F.col("envelope") * F.col("_hits")) / points).alias("ap"), F.max("recall").alias("ar"))

@@ -109,7 +109,7 @@ def box_ap(spark: SparkSession, d: str) -> DataFrame:
     truth = ann.not_crowd(_gt(spark, d)).groupBy("category_id").agg(F.count("*").alias("n_gt"))
     found = _matches(spark, d).filter(~F.col("ignored"))
     per_t = truth.crossJoin(spark.createDataFrame([(float(t),) for t in THRESHOLDS], "t double"))
-    return metrics.average_precision(found, per_t, ["category_id", "t"]).select("category_id", "t", "n_gt", F.round("ap", 6).alias("ap"), F.round("ar", 6).alias("ar"))
+    return metrics.average_precision(found, per_t, ["category_id", "t"], ties=("image_id", "det_id")).select("category_id", "t", "n_gt", F.round("ap", 6).alias("ap"), F.round("ar", 6).alias("ar"))
 
 
 Q["box_ap"] = box_ap
@@ -117,17 +117,17 @@ Q["box_ap"] = box_ap
 
 def precision_recall(spark: SparkSession, d: str) -> DataFrame:
     """The curve of detections that hit the truth of their own id."""
-    g = ann.not_crowd(_gt(spark, d)).select(F.col("ann_id").alias("det_id"), F.col("category_id").alias("gt_category"))
-    found = _det(spark, d).join(g, "det_id").withColumn("tp", (F.col("category_id") == F.col("gt_category")).cast("int")).withColumn("n_gt", F.lit(10000))
-    curve = metrics.precision_recall(found, ["category_id"])
-    return curve.select("category_id", "det_id", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), F.round("envelope", 6).alias("envelope"))
+    g = ann.not_crowd(_gt(spark, d)).select("image_id", F.col("ann_id").alias("det_id"), F.col("category_id").alias("gt_category"))
+    found = _det(spark, d).join(g, ["image_id", "det_id"]).withColumn("tp", (F.col("category_id") == F.col("gt_category")).cast("int")).withColumn("n_gt", F.lit(10000))
+    curve = metrics.precision_recall(found, ["category_id"], ("image_id", "det_id"))
+    return curve.select("category_id", "image_id", "det_id", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), F.round("envelope", 6).alias("envelope"))
 
 
 Q["precision_recall"] = precision_recall
 SQL["precision_recall"] = oracle(
-    ("det_box",), "select category_id, det_id, round(recall,6) as recall, round(p,6) as precision, round(max(p) over (partition by category_id order by score desc, det_id rows between current row and unbounded following),6) as envelope from c",
-    "f as (select d.*, case when d.category_id=g.category_id then 1 else 0 end as tp from det_box d join gt_box g on g.ann_id=d.det_id where g.iscrowd=0)",
-    "c as (select *, sum(tp) over w/10000 as recall, sum(tp) over w/row_number() over w as p from f window w as (partition by category_id order by score desc, det_id rows between unbounded preceding and current row))",
+    ("det_box",), "select category_id, image_id, det_id, round(recall,6) as recall, round(p,6) as precision, round(max(p) over (partition by category_id order by score desc, image_id, det_id rows between current row and unbounded following),6) as envelope from c",
+    "f as (select d.*, case when d.category_id=g.category_id then 1 else 0 end as tp from det_box d join gt_box g on g.ann_id=d.det_id and g.image_id=d.image_id where g.iscrowd=0)",
+    "c as (select *, sum(tp) over w/10000 as recall, sum(tp) over w/row_number() over w as p from f window w as (partition by category_id order by score desc, image_id, det_id rows between unbounded preceding and current row))",
 )
 Q["unmatched_truth"] = lambda s, d: matching.unmatched(_gt(s, d).select("ann_id", "image_id"), _det(s, d).select(F.col("det_id").alias("ann_id")), ["ann_id"])
 SQL["unmatched_truth"] = oracle(("det_box",), "select ann_id, image_id from gt_box where ann_id not in (select det_id from det_box)")
