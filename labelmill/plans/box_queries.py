@@ -240,3 +240,36 @@ SQL["frame_association"] = oracle(
     "m as (select stream_id, frame_idx, det_id, cast((frame_idx*(3+stream_id%4)+det_id*40)%120 as double) as x0 from frames cross join (select range as det_id from range(2)) t)",
     "j as (select a.stream_id, a.frame_idx, a.det_id, b.det_id as before_id, greatest(0.0,least(a.x0,b.x0)+20-greatest(a.x0,b.x0))*20/(800-greatest(0.0,least(a.x0,b.x0)+20-greatest(a.x0,b.x0))*20+1e-6) as iou from m a join m b on a.stream_id=b.stream_id and a.frame_idx=b.frame_idx+1)",
 )
+
+
+def stream_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The windowed counts of a stream over the events files, run until all that is there has been read."""
+    from ..sources.scratch import scratch_dir
+
+    schema = frame(spark, d, "events").schema
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/events.parquet*")
+    scored = events.select(F.col("user_id").alias("stream_id"), "ts", (F.col("value") / 100).alias("score"))
+    counts = streams.windowed_counts(scored, 0.5, "1 day")
+    out, state = scratch_dir(spark), scratch_dir(spark)
+    run = counts.writeStream.outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True)
+    run.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    found = spark.read.schema(counts.schema).parquet(out)
+    return found.groupBy("stream_id").agg(F.count("*").alias("windows"), F.sum("raw").alias("raw"), F.sum("kept").alias("kept"))
+
+
+Q["stream_windowed_counts"] = stream_windowed_counts
+SQL["stream_windowed_counts"] = SQL["windowed_counts"]
+Q["first_images"] = lambda s, d: frame(s, d, "orders").select(F.col("o_orderkey").alias("image_id"), "o_custkey").orderBy("image_id", "o_custkey").limit(50)
+SQL["first_images"] = "select o_orderkey as image_id, o_custkey from orders order by 1, 2 limit 50"
+
+
+def prediction_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Truth and predictions paired by file stem; only images with a prediction are evaluated."""
+    name = F.concat(F.lit("p/"), F.col("image_id").cast("string"), F.lit(".png"))
+    truth = frame(spark, d, "px").groupBy("image_id").agg(F.count_if(F.col("gt") != 255).alias("labelled")).select(codes.stem_first_dot(name).alias("stem"), "labelled")
+    pred = _det(spark, d).groupBy("image_id").agg(F.count("*").alias("n_pred")).select(codes.stem_last_dot(name).alias("stem"), "n_pred")
+    return readers.paired_by_stem(truth, pred)
+
+
+Q["paired_by_stem"] = prediction_documents
+SQL["paired_by_stem"] = oracle(("px", "det_box"), "select cast(t.image_id as varchar) as stem, labelled, n_pred from (select image_id, count(*) filter (where gt<>255) as labelled from px group by 1) t join (select image_id, count(*) as n_pred from det_box group by 1) p using (image_id)")
