@@ -90,8 +90,8 @@ def greedy_match(gt: DataFrame, det: DataFrame, thresholds: Sequence[float], on:
     """det rows for each threshold with tp and ignored, by falling score: each takes the free truth of highest IoU >= t.
 
     gt: keys, gt_id, x0..y1, iscrowd; det: keys, det_id, x0..y1, score. Crowd truths are tried last, may absorb several
-    detections, and use intersection over detection area. Only overlapping pairs move: they are found by grid cell and
-    gathered per detection, then one fold over the score-ordered candidates of a (image, category) keeps what is taken."""
+    detections, and use intersection over detection area. Only overlapping pairs move: they are found by grid cell.
+    Pairs without rivals match at once; one fold over the score-ordered candidates of an (image, category) does the rest."""
     on = list(on)
     g = gt.select(*on, "gt_id", "iscrowd", *boxes.XYXY)
     d = det.select(*on, "det_id", "score", *boxes.XYXY)
@@ -100,11 +100,16 @@ def greedy_match(gt: DataFrame, det: DataFrame, thresholds: Sequence[float], on:
     inter = G.intersection(G.columns("a_"), G.columns("b_"))
     value = F.when(crowd, inter / G.area(G.columns("a_"))).otherwise(G.iou(G.columns("a_"), G.columns("b_"), 0.0))
     least = float(min(thresholds))
-    cand = met.withColumn("v", F.round(value, 12)).filter(F.col("v") >= least).groupBy(*on, F.col("a_det_id").alias("det_id"), F.col("a_score").alias("score")).agg(
-        F.sort_array(F.collect_list(F.struct((F.col("b_iscrowd") == 1).alias("crowd"), (-F.col("v")).alias("neg"), F.col("b_gt_id").alias("gt_id")))).alias("cands")
+    pairs = met.withColumn("v", F.round(value, 12)).filter(F.col("v") >= least).select(
+        *on, F.col("a_det_id").alias("det_id"), F.col("a_score").alias("score"), F.col("b_gt_id").alias("gt_id"), "v", crowd.alias("crowd")
     )
+    rivals = F.count("*").over(Window.partitionBy(*on, "gt_id")) + F.count("*").over(Window.partitionBy(*on, "det_id"))
+    pairs = pairs.withColumn("free", (rivals == 2) & ~F.col("crowd"))
+    every_t = F.array(*[F.lit(float(x)) for x in thresholds])
+    free = pairs.filter("free").withColumn("t", F.explode(F.filter(every_t, lambda t: t <= F.col("v"))))  # matched whatever the others take
+    cand = pairs.filter("not free").groupBy(*on, "det_id", "score").agg(F.sort_array(F.collect_list(F.struct("crowd", (-F.col("v")).alias("neg"), "gt_id"))).alias("cands"))
     per = cand.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("negs"), "det_id", "cands"))).alias("dets"))
-    at = per.withColumn("t", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
+    at = per.withColumn("t", F.explode(every_t))
     start = F.struct(F.array().cast("array<bigint>").alias("taken"), F.array().cast("array<struct<det_id:bigint,gt_id:bigint,crowd:boolean>>").alias("hits"))
 
     def step(acc, row):
@@ -116,7 +121,8 @@ def greedy_match(gt: DataFrame, det: DataFrame, thresholds: Sequence[float], on:
         return F.struct(taken.alias("taken"), F.when(found, F.concat(acc["hits"], F.array(hit))).otherwise(acc["hits"]).alias("hits"))
 
     hits = at.withColumn("r", F.aggregate("dets", start, step)).select(*on, "t", F.explode("r.hits").alias("h")).select(*on, "t", "h.det_id", "h.gt_id", "h.crowd")
-    every = det.select(*on, "det_id", "score").withColumn("t", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
+    hits = hits.unionByName(free.select(*on, "t", "det_id", "gt_id", "crowd"))
+    every = det.select(*on, "det_id", "score").withColumn("t", F.explode(every_t))
     out = every.join(hits, [*on, "t", "det_id"], "left")
     return out.withColumn("tp", F.coalesce((~F.col("crowd")).cast("int"), F.lit(0))).withColumn("ignored", F.coalesce("crowd", F.lit(False))).drop("crowd")
 
