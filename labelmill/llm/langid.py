@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hashed n-gram features, labelled rows fitted on for each language (about), centroids for each language.
-FEATURES, SAMPLE_PER_LANGUAGE, CENTROIDS = 1 << 13, 600, 3
+FEATURES, SAMPLE_PER_LANGUAGE, CENTROIDS = 1 << 13, 300, 3
 #: A text is rejected below this share of the least usual cosine (the 0.5 % quantile) of a centroid's own rows.
 SLACK = 0.5
 UNKNOWN = "und"
@@ -72,7 +72,7 @@ def counts(texts: list[str | None]) -> np.ndarray:
 
 
 def _vectors(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(count).astype(np.float32) * idf
+    x = np.log1p(count.astype(np.float32)) * idf
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
 
@@ -116,22 +116,24 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids:
     share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, per_language / n))])
     chance = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     sample = sorted(usable.filter(chance < share[F.col("lang")]).collect(), key=lambda r: (r["lang"], str(r["doc_id"]), r["text"]))
-    count = np.concatenate([counts(p).astype(np.int32) for p in _text_parts([r["text"] for r in sample])])
+    names = np.array([r["lang"] for r in sample], dtype=object)
+    count = np.concatenate([np.minimum(counts(p), 255).astype(np.uint8) for p in _text_parts([r["text"] for r in sample])])
     idf = np.log((1 + len(count)) / (1 + (count > 0).sum(axis=0))).astype(np.float32) + 1
-    x, lang = _vectors(count, idf), np.array([r["lang"] for r in sample], dtype=object)
-    languages = sorted(set(lang.tolist()))
-    owner, vectors, limit = [], [], []
+    languages = sorted(set(names.tolist()))
+    owner, vectors, limit, usual = [], [], [], []
     for i, name in enumerate(languages):
-        own = x[lang == name]
+        own = _vectors(count[names == name], idf)
         centre = _clusters(own, centroids)
         cos = own @ centre.T
         near = cos.argmax(axis=1)
+        usual += cos.max(axis=1).tolist()
         for j in range(len(centre)):
             mine = cos[near == j, j]
             owner.append(i)
             vectors.append(centre[j])
-            limit.append(SLACK * float(np.quantile(mine, 0.005)) if len(mine) else 0.0)
-    return Centroids(languages, np.array(owner), idf, np.array(vectors, dtype=np.float32), np.minimum(np.array(limit), SLACK * np.quantile((x @ np.array(vectors).T).max(axis=1), 0.005)))
+            limit.append(float(np.quantile(mine, 0.005)) if len(mine) else 0.0)
+    limit = SLACK * np.minimum(np.array(limit), np.quantile(usual, 0.005))
+    return Centroids(languages, np.array(owner), idf, np.array(vectors, dtype=np.float32), limit)
 
 
 def judged_batches(batches: Iterable[pa.RecordBatch], model: Centroids) -> Iterator[pa.RecordBatch]:
