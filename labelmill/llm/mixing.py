@@ -6,6 +6,7 @@ alone, which are few whatever the corpus holds. The documents are read twice: fo
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Topics by the first pattern that a text is LIKE.
 TOPICS = (("table", "% | %"), ("licence", "%icense%"), ("contact", "%@%"), ("link", "%http%"))
 ROUNDS = 10
+#: Up to so many cells are fitted in the driver (some 12 MB); more stay distributed. Both ways give the same weights.
+LOCAL_CELLS = 200_000
 
 
 def topic(text: Column) -> Column:
@@ -34,24 +37,41 @@ def uniform(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(seed))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, local: int = LOCAL_CELLS) -> DataFrame:
     """cells (dimensions, w) with w fitted to the target shares of each dimension in turn, `rounds` times over.
 
-    targets: for each dimension (its values, share). A value without a target has weight 0. Sums per value are
-    partly aggregated before their shuffle; each round lands in the scratch folder, so plans stay short."""
+    targets: for each dimension (its values, share). A value without a target has weight 0. A table of at most `local`
+    cells is fitted as one array; a larger one by joins, where sums per value are partly aggregated before their
+    shuffle and each round lands in the scratch folder."""
+    cells = cells.withColumn("w", F.col("w").cast("double"))
+    if cells.limit(local + 1).count() <= local:
+        return _raked_array(cells, targets, rounds)
+    targets = {d: land(wanted) for d, wanted in targets.items()}
     now = cells
     for k in range(rounds):
-        step = now
         for d, wanted in targets.items():
-            sums = step.groupBy(d).agg(F.sum("w").alias("have")).join(wanted, d).select(d, (F.col("share") / F.col("have")).alias("factor"))
-            step = step.join(sums, d).withColumn("w", F.col("w") * F.col("factor")).drop("factor")
-        after = land(step)
-        if k:
+            sums = now.groupBy(d).agg(F.sum("w").alias("have")).join(wanted, d, "left").select(d, (F.coalesce("share", F.lit(0.0)) / F.col("have")).alias("factor"))
+            after = land(now.join(sums, d).withColumn("w", F.coalesce(F.col("w") * F.col("factor"), F.lit(0.0))).select(*cells.columns))
             discard(now)
-        now = after
+            now = after
     return now
 
 
+def _raked_array(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFrame:
+    rows = [r.asDict() for r in cells.collect()]
+    w, steps = np.array([r["w"] for r in rows], dtype=np.float64), []
+    for d, wanted in targets.items():
+        share = {r[d]: r["share"] for r in wanted.collect()}
+        values = sorted({r[d] for r in rows})
+        index = {v: i for i, v in enumerate(values)}
+        steps.append((np.array([index[r[d]] for r in rows], dtype=np.int64), np.array([share.get(v, 0.0) for v in values])))
+    for _ in range(rounds):
+        for at, share in steps:
+            have = np.bincount(at, weights=w, minlength=len(share))
+            w = w * np.divide(share, have, out=np.zeros_like(share), where=have > 0)[at]
+    return cells.sparkSession.createDataFrame([tuple((r | {"w": float(x)})[c] for c in cells.columns) for r, x in zip(rows, w)], cells.schema)
+
+
 def smoothed_targets(cells: DataFrame, powers: dict[str, float]) -> dict[str, DataFrame]:
     """Shares in proportion to (token share) ** power for each dimension."""
     out = {}
@@ -81,7 +101,7 @@ def mixed(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = 0.
     total = fitted.agg(F.sum("tokens").cast("double").alias("all_tokens"), F.sum("w").alias("all_w"))
     chances = fitted.crossJoin(F.broadcast(total)).select(
         F.col("source").alias("_source"), F.col("lang").alias("_lang"), "topic",
-        F.least(F.lit(1.0), F.lit(budget) * F.col("all_tokens") * F.col("w") / F.col("all_w") / F.col("tokens")).alias("chance"),
+        F.least(F.lit(1.0), F.try_divide(F.lit(budget) * F.col("all_tokens") * F.col("w"), F.col("all_w")) / F.col("tokens")).alias("chance"),
     )
     return (
         keyed.join(chances, ["_source", "_lang", "topic"], "left").drop("_source", "_lang")
