@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Hashed n-gram features, labelled rows fitted on for each language (about), centroids for each language.
 FEATURES, SAMPLE_PER_LANGUAGE, CENTROIDS = 1 << 13, 300, 3
 #: A text is rejected below this share of the least usual cosine (the 0.5 % quantile) of a centroid's own rows.
-SLACK = 0.5
+SLACK = 0.2
 UNKNOWN = "und"
 _WORD_RUN = re.compile(r"[^\W\d_]+")
 
