@@ -24,6 +24,8 @@ from .common import group_bounds, land, whole_groups
 SAMPLE, TREES, LEAF = 8192, 16, 48
 #: Rows, and queries, of one block of a leaf.
 BLOCK = 4096
+#: Neighbours found that a task holds before it thins them.
+HELD = 2_000_000
 RECALL = 0.96
 SHARES = (0.002, 0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.08, 0.1, 0.15, 0.2, 0.3, 0.5, 1.0)
 
@@ -119,13 +121,32 @@ def placed_batches(batches: Iterable[pa.RecordBatch], forest: Forest, query: boo
                 yield pa.RecordBatch.from_arrays([pa.array(leaf.ravel()[lo : lo + 8192]), part.column(0).take(at), part.column(1).take(at)], names=["leaf", "id", "v"])
 
 
+def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best rows, nearest first, ties to the smaller id; a pair met in several trees counts once."""
+    order = np.lexsort((v, -s, q))
+    q, v, s = q[order], v[order], s[order]
+    new = np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1]))[: len(q)]
+    q, v, s = q[new], v[new], s[new]
+    first = np.append(True, q[1:] != q[:-1])[: len(q)]
+    rank = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
+    return q[rank < k], v[rank < k], s[rank < k]
+
+
 def best_batches(batches: Iterable[pa.RecordBatch], k: int, keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """Of the blocks of leaves that lie together: each query's k best rows, by exact inner products."""
+    """Of the blocks of leaves that lie together: each query's k best rows, by exact inner products.
+
+    What has been found is thinned to the best of each query whenever it passes HELD rows, and put out at the end."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def out(q: np.ndarray, v: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(q), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (q, v, s)], names=["query_id", "vec_id", "score"])
+
     for tab in whole_groups(batches, keys):
         bounds = group_bounds(tab, keys)
         ids, asks = tab.column("id").to_numpy(), tab.column("query").to_numpy()
         x = _matrix(tab.column("v"))
-        q_out, v_out, s_out = [], [], []
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             mid = lo + int((asks[lo:hi] == 0).sum())
             if mid in (lo, hi):
@@ -136,25 +157,16 @@ def best_batches(batches: Iterable[pa.RecordBatch], k: int, keys: list[str]) ->
             floor = np.partition(rough, n - k, axis=1)[:, n - k] if n > k else np.full(len(rough), -np.inf)
             floor = np.where(np.isfinite(floor), floor - 1e-9 * np.maximum(1, np.abs(floor)), -np.finfo(float).max)
             q, r = np.nonzero(rough >= floor[:, None])
-            exact = (x[mid + q] * x[lo + r]).sum(axis=1)
-            order = np.lexsort((ids[lo + r], -exact, q))
-            q, r, exact = q[order], r[order], exact[order]
-            first = np.append(True, q[1:] != q[:-1])
-            rank = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
-            top = rank < k
-            q_out.append(ids[mid + q[top]])
-            v_out.append(ids[lo + r[top]])
-            s_out.append(exact[top])
-        if q_out:
-            q, v, s = np.concatenate(q_out), np.concatenate(v_out), np.concatenate(s_out)
-            order = np.lexsort((v, -s, q))
-            q, v, s = q[order], v[order], s[order]
-            new = np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1]))  # a pair met in several trees counts once
-            q, v, s = q[new], v[new], s[new]
-            first = np.append(True, q[1:] != q[:-1])
-            rank = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
-            q, v, s = q[rank < k], v[rank < k], s[rank < k]
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
+            held.append(_best(ids[mid + q], ids[lo + r], (x[mid + q] * x[lo + r]).sum(axis=1), k))
+            size += len(held[-1][0])
+        if size > HELD:
+            held = [_best(*(np.concatenate(c) for c in zip(*held)), k)]
+            size = len(held[0][0])
+            if size > HELD // 2:  # very many queries: put out what there is
+                yield from out(*held[0])
+                held, size = [], 0
+    if held:
+        yield from out(*_best(*(np.concatenate(c) for c in zip(*held)), k))
 
 
 def nearest(rows: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, **fitting) -> DataFrame:
