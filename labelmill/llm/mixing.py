@@ -103,6 +103,8 @@ def mixed(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = 0.
         F.col("source").alias("_source"), F.col("lang").alias("_lang"), "topic",
         F.least(F.lit(1.0), F.try_divide(F.lit(budget) * F.col("all_tokens") * F.col("w"), F.col("all_w")) / F.col("tokens")).alias("chance"),
     )
+    if cells.limit(LOCAL_CELLS + 1).count() <= LOCAL_CELLS:
+        chances = F.broadcast(chances)  # counted: texts then need no shuffle
     return (
         keyed.join(chances, ["_source", "_lang", "topic"], "left").drop("_source", "_lang")
         .withColumn("sampled", uniform(F.col("doc_id"), seed) < F.col("chance"))
