@@ -39,7 +39,7 @@ def _letters() -> np.ndarray:
     """For every code point: 0 if it is no letter, else a mixed hash of it."""
     codes = np.arange(0x110000, dtype=np.uint64)
     spread = (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    text = "".join(chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x30000))
+    text = "".join(chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x34000))
     letter = np.zeros(0x110000, dtype=bool)
     letter[: len(text)] = np.fromiter(map(str.isalpha, text), dtype=bool, count=len(text))
     return np.where(letter, (spread & np.uint64(0x7FFFFFFF)) + np.uint64(1), 0).astype(np.int64)
