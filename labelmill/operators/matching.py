@@ -86,25 +86,37 @@ def assign(costs: DataFrame) -> DataFrame:
     return costs.groupBy("image_id").applyInPandas(solve, "image_id long, q long, gt_id long, cost double")
 
 
-def greedy_match(gt: DataFrame, det: DataFrame, thresholds: Sequence[float], on: Sequence[str] = ("image_id", "category_id"), grid: float = 64.0) -> DataFrame:
-    """det rows for each threshold with tp and ignored, by falling score: each takes the free truth of highest IoU >= t.
+def box_pairs(gt: DataFrame, det: DataFrame, on: Sequence[str] = ("image_id", "category_id"), grid: float = 64.0) -> DataFrame:
+    """(keys, det_id, score, gt_id, v, crowd) of overlapping boxes, met by grid cell; v is IoU, or for a crowd truth
+    intersection over detection area. gt: keys, gt_id, x0..y1, iscrowd; det: keys, det_id, x0..y1, score."""
+    on = list(on)
+    met = boxes.overlapping_pairs(det.select(*on, "det_id", "score", *boxes.XYXY), gt.select(*on, "gt_id", "iscrowd", *boxes.XYXY), on, grid)
+    a, b, crowd = G.columns("a_"), G.columns("b_"), F.col("b_iscrowd") == 1
+    value = F.when(crowd, G.intersection(a, b) / G.area(a)).otherwise(G.iou(a, b, 0.0))
+    return met.select(*on, F.col("a_det_id").alias("det_id"), F.col("a_score").alias("score"), F.col("b_gt_id").alias("gt_id"), F.round(value, 12).alias("v"), crowd.alias("crowd"))
+
+
+def mask_pairs(gt_px: DataFrame, det_px: DataFrame, det: DataFrame, on: Sequence[str] = ("image_id", "category_id")) -> DataFrame:
+    """The same from mask pixels: gt_px (keys, gt_id, y, x), det_px (keys, det_id, y, x), det (keys, det_id, score).
+
+    Pixels meet once on their place; counts leave the join. Boundary pairs: give bands from rasters.boundary_band."""
+    on = list(on)
+    inter = det_px.join(gt_px, [*on, "y", "x"]).groupBy(*on, "det_id", "gt_id").agg(F.count("*").alias("n"))
+    g, d = gt_px.groupBy(*on, "gt_id").agg(F.count("*").alias("g")), det_px.groupBy(*on, "det_id").agg(F.count("*").alias("d"))
+    met = inter.join(g, [*on, "gt_id"]).join(d, [*on, "det_id"]).join(det.select(*on, "det_id", "score"), [*on, "det_id"])
+    return met.select(*on, "det_id", "score", "gt_id", F.round(F.col("n") / (F.col("g") + F.col("d") - F.col("n")), 12).alias("v"), F.lit(False).alias("crowd"))
+
 
-    gt: keys, gt_id, x0..y1, iscrowd; det: keys, det_id, x0..y1, score. Crowd truths are tried last, may absorb several
-    detections, and use intersection over detection area. Only overlapping pairs move: they are found by grid cell.
-    Pairs without rivals match at once; one fold over the score-ordered candidates of an (image, category) does the rest."""
+def greedy_match(pairs: DataFrame, det: DataFrame, thresholds: Sequence[float], on: Sequence[str] = ("image_id", "category_id")) -> DataFrame:
+    """det rows for each threshold with gt_id, tp and ignored: by falling score each takes the free truth of highest v >= t.
+
+    pairs: as from box_pairs or mask_pairs; det: keys, det_id, score. Crowd truths are tried last and may absorb
+    several detections. Pairs without rivals match at once; one fold over the score-ordered candidates of an (image,
+    category) does the rest."""
     on = list(on)
-    g = gt.select(*on, "gt_id", "iscrowd", *boxes.XYXY)
-    d = det.select(*on, "det_id", "score", *boxes.XYXY)
-    met = boxes.overlapping_pairs(d, g, on, grid)
-    crowd = F.col("b_iscrowd") == 1
-    inter = G.intersection(G.columns("a_"), G.columns("b_"))
-    value = F.when(crowd, inter / G.area(G.columns("a_"))).otherwise(G.iou(G.columns("a_"), G.columns("b_"), 0.0))
     least = float(min(thresholds))
-    pairs = met.withColumn("v", F.round(value, 12)).filter(F.col("v") >= least).select(
-        *on, F.col("a_det_id").alias("det_id"), F.col("a_score").alias("score"), F.col("b_gt_id").alias("gt_id"), "v", crowd.alias("crowd")
-    )
     rivals = F.count("*").over(Window.partitionBy(*on, "gt_id")) + F.count("*").over(Window.partitionBy(*on, "det_id"))
-    pairs = pairs.withColumn("free", (rivals == 2) & ~F.col("crowd"))
+    pairs = pairs.filter(F.col("v") >= least).withColumn("free", (rivals == 2) & ~F.col("crowd"))
     every_t = F.array(*[F.lit(float(x)) for x in thresholds])
     free = pairs.filter("free").withColumn("t", F.explode(F.filter(every_t, lambda t: t <= F.col("v"))))  # matched whatever the others take
     cand = pairs.filter("not free").groupBy(*on, "det_id", "score").agg(F.sort_array(F.collect_list(F.struct("crowd", (-F.col("v")).alias("neg"), "gt_id"))).alias("cands"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions import geometry as G
 from ..operators import annotations as ann
-from ..operators import boxes, matching, metrics, sampling
+from ..operators import boxes, matching, metrics, rasters, sampling
 from ..sources import readers
 from ..streaming import frames as streams
 from .fixtures import frame, oracle
@@ -98,7 +98,7 @@ THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 
 def _matches(spark: SparkSession, d: str, thresholds=THRESHOLDS) -> DataFrame:
     g = _gt(spark, d).withColumnRenamed("ann_id", "gt_id")
-    return matching.greedy_match(g, _det(spark, d), thresholds)
+    return matching.greedy_match(matching.box_pairs(g, _det(spark, d)), _det(spark, d), thresholds)
 
 
 Q["greedy_matches"] = lambda s, d: _matches(s, d, (0.5, 0.75)).select("image_id", "category_id", "t", "det_id", "gt_id", "tp", "ignored")
@@ -132,6 +132,42 @@ SQL["precision_recall"] = oracle(
 Q["unmatched_truth"] = lambda s, d: matching.unmatched(_gt(s, d).select("ann_id", "image_id"), _det(s, d).select(F.col("det_id").alias("ann_id")), ["ann_id"])
 SQL["unmatched_truth"] = oracle(("det_box",), "select ann_id, image_id from gt_box where ann_id not in (select det_id from det_box)")
 
+
+
+def _mask_ap(spark: SparkSession, d: str, band: int | None) -> DataFrame:
+    """AP of masks, or of their boundary bands: every label of an image is one object."""
+    px = frame(spark, d, "px").filter("pred <> 10")
+    sides = []
+    for column, name in (("gt", "gt_id"), ("pred", "det_id")):
+        own = px.filter(F.col(column) != 255).select("image_id", F.col(column).alias("category_id"), F.col(column).alias(name), "y", "x")
+        sides.append(own if band is None else rasters.boundary_band(own, ["image_id", "category_id", name], band))
+    truth = sides[0].select("image_id", "category_id", "gt_id").distinct().groupBy("category_id").agg(F.count("*").alias("n_gt"))
+    det = sides[1].select("image_id", "category_id", "det_id").distinct().withColumn("score", ((F.col("image_id") * 37 + F.col("det_id") * 13) % 101).cast("double") / 101)
+    found = matching.greedy_match(matching.mask_pairs(*sides, det), det, (0.5, 0.75)).filter(~F.col("ignored"))
+    per_t = truth.crossJoin(spark.createDataFrame([(0.5,), (0.75,)], "t double"))
+    return metrics.average_precision(found, per_t, ["category_id", "t"], ties=("image_id", "det_id")).select("category_id", "t", "n_gt", F.round("ap", 6).alias("ap"), F.round("ar", 6).alias("ar"))
+
+
+def _mask_ap_sql(band: bool) -> str:
+    near = "(select p.image_id, p.{c} as k, p.y, p.x, count(*) as n from v p join v o on o.image_id=p.image_id and o.{c}=p.{c} and o.y between p.y-1 and p.y+1 and o.x between p.x-1 and p.x+1 where p.{c}<>255 group by all having count(*)<9)"
+    side = near if band else "(select image_id, {c} as k, y, x from v where {c}<>255)"
+    return oracle(
+        ("px",), "select category_id, t, n_gt, round(coalesce(sum(best),0)/101,6) as ap, round(coalesce(max(ar),0),6) as ar from l group by 1, 2, 3",
+        "v as (select * from px where pred<>10)", f"a as {side.format(c='gt')}", f"b as {side.format(c='pred')}",
+        "g as (select image_id, k, count(*) as n from a group by all)", "d as (select image_id, k, count(*) as n, cast((image_id*37+k*13)%101 as double)/101 as score from b group by image_id, k)",
+        "i as (select image_id, k, count(*) as n from a join b using (image_id, k, y, x) group by all)",
+        "m as (select d.image_id, d.k, d.score, t.t, case when round(i.n/(g.n+d.n-i.n),12)>=t.t then 1 else 0 end as tp from d left join g using (image_id, k) left join i using (image_id, k) cross join (select unnest([0.5,0.75]) as t) t)",
+        "n as (select k as category_id, count(*) as n_gt from g group by k)",
+        "c as (select m.*, n.n_gt, sum(tp) over w as s, row_number() over w as r from m join n on n.category_id=m.k window w as (partition by m.k, t order by score desc, image_id, m.k rows unbounded preceding))",
+        "l as (select n.category_id, cast(tt.t as double) as t, n.n_gt, q.q, (select max(s/r) from c where c.k=n.category_id and c.t=tt.t and c.s/c.n_gt>=q.q/100.0-1e-11) as best, (select max(s/c.n_gt) from c where c.k=n.category_id and c.t=tt.t) as ar from n cross join (select unnest([0.5,0.75]) as t) tt cross join (select range as q from range(101)) q)",
+    )
+
+
+Q["mask_ap"] = lambda s, d: _mask_ap(s, d, None)
+SQL["mask_ap"] = _mask_ap_sql(False)
+Q["boundary_ap"] = lambda s, d: _mask_ap(s, d, 1)
+SQL["boundary_ap"] = _mask_ap_sql(True)
+
 # --- augmentation and sampling -----------------------------------------------------------------------------------
 
 

@@ -176,10 +176,9 @@ def test_greedy_matching_equals_a_loop(spark):
     rng = random.Random(6)
     gt = [(0, i, float(x), float(y), x + 30.0, y + 30.0, int(i % 7 == 0), i % 2) for i, (x, y) in enumerate((rng.randrange(0, 200), rng.randrange(0, 200)) for _ in range(40))]
     det = [(0, 100 + i, g[2] + rng.randrange(-8, 8), g[3] + rng.randrange(-8, 8), g[4] + rng.randrange(-8, 8), g[5], rng.randrange(5) / 5, g[7]) for i, g in enumerate(gt * 2)]
-    got = matching.greedy_match(
-        spark.createDataFrame(gt, "image_id long, gt_id long, x0 double, y0 double, x1 double, y1 double, iscrowd int, category_id int"),
-        spark.createDataFrame(det, "image_id long, det_id long, x0 double, y0 double, x1 double, y1 double, score double, category_id int"), (0.5, 0.75),
-    ).collect()
+    g = spark.createDataFrame(gt, "image_id long, gt_id long, x0 double, y0 double, x1 double, y1 double, iscrowd int, category_id int")
+    d = spark.createDataFrame(det, "image_id long, det_id long, x0 double, y0 double, x1 double, y1 double, score double, category_id int")
+    got = matching.greedy_match(matching.box_pairs(g, d), d, (0.5, 0.75)).collect()
     assert len(got) == 2 * len(det)
     for t in (0.5, 0.75):
         want = greedy_loop(gt, det, t)
