@@ -19,6 +19,7 @@ import os
 import re
 import struct
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -41,69 +42,75 @@ _M32 = np.uint64(0xFFFFFFFF)
 _U16, _U32 = np.uint64(16), np.uint64(32)
 
 
+#: Magnitude of value = id + 1, and the distribution that one more id of each magnitude pulls towards.
+_MAGNITUDE = np.array([max(0, v.bit_length() - 1) for v in range(1 << 16)], dtype=np.uint8)
+_SCALE = 14
+_PULL = np.array([[0 if r <= m else 1 << _SCALE for r in range(_SLOTS + 1)] for m in range(_SLOTS)], dtype=np.int16)
+
+
 class Model:
-    """The adaptive model of `lanes` blocks that advance together."""
+    """The adaptive model of `lanes` blocks that advance together. Tables are flat, a block's entries side by side."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=np.int64)
+        self.base2, self.base1 = np.arange(lanes, dtype=np.int64) << _T2, np.arange(lanes, dtype=np.int64) << _T1
+        self.base = np.arange(lanes, dtype=np.int64)
         self.t2, self.n2 = np.zeros(lanes << _T2, np.uint16), np.zeros(lanes << _T2, np.uint8)
         self.t1, self.n1 = np.zeros(lanes << _T1, np.uint16), np.zeros(lanes << _T1, np.uint8)
         self.p2 = np.tile(np.array([4000, 20000, 32000, 42000, 48000, 54000, 58000, 60000], np.int32), lanes)
         self.p1 = np.tile(np.repeat(np.array([4000, 12000, 20000, 28000, 36000, 42000, 48000, 52000], np.int32), 2), lanes)
         self.q1 = np.tile(np.array([2000, 6000, 10000, 14000, 20000, 26000, 30000, 34000], np.int32), lanes)
         self.weight = np.full(lanes, 160, np.int32)
-        self.cdf = np.tile((np.arange(_SLOTS + 1, dtype=np.int32) * 32768 // _SLOTS), (lanes, 1))
+        self.cdf = np.tile((np.arange(_SLOTS + 1, dtype=np.int32) << _SCALE) // _SLOTS, (lanes, 1)).astype(np.int16)
         self.ramp = np.arange(_SLOTS + 1, dtype=np.int32)
         self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def shrink(self, lanes: int) -> None:
         """Only the last block may be shorter: it is the last lane, and leaves when it ends."""
-        self.lane = self.lane[:lanes]
-        self.weight, self.cdf = self.weight[:lanes], self.cdf[:lanes]
-        self.prev1, self.prev2 = self.prev1[:lanes], self.prev2[:lanes]
+        for name in ("base", "base1", "base2", "weight", "cdf", "prev1", "prev2"):
+            setattr(self, name, getattr(self, name)[:lanes])
 
     def guess(self) -> None:
         """first and second: the guesses; f1 and f2: their shares of 65,536."""
-        h = (self.prev1 * 40503 + self.prev2 * 30011) >> 3
-        self.at2 = (self.lane << _T2) + (h & ((1 << _T2) - 1))
-        self.at1 = (self.lane << _T1) + ((self.prev1 * 40503 >> 4) & ((1 << _T1) - 1))
-        c2, c1 = self.t2[self.at2], self.t1[self.at1]
-        m2, m1 = self.n2[self.at2], self.n1[self.at1]
-        self.first, self.second = np.where(m2 > 0, c2, c1).astype(np.int64), c1.astype(np.int64)
-        self.ia = (self.lane << 3) + m2
-        self.ib = (self.lane << 4) + (m1.astype(np.int64) << 1) + (c1 == c2)
-        self.ic = (self.lane << 3) + m1
-        self.pa, self.pb, self.pc = self.p2[self.ia], self.p1[self.ib], self.q1[self.ic]
-        mixed = (self.pa * self.weight + self.pb * (256 - self.weight)) >> 8
-        self.f1 = np.clip(mixed, 64, 60000)
-        self.f2 = np.where(self.second != self.first, (((61440 - self.f1) >> 4) * (self.pc >> 4) >> 8) + 16, 0)
-        self.rest = 65536 - self.f1 - self.f2
+        spread = self.prev1 * 40503
+        self.at2 = self.base2 + (((spread + self.prev2 * 30011) >> 3) & ((1 << _T2) - 1))
+        self.at1 = self.base1 + ((spread >> 4) & ((1 << _T1) - 1))
+        self.c2, self.m2 = self.t2.take(self.at2), self.n2.take(self.at2)
+        self.second, self.m1 = self.t1.take(self.at1), self.n1.take(self.at1)
+        self.first = np.where(self.m2 > 0, self.c2, self.second)
+        self.ia = (self.base << 3) + self.m2
+        self.ic = (self.base << 3) + self.m1
+        self.ib = (self.ic << 1) + (self.second == self.c2)
+        self.pa, self.pb, self.pc = self.p2.take(self.ia), self.p1.take(self.ib), self.q1.take(self.ic)
+        mixed = ((self.pa - self.pb) * self.weight >> 8) + self.pb
+        self.f1 = np.minimum(np.maximum(mixed, 64), 60000)
+        self.f2 = ((((61440 - self.f1) >> 4) * (self.pc >> 4) >> 8) + 16) * (self.second != self.first)
 
     def learn(self, ids: np.ndarray, hit: np.ndarray, hit2: np.ndarray, slot: np.ndarray, missed: np.ndarray) -> None:
-        goal = np.where(hit, 65535, 0).astype(np.int32)
-        self.p2[self.ia] = self.pa + ((goal - self.pa) >> 5)
-        self.p1[self.ib] = self.pb + ((goal - self.pb) >> 5)
-        better = np.abs(goal - self.pa) - np.abs(goal - self.pb)
-        self.weight = np.clip(self.weight - 3 * np.sign(better), 16, 240)
-        self.q1[self.ic] = np.where(hit, self.pc, self.pc + ((np.where(hit2, 65535, 0) - self.pc) >> 5))
-        rows = np.flatnonzero(missed)
-        cdf = self.cdf[rows]
-        step = np.where(self.ramp[None, :] > slot[rows][:, None], 32768, 0).astype(np.int32)
-        cdf += (step - cdf) >> 4
-        cdf[:, 0], cdf[:, -1] = 0, 32768
-        self.cdf[rows] = cdf
+        goal = hit * np.int32(65535)
+        up, low = goal - self.pa, goal - self.pb
+        self.p2[self.ia] = self.pa + (up >> 5)
+        self.p1[self.ib] = self.pb + (low >> 5)
+        self.weight += 3 * ((np.abs(up) < np.abs(low)).astype(np.int32) - (np.abs(up) > np.abs(low)))
+        np.minimum(np.maximum(self.weight, 16), 240, out=self.weight)
+        self.q1[self.ic] = self.pc + np.where(hit, 0, (hit2 * np.int32(65535) - self.pc) >> 5)
+        step = (_PULL.take(slot, axis=0) - self.cdf) >> 4
+        step *= missed[:, None]
+        self.cdf += step
         small = ids.astype(np.uint16)
-        for table, count, at, bound in ((self.t2, self.n2, self.at2, 7), (self.t1, self.n1, self.at1, 7)):
-            held, n = table[at], count[at]
+        for table, count, at, held, n in ((self.t2, self.n2, self.at2, self.c2, self.m2), (self.t1, self.n1, self.at1, self.second, self.m1)):
             same = held == small
-            count[at] = np.where(same, np.minimum(n + 1, bound), np.where(n > 1, n >> 1, 1)).astype(np.uint8)
+            count[at] = np.where(same, np.minimum(n + 1, 7), np.maximum(n >> 1, 1))
             table[at] = np.where(same | (n > 1), held, small)
         self.prev2, self.prev1 = self.prev1, ids
 
-    def bounds(self, rows: np.ndarray) -> np.ndarray:
-        """Cumulative shares of the magnitudes within what the guesses leave, each at least 1."""
-        room = (self.rest[rows] - _SLOTS)[:, None].astype(np.int64)
-        return ((room * self.cdf[rows]) >> 15) + self.ramp[None, :]
+    def border(self, slot: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Where each lane's magnitude begins within what the guesses leave; every magnitude has at least 1."""
+        return ((rest - _SLOTS) * self.cdf.ravel().take(self.base * (_SLOTS + 1) + slot).astype(np.int64) >> _SCALE) + slot
+
+    def magnitudes(self, rows: np.ndarray, x: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """The magnitude that holds position x within what the guesses leave, for some lanes."""
+        begins = ((rest - _SLOTS).astype(np.int32)[:, None] * self.cdf[rows] >> _SCALE) + self.ramp
+        return np.minimum((begins <= x.astype(np.int32)[:, None]).sum(axis=1) - 1, _SLOTS - 1)
 
 
 def _narrow(low: np.ndarray, span: np.ndarray) -> np.ndarray:
@@ -141,28 +148,23 @@ def encode(ids: np.ndarray) -> bytes:
             model.shrink(blocks)
         row = steps[t, :blocks]
         model.guess()
-        hit = row == model.first
-        hit2 = ~hit & (row == model.second)
+        hit = model.first == row
+        hit2 = (model.second == row) & ~hit
         missed = ~(hit | hit2)
         value = row + 1
-        slot = np.frexp(value.astype(np.float64))[1] - 1
-        cum, freq = np.where(hit, 0, model.f1), np.where(hit, model.f1, model.f2)
-        at = np.flatnonzero(missed)
-        b = model.bounds(at)
-        k = slot[at]
-        lo = np.take_along_axis(b, k[:, None], 1)[:, 0]
-        cum = cum.astype(np.int64)
-        freq = freq.astype(np.int64)
-        cum[at] = (model.f1[at] + model.f2[at]) + lo
-        freq[at] = np.take_along_axis(b, k[:, None] + 1, 1)[:, 0] - lo
-        bits = np.where(missed, slot, 0).astype(np.uint64)
-        extra = np.where(missed, value - (1 << slot.astype(np.int64)), 0).astype(np.uint64)
+        slot = _MAGNITUDE.take(value).astype(np.int64)
+        both = model.f1 + model.f2
+        rest = (65536 - both).astype(np.int64)
+        begin = model.border(slot, rest)
+        cum = np.where(missed, both + begin, np.where(hit, 0, model.f1)).astype(np.uint64)
+        freq = np.where(missed, model.border(slot + 1, rest) - begin, np.where(hit, model.f1, model.f2)).astype(np.uint64)
+        bits = (slot * missed).astype(np.uint64)
         part = span >> _U16
-        low = low + part * cum.astype(np.uint64)
-        span = part * freq.astype(np.uint64)
+        low = low + part * cum
+        span = part * freq
         part = span >> bits
-        low = low + part * extra
-        span = np.where(bits > 0, part, span)
+        low = low + part * ((value - (np.int64(1) << slot)) * missed).astype(np.uint64)
+        span = part  # without further bits the part is the span itself
         out = _narrow(low, span)
         if out.any():
             lanes = np.flatnonzero(out)
@@ -208,35 +210,30 @@ def decode(segment: bytes) -> np.ndarray:
         model.guess()
         part = span >> _U16
         v = np.minimum((code - low) // part, np.uint64(65535)).astype(np.int64)
+        both = model.f1 + model.f2
         hit = v < model.f1
-        hit2 = ~hit & (v < model.f1 + model.f2)
-        missed = ~(hit | hit2)
-        cum, freq = np.where(hit, 0, model.f1).astype(np.int64), np.where(hit, model.f1, model.f2).astype(np.int64)
+        missed = v >= both
+        hit2 = ~(hit | missed)
+        rest = (65536 - both).astype(np.int64)
         rows = np.flatnonzero(missed)
-        b = model.bounds(rows)
-        base = (model.f1[rows] + model.f2[rows]).astype(np.int64)
-        k = (b <= (v[rows] - base)[:, None]).sum(axis=1) - 1
-        k = np.minimum(k, _SLOTS - 1)
-        lo = np.take_along_axis(b, k[:, None], 1)[:, 0]
-        cum[rows] = base + lo
-        freq[rows] = np.take_along_axis(b, k[:, None] + 1, 1)[:, 0] - lo
         slot = np.zeros(blocks, dtype=np.int64)
-        slot[rows] = k
-        low = low + part * cum.astype(np.uint64)
-        span = part * freq.astype(np.uint64)
-        bits = slot.astype(np.uint64)
-        part = span >> bits
-        extra = np.where(bits > 0, (code - low) // np.maximum(part, np.uint64(1)), np.uint64(0))
+        slot[rows] = model.magnitudes(rows, v[rows] - both[rows], rest[rows])
+        begin = model.border(slot, rest)
+        cum = np.where(missed, both + begin, np.where(hit, 0, model.f1)).astype(np.uint64)
+        freq = np.where(missed, model.border(slot + 1, rest) - begin, np.where(hit, model.f1, model.f2)).astype(np.uint64)
+        low = low + part * cum
+        span = part * freq
+        part = span >> slot.astype(np.uint64)
+        extra = (code - low) // part * (slot > 0)
         low = low + part * extra
-        span = np.where(bits > 0, part, span)
-        row = np.where(hit, model.first, model.second)
-        row[rows] = (1 << k) + extra[rows].astype(np.int64) - 1
+        span = part
+        row = np.where(missed, (np.int64(1) << slot) + extra.astype(np.int64) - 1, np.where(hit, model.first, model.second).astype(np.int64))
         out = _narrow(low, span)
         if out.any():
             lanes = np.flatnonzero(out)
             low[lanes] <<= _U32
             span[lanes] <<= _U32
-            code[lanes] = (code[lanes] << _U32) | flat[at[lanes]]
+            code[lanes] = (code[lanes] << _U32) | flat[np.minimum(at[lanes], len(flat) - 1)]  # a damaged block may ask for more
             at[lanes] += 1
         steps[t, :blocks] = row
         model.learn(row, hit, hit2, slot, missed)
@@ -254,7 +251,7 @@ class Words:
     No token of a tokenizer that drops white space spans it, and neither does its normaliser; a blank between an ASCII
     letter and a following `.` or `,` moves no border either, where these never share a token."""
 
-    REMEMBERED = 400_000
+    REMEMBERED = 1_000_000
     _split = re.compile(rb"(?<=[a-z])(?=[.,])")
 
     def __init__(self, path: str):
@@ -262,6 +259,13 @@ class Words:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow from 256 on
+        other = iter(range(256, 512))
+        self.letters = "".join(chr(b) if b in printable else chr(next(other)) for b in range(256))
+        probe = ["word", "\u00e9t\u00e9", "\u00dcber", "na\u00efve"]
+        self.plain = all(
+            [t.id for t in self.library.model.tokenize(charmap_decode(w.lower().encode(), "strict", self.letters)[0])] == self.library.encode(w, add_special_tokens=False).ids for w in probe
+        )
         self._clear()
 
     def _clear(self) -> None:
@@ -269,7 +273,17 @@ class Words:
         self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _add(self, fresh: list[bytes]) -> None:
-        ids = [e.ids for e in self.library.encode_batch_fast([f.decode("utf-8", "surrogatepass") for f in fresh], add_special_tokens=False)]
+        """Ids of new runs. One of Latin letters alone is one word whatever its case, so the library's model has it at
+        once; any other run goes through the library's whole way."""
+        tokenize, ids, rest = self.library.model.tokenize, [None] * len(fresh), []
+        for i, raw in enumerate(fresh):
+            run = raw.decode("utf-8", "surrogatepass")
+            if self.plain and run.isalpha() and max(run) < "\u0250" and "\u0130" not in run:
+                ids[i] = [t.id for t in tokenize(charmap_decode(run.lower().encode(), "strict", self.letters)[0])]
+            else:
+                rest.append((i, run))
+        for (i, _), e in zip(rest, self.library.encode_batch_fast([r for _, r in rest], add_special_tokens=False)):
+            ids[i] = e.ids
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
         self.known.update(zip(fresh, range(len(self.size), len(self.size) + len(fresh))))
