@@ -10,7 +10,7 @@ from ..functions import codes
 from ..operators import decode, matching, metrics, sampling
 from . import catalog
 from .fixtures import frame, oracle
-from .raster_queries import CLASSES, _confusion, _stats
+from .raster_queries import _IOU, _PQ, CLASSES, _confusion, _stats
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -206,6 +206,15 @@ def gate(spark: SparkSession, d: str) -> DataFrame:
 
 Q["regression_gate"] = gate
 Q["weighted_metrics"] = lambda s, d: metrics.weighted(suite(s, d).select("metric", "value"), s.createDataFrame([("miou", 2.0), ("pq", 5.0)], "metric string, weight double")).select("metric", F.round("value", 5).alias("value"))
+_SUITE = """su as (select 'panoptic' as task, 'pq' as metric, avg(pq) as value from k union all select 'panoptic', 'sq', avg(sq) from k union all select 'panoptic', 'rq', avg(rq) from k
+ union all select 'semantic', 'miou', avg(case when g>0 then tp/(g+p-tp) end) from c union all select 'semantic', 'fwiou', sum(case when g>0 then tp/(g+p-tp)*g/(select sum(g) from c) end) from c
+ union all select 'semantic', 'macc', avg(case when g>0 then tp/g end) from c union all select 'semantic', 'pacc', sum(tp)/(select sum(g) from c) from c)"""
+SQL["metric_suite"] = oracle(("px",), "select task, metric, round(value,6) as value from su", *_PQ, *_IOU, _SUITE)
+SQL["regression_gate"] = oracle(
+    ("px",), "select e.task, e.metric, coalesce(abs(su.value-e.v)<=e.tol, false) as passed from e left join su on su.task=e.task and su.metric=e.metric", *_PQ, *_IOU, _SUITE,
+    "e as (select * from (values ('semantic','miou',0.6,0.2),('semantic','pacc',0.0,0.01),('panoptic','none',0.5,1.0)) x(task,metric,v,tol))",
+)
+SQL["weighted_metrics"] = oracle(("px",), "select metric, round(round(value,6)*case when metric='miou' then 2.0 else 5.0 end,5) as value from su where metric in ('miou','pq')", *_PQ, *_IOU, _SUITE)
 Q["label_codes"] = lambda s, d: frame(s, d, "parts_px").groupBy(codes.shifted_label(F.col("sem_raw")).alias("label")).agg(F.count("*").alias("n"), F.sum(codes.rgb_to_id(F.col("sem_raw"), F.col("inst_id"), F.col("inst_cat_raw"))).alias("ids"))
 SQL["label_codes"] = oracle(("parts_px",), "select case when sem_raw=0 then 255 else sem_raw-1 end as label, count(*) as n, cast(sum(sem_raw+256*inst_id+65536*inst_cat_raw) as bigint) as ids from parts_px group by 1")
 Q["inverse_sigmoid"] = lambda s, d: _cls(s, d).select("image_id", "q", "c", F.round(act.inverse_sigmoid(act.sigmoid(F.col("logit"))), 5).alias("back"))
