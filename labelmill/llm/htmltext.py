@@ -26,7 +26,11 @@ _CLOSES = {
 }
 _NO_P = _BLOCK - {"html", "body", "li", "dd", "dt", "td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*[\"']?[^\"'>]*?(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: Start tags that leave a head open; any other, and text, ends it.
+_IN_HEAD = {"head", "html", "title", "meta", "link", "base", "basefont", "bgsound", "noframes", "noscript", "script", "style", "template"}
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_ATTRIBUTE = re.compile(r"(?P<name>[^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"(?P<double>[^\"]*+)\"?|'(?P<single>[^']*+)'?|(?P<bare>[^\s>\"'][^\s>]*+)))?")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 #: Elements nested deeper stay empty, their content goes to the parent; tables nested deeper are laid out as blocks.
 _DEEPEST, _DEEPEST_TABLE = 512, 8
 _SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -34,6 +38,29 @@ _SPAN = re.compile(r"colspan\s*=\s*[\"']?(\d{1,3})", re.I)
 _START = re.compile(r"start\s*=\s*[\"']?(\d{1,9})", re.I)
 
 
+def hidden(attrs: str) -> bool:
+    """Whether an element has a `hidden` attribute, or a style of its own that shows nothing; of equal names the first counts."""
+    if not attrs or not _MAY_HIDE.search(attrs):
+        return False
+    style = None
+    for m in _ATTRIBUTE.finditer(attrs):
+        name = m["name"].lower()
+        if name == "hidden":
+            return True
+        if name == "style" and style is None:
+            style = m["double"] or m["single"] or m["bare"] or ""
+    if not style:
+        return False
+    now: dict[str, tuple[bool, str]] = {}
+    for part in _COMMENT.sub(" ", html.unescape(style)).lower().split(";"):
+        name, _, value = part.partition(":")
+        value, mark, _ = value.partition("!")
+        name = name.strip()
+        if bool(mark) >= now.get(name, (False, ""))[0]:  # the last one counts, unless an earlier one is important
+            now[name] = bool(mark), value.strip()
+    return now.get("display", (False, ""))[1] == "none" or now.get("visibility", (False, ""))[1] == "hidden"
+
+
 class Node:
     __slots__ = ("attrs", "kids", "tag")
 
@@ -54,16 +81,29 @@ def build(source: str) -> Node:
             if open_[i].tag in barriers:
                 return
 
+    def end_head() -> None:
+        if open_[-1].tag == "head":
+            open_.pop()
+            body = Node("body")  # implied
+            open_[-1].kids.append(body)
+            open_.append(body)
+
+    def text(s: str) -> None:
+        if s.strip(" \t\n\r\f"):
+            end_head()
+        open_[-1].kids.append(html.unescape(s) if "&" in s else s)
+
     at = 0
     for m in iter(lambda: _MARKUP.search(source, at), None):
         if m.start() > at:
-            open_[-1].kids.append(html.unescape(source[at : m.start()]) if "&" in source[at : m.start()] else source[at : m.start()])
+            text(source[at : m.start()])
         at = m.end()
         tag = m["tag"] and m["tag"].lower()
         if not tag:
             continue
         if m["end"]:
             if tag == "br":
+                end_head()
                 open_[-1].kids.append(Node("br"))
             elif tag == "p" and not any(n.tag == "p" for n in open_):
                 open_[-1].kids.append(Node("p"))
@@ -73,6 +113,8 @@ def build(source: str) -> Node:
         attrs = m["attrs"]
         if tag in ("html", "body") and any(n.tag == tag for n in open_) or tag == "head" and len(open_) > 1:
             continue
+        if tag != "body" and tag not in _IN_HEAD:
+            end_head()
         if tag in _NO_P:
             close({"p"}, {"td", "th", "table", "button"})
         if tag in _CLOSES:
@@ -85,8 +127,6 @@ def build(source: str) -> Node:
                 row = Node("tr")  # implied
                 open_[-1].kids.append(row)
                 open_.append(row)
-        elif open_[-1].tag == "head" and tag not in ("title", "meta", "link", "base", *_RAW):
-            open_.pop()
         node = Node(tag, attrs)
         open_[-1].kids.append(node)
         if tag in _RAW or tag in ("textarea", "title", "xmp"):
@@ -98,7 +138,7 @@ def build(source: str) -> Node:
         elif tag not in _VOID and not attrs.endswith("/") and len(open_) < _DEEPEST:
             open_.append(node)
     if at < len(source):
-        open_[-1].kids.append(html.unescape(source[at:]))
+        text(source[at:])
     return root
 
 
@@ -156,7 +196,7 @@ def _table_lines(table: Node, depth: int) -> list[str]:
         if isinstance(n, str):
             if n.strip():
                 lines.append(_SPACES.sub(" ", n).strip())
-        elif _HIDDEN.search(n.attrs) or n.tag in _UNSEEN:
+        elif hidden(n.attrs) or n.tag in _UNSEEN:
             continue
         elif n.tag == "tr":
             cells = []
@@ -164,7 +204,7 @@ def _table_lines(table: Node, depth: int) -> list[str]:
                 if isinstance(c, str) or c.tag not in ("td", "th"):
                     if (own := c.strip() if isinstance(c, str) else render(c, depth)):
                         cells.append((_SPACES.sub(" ", own), 1))
-                elif not _HIDDEN.search(c.attrs):
+                elif not hidden(c.attrs):
                     span = _SPAN.search(c.attrs)
                     inside = Node("div")
                     inside.kids = c.kids
@@ -213,7 +253,7 @@ def render(root: Node, depth: int = 0) -> str:
                 page.mark = ""
         else:
             tag = node.tag
-            if tag in _UNSEEN or node.attrs and _HIDDEN.search(node.attrs):
+            if tag in _UNSEEN or hidden(node.attrs):
                 continue
             if tag == "br":
                 page.flush(1, True)

@@ -169,6 +169,17 @@ def test_layout(page, text):
     assert htmltext.to_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<p title="the hidden gem">a', "a"), ('<p class="js hidden sm">a', "a"), ('<body data-style="display:none">a', "a"), ("<p style='display:none;display:block'>a", "a"),
+    ("<p style='display:none!important;display:block'>a</p>b", "b"), ("<p class='a'hidden>a</p>b", "b"), ("<p hidden=until-found>a</p>b", "b"), ("<p STYLE=visibility:hidden>a</p>b", "b"),
+    ("<table><tr class='x hidden y'><td title='a hidden b'>c<td hidden>d</table>", "c"),
+    ("<head><title>T</title>Welcome <b>b</b>", "Welcome b"), ("<head><title>T</title><li>one<li>two", "- one\n- two"), ("<head><td>x", "x"), ("<head><dt>x<dd>y", "x\n  y"),
+    ("<head><title>T</title>Welcome", "Welcome"), ("<head>\n<title>T</title>\n<style>s</style>\n</head>\n<body>b", "b"),
+])
+def test_what_is_visible(page, text):
+    assert htmltext.to_text(page) == text
+
+
 def test_deep_and_long_pages(spark):
     assert htmltext.to_text("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert "x" in htmltext.to_text("<table><tr><td>" * 300 + "x")
