@@ -149,7 +149,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     full = np.zeros(len(words), dtype=np.uint64)
     for j in range(width):
         odd = np.uint64((0xD6E8FEB86659FD93 * (2 * j + 3)) % 2**64 | 1)
-        full[: len(words) - j] += words[j:] * odd
+        n = max(0, len(words) - j)  # none where all texts together have fewer words
+        full[:n] += words[j : j + n] * odd
     full = mix(full)
     rank = np.arange(len(words)) - np.repeat(at[:-1], count)
     whole = np.repeat(count, count)

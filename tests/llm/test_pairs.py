@@ -75,6 +75,14 @@ def test_near_duplicates_of_nothing_and_of_null_ids(spark):
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [None, None]
 
 
+@pytest.mark.parametrize("texts", [["a b"], ["a b c"], ["a b", "x" * 1_100_000 + " y"], ["a b c", "x" * 1_100_000]])
+def test_chunks_of_fewer_words_than_the_width(spark, texts):
+    rows = [(i, t) for i, t in enumerate([*texts, *texts])]
+    for df in (spark.createDataFrame(rows, "doc_id long, text string").repartition(1), spark.createDataFrame(rows[: len(texts)], "doc_id long, text string").coalesce(1)):
+        got = neardup.near_duplicates(df, 5, 80).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {r["doc_id"]: (1, r["doc_id"] % len(texts)) for r in df.collect()}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
