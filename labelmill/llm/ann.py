@@ -26,6 +26,8 @@ SAMPLE, TREES, LEAF = 8192, 16, 48
 BLOCK = 4096
 #: Neighbours found that a task holds before it thins them.
 HELD = 2_000_000
+#: Pairs whose exact inner products are computed at once.
+PAIRS = 32_768
 RECALL = 0.96
 SHARES = (0.002, 0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.08, 0.1, 0.15, 0.2, 0.3, 0.5, 1.0)
 
@@ -132,6 +134,21 @@ def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarr
     return q[rank < k], v[rank < k], s[rank < k]
 
 
+def _first_copies(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Rows without those equal vectors that no query can need: of each vector the k + 1 smallest ids stay (one may ask)."""
+    if len(x) <= k + 1:
+        return np.arange(len(x))
+    x = np.ascontiguousarray(x + 0.0)  # -0.0 is 0.0
+    _, same = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_inverse=True)
+    order = np.lexsort((ids, same))
+    g = same[order]
+    first = np.append(True, g[1:] != g[:-1])
+    new = first | np.append(True, ids[order][1:] != ids[order][:-1])  # rows that repeat an id count once
+    number = np.cumsum(new)
+    rank = number - np.maximum.accumulate(np.where(first, number, 0))
+    return np.sort(order[new & (rank <= k)])
+
+
 def best_batches(batches: Iterable[pa.RecordBatch], k: int, keys: list[str]) -> Iterator[pa.RecordBatch]:
     """Of the blocks of leaves that lie together: each query's k best rows, by exact inner products.
 
@@ -151,14 +168,22 @@ def best_batches(batches: Iterable[pa.RecordBatch], k: int, keys: list[str]) ->
             mid = lo + int((asks[lo:hi] == 0).sum())
             if mid in (lo, hi):
                 continue
-            rough = x[mid:hi] @ x[lo:mid].T
-            rough[ids[mid:hi][:, None] == ids[lo:mid][None, :]] = -np.inf
+            few = lo + _first_copies(ids[lo:mid], x[lo:mid], k)
+            rough = x[mid:hi] @ x[few].T
+            rough[ids[mid:hi][:, None] == ids[few][None, :]] = -np.inf
             n = rough.shape[1]
             floor = np.partition(rough, n - k, axis=1)[:, n - k] if n > k else np.full(len(rough), -np.inf)
             floor = np.where(np.isfinite(floor), floor - 1e-9 * np.maximum(1, np.abs(floor)), -np.finfo(float).max)
-            q, r = np.nonzero(rough >= floor[:, None])
-            held.append(_best(ids[mid + q], ids[lo + r], (x[mid + q] * x[lo + r]).sum(axis=1), k))
-            size += len(held[-1][0])
+            near = rough >= floor[:, None]  # with all ties of the k-th
+            ends = np.cumsum(near.sum(axis=1))
+            a = 0
+            while a < len(near):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
+                q, r = np.nonzero(near[a:b])
+                q, r = mid + a + q, few[r]
+                held.append(_best(ids[q], ids[r], (x[q] * x[r]).sum(axis=1), k))
+                size += len(held[-1][0])
+                a = b
         if size > HELD:
             held = [_best(*(np.concatenate(c) for c in zip(*held)), k)]
             size = len(held[0][0])

@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +144,27 @@ def test_neighbours(spark):
     assert ann.nearest(df.limit(0), ask).count() == 0
     few = ann.nearest(df.filter("vec_id in (20, 21, 25)"), ask, k=20).collect()
     assert len(few) == 4
+
+
+@pytest.mark.parametrize("equal", [True, False])
+def test_ties_of_a_leaf_take_bounded_memory(equal):
+    """2,000 rows that all score alike, as copies of one vector or as different ones, asked by 300 of them."""
+    n, asks, k = 2000, 300, 5
+    x = np.zeros((n, 64))
+    x[:, 0] = 1.0
+    if not equal:
+        x[np.arange(n), 1 + np.arange(n) % 40] = np.arange(n) // 40
+    ask = np.zeros((asks, 64))
+    ask[:, 0] = 1.0
+    ids = np.random.default_rng(1).permutation(n)
+    both = np.concatenate([x, ask])
+    batch = pa.RecordBatch.from_pydict({
+        "leaf": np.zeros(n + asks, dtype=np.int64), "query": np.repeat([0, 1], [n, asks]), "id": np.concatenate([ids, np.arange(asks)]),
+        "v": pa.FixedSizeListArray.from_arrays(both.ravel(), 64).cast(pa.list_(pa.float64())),
+    })
+    tracemalloc.start()
+    out = pa.Table.from_batches(ann.best_batches([batch], k, ["leaf"])).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted((r["query_id"], r["vec_id"]) for r in out) == [(q, v) for q in range(asks) for v in [i for i in range(k + 1) if i != q][:k]]
+    assert all(r["score"] == 1.0 for r in out) and peak < 150e6
