@@ -3,6 +3,9 @@
 Concatenated names (`cheappills`) are split by unigram Viterbi: the split of highest probability under word counts of
 the pages' own text. Multinomial naive Bayes then scores the words of host and path. Its labels are the urls that a
 rule decides; the urls without a rule get the verdict of the higher score.
+
+Both models are tables of all their words and never gathered in one place: distinct tokens of urls meet the counts of
+their own substrings by joins, and the words of a token its weights.
 """
 
 from __future__ import annotations
@@ -17,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import land
+
 #: Rules of the filter: verdict, host and path as one text.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Most words of the unigram model, letters of its longest word, tokens remembered by one task.
-VOCABULARY, LONGEST, REMEMBERED = 50_000, 20, 200_000
+#: Letters of the longest piece of a split, tokens remembered by one task.
+LONGEST, REMEMBERED = 20, 200_000
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
 
 
@@ -45,12 +50,11 @@ def rule(host_: Column, path_: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def word_counts(texts: DataFrame, column: str, most: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the `most` commonest words (up to 20 letters) of all texts, tags left out; the table is bounded."""
+def word_counts(texts: DataFrame, column: str) -> DataFrame:
+    """word, n: counts of all words of all texts, tags left out."""
     plain = F.lower(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"<[^>]*>", " "))
-    words = texts.select(F.explode(F.split(plain, r"[^\p{L}]+")).alias("word")).filter(F.length("word").between(1, LONGEST))
-    counted = words.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1")
-    return {r["word"]: r["n"] for r in counted.orderBy(F.col("n").desc(), "word").limit(most).collect()}
+    words = texts.select(F.explode(F.split(plain, r"[^\p{L}]+")).alias("word")).filter("word <> ''")
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -80,6 +84,11 @@ class Unigrams:
         return out[::-1]
 
 
+def parts(host_: str, path_: str) -> list[tuple[str, str]]:
+    """The mark (h: or p:) and the token of each run of letters or digits; digits of any number become one token."""
+    return [(mark, "0" if token[0].isdigit() else token) for mark, text in (("h:", host_), ("p:", path_)) for token in _TOKEN.findall(text.lower())]
+
+
 class Splitter:
     """Words of hosts and paths, remembered by token up to a bound."""
 
@@ -89,16 +98,12 @@ class Splitter:
     def words(self, host_: str, path_: str) -> list[str]:
         """h:WORD of the host and p:WORD of the path; digits of any number become one word."""
         out = []
-        for mark, text in (("h:", host_), ("p:", path_)):
-            for token in _TOKEN.findall(text.lower()):
-                if token[0].isdigit():
-                    out.append(mark + "0")
-                    continue
-                if token not in self.known:
-                    if len(self.known) >= REMEMBERED:
-                        self.known.clear()
-                    self.known[token] = self.unigrams.split(token)
-                out += [mark + w for w in self.known[token]]
+        for mark, token in parts(host_, path_):
+            if token not in self.known:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[token] = [token] if token == "0" else self.unigrams.split(token)
+            out += [mark + w for w in self.known[token]]
         return out
 
 
@@ -113,6 +118,49 @@ def counted_batches(batches: Iterable[pa.RecordBatch], unigrams: Unigrams) -> It
         yield pa.RecordBatch.from_pydict({"word": pa.array([r[0] for r in rows], pa.string()), "verdict": pa.array([r[1] for r in rows], pa.string()), "n": pa.array([r[2] for r in rows], pa.int64())})
 
 
+def part_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, path, pos, mark, token) of the parts of each (host, path)."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 4096):
+            some = batch.slice(a, 4096)
+            found = [parts(h, p) for h, p in zip(some.column("host").to_pylist(), some.column("path").to_pylist())]
+            at = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [some.column("host").take(at), some.column("path").take(at), pa.array([k for f in found for k in range(len(f))], pa.int32()),
+                 pa.array([m for f in found for m, _ in f], pa.string()), pa.array([t for f in found for _, t in f], pa.string())],
+                names=["host", "path", "pos", "mark", "token"],
+            )
+
+
+def piece_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, word): the distinct pieces of each token that can be words of a split."""
+    for batch in batches:
+        for token in batch.column("token").to_pylist():
+            pieces = sorted({token[j:i] for i in range(1, len(token) + 1) for j in range(max(0, i - LONGEST), i)})
+            for a in range(0, len(pieces), 10_000):
+                some = pieces[a : a + 10_000]
+                yield pa.RecordBatch.from_pydict({"token": pa.array([token] * len(some), pa.string()), "word": pa.array(some, pa.string())})
+
+
+def split_batches(batches: Iterable[pa.RecordBatch], total: int) -> Iterator[pa.RecordBatch]:
+    """(token, words) of tokens with the counts of their known pieces."""
+    for batch in batches:
+        words = []
+        for token, known in zip(batch.column("token").to_pylist(), batch.column("known").to_pylist()):
+            cost = {k["word"]: math.log(total / k["n"]) for k in known}
+            words.append([token] if token == "0" else Unigrams(cost, total).split(token))
+        yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array(words, pa.list_(pa.string()))], names=["token", "words"])
+
+
+def splits(tokens: DataFrame, counts: DataFrame) -> DataFrame:
+    """(token, words) of distinct tokens by the unigram costs of all counted words."""
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    met = tokens.mapInArrow(piece_batches, "token string, word string").join(counts, "word")
+    known = met.groupBy("token").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    ready = tokens.join(known, "token", "left").withColumn("known", F.coalesce("known", F.expr("cast(array() as array<struct<word: string, n: bigint>>)")))
+    return ready.mapInArrow(lambda it: split_batches(it, total), "token string, words array<string>")
+
+
 @dataclass(frozen=True)
 class Bayes:
     unigrams: Unigrams
@@ -123,31 +171,26 @@ class Bayes:
         return self.prior + sum(self.weight.get(w, 0.0) for w in words)
 
 
-def fit(judged: DataFrame, unigrams: Unigrams, most: int = VOCABULARY) -> Bayes:
-    """Multinomial naive Bayes with add-one smoothing on all rule-decided (host, path, verdict).
+def weights(words: DataFrame) -> DataFrame:
+    """(word, weight): log odds of block of every word of (word, verdict, n), with add-one smoothing."""
+    per = land(words.groupBy("word").agg(*(F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("block", "allow"))))
+    all_ = per.agg(F.count("*"), F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("allow"), F.lit(0))).first()
+    block, allow = float(all_[1] + all_[0]), float(all_[2] + all_[0])
+    return per.select("word", (F.log((F.col("block") + 1) / F.lit(block)) - F.log((F.col("allow") + 1) / F.lit(allow))).alias("weight"))
 
-    Words are those of the unigram model and its unknown runs; of more than `most` only the commonest are weighed.
-    With one class only, its prior decides."""
-    shared = judged.sparkSession.sparkContext.broadcast(unigrams)  # at most VOCABULARY words
-    labelled = judged.filter("verdict is not null")
-    rows = {r["verdict"]: r["n"] for r in labelled.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
-    words = labelled.select("host", "path", "verdict").mapInArrow(lambda it: counted_batches(it, shared.value), "word string, verdict string, n long")
-    per = words.groupBy("word").agg(F.sum(F.when(F.col("verdict") == "block", F.col("n")).otherwise(0)).alias("block"), F.sum(F.when(F.col("verdict") == "allow", F.col("n")).otherwise(0)).alias("allow"))
-    top = per.orderBy((F.col("block") + F.col("allow")).desc(), "word").limit(most).collect()
-    block, allow = sum(r["block"] for r in top) + len(top), sum(r["allow"] for r in top) + len(top)
-    weight = {r["word"]: math.log((r["block"] + 1) / block) - math.log((r["allow"] + 1) / allow) for r in top}
-    return Bayes(unigrams, weight, math.log((rows.get("block", 0) + 1) / (rows.get("allow", 0) + 1)))
 
+def prior(labelled: DataFrame) -> float:
+    rows = {r["verdict"]: r["n"] for r in labelled.groupBy("verdict").agg(F.sum("n").alias("n")).collect()}
+    return math.log((rows.get("block", 0) + 1) / (rows.get("allow", 0) + 1))
 
-def scored_batches(batches: Iterable[pa.RecordBatch], model: Bayes) -> Iterator[pa.RecordBatch]:
-    splitter = Splitter(model.unigrams)
-    for batch in batches:
-        words = [splitter.words(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())]
-        score = [model.score(w) for w in words]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array([[x[2:] for x in w] for w in words], pa.list_(pa.string())), pa.array(score, pa.float64())],
-            names=[*batch.schema.names, "words", "score"],
-        )
+
+def fit(judged: DataFrame, unigrams: Unigrams) -> Bayes:
+    """Multinomial naive Bayes on all rule-decided (host, path, verdict), as one object: for models that fit in memory.
+
+    Words are those of the unigram model and its unknown runs. With one class only, its prior decides."""
+    labelled = judged.filter("verdict is not null")
+    words = labelled.select("host", "path", "verdict").mapInArrow(lambda it: counted_batches(it, unigrams), "word string, verdict string, n long")
+    return Bayes(unigrams, {r["word"]: r["weight"] for r in weights(words).collect()}, prior(labelled.withColumn("n", F.lit(1))))
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html", rules=RULES) -> DataFrame:
@@ -156,11 +199,28 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", text: str =
     The longest fitting rule decides; without one, block where the score is above 0. A null url or one without `://`
     has an empty host and path and falls to the classifier's prior. Repeated rows are judged alike. An empty table
     gives no rows; other columns are not read."""
-    unigrams = Unigrams.of(word_counts(pages, text))
     named = pages.select(F.col(key), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     name, verdict = rule(F.col("host"), F.col("path"), rules)
     judged = named.withColumns({"rule": name, "verdict": verdict})
-    shared = pages.sparkSession.sparkContext.broadcast(fit(judged, unigrams))  # at most VOCABULARY words and weights
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in judged.schema.fields)
-    scored = judged.mapInArrow(lambda it: scored_batches(it, shared.value), f"{fields}, words array<string>, score double")
-    return scored.withColumn("verdict", F.coalesce("verdict", F.when(F.col("score") > 0, "block").otherwise("allow")))
+    one = ["host", "path"]
+    urls = land(judged.groupBy(*one, "verdict").agg(F.count("*").alias("n")))  # a verdict follows from host and path
+    found = land(urls.select(*one).mapInArrow(part_batches, "host string, path string, pos int, mark string, token string"))
+    split = land(splits(land(found.select("token").distinct()), land(word_counts(pages, text))))
+
+    labelled = urls.filter("verdict is not null")
+    times = found.join(labelled, one).groupBy("mark", "token", "verdict").agg(F.sum("n").alias("n"))
+    words = times.join(split, "token").select(F.explode("words").alias("w"), "mark", "verdict", "n").select(F.concat("mark", "w").alias("word"), "verdict", "n")
+    weight = weights(words)
+    start = prior(labelled)
+
+    # what each marked token adds: its words in order, and their weights
+    marked = found.select("mark", "token").distinct().join(split, "token")
+    each = marked.select("mark", "token", F.posexplode("words").alias("k", "w")).withColumn("word", F.concat("mark", "w"))
+    parted = each.join(weight, "word", "left").groupBy("mark", "token").agg(F.sort_array(F.collect_list(F.struct("k", "w", F.coalesce("weight", F.lit(0.0)).alias("x")))).alias("ws"))
+    scored = (
+        found.join(parted, ["mark", "token"]).groupBy(*one).agg(F.sort_array(F.collect_list(F.struct("pos", "ws"))).alias("all"))
+        .withColumn("all", F.flatten(F.col("all.ws")))
+        .select(*one, F.col("all.w").alias("words"), (F.aggregate(F.col("all.x"), F.lit(0.0), lambda a, x: a + x) + F.lit(start)).alias("score"))
+    )
+    out = judged.join(scored, one, "left").withColumns({"words": F.coalesce("words", F.expr("cast(array() as array<string>)")), "score": F.coalesce("score", F.lit(start))})
+    return out.select(*judged.columns, "words", "score").withColumn("verdict", F.coalesce("verdict", F.when(F.col("score") > 0, "block").otherwise("allow")))

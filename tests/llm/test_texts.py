@@ -233,6 +233,30 @@ def test_naive_bayes_equals_counts(spark):
     assert model.prior == pytest.approx(np.log(3 / 2))
 
 
+def test_models_hold_every_word(spark, monkeypatch):
+    """The verdicts follow from the counts of all words, also of those that occur once: equal to one model in memory."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(2, 6)))
+    rows = []
+    for i in range(300):
+        tail = ("com", "net/es", "net/fr", "org")[i % 4].split("/")
+        rows.append((i, f"http://{word()}{word()}.{tail[0]}/{'/'.join([*tail[1:], word() + word(), str(i), word() + 'qq'])}", f"<p>{word()} {word()} once{'abcdef'[i % 6] * (i // 6 % 15 + 1)}"))
+    rows += [(300, None, "zz"), (300, None, None), (301, rows[0][1], "solitary"), (302, "http://x.org/solitaryword", "word")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    counts = {r["word"]: r["n"] for r in urlfilter.word_counts(df, "html").collect()}
+    assert counts["solitary"] == 1 and sum(counts.values()) == sum(len((t or "").replace("<p>", "").split()) for _, _, t in rows)
+    got = urlfilter.judge(df).collect()
+    assert len(got) == len(rows)
+    unigrams = urlfilter.Unigrams.of(counts)
+    model = urlfilter.fit(spark.createDataFrame([(r["host"], r["path"], r["verdict"] if r["rule"] else None) for r in got], "host string, path string, verdict string"), unigrams)
+    splitter = urlfilter.Splitter(unigrams)
+    for r in got:
+        words = splitter.words(r["host"], r["path"])
+        assert r["words"] == [w[2:] for w in words] and r["score"] == pytest.approx(model.score(words), abs=1e-9)
+        assert r["rule"] or r["verdict"] == ("block" if r["score"] > 0 else "allow")
+    assert next(r for r in got if r["page_id"] == 302)["words"][-2:] == ["solitary", "word"]
+
+
 def test_pipeline_stages(spark):
     source = spark.read.parquet(f"{DATA}/documents.parquet")
     df, seen = source, source.count()
