@@ -26,8 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by the probabilities that raking to source, language and topic shares gives."""
-    return mixing.mixed(docs).filter("sampled").select(*docs.columns)
+    """Documents sampled by the probabilities that raking to source, language and topic shares gives, full cells held."""
+    return mixing.mixed(docs, hold=True).filter("sampled").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

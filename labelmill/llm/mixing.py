@@ -6,8 +6,10 @@ alone, which are few whatever the corpus holds. The documents are read twice: fo
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, land
@@ -18,6 +20,8 @@ TOPICS = (("table", "% | %"), ("licence", "%icense%"), ("contact", "%@%"), ("lin
 ROUNDS = 10
 #: Up to so many cells are fitted in the driver (some 12 MB); more stay distributed. Both ways give the same weights.
 LOCAL_CELLS = 200_000
+#: Rounds at most, and the residual of a marginal (a share of the budget) that ends them, where full cells are held.
+HELD_ROUNDS, TOLERANCE = 100, 1e-6
 
 
 def topic(text: Column) -> Column:
@@ -72,6 +76,95 @@ def _raked_array(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -
     return cells.sparkSession.createDataFrame([tuple((r | {"w": float(x)})[c] for c in cells.columns) for r, x in zip(rows, w)], cells.schema)
 
 
+def _factors(full: np.ndarray, w: np.ndarray, at: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """For each group the factor f with sum(min(full, f * w)) = target, or the least that fills the group."""
+    use = w > 0
+    full, ratio = np.where(use, full, 0.0), np.divide(full, w, out=np.zeros_like(w), where=use)
+    order = np.lexsort((ratio, at))
+    g, t, v, r = at[order], full[order], w[order], ratio[order]
+    n = len(target)
+    before = np.append(0, np.cumsum(np.bincount(g, minlength=n)))[:-1]
+    sums, rest = np.append(0, np.cumsum(t)), np.append(0, np.cumsum(v))
+    reached = sums[1:] - sums[before[g]] + r * np.maximum(0, np.bincount(g, v, n)[g] - (rest[1:] - rest[before[g]]))
+    low = reached <= target[g]
+    held, free, most = np.bincount(g, t * low, n), np.bincount(g, v * ~low, n), np.zeros(n)
+    np.maximum.at(most, g, r)
+    return np.divide(np.maximum(0, target - held), free, out=most, where=free > 0)
+
+
+def _factor_table(df: DataFrame, d: list[str], target: Column) -> DataFrame:
+    """The factors of `_factors` by d, for df with `full`, `w` and the target of its group."""
+    some = df.filter("w > 0").withColumns({"_r": F.col("full") / F.col("w"), "_t": target})
+    own, upto = Window.partitionBy(*d), Window.partitionBy(*d).orderBy("_r").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = F.sum("full").over(upto) + F.col("_r") * F.greatest(F.lit(0.0), F.sum("w").over(own) - F.sum("w").over(upto))
+    low = F.col("_low")
+    return (
+        some.withColumn("_low", reached <= F.col("_t")).groupBy(*d)
+        .agg(F.sum(F.when(low, F.col("full")).otherwise(0.0)).alias("held"), F.sum(F.when(low, 0.0).otherwise(F.col("w"))).alias("free"), F.max("_r").alias("most"), F.first("_t").alias("_t"))
+        .select(*d, F.when(F.col("free") > 0, F.greatest(F.lit(0.0), F.col("_t") - F.col("held")) / F.col("free")).otherwise(F.col("most")).alias("factor"))
+    )
+
+
+def rake_held(cells: DataFrame, targets: dict[str, DataFrame], budget: float, rounds: int = HELD_ROUNDS, local: int = LOCAL_CELLS) -> DataFrame:
+    """cells (dimensions, tokens, w) with w the expected tokens, in all `budget` of the tokens, at the target shares.
+
+    No cell gives more than its tokens: full cells are held and the others raked again, until every marginal is met
+    within TOLERANCE or `rounds` are over. A value whose whole tokens are below its share is taken whole, and the rest
+    of its share falls to the other values of its dimension in proportion. What is still missed is logged by value."""
+    cells = cells.withColumns({"w": F.col("tokens").cast("double"), "full": F.col("tokens").cast("double")})
+    if cells.limit(local + 1).count() > local:
+        return _held_table(cells, targets, budget, rounds)
+    rows = [r.asDict() for r in cells.collect()]
+    full, steps = np.array([r["full"] for r in rows]), []
+    want, w = budget * full.sum(), full.copy()
+    for d, wanted in targets.items():
+        share = {r[d]: r["share"] for r in wanted.collect()}
+        values = sorted({r[d] for r in rows})
+        index = {v: i for i, v in enumerate(values)}
+        at, p = np.array([index[r[d]] for r in rows], dtype=np.int64), np.array([share.get(v, 0.0) for v in values])
+        have = np.bincount(at, full, len(values))
+        steps.append((d, values, at, np.minimum(have, p * _factors(have, p, np.zeros(len(p), dtype=np.int64), np.array([want]))), p))
+    missed: list[tuple[str, str, float, float]] = []
+    for _ in range(rounds if rows else 0):
+        for _, _, at, target, _ in steps:
+            w = w * _factors(full, w, at, target)[at]
+        got = [np.bincount(at, np.minimum(full, w), len(values)) for _, values, at, _, _ in steps]
+        if max(np.abs(x - s[3]).max() for x, s in zip(got, steps)) <= TOLERANCE * want:
+            break
+    if rows:
+        missed = [(d, v, float(s), float(x / want)) for x, (d, values, _, _, p) in zip(got, steps) for v, s, x in zip(values, p, x) if abs(x / want - s) > TOLERANCE]
+    _log(missed)
+    return cells.sparkSession.createDataFrame([tuple((r | {"w": float(min(f, x))})[c] for c in cells.columns) for r, f, x in zip(rows, full, w)], cells.schema).drop("full")
+
+
+def _log(missed: list[tuple[str, str, float, float]]) -> None:
+    for d, v, s, x in sorted(missed, key=lambda m: -abs(m[2] - m[3])):
+        logging.getLogger(__name__).warning("mixing: %s %s has share %.6f of the budget, target %.6f", d, v, x, s)
+
+
+def _held_table(cells: DataFrame, targets: dict[str, DataFrame], budget: float, rounds: int) -> DataFrame:
+    want = budget * cells.agg(F.sum("full")).first()[0]
+    aims = {}
+    for d, wanted in targets.items():
+        have = cells.groupBy(d).agg(F.sum("full").alias("full")).join(wanted, d, "left").select(d, "full", F.coalesce("share", F.lit(0.0)).alias("w"))
+        f = _factor_table(have.withColumn("_all", F.lit(1)), ["_all"], F.lit(want)).first()
+        aims[d] = land(have.select(d, F.col("w").alias("share"), F.least("full", F.col("w") * F.lit(f["factor"] if f else 0.0)).alias("aim")))
+    now = cells
+    gap = lambda d, to: now.groupBy(d).agg(F.sum(F.least("full", "w")).alias("x")).join(aims[d], d).withColumn("gap", F.abs(F.col("x") - to))
+    for _ in range(rounds):
+        for d, aim in aims.items():
+            factor = _factor_table(now.join(aim.select(d, "aim"), d), [d], F.col("aim"))
+            after = land(now.join(factor, d, "left").withColumn("w", F.coalesce(F.col("w") * F.col("factor"), F.lit(0.0))).select(*cells.columns))
+            discard(now)
+            now = after
+        if max(gap(d, F.col("aim")).agg(F.max("gap")).first()[0] for d in aims) <= TOLERANCE * want:
+            break
+    for d in aims:  # the 20 largest of each dimension are logged
+        left = gap(d, F.col("share") * want).filter(F.col("gap") > TOLERANCE * want).orderBy(F.col("gap").desc()).limit(20).collect()
+        _log([(d, r[d], r["share"], r["x"] / want) for r in left])
+    return now.withColumn("w", F.least("full", "w")).drop("full")
+
+
 def smoothed_targets(cells: DataFrame, powers: dict[str, float]) -> dict[str, DataFrame]:
     """Shares in proportion to (token share) ** power for each dimension."""
     out = {}
@@ -84,11 +177,12 @@ def smoothed_targets(cells: DataFrame, powers: dict[str, float]) -> dict[str, Da
 POWERS = {"source": 0.5, "lang": 0.5, "topic": 0.7}
 
 
-def mixed(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = 0.5, rounds: int = ROUNDS, seed: str = ":mix", targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def mixed(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = 0.5, rounds: int = ROUNDS, seed: str = ":mix", targets: dict[str, DataFrame] | None = None, hold: bool = False) -> DataFrame:
     """docs with `topic`, `n_words`, `chance` and `sampled`: kept with probability `chance`, by a hash of doc_id.
 
     The expected tokens of the sample are at most `budget` of all tokens, with the raked shares of every source,
-    language and topic as far as no chance exceeds 1. Null sources or languages form a value of their own (`?`).
+    language and topic as far as no chance exceeds 1: what is above 1 is lost, as in the SQL, or with `hold` falls to
+    the others (`rake_held`), so that marginals and budget are met wherever the documents allow it. Null sources or languages form a value of their own (`?`).
     Null and empty texts count one token. Rows that repeat a doc_id are sampled alike. An empty table gives no rows.
     Columns of docs with the four names are replaced; all others stay as they are."""
     docs = docs.drop("topic", "n_words", "chance", "sampled")
@@ -97,11 +191,12 @@ def mixed(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = 0.
         keyed.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic")
         .agg(F.sum("n_words").alias("tokens")).withColumn("w", F.col("tokens").cast("double"))
     )
-    fitted = rake(cells, targets or smoothed_targets(cells, powers), rounds)
+    targets = targets or smoothed_targets(cells, powers)
+    fitted = rake_held(cells, targets, budget) if hold else rake(cells, targets, rounds)
     total = fitted.agg(F.sum("tokens").cast("double").alias("all_tokens"), F.sum("w").alias("all_w"))
     chances = fitted.crossJoin(F.broadcast(total)).select(
         F.col("source").alias("_source"), F.col("lang").alias("_lang"), "topic",
-        F.least(F.lit(1.0), F.try_divide(F.lit(budget) * F.col("all_tokens") * F.col("w"), F.col("all_w")) / F.col("tokens")).alias("chance"),
+        (F.col("w") / F.col("tokens") if hold else F.least(F.lit(1.0), F.try_divide(F.lit(budget) * F.col("all_tokens") * F.col("w"), F.col("all_w")) / F.col("tokens"))).alias("chance"),
     )
     if cells.limit(LOCAL_CELLS + 1).count() <= LOCAL_CELLS:
         chances = F.broadcast(chances)  # counted: texts then need no shuffle

@@ -149,6 +149,29 @@ def test_raking_meets_its_targets(spark):
     assert sum(r[2] for r in one if r[1] == "u") == pytest.approx(0.9, abs=1e-6)
 
 
+@pytest.mark.parametrize("local", [100, 0])
+def test_raking_holds_full_cells(spark, local, caplog):
+    rows = [("x", "u", 1000), ("x", "v", 1000), ("y", "u", 10), ("y", "v", 300)]
+    cells = spark.createDataFrame(rows, "a string, b string, tokens long")
+    share = lambda d, s: spark.createDataFrame(list(s.items()), f"{d} string, share double")
+    wants = {"a": {"x": 0.8, "y": 0.2}, "b": {"u": 0.7, "v": 0.3}}
+    got = mixing.rake_held(cells, {d: share(d, s) for d, s in wants.items()}, 0.5, local=local).collect()
+    assert all(-1e-9 <= r["w"] <= r["tokens"] for r in got) and max(r["w"] / r["tokens"] for r in got) == 1  # one cell is full
+    for d, s in wants.items():
+        assert {v: sum(r["w"] for r in got if r[d] == v) / 1155 for v in s} == pytest.approx(s, abs=2e-6)
+    assert not caplog.records
+    got = mixing.rake_held(cells, {"a": share("a", {"x": 0.2, "y": 0.8})}, 0.5, local=local).collect()  # y has 310 of the 924 wanted
+    assert {v: sum(r["w"] for r in got if r["a"] == v) for v in "xy"} == pytest.approx({"x": 845, "y": 310})
+    assert len(caplog.records) == 2 and mixing.rake_held(cells.limit(0), {"a": share("a", {"x": 1.0})}, 0.5).count() == 0
+
+
+def test_pipeline_mixes_to_its_budget(spark):
+    """The rare source is taken whole, and what it cannot give comes from the other: 1,550 of 3,100, not 1,411."""
+    df = spark.createDataFrame([(i, "word", "en", "rare" if i < 100 else "s", 4) for i in range(3100)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter(r["source"] for r in corpus_pipeline.mix(spark, df, DATA).collect())
+    assert got["rare"] == 100 and abs(sum(got.values()) - 1550) < 80
+
+
 def test_mixing_edge_cases(spark):
     df = docs(spark)
     out = mixing.mixed(df)
