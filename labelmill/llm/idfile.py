@@ -1,243 +1,435 @@
 """Token ids in a compact binary form: an adaptive context-mixing range coder over independent blocks.
 
-A segment holds the ids of a run of documents, cut into blocks of equal length. Every block starts from a fresh model
-and carries a CRC-32 of its ids, so any block can be decoded and checked alone. All blocks of a segment advance
-together, one id of each at a time, as lanes of numpy arrays.
+A segment holds the ids of a run of documents, cut into blocks. Every block starts from a fresh model and carries a
+CRC-32 of its ids, so any block can be decoded and checked alone. A block's ids lie in streams of equal length that
+advance together, one id of each at a time, as lanes of numpy arrays; the streams share the block's model.
 
-The model of a block guesses the next id from the last two ids (order 2) and from the last one (order 1). The chance
-of the first guess mixes two adaptive probabilities, by the confidence of either order, with an adaptive weight. An
-id that neither guessed is coded by the adaptive order-0 distribution of its magnitude, then its remaining bits.
-All arithmetic is on integers, so any machine decodes what any other encoded.
+The model is built again from all ids of the block so far at fixed steps, and stands still in between. It holds
 
-A segment as bytes: magic, then little-endian counts (ids, blocks, ids per block), a CRC-32 and a number of 32-bit
-words for each block, then the words of the blocks.
+* order 2: for each pair of ids before, the ids that followed most often,
+* order 1: the same for the one id before,
+* order 0: the distribution of the ids that these lists lacked when they came, with an escape to ids of two bytes.
+
+An id is coded by one interval of a list that mixes order 2 and order 1 (an id that both propose gets the sum), or by
+what the list leaves, within which order 0 codes it. The weights of the mixture follow, for each block and each
+confidence (how often a context was seen), what either order has contributed to the ids coded so far. Chances and
+bounds are integers, so the decoder builds the same model from the ids it has decoded.
+
+A segment as bytes: magic, little-endian counts (ids, blocks, streams, steps), a CRC-32 for each block, a number of
+32-bit words for each stream, then the words.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
-from codecs import charmap_decode
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import land
+from .common import byte_chunks, land, strings
 
-MAGIC = b"IDS1"
-#: Ids of a block; ids that a segment holds about (a longer document makes a longer segment).
-BLOCK, SEGMENT = 2048, 1 << 22
+MAGIC = b"IDS2"
+#: Streams of a block at most and ids of a stream; ids that a segment holds about (a longer document makes a longer one).
+STREAMS, STEPS, SEGMENT = 512, 1024, 1 << 23
+#: Steps after which the model is built again.
+BUILDS = (4, 32, 192)
 #: The end id appended to each document.
 END = 1
-_T1, _T2 = 11, 12  # bits of the hashed order-1 and order-2 tables of a block
-_SLOTS = 16  # magnitudes: ids + 1 below 2**16
+_H1, _H2 = 13, 16  # bits of the hashed contexts of order 1 and order 2 of a block
+_OWN, _LOW = 2, 3  # ids that an order-2 context proposes, and that its order-1 context does
+_LIST = _OWN + _LOW
+_FULL, _ZERO = 1 << 16, 14  # scale of a list's chances, and bits of the scale of order 0
+_NONE = 65535  # no id
+_BUCKETS, _EMPTY = 8, 15  # confidences of an order; the mark of the empty list
+_AT_ONCE = 32  # steps whose intervals are computed together
 _M32 = np.uint64(0xFFFFFFFF)
-_U16, _U32 = np.uint64(16), np.uint64(32)
-
-
-#: Magnitude of value = id + 1, and the distribution that one more id of each magnitude pulls towards.
-_MAGNITUDE = np.array([max(0, v.bit_length() - 1) for v in range(1 << 16)], dtype=np.uint8)
-_SCALE = 14
-_PULL = np.array([[0 if r <= m else 1 << _SCALE for r in range(_SLOTS + 1)] for m in range(_SLOTS)], dtype=np.int16)
+_U14, _U16, _U32 = np.uint64(_ZERO), np.uint64(16), np.uint64(32)
+_BUCKET = np.minimum(np.array([0] + [v.bit_length() - 1 for v in range(1, 1 << 12)]), _BUCKETS - 1)
+
+
+def _slots(p1: np.ndarray, p2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed contexts of order 1 and order 2."""
+    spread = p1 * 40503
+    return (spread >> 5) & ((1 << _H1) - 1), ((spread + p2 * 210077) >> 4) & ((1 << _H2) - 1)
+
+
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with their counts; sorts key in place."""
+    key.sort()
+    new = np.empty(len(key), bool)
+    new[:1] = True
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return key[first], np.diff(first, append=len(key))
+
+
+def _best(keys: np.ndarray, counts: np.ndarray, most: int, least: int) -> tuple[np.ndarray, ...]:
+    """From counted (context << 16 | id): the contexts seen `least` times, how often, and their `most` commonest ids with counts."""
+    ctx = (keys >> 16).astype(np.int64)
+    start = np.flatnonzero(np.diff(ctx, prepend=-1))
+    total = np.add.reduceat(counts, start) if len(start) else counts
+    keep = np.repeat(total >= least, np.diff(start, append=len(ctx)))
+    keys, counts, ctx, total = keys[keep], counts[keep], ctx[keep], total[total >= least]
+    start = np.flatnonzero(np.diff(ctx, prepend=-1))
+    order = (ctx << 32) | ((65535 - np.minimum(counts, 65535)) << 16) | (keys & 65535)
+    order.sort()
+    size = np.diff(start, append=len(ctx))
+    ids, n = np.full((len(start), most), _NONE, np.int64), np.zeros((len(start), most), np.int64)
+    for j in range(most):
+        some = np.flatnonzero(size > j)
+        top = order.take(start[some] + j)
+        ids[some, j], n[some, j] = top & 65535, 65535 - ((top >> 16) & 65535)
+    return ctx[start], total, ids, n
 
 
 class Model:
-    """The adaptive model of `lanes` blocks that advance together. Tables are flat, a block's entries side by side."""
-
-    def __init__(self, lanes: int):
-        self.base2, self.base1 = np.arange(lanes, dtype=np.int64) << _T2, np.arange(lanes, dtype=np.int64) << _T1
-        self.base = np.arange(lanes, dtype=np.int64)
-        self.t2, self.n2 = np.zeros(lanes << _T2, np.uint16), np.zeros(lanes << _T2, np.uint8)
-        self.t1, self.n1 = np.zeros(lanes << _T1, np.uint16), np.zeros(lanes << _T1, np.uint8)
-        self.p2 = np.tile(np.array([4000, 20000, 32000, 42000, 48000, 54000, 58000, 60000], np.int32), lanes)
-        self.p1 = np.tile(np.repeat(np.array([4000, 12000, 20000, 28000, 36000, 42000, 48000, 52000], np.int32), 2), lanes)
-        self.q1 = np.tile(np.array([2000, 6000, 10000, 14000, 20000, 26000, 30000, 34000], np.int32), lanes)
-        self.weight = np.full(lanes, 160, np.int32)
-        self.cdf = np.tile((np.arange(_SLOTS + 1, dtype=np.int32) << _SCALE) // _SLOTS, (lanes, 1)).astype(np.int16)
-        self.ramp = np.arange(_SLOTS + 1, dtype=np.int32)
-        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def shrink(self, lanes: int) -> None:
-        """Only the last block may be shorter: it is the last lane, and leaves when it ends."""
-        for name in ("base", "base1", "base2", "weight", "cdf", "prev1", "prev2"):
-            setattr(self, name, getattr(self, name)[:lanes])
-
-    def guess(self) -> None:
-        """first and second: the guesses; f1 and f2: their shares of 65,536."""
-        spread = self.prev1 * 40503
-        self.at2 = self.base2 + (((spread + self.prev2 * 30011) >> 3) & ((1 << _T2) - 1))
-        self.at1 = self.base1 + ((spread >> 4) & ((1 << _T1) - 1))
-        self.c2, self.m2 = self.t2.take(self.at2), self.n2.take(self.at2)
-        self.second, self.m1 = self.t1.take(self.at1), self.n1.take(self.at1)
-        self.first = np.where(self.m2 > 0, self.c2, self.second)
-        self.ia = (self.base << 3) + self.m2
-        self.ic = (self.base << 3) + self.m1
-        self.ib = (self.ic << 1) + (self.second == self.c2)
-        self.pa, self.pb, self.pc = self.p2.take(self.ia), self.p1.take(self.ib), self.q1.take(self.ic)
-        mixed = ((self.pa - self.pb) * self.weight >> 8) + self.pb
-        self.f1 = np.minimum(np.maximum(mixed, 64), 60000)
-        self.f2 = ((((61440 - self.f1) >> 4) * (self.pc >> 4) >> 8) + 16) * (self.second != self.first)
-
-    def learn(self, ids: np.ndarray, hit: np.ndarray, hit2: np.ndarray, slot: np.ndarray, missed: np.ndarray) -> None:
-        goal = hit * np.int32(65535)
-        up, low = goal - self.pa, goal - self.pb
-        self.p2[self.ia] = self.pa + (up >> 5)
-        self.p1[self.ib] = self.pb + (low >> 5)
-        self.weight += 3 * ((np.abs(up) < np.abs(low)).astype(np.int32) - (np.abs(up) > np.abs(low)))
-        np.minimum(np.maximum(self.weight, 16), 240, out=self.weight)
-        self.q1[self.ic] = self.pc + np.where(hit, 0, (hit2 * np.int32(65535) - self.pc) >> 5)
-        step = (_PULL.take(slot, axis=0) - self.cdf) >> 4
-        step *= missed[:, None]
-        self.cdf += step
-        small = ids.astype(np.uint16)
-        for table, count, at, held, n in ((self.t2, self.n2, self.at2, self.c2, self.m2), (self.t1, self.n1, self.at1, self.second, self.m1)):
-            same = held == small
-            count[at] = np.where(same, np.minimum(n + 1, 7), np.maximum(n >> 1, 1))
-            table[at] = np.where(same | (n > 1), held, small)
-        self.prev2, self.prev1 = self.prev1, ids
-
-    def border(self, slot: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        """Where each lane's magnitude begins within what the guesses leave; every magnitude has at least 1."""
-        return ((rest - _SLOTS) * self.cdf.ravel().take(self.base * (_SLOTS + 1) + slot).astype(np.int64) >> _SCALE) + slot
-
-    def magnitudes(self, rows: np.ndarray, x: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        """The magnitude that holds position x within what the guesses leave, for some lanes."""
-        begins = ((rest - _SLOTS).astype(np.int32)[:, None] * self.cdf[rows] >> _SCALE) + self.ramp
-        return np.minimum((begins <= x.astype(np.int32)[:, None]).sum(axis=1) - 1, _SLOTS - 1)
+    """The models of all blocks of a segment that are still active: the last block may be shorter and leave early."""
+
+    def __init__(self, blocks: int, streams: int):
+        self.blocks, self.streams = blocks, streams
+        self.list1, self.list2 = np.zeros(blocks << _H1, np.int32), np.zeros(blocks << _H2, np.int32)
+        self.block = np.arange(blocks * streams, dtype=np.int32) // streams
+        self.base1, self.base2, self.base0 = self.block << _H1, self.block << _H2, self.block << _ZERO
+        self._lists([], [], [], [])
+        # for each block and confidence (of order 2, then of order 1 alone): ids coded, shares that the context's own
+        # ids and those of the order below had in them; with a start
+        self.seen = np.full(blocks * 16, 32.0)
+        self.won = np.tile(np.append(np.linspace(12, 28, _BUCKETS), np.linspace(8, 24, _BUCKETS)), blocks)
+        self.lent = np.tile(np.append(np.linspace(6, 1, _BUCKETS), np.zeros(_BUCKETS)), blocks)
+        self.lacked, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)  # block << 16 | id, and how often
+        self.fresh, self.missed = np.ones(blocks, np.int64), np.ones(blocks, np.int64)
+        self.gone: list[np.ndarray] = []
+        self._order_zero()
+
+    def shrink(self) -> None:
+        """The last block leaves."""
+        self.blocks = n = self.blocks - 1
+        self.list1, self.list2 = self.list1[: n << _H1], self.list2[: n << _H2]
+        for name in ("block", "base0", "base1", "base2"):
+            setattr(self, name, getattr(self, name)[: n * self.streams])
+        for name in ("seen", "won", "lent"):
+            setattr(self, name, getattr(self, name)[: n * 16])
+        keep = (self.lacked >> 16) < n
+        self.lacked, self.times, self.fresh, self.missed = self.lacked[keep], self.times[keep], self.fresh[:n], self.missed[:n]
+
+    def _order_zero(self) -> None:
+        """Slots for the ids that lists lacked (half of all slots at most: later ones escape), the rest for escapes."""
+        full = 1 << _ZERO
+        block = self.lacked >> 16
+        kinds = np.bincount(block, minlength=self.blocks)
+        rank = np.arange(len(block)) - np.repeat(np.cumsum(kinds) - kinds, kinds)
+        keep = rank < full // 2
+        key, n, block = self.lacked[keep], self.times[keep], block[keep]
+        kinds = np.minimum(kinds, full // 2)
+        sums = np.bincount(block, n, self.blocks).astype(np.int64)
+        escape = np.where(kinds == 0, full, np.clip(full * (self.fresh + 1) // (self.missed + 2), 16, full // 4))
+        width = 1 + n * (full - escape - kinds).clip(0)[block] // np.maximum(sums[block], 1)
+        self.zero_end = np.bincount(block, width, self.blocks).astype(np.int64)
+        at = np.cumsum(width) - width - (np.cumsum(self.zero_end) - self.zero_end)[block]
+        known = np.repeat(np.tile([True, False], self.blocks), np.stack([self.zero_end, full - self.zero_end], axis=1).ravel())
+        self.zero_slot = np.full(self.blocks * full, len(key), np.int32)
+        self.zero_slot[known] = np.repeat(np.arange(len(key), dtype=np.int32), width)
+        self.zero_of = np.full(self.blocks << 16, len(key), np.int32)
+        self.zero_of[key] = np.arange(len(key), dtype=np.int32)
+        self.zero_id = np.append(key & 65535, _NONE).astype(np.int32)
+        self.zero_at, self.zero_width = np.append(at, 0).astype(np.uint64), np.append(width, 0).astype(np.uint64)
+
+    def rows(self, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+        """The list for each pair of ids before: of order 2, of order 1 where that is unknown, or the empty one."""
+        s1, s2 = _slots(p1, p2)
+        s2 += self.base2
+        row = self.list2.take(s2)
+        s1 += self.base1
+        return np.where(row == 0, self.list1.take(s1), row)
+
+    def note(self, ids: np.ndarray, row: np.ndarray, k: np.ndarray, block: np.ndarray) -> None:
+        """Of ids just coded with place k of a list: what each order had in them, and what the lists lacked."""
+        at = self.mark.take(row) + (block << 4)
+        n = self.blocks * 16
+        self.seen += np.bincount(at, minlength=n)
+        hit = np.flatnonzero(k < _LIST)
+        r, place, at = row[hit], k[hit].astype(np.int32), at[hit]
+        f = self.cum1.take(r * 8 + place + 1).astype(np.int32) - self.cum1.take(r * 8 + place)
+        own = np.where(place < _OWN, self.own.take(r * _OWN + np.minimum(place, _OWN - 1)), 0).astype(np.int32)
+        share = np.where((at & 15) >= _BUCKETS, 256, np.minimum(own * 256 // f, 256))
+        self.won += np.bincount(at, share, n) / 256
+        self.lent += np.bincount(at, 256 - share, n) / 256
+        gone = np.flatnonzero(k == _LIST)
+        self.gone.append((block[gone].astype(np.int64) << 16) | ids[gone])
+
+    def build(self, past: np.ndarray) -> None:
+        """Order 0 and the lists of all contexts from past: blocks x streams x steps so far."""
+        found, n = _counted(np.concatenate(self.gone))
+        self.gone = []
+        before = np.bincount(self.lacked >> 16, minlength=self.blocks)
+        self.missed = np.bincount(found >> 16, n, self.blocks).astype(np.int64)
+        key, times = np.concatenate([self.lacked, found]), np.concatenate([self.times, n])
+        order = np.argsort(key, kind="stable")
+        key, times = key[order], times[order]
+        start = np.flatnonzero(np.diff(key, prepend=-1))
+        self.lacked, self.times = key[start], np.add.reduceat(times, start) if len(start) else times
+        self.fresh = np.bincount(self.lacked >> 16, minlength=self.blocks) - before
+        self._order_zero()
+
+        won, lent = ((x / (self.seen + 1) * 4096).astype(np.int64) for x in (self.won, self.lent))
+        self.list1[:], self.list2[:] = 0, 0
+        chances, ids_, owns, marks, count = [], [], [], [], 1
+        p1, p2 = np.zeros(past.shape[1:], np.int32), np.zeros(past.shape[1:], np.int32)
+        for g in range(self.blocks):
+            h = past[g]
+            p1[:, 1:], p2[:, 2:] = h[:, :-1], h[:, :-2]
+            s1, s2 = (s.ravel() for s in _slots(p1, p2))
+            ids = h.ravel().astype(np.uint32)
+            ctx, n, low_id, times = _best(*_counted((s1.astype(np.uint32) << 16) | ids), _LOW, 1)
+            sure = _BUCKET[np.minimum(n, len(_BUCKET) - 1)]
+            low = times * 65000 // n[:, None]
+            first = count
+            nothing = np.zeros((len(ctx), _OWN), np.int64)
+            chances.append(np.append(nothing, low * won[g * 16 + sure + _BUCKETS][:, None] >> 12, axis=1))
+            ids_.append(np.append(nothing + _NONE, low_id, axis=1))
+            owns.append(nothing)
+            marks.append(np.minimum(sure + _BUCKETS, _EMPTY - 1))
+            self.list1[ctx + (g << _H1)] = np.arange(count, count + len(ctx))
+            count += len(ctx)
+            below = np.zeros(1 << _H2, np.int32)
+            below[s2] = self.list1.take(s1 + (g << _H1)) - first
+            ctx, n, own_id, times = _best(*_counted((s2.astype(np.uint32) << 16) | ids), _OWN, 2)
+            sure = _BUCKET[np.minimum(n, len(_BUCKET) - 1)]
+            own = times * 65000 // np.maximum(n, 1)[:, None] * won[g * 16 + sure][:, None] >> 12
+            at = below[ctx]
+            other_id, other = low_id[at], low[at] * lent[g * 16 + sure][:, None] >> 12
+            both = own.copy()
+            for i in range(_OWN):
+                same = (other_id == own_id[:, i : i + 1]) & (other_id != _NONE)
+                both[:, i] += (other * same).sum(axis=1)
+                other[same] = 0
+            chances.append(np.append(both, other, axis=1))
+            ids_.append(np.append(own_id, other_id, axis=1))
+            owns.append(own)
+            marks.append(sure)
+            self.list2[ctx + (g << _H2)] = np.arange(count, count + len(ctx))
+            count += len(ctx)
+        self._lists(chances, ids_, owns, marks)
+
+    def _lists(self, chances: list, ids: list, owns: list, marks: list) -> None:
+        """The empty list, then all others: eight bounds and eight ids a row, of 16 bits, unused ones at the end."""
+        rows = 1 + sum(map(len, chances))
+        self.cum, self.ids = np.full((rows, 8), _NONE, np.uint16), np.full((rows, 8), _NONE, np.uint16)
+        self.own, self.mark = np.zeros((rows, _OWN), np.uint16), np.full(rows, _EMPTY, np.uint8)
+        self.cum[:, 0], self.cum[0] = 0, [0] * (_LIST + 1) + [_NONE] * (7 - _LIST)
+        at = 1
+        for f, i, own, mark in zip(chances, ids, owns, marks):
+            end = at + len(f)
+            self.cum[at:end, 1 : _LIST + 1] = np.cumsum(f, axis=1)
+            self.ids[at:end, :_LIST] = np.where(f > 0, i, _NONE)
+            self.own[at:end], self.mark[at:end] = own, mark
+            at = end
+        self.cum1, self.ids1, self.own = self.cum.ravel(), self.ids.ravel(), self.own.ravel()
+        self.cum8, self.ids8 = self.cum.view(np.complex128).ravel(), self.ids.view(np.complex128).ravel()  # a row is one item
 
 
 def _narrow(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Lanes whose span is below 2**32 put out a word; a span that straddles a word border is cut at it."""
-    out = span <= _M32
-    if out.any():
-        edge = (_M32 + np.uint64(1)) - (low & _M32)
-        np.minimum(span, edge, out=span, where=out)
-    return out
+    """The lanes whose span is below 2**32, to put out a word; a span that straddles a word border is cut at it."""
+    lanes = np.flatnonzero(span <= _M32)
+    if len(lanes):
+        span[lanes] = np.minimum(span[lanes], (_M32 + np.uint64(1)) - (low[lanes] & _M32))
+    return lanes
+
+
+def _layout(n: int) -> tuple[int, int, int]:
+    """Blocks, streams of a block, and steps of the last block. Few ids make fewer streams."""
+    streams = min(STREAMS, max(16, -(-n // STEPS)))
+    blocks = -(-n // (streams * STEPS))
+    return blocks, streams, -(-(n - (blocks - 1) * streams * STEPS) // streams)
 
 
 def encode(ids: np.ndarray) -> bytes:
     """A segment of ids below 65,535."""
-    if len(ids) and int(ids.max()) >= 65535:
+    if len(ids) and int(ids.max()) >= _NONE:
         raise ValueError("ids must be below 65,535")
-    blocks = -(-len(ids) // BLOCK)
-    if not blocks:
-        return MAGIC + struct.pack("<QII", 0, 0, BLOCK)
-    padded = np.zeros(blocks * BLOCK, dtype=np.int64)
-    padded[: len(ids)] = ids
-    steps = padded.reshape(blocks, BLOCK).T.copy()
-    model = Model(blocks)
-    low, span = np.zeros(blocks, np.uint64), np.full(blocks, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    words, fill = np.zeros((blocks, BLOCK + 4), np.uint32), np.zeros(blocks, np.int64)
-    tail = len(ids) - (blocks - 1) * BLOCK
-    for t in range(BLOCK):
-        if t == tail:  # the short last block ends here
-            last = low[-1]
-            low, span, fill_last = low[:-1], span[:-1], fill[-1]
-            words[-1, fill_last], words[-1, fill_last + 1] = last >> _U32, last & _M32
-            fill[-1] += 2
-            blocks -= 1
-            if not blocks:
+    if not len(ids):
+        return MAGIC + struct.pack("<QIII", 0, 0, 0, 0)
+    blocks, streams, tail = _layout(len(ids))
+    whole, size = blocks, streams * STEPS
+    past = np.zeros((blocks, streams, STEPS), dtype=np.int32)
+    past[:-1].reshape(-1)[:] = ids[: (blocks - 1) * size]
+    rest = np.full(tail * streams, END, np.int32)
+    rest[: len(ids) - (blocks - 1) * size] = ids[(blocks - 1) * size :]
+    past[-1, :, :tail] = rest.reshape(streams, tail)
+    model, lanes = Model(blocks, streams), blocks * streams
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    width = STEPS * 3 // 2 + 8
+    words, fill = np.zeros(lanes * width, np.uint32), np.zeros(lanes, np.int64)
+
+    def put(at: np.ndarray) -> None:
+        if len(at):
+            n = fill[at]
+            words[at * width + n] = low[at] >> _U32
+            fill[at] = n + 1
+            low[at] <<= _U32
+            span[at] <<= _U32
+
+    def flush(a: int, b: int) -> None:
+        at = np.arange(a, b) * width + fill[a:b]
+        words[at], words[at + 1] = low[a:b] >> _U32, low[a:b] & _M32
+        fill[a:b] += 2
+
+    a = 0
+    for b in sorted({*BUILDS, tail, STEPS, *range(0, STEPS, _AT_ONCE)} - {0}):
+        flat = past[: model.blocks].reshape(lanes, STEPS)
+        steps = np.zeros((b - a + 2, lanes), np.int32)
+        steps[max(0, 2 - a) :] = flat[:, max(0, a - 2) : b].T
+        row = model.rows(steps[1:-1], steps[:-2]).ravel()
+        now = steps[2:].ravel()
+        same = model.ids8.take(row).view(np.uint16).reshape(-1, 8) == now.astype(np.uint16)[:, None]
+        k = np.minimum(np.bitwise_count(same.view(np.uint64).ravel() - np.uint64(1)) >> 3, _LIST)  # the place of the one true byte
+        at = row * 8 + k
+        begin = model.cum1.take(at).astype(np.uint64)
+        lacks = k == _LIST
+        freq = np.where(lacks, _FULL, model.cum1.take(at + 1).astype(np.int32)).astype(np.uint64) - begin
+        gone = np.flatnonzero(lacks)
+        step, lane = np.divmod(gone, lanes)
+        block = model.block[lane].astype(np.int64)
+        z = model.zero_of.take((block << 16) | now[gone])
+        begin0, freq0 = model.zero_at.take(z), model.zero_width.take(z)
+        new = np.flatnonzero(z == len(model.zero_id) - 1)
+        begin0[new] = model.zero_end[block[new]]
+        freq0[new] = (1 << _ZERO) - model.zero_end[block[new]]
+        every = np.arange(b - a + 1)
+        ends, ends_new = np.searchsorted(step, every).tolist(), np.searchsorted(step[new], every).tolist()
+        lane_new, value_new = lane[new], now[gone[new]].astype(np.uint64)
+        begin, freq = begin.reshape(-1, lanes), freq.reshape(-1, lanes)
+        for t in range(b - a):
+            part = span >> _U16
+            low += part * begin[t]
+            np.multiply(part, freq[t], out=span)
+            x, y = ends[t], ends[t + 1]
+            if x < y:
+                part = span[lane[x:y]] >> _U14
+                low[lane[x:y]] += part * begin0[x:y]
+                span[lane[x:y]] = part * freq0[x:y]
+            put(_narrow(low, span))
+            x, y = ends_new[t], ends_new[t + 1]
+            if x < y:
+                part = span[lane_new[x:y]] >> _U16
+                low[lane_new[x:y]] += part * value_new[x:y]
+                span[lane_new[x:y]] = part
+                put(_narrow(low, span))
+        if b < STEPS:
+            model.note(now, row, k, np.tile(model.block, b - a))
+        a = b
+        if b == tail and b < STEPS:
+            flush((model.blocks - 1) * streams, lanes)
+            if model.blocks == 1:
                 break
-            model.shrink(blocks)
-        row = steps[t, :blocks]
-        model.guess()
-        hit = model.first == row
-        hit2 = (model.second == row) & ~hit
-        missed = ~(hit | hit2)
-        value = row + 1
-        slot = _MAGNITUDE.take(value).astype(np.int64)
-        both = model.f1 + model.f2
-        rest = (65536 - both).astype(np.int64)
-        begin = model.border(slot, rest)
-        cum = np.where(missed, both + begin, np.where(hit, 0, model.f1)).astype(np.uint64)
-        freq = np.where(missed, model.border(slot + 1, rest) - begin, np.where(hit, model.f1, model.f2)).astype(np.uint64)
-        bits = (slot * missed).astype(np.uint64)
-        part = span >> _U16
-        low = low + part * cum
-        span = part * freq
-        part = span >> bits
-        low = low + part * ((value - (np.int64(1) << slot)) * missed).astype(np.uint64)
-        span = part  # without further bits the part is the span itself
-        out = _narrow(low, span)
-        if out.any():
-            lanes = np.flatnonzero(out)
-            words[lanes, fill[lanes]] = low[lanes] >> _U32
-            fill[lanes] += 1
-            low[lanes] <<= _U32
-            span[lanes] <<= _U32
-        model.learn(row, hit, hit2, slot, missed)
-    if blocks:
-        rows = np.arange(blocks)
-        words[rows, fill[:blocks]] = low >> _U32
-        words[rows, fill[:blocks] + 1] = low & _M32
-        fill[:blocks] += 2
-    flat = words[np.arange(words.shape[1])[None, :] < fill[:, None]]
+            _leave(model)
+            lanes = model.blocks * streams
+            low, span = low[:lanes].copy(), span[:lanes].copy()
+        if b in BUILDS:
+            model.build(past[: model.blocks, :, :b])
+    else:
+        flush(0, lanes)
+    rows = words.reshape(-1, width)
+    out = np.concatenate([w[:n] for w, n in zip(rows, fill.tolist())])
     plain = ids.astype("<u4")
-    crc = np.array([zlib.crc32(plain[a : a + BLOCK]) for a in range(0, len(ids), BLOCK)], dtype="<u4")
-    return MAGIC + struct.pack("<QII", len(ids), len(fill), BLOCK) + crc.tobytes() + fill.astype("<u4").tobytes() + flat.astype("<u4").tobytes()
+    crc = np.array([zlib.crc32(plain[i : i + size]) for i in range(0, len(ids), size)], dtype="<u4")
+    return MAGIC + struct.pack("<QIII", len(ids), whole, streams, STEPS) + crc.tobytes() + fill.astype("<u2").tobytes() + out.astype("<u4").tobytes()
+
+
+def _leave(model: Model) -> None:
+    """The last block leaves, with what it lacked since the last build."""
+    model.shrink()
+    model.gone = [g[(g >> 16) < model.blocks] for g in model.gone]
 
 
 def decode(segment: bytes) -> np.ndarray:
-    """The ids of a segment; ValueError if a block is damaged."""
+    """The ids of a segment; ValueError if it is cut or a block is damaged."""
     if segment[:4] != MAGIC:
         raise ValueError("not a segment of ids")
-    total, blocks, size = struct.unpack_from("<QII", segment, 4)
+    total, blocks, streams, steps = struct.unpack_from("<QIII", segment, 4)
     if not blocks:
         return np.zeros(0, dtype=np.uint32)
-    crc, fill = np.frombuffer(segment, "<u4", blocks, 20), np.frombuffer(segment, "<u4", blocks, 20 + 4 * blocks).astype(np.int64)
-    flat = np.append(np.frombuffer(segment, "<u4", -1, 20 + 8 * blocks), [0, 0]).astype(np.uint64)
-    at = np.append(0, np.cumsum(fill))[:-1]
-    model, whole = Model(blocks), blocks
-    low, span = np.zeros(blocks, np.uint64), np.full(blocks, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    whole, lanes, size = blocks, blocks * streams, streams * steps
+    head = 24 + 4 * blocks
+    crc, fill = np.frombuffer(segment, "<u4", blocks, 24), np.frombuffer(segment, "<u2", lanes, head).astype(np.int64)
+    if len(segment) != head + 2 * lanes + 4 * fill.sum():
+        raise ValueError("the segment is cut")
+    flat = np.append(np.frombuffer(segment, "<u4", -1, head + 2 * lanes), np.zeros(2, np.uint32)).astype(np.uint64)
+    at, last = np.cumsum(fill) - fill, len(flat) - 1
+    tail = -(-(total - (blocks - 1) * size) // streams)
+    model = Model(blocks, streams)
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     code = (flat[at] << _U32) | flat[at + 1]
     at = at + 2
-    steps = np.zeros((size, blocks), dtype=np.int64)
-    tail = total - (blocks - 1) * size
-    for t in range(size):
-        if t == tail:
-            blocks -= 1
-            if not blocks:
+    past = np.zeros((blocks, streams, steps), dtype=np.int32)
+
+    def take(ln: np.ndarray) -> None:
+        if len(ln):
+            low[ln] <<= _U32
+            span[ln] <<= _U32
+            word = at[ln]
+            code[ln] = (code[ln] << _U32) | flat[np.minimum(word, last)]  # a damaged stream may ask for more
+            at[ln] = word + 1
+
+    p1, p2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+    a = 0
+    for b in sorted({*BUILDS, tail, steps, *range(0, steps, _AT_ONCE)} - {0}):
+        now, rows, places = np.zeros((b - a, lanes), np.int32), np.zeros((b - a, lanes), np.int32), np.zeros((b - a, lanes), np.uint8)
+        for t in range(b - a):
+            row = model.rows(p1, p2)
+            part = span >> _U16
+            x = np.minimum((code - low) // part, np.uint64(_NONE - 1)).astype(np.uint16)
+            k = np.bitwise_count((model.cum8.take(row).view(np.uint16).reshape(-1, 8) <= x[:, None]).view(np.uint64).ravel()) - np.uint8(1)
+            i = row * 8 + k
+            begin = model.cum1.take(i)
+            end = model.cum1.take(i + 1).astype(np.uint64)
+            ln = np.flatnonzero(k == _LIST)
+            end[ln] = _FULL
+            low += part * begin
+            np.multiply(part, end - begin, out=span)
+            ids = model.ids1.take(i).astype(np.int32)
+            escaped = ln[:0]
+            if len(ln):
+                part = span[ln] >> _U14
+                x = np.minimum((code[ln] - low[ln]) // part, np.uint64((1 << _ZERO) - 1)).astype(np.int32)
+                z = model.zero_slot.take(model.base0[ln] + x)
+                new = z == len(model.zero_id) - 1
+                border = model.zero_end[model.block[ln]].astype(np.uint64)
+                low[ln] += part * np.where(new, border, model.zero_at.take(z))
+                span[ln] = part * np.where(new, np.uint64(1 << _ZERO) - border, model.zero_width.take(z))
+                ids[ln] = model.zero_id.take(z)
+                escaped = ln[new]
+            take(_narrow(low, span))
+            if len(escaped):
+                part = span[escaped] >> _U16
+                x = np.minimum((code[escaped] - low[escaped]) // part, np.uint64(_NONE))
+                low[escaped] += part * x
+                span[escaped] = part
+                ids[escaped] = x.astype(np.int32)
+                take(_narrow(low, span))
+            now[t], rows[t], places[t] = ids, row, k
+            p2, p1 = p1, ids
+        past[: model.blocks].reshape(lanes, steps)[:, a:b] = now.T
+        if b < steps:
+            model.note(now.ravel(), rows.ravel(), places.ravel(), np.tile(model.block, b - a))
+        a = b
+        if b == tail and b < steps:
+            if model.blocks == 1:
                 break
-            low, span, code, at = low[:-1], span[:-1], code[:-1], at[:-1]
-            model.shrink(blocks)
-        model.guess()
-        part = span >> _U16
-        v = np.minimum((code - low) // part, np.uint64(65535)).astype(np.int64)
-        both = model.f1 + model.f2
-        hit = v < model.f1
-        missed = v >= both
-        hit2 = ~(hit | missed)
-        rest = (65536 - both).astype(np.int64)
-        rows = np.flatnonzero(missed)
-        slot = np.zeros(blocks, dtype=np.int64)
-        slot[rows] = model.magnitudes(rows, v[rows] - both[rows], rest[rows])
-        begin = model.border(slot, rest)
-        cum = np.where(missed, both + begin, np.where(hit, 0, model.f1)).astype(np.uint64)
-        freq = np.where(missed, model.border(slot + 1, rest) - begin, np.where(hit, model.f1, model.f2)).astype(np.uint64)
-        low = low + part * cum
-        span = part * freq
-        part = span >> slot.astype(np.uint64)
-        extra = (code - low) // part * (slot > 0)
-        low = low + part * extra
-        span = part
-        row = np.where(missed, (np.int64(1) << slot) + extra.astype(np.int64) - 1, np.where(hit, model.first, model.second).astype(np.int64))
-        out = _narrow(low, span)
-        if out.any():
-            lanes = np.flatnonzero(out)
-            low[lanes] <<= _U32
-            span[lanes] <<= _U32
-            code[lanes] = (code[lanes] << _U32) | flat[np.minimum(at[lanes], len(flat) - 1)]  # a damaged block may ask for more
-            at[lanes] += 1
-        steps[t, :blocks] = row
-        model.learn(row, hit, hit2, slot, missed)
-    ids = steps.T.reshape(-1)[:total].astype(np.uint32)
+            _leave(model)
+            lanes = model.blocks * streams
+            low, span, code, at, p1, p2 = (v[:lanes].copy() for v in (low, span, code, at, p1, p2))
+        if b in BUILDS:
+            model.build(past[: model.blocks, :, :b])
+    ids = np.concatenate([past[:-1].ravel(), past[-1, :, :tail].ravel()])[:total].astype(np.uint32)
     plain = ids.astype("<u4")
     for i in range(whole):
         if zlib.crc32(plain[i * size : (i + 1) * size]) != crc[i]:
@@ -245,74 +437,104 @@ def decode(segment: bytes) -> np.ndarray:
     return ids
 
 
+def _cuts() -> np.ndarray:
+    """For each pair of kinds (none, letter, digit, sign, apostrophe) of ASCII characters: whether a word ends between them."""
+    cut = np.ones((5, 5), dtype=bool)
+    cut[0], cut[:, 0], cut[1, 1], cut[3:, 3:], cut[4, 1] = False, False, False, False, False  # 's and its like are words
+    return cut.ravel()
+
+
+def _mapped(data: np.ndarray, table: bytes) -> np.ndarray:
+    return np.frombuffer(data.tobytes().translate(table), np.uint8)
+
+
+_KIND = bytes(0 if not 33 <= c < 127 else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 4 if c == 39 else 3 for c in range(256))
+_CUT = _cuts().astype(np.uint8).tobytes().ljust(256, b"\0")
+_LOWERED = bytes(range(256)).lower()
+
+
 class Words:
     """Ids of texts by the tokenizers library, remembered for each white-space-free run up to a bound.
 
-    No token of a tokenizer that drops white space spans it, and neither does its normaliser; a blank between an ASCII
-    letter and a following `.` or `,` moves no border either, where these never share a token."""
+    No token of a tokenizer that drops white space spans it, and neither does its normaliser. Where the tokenizer also
+    ends words between ASCII letters, digits and signs (tried on a few texts), runs are cut there too, which makes few
+    of them. Texts with `<|`, as special tokens have it, are neither cut nor lower-cased."""
 
-    REMEMBERED = 1_000_000
-    _split = re.compile(rb"(?<=[a-z])(?=[.,])")
+    REMEMBERED, TOGETHER = 1_000_000, 500
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow from 256 on
-        other = iter(range(256, 512))
-        self.letters = "".join(chr(b) if b in printable else chr(next(other)) for b in range(256))
-        probe = ["word", "\u00e9t\u00e9", "\u00dcber", "na\u00efve"]
-        self.plain = all(
-            [t.id for t in self.library.model.tokenize(charmap_decode(w.lower().encode(), "strict", self.letters)[0])] == self.library.encode(w, add_special_tokens=False).ids for w in probe
-        )
+        own = lambda text: self.library.encode(text, add_special_tokens=False).ids
+        probe = (("ab.cd,e1 23's$x(y)-z'q", "ab . cd , e 1 2 3 's $ x ( y )- z 'q"), ("a'sb''c4.5%'t7", "a 'sb ''c 4 . 5 %'t 7"))
+        self.cut = all(own(x) == own(y) for x, y in probe)
+        self.lower = all(own(chr(c)) == own(chr(c).lower()) for c in range(65, 91))
+        ends = [t.endswith("</w>") for t, _ in sorted(self.library.get_vocab().items(), key=lambda x: x[1])]
+        self.ends = np.array(ends, dtype=bool)  # tokens that end a word
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.known: dict[bytes, int] = {b"": 0}
+        self.start, self.size, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def _add(self, fresh: list[bytes]) -> None:
-        """Ids of new runs. One of Latin letters alone is one word whatever its case, so the library's model has it at
-        once; any other run goes through the library's whole way."""
-        tokenize, ids, rest = self.library.model.tokenize, [None] * len(fresh), []
-        for i, raw in enumerate(fresh):
-            run = raw.decode("utf-8", "surrogatepass")
-            if self.plain and run.isalpha() and max(run) < "\u0250" and "\u0130" not in run:
-                ids[i] = [t.id for t in tokenize(charmap_decode(run.lower().encode(), "strict", self.letters)[0])]
-            else:
-                rest.append((i, run))
-        for (i, _), e in zip(rest, self.library.encode_batch_fast([r for _, r in rest], add_special_tokens=False)):
-            ids[i] = e.ids
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
-        self.known.update(zip(fresh, range(len(self.size), len(self.size) + len(fresh))))
+        """Ids of new runs. Those of Latin letters alone are one word each and go to the library many in one text."""
+        texts = [raw.decode("utf-8", "replace") for raw in fresh]
+        plain = [i for i, t in enumerate(texts) if t.isalpha() and (t.isascii() or max(t) < "\u0250" and "\u0130" not in t)]
+        parts = [plain[a : a + self.TOGETHER] for a in range(0, len(plain), self.TOGETHER)]
+        order, sizes, flats = [], [], []
+        for part, e in zip(parts, self.library.encode_batch_fast([" ".join([texts[i] for i in p]) for p in parts], add_special_tokens=False)):
+            flat = np.array(e.ids, np.int32)
+            last = np.flatnonzero(self.ends.take(flat))
+            if len(last) == len(part) and last[-1] == len(flat) - 1:  # each run has ended once
+                order += part
+                sizes.append(np.diff(last, prepend=-1))
+                flats.append(flat)
+        done = set(order)
+        rest = [i for i in range(len(texts)) if i not in done]
+        ids = [e.ids for e in self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)]
+        size = np.concatenate([*sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+        self.known.update(zip([fresh[i] for i in order + rest], range(len(self.size), len(self.size) + len(fresh))))
         self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
-        self.size, self.flat = np.append(self.size, size), np.append(self.flat, flat)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, END behind each, and how many each text has with it."""
-        runs = []
-        for t in texts:
-            raw = t.encode("utf-8", "surrogatepass")
-            if b"<|" not in raw:  # special tokens are spelt in lower case; elsewhere A-Z and a-z have the same ids
-                raw = self._split.sub(b" ", raw.lower())
-            runs.append(raw.split())  # at ASCII white space only
-        new = set().union(*runs) if runs else set()
-        fresh = list(new.difference(self.known))
+        self.size = np.append(self.size, size)
+        self.flat = np.concatenate([self.flat, *flats, np.fromiter(chain.from_iterable(ids), np.int32)])
+
+    def _runs(self, data: np.ndarray, offsets: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each run, and how many each text has."""
+        if plain and self.lower:
+            data = _mapped(data, _LOWERED)
+        if plain and self.cut and len(data):
+            kind = _mapped(data, _KIND)
+            at = np.flatnonzero(_mapped(kind[:-1] * np.uint8(5) + kind[1:], _CUT)) + 1
+            data, offsets = np.insert(data, at, 32), offsets + np.searchsorted(at, offsets, "left")
+        texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.values.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        fresh = [r for r in distinct if r not in self.known]
         if len(self.known) + len(fresh) > self.REMEMBERED:
             self._clear()
-            fresh = list(new)
+            fresh = [r for r in distinct if r]
         if fresh:
             self._add(fresh)
-        get = self.known.__getitem__
-        index = np.concatenate([np.fromiter(map(get, r), np.int64, len(r)) for r in runs]) if runs else np.zeros(0, np.int64)
-        size = self.size[index]
-        ends = np.append(0, np.cumsum(size))
-        flat = self.flat[np.arange(ends[-1]) + np.repeat(self.start[index] - ends[:-1], size)] if len(index) else np.zeros(0, np.int32)
-        borders = ends[np.cumsum([len(r) for r in runs])] if runs else np.zeros(0, np.int64)
-        count = np.diff(np.append(0, borders)) + 1
-        return np.insert(flat, borders, END), count
+        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        return number.take(coded.indices.to_numpy()), np.diff(lists.offsets.to_numpy())
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For parts of the texts: the ids of their texts one after another, END behind each, and how many each has with it."""
+        special = pc.fill_null(pc.match_substring(texts, "<|"), False).to_numpy(zero_copy_only=False)
+        borders = [0, *(np.flatnonzero(special[1:] != special[:-1]) + 1).tolist(), len(special)]
+        for x, y in zip(borders[:-1], borders[1:]):
+            data, offsets = strings(texts.slice(x, y - x))
+            for _, _, part, off in byte_chunks(data, offsets, 1 << 22):
+                index, runs = self._runs(part, off, not special[x])
+                size = self.size.take(index)
+                ends = np.append(0, np.cumsum(size))
+                flat = self.flat.take(np.arange(ends[-1]) + np.repeat(self.start.take(index) - ends[:-1], size))
+                borders_ = ends[np.cumsum(runs)]
+                yield np.insert(flat, borders_, END), np.diff(borders_, prepend=0) + 1
 
 
 _words: dict[str, Words] = {}
@@ -336,19 +558,13 @@ def segment_batches(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa
 
     size = 0
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-        a = 0
-        while a < len(texts):
-            b, chars = a, 0
-            while b < len(texts) and (b == a or chars < 1 << 20):
-                chars += len(texts[b] or "")
-                b += 1
-            flat, count = words.encode([t or "" for t in texts[a:b]])
+        ids, a = batch.column("doc_id").to_pylist(), 0
+        for flat, count in words.encode(batch.column("text")):
             held.append(flat)
             counts.append(count)
-            docs += ids[a:b]
+            docs += ids[a : a + len(count)]
             size += len(flat)
-            a = b
+            a += len(count)
             if size >= SEGMENT:
                 yield segment()
                 seg, size, docs, counts, held = seg + 1, 0, [], [], []
@@ -378,9 +594,11 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataF
 
     Rows: part, seg (order), n (ids), doc_ids, counts (ids of each document, END included) and payload. A null or empty
     text has END alone. Null doc_ids come first; rows repeating a doc_id stay apart. An empty table gives no segments.
-    Text is shuffled once, by ranges of doc_id. `path` defaults to a folder of the shared scratch space."""
+    Text is shuffled once, by ranges of doc_id and of a hash of the text, so that one doc_id of many rows is split too.
+    `path` defaults to a folder of the shared scratch space."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     segments = ordered.mapInArrow(lambda it: segment_batches(it, tokenizer), "part long, seg long, n long, doc_ids array<long>, counts array<long>, payload binary")
     if path is None:
         return land(segments)
