@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import rasters
+from . import ordering, rasters
 
 # --- filters -----------------------------------------------------------------------------------------------------
 
@@ -72,6 +75,13 @@ def id_differences(px: DataFrame, segments: DataFrame, keys: tuple[str, ...] = (
     return a.join(b, list(keys), "left_anti").withColumn("side", F.lit("raster")).unionByName(b.join(a, list(keys), "left_anti").withColumn("side", F.lit("document")))
 
 
+def dataset_checks(tables: Mapping[str, DataFrame], categories: DataFrame, most: int = 254) -> DataFrame:
+    """(rule, value, passed): every table has rows, and the categories fit one byte beside void."""
+    counts = [df.agg(F.count("*").alias("value")).select(F.lit(f"{name} is not empty").alias("rule"), "value", (F.col("value") > 0).alias("passed")) for name, df in tables.items()]
+    counts.append(categories.agg(F.count("*").alias("value")).select(F.lit(f"at most {most} categories").alias("rule"), "value", (F.col("value") <= most).alias("passed")))
+    return reduce(DataFrame.unionByName, counts)
+
+
 # --- category maps -----------------------------------------------------------------------------------------------
 
 
@@ -141,9 +151,11 @@ def segment_objects(px: DataFrame, segments: DataFrame) -> DataFrame:
 def global_numbers(df: DataFrame, group: str, order: str, out: str, first: int = 1) -> DataFrame:
     """Numbers rows by (group, order) without one global sort: row numbers inside a group, plus the group's offset.
 
-    Offsets are a running sum over one row a group."""
-    per = df.groupBy(group).agg(F.count("*").alias("_n"))
-    offsets = per.withColumn("_before", F.sum("_n").over(Window.orderBy(group)) - F.col("_n")).drop("_n")
+    Offsets are prefix sums in two levels: within range partitions of one row a group, and over the partitions."""
+    per = ordering.ranged(df.groupBy(group).agg(F.count("*").alias("_n")), group)
+    parts = ordering.before_parts(per.groupBy("_part").agg(F.sum("_n").alias("_all")), [], {"_start": "_all"})
+    inside = F.sum("_n").over(Window.partitionBy("_part").orderBy(group)) - F.col("_n")
+    offsets = per.withColumn("_in", inside).join(F.broadcast(parts), "_part").select(group, (F.col("_start") + F.col("_in")).alias("_before"))
     own = F.row_number().over(Window.partitionBy(group).orderBy(order))
     return df.withColumn("_own", own).join(offsets, group).withColumn(out, F.col("_before") + F.col("_own") - 1 + first).drop("_own", "_before")
 

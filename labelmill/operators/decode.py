@@ -4,6 +4,8 @@ query_cls (image_id, q, c, logit), query_mask (image_id, q, y, x, logit), query_
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,15 +56,40 @@ def class_scores(query_cls: DataFrame, mode: str = "sigmoid", temperature: float
     return act.softmax_over(query_cls, ["image_id", "q"], F.col("logit"), "p").withColumn("_l", last).filter("c < _l").drop("_l")
 
 
-def semantic_scores(query_cls: DataFrame, query_mask: DataFrame, mode: str = "sigmoid", temperature: float = 0.06, eps: float = 0.0) -> DataFrame:
-    """Per pixel and class the sum over queries of class score times mask probability; eps > 0 leaves out weaker cells."""
+def class_sums(query_cls: DataFrame, query_mask: DataFrame, classes: Sequence[int] | None = None, mode: str = "sigmoid", temperature: float = 0.06, eps: float = 0.0) -> tuple[DataFrame, list[int]]:
+    """Per pixel one column s0, s1, ... for each class: the sum over queries of class score times mask probability.
+
+    The classes of a query lie side by side, so a mask pixel meets them once and pixels are shuffled once. Without
+    `classes` those of query_cls are asked for first; they are as many as the model has. eps > 0 leaves out weaker cells."""
+    if classes is None:
+        classes = sorted(r["c"] for r in query_cls.select("c").distinct().collect())
+    scores = class_scores(query_cls, mode, temperature).groupBy("image_id", "q")
+    wide = scores.agg(*[F.sum(F.when(F.col("c") == c, F.col("p")).otherwise(0.0)).alias(f"p{i}") for i, c in enumerate(classes)])
     mask = query_mask.select("image_id", "q", "y", "x", act.sigmoid(F.col("logit")).alias("m")).filter(F.col("m") >= eps)
-    cls = class_scores(query_cls, mode, temperature).select("image_id", "q", "c", "p")
-    return cls.join(mask, ["image_id", "q"]).groupBy("image_id", "y", "x", "c").agg(F.sum(F.col("p") * F.col("m")).alias("score"))
+    sums = [F.sum(F.col(f"p{i}") * F.col("m")).alias(f"s{i}") for i in range(len(classes))]
+    return mask.join(wide, ["image_id", "q"]).groupBy("image_id", "y", "x").agg(*sums), list(classes)
+
+
+def semantic_scores(query_cls: DataFrame, query_mask: DataFrame, classes: Sequence[int] | None = None, **how) -> DataFrame:
+    """(image_id, y, x, c, score) of `class_sums`."""
+    wide, classes = class_sums(query_cls, query_mask, classes, **how)
+    each = F.array(*[F.struct(F.lit(c).cast("bigint").alias("c"), F.col(f"s{i}").alias("score")) for i, c in enumerate(classes)])
+    return wide.select("image_id", "y", "x", F.inline(each))
+
+
+def semantic_labels(query_cls: DataFrame, query_mask: DataFrame, classes: Sequence[int] | None = None, decimals: int | None = None, **how) -> DataFrame:
+    """The best class of each pixel as `label`; ties to the smaller class. `decimals` rounds scores before the comparison."""
+    wide, classes = class_sums(query_cls, query_mask, classes, **how)
+    cols = [F.col(f"s{i}") if decimals is None else F.round(f"s{i}", decimals) for i in range(len(classes))]
+    label = F.lit(classes[-1])
+    best = F.greatest(*cols) if len(cols) > 1 else cols[0]
+    for c, s in list(zip(classes, cols))[-2::-1]:
+        label = F.when(s == best, F.lit(c)).otherwise(label)
+    return wide.select("image_id", "y", "x", label.cast("bigint").alias("label"))
 
 
 def argmax_label(scores: DataFrame, decimals: int | None = None) -> DataFrame:
-    """The best class of each pixel; ties to the smaller class. `decimals` rounds scores before the comparison."""
+    """The best class of each pixel of (image_id, y, x, c, score); ties to the smaller class."""
     s = F.col("score") if decimals is None else F.round("score", decimals)
     return scores.groupBy("image_id", "y", "x").agg(F.max_by("c", F.struct(s, -F.col("c"))).alias("label"))
 
@@ -73,13 +100,18 @@ def tta_average(views: DataFrame, width: Column) -> DataFrame:
     return back.groupBy("image_id", "y", "x", "c").agg(F.avg("score").alias("score"))
 
 
-def panoptic_merge(query_cls: DataFrame, query_mask: DataFrame, things: DataFrame, mask_threshold: float, overlap_threshold: float, transform_eval: bool = True, temperature: float = 0.06, no_object: int | None = None, decimals: int | None = 9) -> tuple[DataFrame, DataFrame]:
+_QUERY_BITS = 20
+
+
+def panoptic_merge(query_cls: DataFrame, query_mask: DataFrame, things: DataFrame, mask_threshold: float, overlap_threshold: float, transform_eval: bool = True, temperature: float = 0.06, no_object: int | None = None, decimals: int = 9) -> tuple[DataFrame, DataFrame]:
     """(pixels, segments) of a panoptic result; things: (c, isthing).
 
     Queries stay whose best sigmoid score passes the threshold (and whose class is an object). With transform_eval
-    score and class come from softmax(sigmoid / T). Each pixel goes to the query of best score times mask probability.
+    score and class come from softmax(sigmoid / T). Each pixel goes to the query of best score times mask probability,
+    at `decimals` (12 at most), ties to the smaller query (below 2**20).
     A query survives if enough of its mask is won; stuff of one class merges into its first survivor, and ids run in
-    the order of leaders. Painted are pixels won with probability at least one half; others are 0."""
+    the order of leaders. Painted are pixels won with probability at least one half; others are 0.
+    Value, query and mask bit of a cell are one number, so the winner of a pixel is a plain maximum."""
     best = F.max_by(F.struct("c", "p"), F.struct(F.col("p"), -F.col("c")))
     kept = class_scores(query_cls).groupBy("image_id", "q").agg(best.alias("b")).filter(F.col("b.p") > mask_threshold)
     if no_object is not None:
@@ -88,20 +120,20 @@ def panoptic_merge(query_cls: DataFrame, query_mask: DataFrame, things: DataFram
         soft = class_scores(query_cls.join(kept.select("image_id", "q"), ["image_id", "q"]), "softmax_t", temperature)
         kept = soft.groupBy("image_id", "q").agg(best.alias("b"))
     kept = kept.select("image_id", "q", F.col("b.c").alias("category_id"), F.col("b.p").alias("score"))
-    cells = query_mask.join(kept, ["image_id", "q"]).withColumn("m", act.sigmoid(F.col("logit")))
-    value = F.col("score") * F.col("m")
-    value = value if decimals is None else F.round(value, decimals)
-    won = cells.groupBy("image_id", "y", "x").agg(F.max_by(F.struct("q", "m"), F.struct(value, -F.col("q"))).alias("w")).select("image_id", "y", "x", F.col("w.q").alias("q"), F.col("w.m").alias("m"))
-    mine = won.groupBy("image_id", "q").agg(F.count("*").alias("mask_area"), F.count_if(F.col("m") >= 0.5).alias("final_area"))
-    whole = cells.groupBy("image_id", "q").agg(F.count_if(F.col("m") >= 0.5).alias("original_area"))
+    m, most = act.sigmoid(F.col("logit")), (1 << _QUERY_BITS) - 1
+    value = F.round(F.round(F.col("score") * F.col("m"), decimals) * 10**decimals).cast("bigint")
+    cells = query_mask.withColumn("m", m).join(kept.select("image_id", "q", "score"), ["image_id", "q"], "left")
+    on = (F.col("m") >= 0.5).cast("bigint")
+    won = cells.groupBy("image_id", "y", "x").agg(F.max(F.when(F.col("score").isNotNull(), value * 2 * (most + 1) + (most - F.col("q")) * 2 + on)).alias("w"))
+    won = won.select("image_id", "y", "x", (most - F.floor(F.pmod("w", F.lit(2 * (most + 1))) / 2)).cast("bigint").alias("q"), (F.col("w") % 2 == 1).alias("on"))
+    mine = won.filter("q is not null").groupBy("image_id", "q").agg(F.count("*").alias("mask_area"), F.count_if("on").alias("final_area"))
+    whole = query_mask.filter(m >= 0.5).groupBy("image_id", "q").agg(F.count("*").alias("original_area"))
     alive = (
-        kept.join(mine, ["image_id", "q"]).join(whole, ["image_id", "q"])
-        .filter("mask_area > 0 and original_area > 0 and final_area > 0").filter(F.col("mask_area") / F.col("original_area") >= overlap_threshold)
+        kept.join(mine, ["image_id", "q"]).join(whole, ["image_id", "q"]).filter("final_area > 0").filter(F.col("mask_area") / F.col("original_area") >= overlap_threshold)
         .join(things.select(F.col("c").alias("category_id"), "isthing"), "category_id")
     )
     leader = F.when(F.col("isthing") == 1, F.col("q")).otherwise(F.min("q").over(Window.partitionBy("image_id", "category_id")))
     led = alive.withColumn("leader", leader).withColumn("seg_id", F.dense_rank().over(Window.partitionBy("image_id").orderBy("leader")).cast("bigint"))
     segments = led.groupBy("image_id", "seg_id").agg(F.min("category_id").alias("category_id"), F.min("isthing").alias("isthing"), F.sum("final_area").alias("area"))
-    ids = led.select("image_id", "q", "seg_id")
-    pixels = query_mask.select("image_id", "y", "x").distinct().join(won.filter("m >= 0.5").join(ids, ["image_id", "q"]).select("image_id", "y", "x", "seg_id"), ["image_id", "y", "x"], "left")
-    return pixels.withColumn("seg_id", F.coalesce("seg_id", F.lit(0)).cast("bigint")), segments
+    pixels = won.withColumn("q", F.when(F.col("on"), F.col("q"))).join(led.select("image_id", "q", "seg_id"), ["image_id", "q"], "left")
+    return pixels.select("image_id", "y", "x", F.coalesce("seg_id", F.lit(0)).cast("bigint").alias("seg_id")), segments

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,21 +69,44 @@ def shortest_augmenting_paths(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def assign(costs: DataFrame) -> DataFrame:
-    """The least-cost one-to-one matching of each image: min(queries, truths) pairs of (image_id, q, gt_id, cost).
+def _solved(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (image_id, q, gt_id, cost) sorted by the first three: the pairs of each image; many images share a batch."""
+    held = None
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        image, q, gt, cost = (table.column(c).to_numpy() for c in ("image_id", "q", "gt_id", "cost"))
+        borders = np.append(np.flatnonzero(np.diff(image, prepend=image[0] - 1)), len(image))
+        rows = []
+        for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
+            qs, gs = np.unique(q[a:b]), np.unique(gt[a:b])
+            c = np.full((len(qs), len(gs)), np.nan)
+            c[np.searchsorted(qs, q[a:b]), np.searchsorted(gs, gt[a:b])] = cost[a:b]
+            flip = len(qs) > len(gs)
+            cols = shortest_augmenting_paths(c.T if flip else c)
+            qi, gi = (cols, np.arange(len(cols))) if flip else (np.arange(len(cols)), cols)
+            rows.append((np.full(len(cols), image[a]), qs[qi], gs[gi], c[qi, gi]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["image_id", "q", "gt_id", "cost"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        image = table.column("image_id").to_numpy()
+        if not len(image):
+            continue
+        cut = int(np.searchsorted(image, image[-1]))  # the last image may go on in the next batch
+        if cut:
+            yield solve(table.slice(0, cut))
+        held = table.slice(cut)
+    if held is not None and held.num_rows:
+        yield solve(held)
 
-    One image is one group; its size is bounded by the queries of the model, not by the data."""
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot(index="q", columns="gt_id", values="cost").sort_index().sort_index(axis=1)
-        c = table.to_numpy()
-        flip = c.shape[0] > c.shape[1]
-        cols = shortest_augmenting_paths(c.T if flip else c)
-        rows = np.arange(len(cols))
-        qi, gi = (cols, rows) if flip else (rows, cols)
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "q": table.index.to_numpy()[qi], "gt_id": table.columns.to_numpy()[gi], "cost": c[qi, gi]})
+def assign(costs: DataFrame) -> DataFrame:
+    """The least-cost one-to-one matching of each image: min(queries, truths) pairs of (image_id, q, gt_id, cost).
 
-    return costs.groupBy("image_id").applyInPandas(solve, "image_id long, q long, gt_id long, cost double")
+    Every query of an image needs a cost with each of its truths. An image is bounded by the queries of the model, not
+    by the data; the images of a partition are solved one after another from sorted batches."""
+    rows = costs.select(*[F.col(c).cast("bigint").alias(c) for c in ("image_id", "q", "gt_id")], F.col("cost").cast("double").alias("cost"))
+    return rows.repartition("image_id").sortWithinPartitions("image_id", "q", "gt_id").mapInArrow(_solved, "image_id long, q long, gt_id long, cost double")
 
 
 def box_pairs(gt: DataFrame, det: DataFrame, on: Sequence[str] = ("image_id", "category_id"), grid: float = 64.0) -> DataFrame:
@@ -110,33 +133,35 @@ def mask_pairs(gt_px: DataFrame, det_px: DataFrame, det: DataFrame, on: Sequence
 def greedy_match(pairs: DataFrame, det: DataFrame, thresholds: Sequence[float], on: Sequence[str] = ("image_id", "category_id")) -> DataFrame:
     """det rows for each threshold with gt_id, tp and ignored: by falling score each takes the free truth of highest v >= t.
 
-    pairs: as from box_pairs or mask_pairs; det: keys, det_id, score. Crowd truths are tried last and may absorb
-    several detections. Pairs without rivals match at once; one fold over the score-ordered candidates of an (image,
+    pairs: as from box_pairs or mask_pairs; det: keys, det_id, score. Truths to ignore (column `ignore` of pairs; else the
+    crowds) are tried last, and crowds may absorb several detections. Pairs without rivals match at once; one fold over the score-ordered candidates of an (image,
     category) does the rest."""
     on = list(on)
     least = float(min(thresholds))
+    if "ignore" not in pairs.columns:
+        pairs = pairs.withColumn("ignore", F.col("crowd"))
     rivals = F.count("*").over(Window.partitionBy(*on, "gt_id")) + F.count("*").over(Window.partitionBy(*on, "det_id"))
     pairs = pairs.filter(F.col("v") >= least).withColumn("free", (rivals == 2) & ~F.col("crowd"))
     every_t = F.array(*[F.lit(float(x)) for x in thresholds])
     free = pairs.filter("free").withColumn("t", F.explode(F.filter(every_t, lambda t: t <= F.col("v"))))  # matched whatever the others take
-    cand = pairs.filter("not free").groupBy(*on, "det_id", "score").agg(F.sort_array(F.collect_list(F.struct("crowd", (-F.col("v")).alias("neg"), "gt_id"))).alias("cands"))
+    cand = pairs.filter("not free").groupBy(*on, "det_id", "score").agg(F.sort_array(F.collect_list(F.struct("ignore", (-F.col("v")).alias("neg"), "gt_id", "crowd"))).alias("cands"))
     per = cand.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("negs"), "det_id", "cands"))).alias("dets"))
     at = per.withColumn("t", F.explode(every_t))
-    start = F.struct(F.array().cast("array<bigint>").alias("taken"), F.array().cast("array<struct<det_id:bigint,gt_id:bigint,crowd:boolean>>").alias("hits"))
+    start = F.struct(F.array().cast("array<bigint>").alias("taken"), F.array().cast("array<struct<det_id:bigint,gt_id:bigint,ignore:boolean>>").alias("hits"))
 
     def step(acc, row):
         free = F.filter(row["cands"], lambda c: (-c["neg"] >= F.col("t")) & (c["crowd"] | ~F.array_contains(acc["taken"], c["gt_id"])))
         pick = F.try_element_at(free, F.lit(1))
         found = F.size(free) > 0
         taken = F.when(found & ~pick["crowd"], F.concat(acc["taken"], F.array(pick["gt_id"]))).otherwise(acc["taken"])
-        hit = F.struct(row["det_id"].cast("bigint").alias("det_id"), pick["gt_id"].cast("bigint").alias("gt_id"), pick["crowd"].alias("crowd"))
+        hit = F.struct(row["det_id"].cast("bigint").alias("det_id"), pick["gt_id"].cast("bigint").alias("gt_id"), pick["ignore"].alias("ignore"))
         return F.struct(taken.alias("taken"), F.when(found, F.concat(acc["hits"], F.array(hit))).otherwise(acc["hits"]).alias("hits"))
 
-    hits = at.withColumn("r", F.aggregate("dets", start, step)).select(*on, "t", F.explode("r.hits").alias("h")).select(*on, "t", "h.det_id", "h.gt_id", "h.crowd")
-    hits = hits.unionByName(free.select(*on, "t", "det_id", "gt_id", "crowd"))
+    hits = at.withColumn("r", F.aggregate("dets", start, step)).select(*on, "t", F.explode("r.hits").alias("h")).select(*on, "t", "h.det_id", "h.gt_id", "h.ignore")
+    hits = hits.unionByName(free.select(*on, "t", "det_id", "gt_id", "ignore"))
     every = det.select(*on, "det_id", "score").withColumn("t", F.explode(every_t))
     out = every.join(hits, [*on, "t", "det_id"], "left")
-    return out.withColumn("tp", F.coalesce((~F.col("crowd")).cast("int"), F.lit(0))).withColumn("ignored", F.coalesce("crowd", F.lit(False))).drop("crowd")
+    return out.withColumn("tp", F.coalesce((~F.col("ignore")).cast("int"), F.lit(0))).withColumn("ignored", F.coalesce("ignore", F.lit(False))).drop("ignore")
 
 
 def unmatched(all_rows: DataFrame, matched: DataFrame, on: list[str]) -> DataFrame:

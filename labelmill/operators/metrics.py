@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import activations as act
+from . import ordering
 
 
 def confusion(px: DataFrame, ignore: int, void_index: int, gt: str = "gt", pred: str = "pred", weight: str | None = None) -> DataFrame:
@@ -45,6 +49,13 @@ def pq_stats(overlap: DataFrame, void: int) -> DataFrame:
     return hits.unionByName(misses).unionByName(alarms).groupBy("category_id").agg(*sums)
 
 
+def unknown_predictions(overlap: DataFrame, categories: DataFrame, void: int) -> DataFrame:
+    """(image_id, pred, pixels) of predicted segments that are void or of no known category: results that break the rules."""
+    pred = overlap.groupBy("image_id", "pred").agg(F.sum("n").alias("pixels"))
+    known = categories.select(F.col("category_id").alias("pred")).filter(F.col("pred") != void)
+    return pred.join(known, "pred", "left_anti").select("image_id", "pred", "pixels")
+
+
 def pq_classes(stats: DataFrame) -> DataFrame:
     """pq, sq and rq of each category that occurs."""
     weight = F.col("tp") + F.col("fp") / 2 + F.col("fn") / 2
@@ -101,19 +112,28 @@ def semantic_suite(conf: DataFrame, void_index: int) -> DataFrame:
 def precision_recall(matches: DataFrame, keys: list[str], ties: tuple[str, ...] = ("det_id",)) -> DataFrame:
     """Running precision and recall by falling score, with the non-increasing precision envelope.
 
-    matches: keys, score, tp (0/1), n_gt and the columns that order ties."""
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), *ties)
-    run = matches.withColumn("_tp", F.sum("tp").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
-    run = run.withColumn("recall", F.col("_tp") / F.col("n_gt")).withColumn("precision", F.col("_tp") / F.col("_n"))
-    back = Window.partitionBy(*keys).orderBy("score", *[F.col(c).desc() for c in ties]).rowsBetween(Window.unboundedPreceding, 0)  # a running maximum, in linear time
-    return run.withColumn("envelope", F.max("precision").over(back)).drop("_tp", "_n")
+    matches: keys, score, tp (0/1), n_gt and the columns that order ties. Rows lie in range partitions of the order;
+    counts run within a partition and over the partitions of a key, so no task holds a whole key."""
+    order = [F.col("score").desc(), *[F.col(c) for c in ties]]
+    rows = ordering.ranged(matches, *[F.col(k) for k in keys], *order)
+    totals = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_rows"), F.sum("tp").alias("_hits"))
+    start = ordering.before_parts(totals, keys, {"_n0": "_rows", "_tp0": "_hits"})
+    inside = Window.partitionBy(*keys, "_part")
+    w = inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.join(start, [*keys, "_part"]).withColumns({"_tp": F.col("_tp0") + F.sum("tp").over(w), "_n": F.col("_n0") + F.count("*").over(w)})
+    run = run.withColumns({"recall": F.col("_tp") / F.col("n_gt"), "precision": F.col("_tp") / F.col("_n"), "before": (F.col("_tp") - F.col("tp")) / F.col("n_gt")})
+    later = Window.partitionBy(*keys).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    peaks = run.groupBy(*keys, "_part").agg(F.max("precision").alias("_peak")).withColumn("_later", F.max("_peak").over(later)).drop("_peak")
+    back = inside.orderBy(F.col("score"), *[F.col(c).desc() for c in ties]).rowsBetween(Window.unboundedPreceding, 0)  # a running maximum, in linear time
+    out = run.join(peaks, [*keys, "_part"]).withColumn("envelope", F.greatest(F.max("precision").over(back), "_later"))
+    return out.drop("_part", "_n0", "_tp0", "_tp", "_n", "_later")
 
 
 def average_precision(matches: DataFrame, truth: DataFrame, keys: list[str], points: int = 101, ties: tuple[str, ...] = ("det_id",)) -> DataFrame:
     """ap and ar for each key with truth (keys, n_gt): precision at the first recall >= r, mean over r = 0, .01, ..."""
     curve = precision_recall(matches.join(truth, keys), keys, ties)
-    before = F.lag("recall").over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), *ties))
-    low = F.when(before.isNull(), 0).otherwise(F.floor(before * (points - 1) + 1e-9) + 1)
+    low = F.when(F.col("before") <= 0, 0).otherwise(F.floor(F.col("before") * (points - 1) + 1e-9) + 1)
+    low = F.when((F.col("before") <= 0) & (F.col("recall") <= 0), points).otherwise(low)  # nothing is reached before the first hit
     high = F.least(F.lit(points - 1), F.floor(F.col("recall") * (points - 1) + 1e-9))
     gained = curve.withColumn("_hits", F.greatest(F.lit(0), high - low + 1)).groupBy(*keys).agg((F.sum(F.col("envelope") * F.col("_hits")) / points).alias("ap"), F.max("recall").alias("ar"))
     return truth.join(gained, keys, "left").select(*keys, "n_gt", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("ar", F.lit(0.0)).alias("ar"))
@@ -139,6 +159,16 @@ def long_metrics(df: DataFrame, task: str) -> DataFrame:
     return df.select(F.explode(cells).alias("m")).select(F.lit(task).alias("task"), "m.metric", "m.value")
 
 
+def merged_branches(parts: Mapping[tuple[str, int | None], DataFrame]) -> DataFrame:
+    """One-row metric tables by (branch, layer) as rows (metric, branch, layer, value); metric ends in _branch and _layer."""
+    rows = []
+    for (branch, layer), df in parts.items():
+        end = (f"_{branch}" if branch else "") + ("" if layer is None else f"_{layer}")
+        named = long_metrics(df, "").withColumns({"metric": F.concat("metric", F.lit(end)), "branch": F.lit(branch), "layer": F.lit(layer).cast("int")})
+        rows.append(named.select("metric", "branch", "layer", "value"))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def weighted(metrics: DataFrame, weights: DataFrame) -> DataFrame:
     """Keeps the metrics that have a weight, multiplied by it."""
     return metrics.join(weights, "metric").withColumn("value", F.col("value") * F.col("weight")).drop("weight")

@@ -100,16 +100,27 @@ def union_masks(px: DataFrame, keys: list[str]) -> DataFrame:
     return px.select(*keys, "y", "x").distinct()
 
 
-def boundary_band(px: DataFrame, keys: list[str], distance: int) -> DataFrame:
-    """Mask pixels within `distance` of the outside: those whose (2d+1)-square is not full of mask pixels.
-
-    Erosion by two range windows, first along rows, then along columns; beyond the raster's edge counts as outside."""
-    side = 2 * distance + 1
-    row = Window.partitionBy(*keys, "y").orderBy("x").rangeBetween(-distance, distance)
-    full_rows = px.withColumn("_row", F.count("*").over(row))
-    col = Window.partitionBy(*keys, "x").orderBy("y").rangeBetween(-distance, distance)
-    full = F.sum(F.when(F.col("_row") == side, 1).otherwise(0)).over(col)
-    return full_rows.withColumn("_full", full).filter(F.col("_full") < side).drop("_row", "_full")
+def boundary_distance(height: Column, width: Column, ratio: float = 0.02) -> Column:
+    """Pixels of a boundary band: a share of the image's diagonal, at least 1."""
+    return F.greatest(F.lit(1), F.rint(ratio * F.sqrt(height * height + width * width)).cast("int"))
+
+
+def boundary_band(px: DataFrame, keys: list[str], distance: int | Column) -> DataFrame:
+    """Mask pixels within `distance` of the outside: those whose square of 2 * distance + 1 is not full of mask pixels.
+
+    The distance may differ by image. A square is full if along its column each pixel has the distance free on both
+    sides in its row; islands of consecutive pixels give the room in rows, then in columns. Beyond the raster's edge
+    counts as outside."""
+    df = px.withColumn("_d", F.lit(distance) if isinstance(distance, int) else distance)
+
+    def room(df: DataFrame, line: list[str], at: str) -> DataFrame:
+        island = F.col(at) - F.row_number().over(Window.partitionBy(*line).orderBy(at))
+        w = Window.partitionBy(*line, "_i")
+        return df.withColumn("_i", island).withColumn("_room", F.least(F.col(at) - F.min(at).over(w), F.max(at).over(w) - F.col(at)))
+
+    rows = room(df, [*keys, "y"], "x").withColumn("_ok", F.col("_room") >= F.col("_d"))
+    cols = room(rows, [*keys, "x", "_ok"], "y")
+    return cols.filter(~F.col("_ok") | (F.col("_room") < F.col("_d"))).drop("_d", "_i", "_room", "_ok")
 
 
 def rasterize_polygons(polygons: DataFrame, keys: list[str], points: str = "points") -> DataFrame:

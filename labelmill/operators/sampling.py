@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordering
+from .annotations import global_numbers
+
 
 def uniform(seed: int, *keys: Column) -> Column:
     """A number in [0, 1) from a hash of the keys."""
@@ -19,15 +22,12 @@ def lcg_uniform(key: Column, seed: int) -> Column:
 def stride_sample(df: DataFrame, fraction: float, order: str, group: str | None = None) -> DataFrame:
     """Every stride-th row in order, stride = 1 / fraction rounded half to even.
 
-    With `group` positions come from (group, order) by offsets of groups, without one global sort."""
+    Positions come from (group, order) by offsets of groups, or of range partitions; no task holds all rows."""
     if fraction >= 1:
         return df
     stride = round(1 / fraction)
     if group is None:
-        at = F.row_number().over(Window.orderBy(order)) - 1
-        return df.withColumn("_at", at).filter(F.col("_at") % stride == 0).drop("_at")
-    from .annotations import global_numbers
-
+        return ordering.numbered(df, [order], "_at").filter(F.col("_at") % stride == 0).drop("_at")
     return global_numbers(df, group, order, "_at", 0).filter(F.col("_at") % stride == 0).drop("_at")
 
 
@@ -58,7 +58,7 @@ def noise_annotations(gt: DataFrame, number: int = 100, scale: float = 0.4, num_
     A label changes with probability scale / 2; a box moves by up to half its size and grows by up to its size, times
     scale, clamped to [0, 1]. `slot` is position in image + replica * most. With `number` below the most objects the
     result is empty."""
-    w = Window.partitionBy("image_id").orderBy("gt_id")
+    w = Window.partitionBy("image_id").orderBy("gt_id", "cx", "cy", "w", "h", "label")
     placed = gt.withColumn("_at", F.row_number().over(w) - 1)
     if most is None:
         most = placed.agg(F.max("_at")).first()[0]

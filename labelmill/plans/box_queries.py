@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions import geometry as G
 from ..operators import annotations as ann
-from ..operators import boxes, matching, metrics, rasters, sampling
+from ..operators import boxes, coco, matching, metrics, rasters, sampling
 from ..sources import readers
 from ..streaming import frames as streams
 from .fixtures import frame, oracle
@@ -104,21 +104,70 @@ def _matches(spark: SparkSession, d: str, thresholds=THRESHOLDS) -> DataFrame:
 Q["greedy_matches"] = lambda s, d: _matches(s, d, (0.5, 0.75)).select("image_id", "category_id", "t", "det_id", "gt_id", "tp", "ignored")
 
 
+def _coco(spark: SparkSession, d: str, areas: dict[str, tuple[float, float]] = coco.AREAS) -> DataFrame:
+    size = ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area")
+    g, det = _gt(spark, d).withColumnRenamed("ann_id", "gt_id").select("*", size), _det(spark, d).select("*", size)
+    return coco.by_category(coco.matched(matching.box_pairs(g, det), det, g, areas=areas), coco.truths(g, areas))
+
+
 def box_ap(spark: SparkSession, d: str) -> DataFrame:
-    """COCO box AP and AR of each category and threshold, at most 100 detections an image."""
-    truth = ann.not_crowd(_gt(spark, d)).groupBy("category_id").agg(F.count("*").alias("n_gt"))
-    found = _matches(spark, d).filter(~F.col("ignored"))
-    per_t = truth.crossJoin(spark.createDataFrame([(float(t),) for t in THRESHOLDS], "t double"))
-    return metrics.average_precision(found, per_t, ["category_id", "t"], ties=("image_id", "det_id")).select("category_id", "t", "n_gt", F.round("ap", 6).alias("ap"), F.round("ar", 6).alias("ar"))
+    """COCO box AP and AR of each category and threshold, at most 100 detections of an image and category."""
+    return _coco(spark, d, {"all": coco.AREAS["all"]}).select("category_id", "t", "n_gt", F.round("ap", 6).alias("ap"), F.round("ar_100", 6).alias("ar"))
 
 
 Q["box_ap"] = box_ap
+Q["coco_box_by_category"] = lambda s, d: _coco(s, d).select("category_id", "range", "t", "n_gt", *[F.round(c, 6).alias(c) for c in ("ap", "ar_1", "ar_10", "ar_100")])
+Q["coco_box_summary"] = lambda s, d: coco.summary(_coco(s, d)).select("metric", F.round("value", 6).alias("value"))
+
+
+def _greedy_sql(ranges: str, thresholds: str) -> list[str]:
+    """Greedy matching as recursion: the n-th detection of an image, category and range takes what the ones before it left."""
+    return [
+        f"ar as (select * from (values {ranges}) v(range_, lo, hi))", f"th as (select cast(unnest([{thresholds}]) as double) as t)",
+        "ga as (select g.*, range_, (x1-x0)*(y1-y0)<lo or (x1-x0)*(y1-y0)>hi as outside from gt_box g cross join ar)",
+        "da as (select d.*, range_, (x1-x0)*(y1-y0)<lo or (x1-x0)*(y1-y0)>hi as outside, row_number() over (partition by image_id, category_id, range_ order by score desc, det_id) as rank from det_box d cross join ar)",
+        f"""pr as (select * from (select a.image_id, a.category_id, a.range_, b.det_id, b.score, a.ann_id as gt_id, a.iscrowd=1 as crowd, a.iscrowd=1 or a.outside as ign,
+ round(case when a.iscrowd=1 then {_INTER}/((b.x1-b.x0)*(b.y1-b.y0)) else {_INTER}/{_UNION} end,12) as v from ga a join da b on a.image_id=b.image_id and a.category_id=b.category_id and a.range_=b.range_ and b.rank<=100) z where v>=0.5)""",
+        "cd as (select *, row_number() over (partition by image_id, category_id, range_ order by score desc, det_id) as n from (select image_id, category_id, range_, det_id, score, list({'ign': ign, 'v': v, 'gt': gt_id, 'crowd': crowd} order by ign, v desc, gt_id) as cs from pr group by all) z)",
+        """rc as (select image_id, category_id, range_, t, cast(0 as bigint) as n, cast(null as bigint) as det_id, cast([] as bigint[]) as taken, cast(null as struct(ign boolean, v double, gt bigint, crowd boolean)) as pick from (select distinct image_id, category_id, range_ from cd) k cross join th
+ union all select image_id, category_id, range_, t, n, det_id, case when pick is not null and not pick.crowd then list_append(taken, pick.gt) else taken end, pick
+ from (select c.image_id, c.category_id, c.range_, r.t, c.n, c.det_id, r.taken, list_filter(c.cs, lambda x: x.v>=r.t and (x.crowd or not list_contains(r.taken, x.gt)))[1] as pick
+ from rc r join cd c on c.image_id=r.image_id and c.category_id=r.category_id and c.range_=r.range_ and c.n=r.n+1) z)""",
+        "mt as (select d.image_id, d.category_id, d.range_, t, d.det_id, d.score, d.rank, r.pick.gt as gt_id, case when r.pick is not null and not r.pick.ign then 1 else 0 end as tp, coalesce(r.pick.ign, d.outside) as ignored from da d cross join th left join rc r using (image_id, category_id, range_, t, det_id) where d.rank<=100)",
+    ]
+
+
+_RANGES = "('all',0.0,1e10),('small',0.0,1024.0),('medium',1024.0,9216.0),('large',9216.0,1e10)"
+_TEN = ",".join(f"{t:.2f}" for t in THRESHOLDS)
+_BY_CATEGORY = [
+    *_greedy_sql(_RANGES, _TEN), "nt as (select category_id, range_, count(*) as n_gt from ga where iscrowd=0 and not outside group by all)",
+    "kt as (select * from nt cross join th)",
+    "cu as (select m.*, n_gt, sum(tp) over w as s, row_number() over w as r from mt m join nt using (category_id, range_) where not ignored window w as (partition by category_id, range_, t order by score desc, image_id, det_id rows unbounded preceding))",
+    "hi as (select category_id, range_, t, cast(floor(s/n_gt*100+1e-9) as bigint) as q, max(s/r) as p from cu group by all)",
+    "pt as (select category_id, range_, t, q.q, max(p) as p from hi join (select range as q from range(101)) q on hi.q>=q.q group by all)",
+    "ap as (select category_id, range_, t, sum(p)/101 as ap from pt group by all)",
+    "re as (select category_id, range_, t, sum(case when rank<=1 then tp else 0 end) as h1, sum(case when rank<=10 then tp else 0 end) as h10, sum(tp) as h100 from cu group by all)",
+    "bc as (select category_id, range_, t, n_gt, coalesce(ap,0.0) as ap, coalesce(h1,0)/n_gt as ar_1, coalesce(h10,0)/n_gt as ar_10, coalesce(h100,0)/n_gt as ar_100 from kt left join ap using (category_id, range_, t) left join re using (category_id, range_, t))",
+]
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+SQL["greedy_matches"] = _recursive(oracle(("det_box",), "select image_id, category_id, t, det_id, gt_id, tp, ignored from mt", *_greedy_sql("('all',0.0,1e10)", "0.5,0.75")))
+SQL["box_ap"] = _recursive(oracle(("det_box",), "select category_id, t, n_gt, round(ap,6) as ap, round(ar_100,6) as ar from bc where range_='all'", *_BY_CATEGORY))
+SQL["coco_box_by_category"] = _recursive(oracle(("det_box",), 'select category_id, range_ as "range", t, n_gt, round(ap,6) as ap, round(ar_1,6) as ar_1, round(ar_10,6) as ar_10, round(ar_100,6) as ar_100 from bc', *_BY_CATEGORY))
+SQL["coco_box_summary"] = _recursive(oracle(
+    ("det_box",), "select metric, round(coalesce(value,-1.0),6) as value from (" + " union all ".join(
+        f"select '{n}' as metric, avg({c}) as value from bc where range_='{a}'" + (f" and t={t}" if t else "")
+        for n, c, a, t in (("AP", "ap", "all", 0), ("AP50", "ap", "all", 0.5), ("AP75", "ap", "all", 0.75), ("APs", "ap", "small", 0), ("APm", "ap", "medium", 0), ("APl", "ap", "large", 0), ("AR1", "ar_1", "all", 0), ("AR10", "ar_10", "all", 0), ("AR100", "ar_100", "all", 0), ("ARs", "ar_100", "small", 0), ("ARm", "ar_100", "medium", 0), ("ARl", "ar_100", "large", 0))) + ") z", *_BY_CATEGORY))
 
 
 def precision_recall(spark: SparkSession, d: str) -> DataFrame:
     """The curve of detections that hit the truth of their own id."""
     g = ann.not_crowd(_gt(spark, d)).select("image_id", F.col("ann_id").alias("det_id"), F.col("category_id").alias("gt_category"))
-    found = _det(spark, d).join(g, ["image_id", "det_id"]).withColumn("tp", (F.col("category_id") == F.col("gt_category")).cast("int")).withColumn("n_gt", F.lit(10000))
+    found = _det(spark, d).join(g, ["image_id", "det_id"]).withColumn("tp", (F.col("category_id") == F.col("gt_category")).cast("int")).join(ann.not_crowd(_gt(spark, d)).groupBy("category_id").agg(F.count("*").alias("n_gt")), "category_id")
     curve = metrics.precision_recall(found, ["category_id"], ("image_id", "det_id"))
     return curve.select("category_id", "image_id", "det_id", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), F.round("envelope", 6).alias("envelope"))
 
@@ -127,7 +176,7 @@ Q["precision_recall"] = precision_recall
 SQL["precision_recall"] = oracle(
     ("det_box",), "select category_id, image_id, det_id, round(recall,6) as recall, round(p,6) as precision, round(max(p) over (partition by category_id order by score desc, image_id, det_id rows between current row and unbounded following),6) as envelope from c",
     "f as (select d.*, case when d.category_id=g.category_id then 1 else 0 end as tp from det_box d join gt_box g on g.ann_id=d.det_id and g.image_id=d.image_id where g.iscrowd=0)",
-    "c as (select *, sum(tp) over w/10000 as recall, sum(tp) over w/row_number() over w as p from f window w as (partition by category_id order by score desc, image_id, det_id rows between unbounded preceding and current row))",
+    "n as (select category_id, count(*) as n_gt from gt_box where iscrowd=0 group by 1)", "c as (select f.*, sum(tp) over w/n_gt as recall, sum(tp) over w/row_number() over w as p from f join n using (category_id) window w as (partition by category_id order by score desc, image_id, det_id rows between unbounded preceding and current row))",
 )
 Q["unmatched_truth"] = lambda s, d: matching.unmatched(_gt(s, d).select("ann_id", "image_id"), _det(s, d).select(F.col("det_id").alias("ann_id")), ["ann_id"])
 SQL["unmatched_truth"] = oracle(("det_box",), "select ann_id, image_id from gt_box where ann_id not in (select det_id from det_box)")
@@ -199,7 +248,7 @@ def _u(key: str, seed: int) -> str:
 
 
 def _norm(spark: SparkSession, d: str) -> DataFrame:
-    g = _gt(spark, d).filter("image_id % 10 = 0")
+    g = _gt(spark, d)
     return g.select("image_id", F.col("ann_id").alias("gt_id"), F.col("category_id").alias("label"), *[c.alias(n) for c, n in zip(G.normalised(G.xyxy_to_cxcywh(G.columns()), F.lit(500.0), F.lit(400.0)), ("cx", "cy", "w", "h"))])
 
 
@@ -209,7 +258,7 @@ SQL["noised_annotations"] = oracle(
     ("gt_box",), "select image_id, gt_id, replica, at_+replica*20 as slot, "
     f"cast(case when {_u(_K, 7)}<0.2 then floor({_u(_K, 8)}*5) else label end as bigint) as label, "
     + ", ".join(f"round(greatest(0.0,least(1.0,{c}+({_u(_K, 3 + i)}*2-1)*0.4*{side})),6) as {c}" for i, (c, side) in enumerate((("cx", "w/2"), ("cy", "h/2"), ("w", "w"), ("h", "h")))) + " from r",
-    "n as (select image_id, ann_id as gt_id, category_id as label, (x0+x1)/2/500.0 as cx, (y0+y1)/2/400.0 as cy, (x1-x0)/500.0 as w, (y1-y0)/400.0 as h, row_number() over (partition by image_id order by ann_id)-1 as at_ from gt_box where image_id%10=0)",
+    "n as (select image_id, ann_id as gt_id, category_id as label, (x0+x1)/2/500.0 as cx, (y0+y1)/2/400.0 as cy, (x1-x0)/500.0 as w, (y1-y0)/400.0 as h, row_number() over (partition by image_id order by ann_id, (x0+x1)/2/500.0, (y0+y1)/2/400.0, (x1-x0)/500.0, (y1-y0)/400.0, category_id)-1 as at_ from gt_box)",
     "r as (select n.*, t.replica from n cross join (select range as replica from range(3)) t)",
 )
 Q["stride_sample"] = lambda s, d: sampling.stride_sample(frame(s, d, "frames").select("stream_id", "event_id"), 0.3, "event_id", "stream_id")
@@ -221,17 +270,17 @@ SQL["topk_by_best_class"] = "select label, vec_id, round(cast(best as double),6)
 def crops(spark: SparkSession, d: str) -> DataFrame:
     px = frame(spark, d, "px").select("image_id", "y", "x", F.col("gt").alias("label"))
     tries = px.select("image_id").distinct().crossJoin(spark.range(4).withColumnRenamed("id", "attempt"))
-    at = [(F.col("image_id") * 7 + F.col("attempt") * m) % 17 for m in (5, 3)]
-    tries = tries.select("image_id", "attempt", at[0].alias("cx0"), at[1].alias("cy0"), (at[0] + 15).alias("cx1"), (at[1] + 15).alias("cy1"))
-    return sampling.accepted_crop(px, tries, 0.32).select("image_id", "attempt", "fit")
+    at = [(F.col("image_id") * 7 + F.col("attempt") * m) % 4 for m in (5, 3)]
+    tries = tries.select("image_id", "attempt", at[0].alias("cx0"), at[1].alias("cy0"), (at[0] + 5).alias("cx1"), (at[1] + 5).alias("cy1"))
+    return sampling.accepted_crop(px, tries, 0.45).select("image_id", "attempt", "fit")
 
 
 Q["accepted_crops"] = crops
 SQL["accepted_crops"] = oracle(
     ("px",), "select image_id, attempt, fit from (select *, row_number() over (partition by image_id order by fit desc, case when fit then attempt else -attempt end) as r from j) z where r=1",
-    "t as (select i.image_id, a.attempt, (i.image_id*7+a.attempt*5)%17 as cx0, (i.image_id*7+a.attempt*3)%17 as cy0 from (select distinct image_id from px) i cross join (select range as attempt from range(4)) a)",
-    "n as (select t.image_id, attempt, gt, count(*) as n from t join px p on p.image_id=t.image_id and gt<>255 and x>=cx0 and x<cx0+15 and y>=cy0 and y<cy0+15 group by all)",
-    "j as (select image_id, attempt, count(*)>1 and max(n)/sum(n)<0.32 as fit from n group by 1, 2)",
+    "t as (select i.image_id, a.attempt, (i.image_id*7+a.attempt*5)%4 as cx0, (i.image_id*7+a.attempt*3)%4 as cy0 from (select distinct image_id from px) i cross join (select range as attempt from range(4)) a)",
+    "n as (select t.image_id, attempt, gt, count(*) as n from t join px p on p.image_id=t.image_id and gt<>255 and x>=cx0 and x<cx0+5 and y>=cy0 and y<cy0+5 group by all)",
+    "j as (select image_id, attempt, count(*)>1 and max(n)/sum(n)<0.45 as fit from n group by 1, 2)",
 )
 
 # --- frames ------------------------------------------------------------------------------------------------------

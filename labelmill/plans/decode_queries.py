@@ -9,7 +9,7 @@ from ..functions import activations as act
 from ..functions import codes
 from ..operators import decode, matching, metrics, sampling
 from . import catalog
-from .fixtures import frame, oracle
+from .fixtures import SIDE, frame, oracle
 from .raster_queries import _IOU, _PQ, CLASSES, _confusion, _stats
 
 Q: dict = {}
@@ -39,13 +39,13 @@ SQL["mask_quality"] = oracle(("query_mask",), "select image_id, q, round(quality
 
 
 def topk_instances(spark: SparkSession, d: str) -> DataFrame:
-    top = decode.topk_instances(_cls(spark, d), _mask(spark, d), frame(spark, d, "query_box"), 10, _things(spark), width=32.0, height=32.0)
+    top = decode.topk_instances(_cls(spark, d), _mask(spark, d), frame(spark, d, "query_box"), 10, _things(spark), width=float(SIDE), height=float(SIDE))
     return top.select("image_id", "q", "c", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"), "mask_area", "x0", "y0", "x1", "y1")
 
 
 Q["topk_instances"] = topk_instances
 SQL["topk_instances"] = oracle(
-    ("query_cls", "query_mask", "query_box"), f"select tk.image_id, tk.q, tk.c, tk.rank, round(({_S})*quality,6) as score, mask_area, (cx-w/2)*32 as x0, (cy-h/2)*32 as y0, (cx+w/2)*32 as x1, (cy+h/2)*32 as y1 from tk join ql using (image_id, q) join query_box b using (image_id, q) where tk.c<3", _TOP, _QUAL
+    ("query_cls", "query_mask", "query_box"), f"select tk.image_id, tk.q, tk.c, tk.rank, round(({_S})*quality,6) as score, mask_area, (cx-w/2)*8 as x0, (cy-h/2)*8 as y0, (cx+w/2)*8 as x1, (cy+h/2)*8 as y1 from tk join ql using (image_id, q) join query_box b using (image_id, q) where tk.c<3", _TOP, _QUAL
 )
 for _mode, _p in (
     ("sigmoid", f"pc as (select image_id, q, c, {_S} as p from query_cls)"),
@@ -60,22 +60,22 @@ _SEM = f"se as (select k.image_id, y, x, c, sum(p*({_SIG.format('m.logit')})) as
 
 
 def _semantic(spark: SparkSession, d: str) -> DataFrame:
-    return decode.semantic_scores(_cls(spark, d), _mask(spark, d))
+    return decode.semantic_scores(_cls(spark, d), _mask(spark, d), range(6))
 
 
 Q["semantic_scores"] = lambda s, d: _semantic(s, d).groupBy("image_id", "c").agg(F.round(F.sum("score"), 4).alias("total"), F.round(F.max("score"), 6).alias("peak"))
 SQL["semantic_scores"] = oracle(("query_cls", "query_mask"), "select image_id, c, round(sum(score),4) as total, round(max(score),6) as peak from se group by 1, 2", _PC, _SEM)
-Q["semantic_labels"] = lambda s, d: decode.argmax_label(_semantic(s, d), 9).groupBy("image_id", "label").agg(F.count("*").alias("area"))
+Q["semantic_labels"] = lambda s, d: decode.semantic_labels(_cls(s, d), _mask(s, d), range(6), 9).groupBy("image_id", "label").agg(F.count("*").alias("area"))
 SQL["semantic_labels"] = oracle(("query_cls", "query_mask"), "select image_id, label, count(*) as area from (select image_id, y, x, c as label from (select *, row_number() over (partition by image_id, y, x order by round(score,9) desc, c) as r from se) z where r=1) v group by 1, 2", _PC, _SEM)
 
 
 def tta(spark: SparkSession, d: str) -> DataFrame:
-    views = _mask(spark, d).filter("q < 2").select("image_id", "y", "x", F.lit(0).alias("c"), F.col("q").alias("view"), (F.col("q") == 1).alias("flipped"), act.sigmoid(F.col("logit")).alias("score"))
-    return decode.tta_average(views, F.lit(32)).groupBy("image_id", "x").agg(F.round(F.sum("score"), 6).alias("score"))
+    views = _mask(spark, d).select("image_id", "y", "x", F.lit(0).alias("c"), F.col("q").alias("view"), (F.col("q") % 2 == 1).alias("flipped"), act.sigmoid(F.col("logit")).alias("score"))
+    return decode.tta_average(views, F.lit(SIDE)).groupBy("image_id", "x").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
 Q["tta_average"] = tta
-SQL["tta_average"] = oracle(("query_mask",), f"select image_id, x, round(sum(s),6) as score from (select image_id, y, case when q=1 then 31-x else x end as x, avg({_S}) as s from query_mask where q<2 group by 1, 2, 3) z group by 1, 2")
+SQL["tta_average"] = oracle(("query_mask",), f"select image_id, x, round(sum(s),6) as score from (select image_id, y, case when q%2=1 then 7-x else x end as x, avg({_S}) as s from query_mask group by 1, 2, 3) z group by 1, 2")
 
 
 def _panoptic(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -94,15 +94,15 @@ _PAN = [
 ]
 Q["panoptic_merge_segments"] = lambda s, d: _panoptic(s, d)[1].select("image_id", "seg_id", "category_id", F.col("isthing").cast("bigint").alias("isthing"), "area")
 SQL["panoptic_merge_segments"] = oracle(("query_cls", "query_mask"), "select image_id, seg_id, min(c) as category_id, cast(min(case when c<3 then 1 else 0 end) as bigint) as isthing, cast(sum(f) as bigint) as area from ld group by 1, 2", *_PAN)
-Q["panoptic_merge_pixels"] = lambda s, d: _panoptic(s, d)[0].groupBy("image_id", "seg_id").agg(F.count("*").alias("painted"), F.sum(F.col("y") * 32 + F.col("x")).alias("place"))
-SQL["panoptic_merge_pixels"] = oracle(("query_cls", "query_mask"), "select image_id, seg_id, count(*) as painted, cast(sum(y*32+x) as bigint) as place from (select g.image_id, g.y, g.x, coalesce(l.seg_id, 0) as seg_id from (select distinct image_id, y, x from query_mask) g left join (select * from wo where m>=0.5) w using (image_id, y, x) left join ld l on l.image_id=g.image_id and l.q=w.q) z group by 1, 2", *_PAN)
+Q["panoptic_merge_pixels"] = lambda s, d: _panoptic(s, d)[0].groupBy("image_id", "seg_id").agg(F.count("*").alias("painted"), F.sum(F.col("y") * SIDE + F.col("x")).alias("place"))
+SQL["panoptic_merge_pixels"] = oracle(("query_cls", "query_mask"), "select image_id, seg_id, count(*) as painted, cast(sum(y*8+x) as bigint) as place from (select g.image_id, g.y, g.x, coalesce(l.seg_id, 0) as seg_id from (select distinct image_id, y, x from query_mask) g left join (select * from wo where m>=0.5) w using (image_id, y, x) left join ld l on l.image_id=g.image_id and l.q=w.q) z group by 1, 2", *_PAN)
 
 # --- matching to truth -------------------------------------------------------------------------------------------
-_T = "(select image_id, q as gt_id, (q*2+image_id)%6 as label, (cx+0.01)*0.9 as cx, cy*0.95 as cy, w, h*1.1 as h from query_box where q<3)"
+_T = "(select image_id, q as gt_id, (q*2+image_id)%6 as label, (cx+0.01)*0.9 as cx, cy*0.95 as cy, w, h*1.1 as h from query_box)"
 
 
 def _truth(spark: SparkSession, d: str) -> DataFrame:
-    return frame(spark, d, "query_box").filter("q < 3").select("image_id", F.col("q").alias("gt_id"), ((F.col("q") * 2 + F.col("image_id")) % 6).alias("label"), ((F.col("cx") + 0.01) * 0.9).alias("cx"), (F.col("cy") * 0.95).alias("cy"), "w", (F.col("h") * 1.1).alias("h"))
+    return frame(spark, d, "query_box").select("image_id", F.col("q").alias("gt_id"), ((F.col("q") * 2 + F.col("image_id")) % 6).alias("label"), ((F.col("cx") + 0.01) * 0.9).alias("cx"), (F.col("cy") * 0.95).alias("cy"), "w", (F.col("h") * 1.1).alias("h"))
 
 
 def _costs(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +120,7 @@ SQL["match_costs"] = oracle(
 )
 Q["optimal_assignment"] = lambda s, d: matching.assign(_costs(s, d)).groupBy("image_id").agg(F.count("*").alias("pairs"), F.round(F.sum("cost"), 5).alias("total"))
 SQL["optimal_assignment"] = oracle(
-    ("query_cls", "query_box"), "select a.image_id, cast(3 as bigint) as pairs, round(min(a.c+b.c+d.c),5) as total from k a join k b on a.image_id=b.image_id and a.gt_id=0 and b.gt_id=1 and a.q<>b.q join k d on d.image_id=a.image_id and d.gt_id=2 and d.q<>a.q and d.q<>b.q group by 1",
+    ("query_cls", "query_box"), "select a.image_id, cast(4 as bigint) as pairs, round(min(a.c+b.c+d.c+e.c),5) as total from k a join k b on a.image_id=b.image_id and a.gt_id=0 and b.gt_id=1 and a.q<>b.q join k d on d.image_id=a.image_id and d.gt_id=2 and d.q<>a.q and d.q<>b.q join k e on e.image_id=a.image_id and e.gt_id=3 and e.q not in (a.q,b.q,d.q) group by 1",
     f"""j as (select b.image_id, b.q, t.gt_id, {_SIG.format('k.logit')} as s, abs(b.cx-t.cx)+abs(b.cy-t.cy)+abs(b.w-t.w)+abs(b.h-t.h) as l1, {_I} as i, b.w*b.h+t.w*t.h-{_I} as u, {_HL} as hl
  from query_box b join {_T} t on t.image_id=b.image_id join query_cls k on k.image_id=b.image_id and k.q=b.q and k.c=t.label)""",
     f"k as (select image_id, q, gt_id, 4*{_CC}+5*l1-2*(i/(u+1e-6)-(hl-u)/(hl+1e-6)) as c from j)",
@@ -128,25 +128,25 @@ SQL["optimal_assignment"] = oracle(
 
 
 def _points(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    m = _mask(spark, d).filter("(x + y) % 4 = 0").withColumn("p", F.col("y") * 32 + F.col("x"))
-    t = m.filter("q < 3").select("image_id", "p", F.col("q").alias("gt_id"), (F.col("logit") + F.col("x") % 3 - 1 > 0).cast("double").alias("t"))
+    m = _mask(spark, d).withColumn("p", F.col("y") * SIDE + F.col("x"))
+    t = m.select("image_id", "p", F.col("q").alias("gt_id"), (F.col("logit") + F.col("x") % 3 - 1 > 0).cast("double").alias("t"))
     return m.select("image_id", "p", "q", "logit"), t
 
 
-_PT = "m as (select image_id, y*32+x as p, q, x, logit from query_mask where (x+y)%4=0)"
+_PT = "m as (select image_id, y*8+x as p, q, x, logit from query_mask)"
 _BCE = "greatest(m.logit,0.0)-m.logit*t+ln(1+exp(-abs(m.logit)))"
 Q["mask_pair_costs"] = lambda s, d: matching.mask_pair_costs(*_points(s, d)).select("image_id", "q", "gt_id", F.round("dice", 6).alias("dice"), F.round("bce", 6).alias("bce"))
 SQL["mask_pair_costs"] = oracle(
     ("query_mask",), f"select m.image_id, m.q, g.gt_id, round(1.0-(2*sum({_SIG.format('m.logit')}*t)+1)/(sum({_SIG.format('m.logit')})+sum(t)+1),6) as dice, round(avg({_BCE}),6) as bce from m join g on g.image_id=m.image_id and g.p=m.p group by 1, 2, 3",
-    _PT, "g as (select image_id, p, q as gt_id, case when logit+x%3-1>0 then 1.0 else 0.0 end as t from m where q<3)",
+    _PT, "g as (select image_id, p, q as gt_id, case when logit+x%3-1>0 then 1.0 else 0.0 end as t from m)",
 )
 Q["mask_losses"] = lambda s, d: metrics.mask_losses(_points(s, d)[0].join(_points(s, d)[1].withColumnRenamed("gt_id", "q"), ["image_id", "p", "q"]), ["image_id", "q"], "logit", "t").select("image_id", "q", F.round("dice", 6).alias("dice"), F.round("bce", 6).alias("bce"))
-SQL["mask_losses"] = oracle(("query_mask",), f"select image_id, q, round(1.0-(2*sum(({_SIG.format('m.logit')})*t)+1)/(sum({_SIG.format('m.logit')})+sum(t)+1),6) as dice, round(avg({_BCE}),6) as bce from (select *, case when logit+x%3-1>0 then 1.0 else 0.0 end as t from m where q<3) m group by 1, 2", _PT)
+SQL["mask_losses"] = oracle(("query_mask",), f"select image_id, q, round(1.0-(2*sum(({_SIG.format('m.logit')})*t)+1)/(sum({_SIG.format('m.logit')})+sum(t)+1),6) as dice, round(avg({_BCE}),6) as bce from (select *, case when logit+x%3-1>0 then 1.0 else 0.0 end as t from m) m group by 1, 2", _PT)
 
 
 def box_losses(spark: SparkSession, d: str) -> DataFrame:
     box = frame(spark, d, "query_box")
-    pairs = matching.gather(box.filter("q < 3").select("image_id", "q", F.col("q").alias("gt_id")), box, _truth(spark, d))
+    pairs = matching.gather(box.select("image_id", "q", F.col("q").alias("gt_id")), box, _truth(spark, d))
     return matching.box_losses(pairs, 3).select(F.round("loss_bbox", 6).alias("loss_bbox"), F.round("loss_giou", 6).alias("loss_giou"))
 
 
@@ -169,22 +169,22 @@ SQL["weighted_cross_entropy"] = oracle(
 
 
 def uncertain(spark: SparkSession, d: str) -> DataFrame:
-    points = _mask(spark, d).filter("q = 0").withColumn("p", F.col("y") * 32 + F.col("x"))
-    draw = lambda k, s: sampling.lcg_uniform((F.col("image_id") * 1024 + k).cast("bigint"), s)
-    return sampling.uncertainty_sample(points, ["image_id"], F.col("p"), 100, seed=3, draw=draw).select("image_id", "p", "important")
+    points = _mask(spark, d).withColumn("p", F.col("y") * SIDE + F.col("x"))
+    draw = lambda k, s: sampling.lcg_uniform(((F.col("image_id") * 4 + F.col("q")) * 64 + k).cast("bigint"), s)
+    return sampling.uncertainty_sample(points, ["image_id", "q"], F.col("p"), 16, seed=3, draw=draw).select("image_id", "q", "p", "important")
 
 
 Q["uncertainty_sample"] = uncertain
 
 
 def _lcg(seed: int) -> str:
-    return f"cast(((((image_id*1024+p)%1000003)*69069+{seed}*362437)%1048573) as double)/1048573.0"
+    return f"cast((((((image_id*4+q)*64+p)%1000003)*69069+{seed}*362437)%1048573) as double)/1048573.0"
 
 
 SQL["uncertainty_sample"] = oracle(
-    ("query_mask",), "select image_id, p, sure as important from (select *, row_number() over (partition by image_id order by sure, v, p) as n from c3) z where sure or n<=25",
-    "c1 as (select image_id, y*32+x as p, logit from query_mask where q=0)", f"c2 as (select *, row_number() over (partition by image_id order by {_lcg(3)}, p)<=300 as cand from c1)",
-    f"c3 as (select *, cand and row_number() over (partition by image_id order by not cand, abs(logit), p)<=75 as sure, {_lcg(4)} as v from c2)",
+    ("query_mask",), "select image_id, q, p, sure as important from (select *, row_number() over (partition by image_id, q order by sure, v, p) as n from c3) z where sure or n<=4",
+    "c1 as (select image_id, q, y*8+x as p, logit from query_mask)", f"c2 as (select *, row_number() over (partition by image_id, q order by {_lcg(3)}, p)<=48 as cand from c1)",
+    f"c3 as (select *, cand and row_number() over (partition by image_id, q order by not cand, abs(logit), p)<=12 as sure, {_lcg(4)} as v from c2)",
 )
 
 # --- reports and codes -------------------------------------------------------------------------------------------

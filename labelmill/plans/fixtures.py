@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-BASE = ("orders", "lineitem", "events")
-_GRID = "cross join (select {r} as x from range(32)) t cross join (select {r} as y from range(32)) u"
-_BLOCK = "(cast(floor(t.x/8) as bigint)+cast(floor(u.y/8) as bigint)*4+o_custkey)%10"
-_IMAGE = "cast(floor(o_orderkey/100) as bigint)"
+BASE = ("orders", "lineitem", "events", "part")
+#: An image is four consecutive orders. Each order is one 4 x 4 tile of its rasters, and one query of its saved outputs.
+SIDE, QUERIES = 8, 4
+_IMAGE, _SLOT = "cast(floor(o_orderkey/4) as bigint)", "(o_orderkey%4)"
+_TILE = "cross join (select {r} as dx from range(4)) t cross join (select {r} as dy from range(4)) u"
+_GRID = "cross join (select {r} as x from range(8)) t cross join (select {r} as y from range(8)) u"
+_TILED = f"(select o.*, {_IMAGE} as image_id, ({_SLOT}%2)*4+dx as x, cast(floor({_SLOT}/2) as bigint)*4+dy as y, dx, ({_SLOT}*3+o_custkey)%10 as k from orders o {_TILE}) z"
 
 SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "gt_box": (("lineitem",), """select l_orderkey as image_id, (l_partkey*10000+l_suppkey)*10+l_linenumber as ann_id, l_suppkey%5 as category_id,
@@ -17,22 +20,19 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "det_box": (("gt_box",), """select image_id, ann_id as det_id, case when p%13=0 then (s+1)%5 else s%5 end as category_id,
  x0+s%7-3 as x0, y0+s%5-2 as y0, x1+s%11-5 as x1, y1+s%9-4 as y1, cast((p*31+s*17+ln*7)%1000 as double)/1000 as score
 from (select g.*, cast(floor(ann_id/100000) as bigint) as p, cast(floor(ann_id/10) as bigint)%10000 as s, ann_id%10 as ln from gt_box g) t where p%10<8"""),
-    "px": (("orders",), f"""select {_IMAGE} as image_id, y, x,
- case when (x*3+y*5+o_orderkey)%23=0 or (k=9 and {_IMAGE}%3=0) then 255 else k end as gt,
- case when x=31 and y=31 then 10 when (x*5+y*3+o_custkey)%(2+{_IMAGE}%9)=0 then (k+1)%10 else k end as pred
-from (select o.*, t.x, u.y, {_BLOCK} as k from orders o {_GRID} where o_orderkey%100=0) z"""),
-    "query_cls": (("orders",), f"""select {_IMAGE} as image_id, q, c, cast(((o_orderkey*13+q*29+c*53+o_custkey)%41)-36 as double)/4 as logit
-from orders cross join (select {{r}} as q from range(8)) a cross join (select {{r}} as c from range(6)) b where o_orderkey%100=0"""),
-    "query_mask": (("orders",), f"""select {_IMAGE} as image_id, q, y, x,
- cast((3+q%3)*2-2*greatest(abs(x-(o_custkey*7+q*11)%32),abs(y-(o_custkey*5+q*17)%32))+1 as double)/2 as logit
-from orders cross join (select {{r}} as q from range(8)) a {_GRID} where o_orderkey%100=0"""),
-    "categories": ((), "select c as pos, c*3+1 as id, concat('cat_',cast(c as string)) as name, case when c<5 then 1 else 0 end as isthing from (select {r} as c from range(11)) r"),
-    "parts_px": (("orders",), f"""select {_IMAGE} as image_id, y, x, case when (x+y)%29=0 then 0 else k+1 end as sem_raw,
- case when k<5 then k+1 else 0 end as inst_cat_raw,
- case when k<5 and (x%8)<6 then 1+cast(floor(x/8) as bigint)+cast(floor(y/8) as bigint)*4 else 0 end as inst_id
-from (select o.*, t.x, u.y, {_BLOCK} as k from orders o {_GRID} where o_orderkey%100=0) z"""),
-    "query_box": (("orders",), f"""select {_IMAGE} as image_id, q, cast((o_custkey*7+q*11)%32 as double)/32 as cx, cast((o_custkey*5+q*17)%32 as double)/32 as cy,
- cast((3+q%3)*2 as double)/32 as w, cast((3+q%3)*2 as double)/32 as h from orders cross join (select {{r}} as q from range(8)) a where o_orderkey%100=0"""),
+    "px": (("orders",), f"""select image_id, y, x,
+ case when (x*3+y*5+o_orderkey)%23=0 or (k=9 and image_id%3=0) then 255 else k end as gt,
+ case when x=7 and y=7 then 10 when (x*5+y*3+o_custkey)%(2+image_id%9)=0 then (k+1)%10 else k end as pred from {_TILED}"""),
+    "query_cls": (("orders",), f"""select {_IMAGE} as image_id, {_SLOT} as q, c, cast(((o_orderkey*13+c*53+o_custkey)%41)-36 as double)/4 as logit
+from orders cross join (select {{r}} as c from range(6)) b"""),
+    "query_mask": (("orders",), f"""select {_IMAGE} as image_id, {_SLOT} as q, y, x,
+ cast((2+o_orderkey%3)*2-2*greatest(abs(x-(o_custkey*7)%8),abs(y-(o_custkey*5)%8))+1 as double)/2 as logit from orders {_GRID}"""),
+    "categories": (("part",), "select pos, pos*3+1 as id, concat('cat_',cast(pos as string)) as name, case when pos<5 then 1 else 0 end as isthing from (select distinct p_partkey%11 as pos from part) r"),
+    "id_map": (("part",), "select ins_id, ins_id-1 as sem_id from (select distinct p_partkey%5+1 as ins_id from part) r"),
+    "parts_px": (("orders",), f"""select image_id, y, x, case when (x+y)%29=0 then 0 else k+1 end as sem_raw,
+ case when k<5 then k+1 else 0 end as inst_cat_raw, case when k<5 and dx<3 then 1+{_SLOT} else 0 end as inst_id from {_TILED}"""),
+    "query_box": (("orders",), f"""select {_IMAGE} as image_id, {_SLOT} as q, cast((o_custkey*7)%8 as double)/8 as cx, cast((o_custkey*5)%8 as double)/8 as cy,
+ cast((2+o_orderkey%3)*2 as double)/8 as w, cast((2+o_orderkey%3)*2 as double)/8 as h from orders"""),
     "frames": (("events",), """select user_id as stream_id, cast(row_number() over (partition by user_id order by event_id)-1 as bigint) as frame_idx, event_id, ts, value as latency_ms, props as annotations_json from events"""),
 }
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import annotations as ann
 from ..operators import metrics, rasters
-from .fixtures import frame, oracle
+from .fixtures import SIDE, frame, oracle
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -105,16 +105,16 @@ SQL["runs_round_trip"] = oracle(("px",), "select image_id, y, x, gt as label fro
 
 
 def _rle(spark: SparkSession, d: str) -> DataFrame:
-    return rasters.rle_encode(_px(spark, d).filter("label <> 255"), ["image_id", "label"], 32, 32)
+    return rasters.rle_encode(_px(spark, d).filter("label <> 255"), ["image_id", "label"], SIDE, SIDE)
 
 
 Q["rle_encode"] = lambda s, d: _rle(s, d).select("image_id", "label", F.concat_ws(",", F.transform("rle.counts", lambda c: c.cast("string"))).alias("counts"), rasters.rle_area(F.col("rle")).alias("area"))
 SQL["rle_encode"] = oracle(
     ("px",), "select image_id, label, string_agg(cast(n as varchar), ',' order by a, k) as counts, cast(sum(case when k=1 then n else 0 end) as bigint) as area from f group by image_id, label",
-    "p as (select image_id, gt as label, x*32+y as p from px where gt<>255)",
+    "p as (select image_id, gt as label, x*8+y as p from px where gt<>255)",
     "i as (select image_id, label, min(p) as a, max(p)+1 as b from (select *, p-row_number() over (partition by image_id, label order by p) as g from p) z group by image_id, label, g)",
     "e as (select *, coalesce(lag(b) over (partition by image_id, label order by a), 0) as before from i)",
-    "f as (select image_id, label, a, 0 as k, a-before as n from e union all select image_id, label, a, 1, b-a from e union all select image_id, label, 99999, 2, 1024-max(b) from e group by image_id, label having max(b)<1024)",
+    "f as (select image_id, label, a, 0 as k, a-before as n from e union all select image_id, label, a, 1, b-a from e union all select image_id, label, 99999, 2, 64-max(b) from e group by image_id, label having max(b)<64)",
 )
 Q["rle_round_trip"] = lambda s, d: rasters.rle_decode(_rle(s, d)).select("image_id", "y", "x", "label")
 SQL["rle_round_trip"] = oracle(("px",), "select image_id, y, x, gt as label from px where gt<>255")
@@ -144,16 +144,9 @@ SQL["boundary_iou"] = oracle(
 )
 
 # --- conversions -------------------------------------------------------------------------------------------------
-_MAP = "im as (select c as ins_id, c-1 as sem_id from (select range as c from range(1,6)) r)"
-
-
-def _id_map(spark: SparkSession) -> DataFrame:
-    return spark.range(1, 6).select(F.col("id").alias("ins_id"), (F.col("id") - 1).alias("sem_id"))
-
-
-Q["extract_instances"] = lambda s, d: ann.extract_instances(frame(s, d, "parts_px"), _id_map(s)).select("id", "image_id", "inst_id", "category_id", "area", "x", "y", "w", "h")
+Q["extract_instances"] = lambda s, d: ann.extract_instances(frame(s, d, "parts_px"), frame(s, d, "id_map")).select("id", "image_id", "inst_id", "category_id", "area", "x", "y", "w", "h")
 SQL["extract_instances"] = oracle(
-    ("parts_px",), "select row_number() over (order by image_id, inst_id) as id, image_id, inst_id, sem_id as category_id, area, x, y, w, h from g join im using (ins_id)", _MAP,
+    ("parts_px", "id_map"), "select row_number() over (order by image_id, inst_id) as id, image_id, inst_id, sem_id as category_id, area, x, y, w, h from g join id_map using (ins_id)",
     "g as (select image_id, inst_id, min(inst_cat_raw) as ins_id, count(*) as area, min(x) as x, min(y) as y, max(x)-min(x)+1 as w, max(y)-min(y)+1 as h from parts_px where inst_id<>0 group by image_id, inst_id)",
 )
 Q["single_category_violations"] = lambda s, d: ann.several_categories(frame(s, d, "px").filter("gt <> 255"), ["image_id", "pred"], "gt")
@@ -163,21 +156,21 @@ SQL["single_category_violations"] = oracle(("px",), "select image_id, pred, coun
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     px = frame(spark, d, "parts_px").select("image_id", "y", "x", F.pmod(F.col("sem_raw") - 1, F.lit(256)).alias("sem"), "inst_id", F.col("inst_cat_raw").alias("inst_cat"))
     cats = frame(spark, d, "categories").select(F.col("pos").alias("id"), "isthing")
-    return ann.panoptic_from_parts(px, cats, _id_map(spark))
+    return ann.panoptic_from_parts(px, cats, frame(spark, d, "id_map"))
 
 
 _PARTS = [
-    _MAP, "pp as (select image_id, y, x, case when sem_raw=0 then 255 else sem_raw-1 end as sem, inst_id, inst_cat_raw as ins_id from parts_px)",
+    "pp as (select image_id, y, x, case when sem_raw=0 then 255 else sem_raw-1 end as sem, inst_id, inst_cat_raw as ins_id from parts_px)",
     """sg as (select image_id, sem as category_id, 0 as inst_id, count(*) as area, min(x) as x, min(y) as y, max(x)-min(x)+1 as w, max(y)-min(y)+1 as h from pp where sem<>255 and sem>=5 group by image_id, sem
- union all select image_id, sem_id, inst_id, count(*), min(x), min(y), max(x)-min(x)+1, max(y)-min(y)+1 from pp join im using (ins_id) where inst_id<>0 group by image_id, sem_id, inst_id)""",
+ union all select image_id, sem_id, inst_id, count(*), min(x), min(y), max(x)-min(x)+1, max(y)-min(y)+1 from pp join id_map using (ins_id) where inst_id<>0 group by image_id, sem_id, inst_id)""",
     "sn as (select *, row_number() over (partition by image_id order by inst_id>0, category_id, inst_id) as seg_id from sg)",
 ]
 Q["panoptic_from_parts_segments"] = lambda s, d: _parts(s, d)[1].select("image_id", "seg_id", "category_id", F.col("inst_id").cast("bigint").alias("inst_id"), "area", "x", "y", "w", "h")
-SQL["panoptic_from_parts_segments"] = oracle(("parts_px",), "select image_id, seg_id, category_id, cast(inst_id as bigint) as inst_id, area, x, y, w, h from sn", *_PARTS)
-Q["panoptic_from_parts_pixels"] = lambda s, d: _parts(s, d)[0].groupBy("image_id", "seg_id").agg(F.count("*").alias("painted"), F.sum(F.col("y") * 32 + F.col("x")).alias("place"))
+SQL["panoptic_from_parts_segments"] = oracle(("parts_px", "id_map"), "select image_id, seg_id, category_id, cast(inst_id as bigint) as inst_id, area, x, y, w, h from sn", *_PARTS)
+Q["panoptic_from_parts_pixels"] = lambda s, d: _parts(s, d)[0].groupBy("image_id", "seg_id").agg(F.count("*").alias("painted"), F.sum(F.col("y") * SIDE + F.col("x")).alias("place"))
 SQL["panoptic_from_parts_pixels"] = oracle(
-    ("parts_px",), """select image_id, seg_id, count(*) as painted, cast(sum(y*32+x) as bigint) as place from (select p.image_id, p.y, p.x, coalesce(i.seg_id, s.seg_id, 0) as seg_id from pp p
- left join sn s on s.image_id=p.image_id and s.inst_id=0 and s.category_id=p.sem left join im on im.ins_id=p.ins_id and p.inst_id<>0 left join sn i on i.image_id=p.image_id and i.inst_id=p.inst_id and i.inst_id>0 and i.category_id=im.sem_id) z group by image_id, seg_id""",
+    ("parts_px", "id_map"), """select image_id, seg_id, count(*) as painted, cast(sum(y*8+x) as bigint) as place from (select p.image_id, p.y, p.x, coalesce(i.seg_id, s.seg_id, 0) as seg_id from pp p
+ left join sn s on s.image_id=p.image_id and s.inst_id=0 and s.category_id=p.sem left join id_map im on im.ins_id=p.ins_id and p.inst_id<>0 left join sn i on i.image_id=p.image_id and i.inst_id=p.inst_id and i.inst_id>0 and i.category_id=im.sem_id) z group by image_id, seg_id""",
     *_PARTS,
 )
 
@@ -204,24 +197,23 @@ SQL["segment_objects"] = oracle(("px",), "select image_id, seg_id, category_id,
 Q["class_objects"] = lambda s, d: ann.class_objects(_px(s, d), VOID)
 SQL["class_objects"] = oracle(("px",), "select image_id, gt as label, count(*) as area, min(x) as x0, min(y) as y0, max(x)+1 as x1, max(y)+1 as y1 from px where gt<>255 group by 1, 2")
 
-_ID = "(select c*3+1 as id, c as contiguous_id, case when c<5 then 1 else 0 end as isthing from (select range as c from range(11)) r)"
+_ID = "(select id, row_number() over (order by pos)-1 as contiguous_id, isthing from categories)"
 Q["contiguous_ids"] = lambda s, d: ann.contiguous_ids(frame(s, d, "categories"))
-SQL["contiguous_ids"] = f"select * from {_ID} z"
+SQL["contiguous_ids"] = oracle(("categories",), f"select * from {_ID} z")
 Q["to_contiguous"] = lambda s, d: ann.to_contiguous(_segments(s, d)[1].select("image_id", "seg_id", "category_id").withColumn("category_id", F.col("category_id") + F.when(F.col("image_id") % 13 == 0, 1).otherwise(0)), frame(s, d, "categories")).select("image_id", "seg_id", "category_id", "contiguous_id", "isthing")
-SQL["to_contiguous"] = oracle(("px",), f"select d.image_id, d.seg_id, d.category_id, i.contiguous_id, i.isthing=1 as isthing from (select image_id, seg_id, category_id+case when image_id%13=0 then 1 else 0 end as category_id from dc) d left join {_ID} i on i.id=d.category_id", *_DOC)
+SQL["to_contiguous"] = oracle(("px", "categories"), f"select d.image_id, d.seg_id, d.category_id, i.contiguous_id, i.isthing=1 as isthing from (select image_id, seg_id, category_id+case when image_id%13=0 then 1 else 0 end as category_id from dc) d left join {_ID} i on i.id=d.category_id", *_DOC)
 Q["to_dataset_id"] = lambda s, d: ann.to_dataset_id(frame(s, d, "px").select("image_id", F.col("pred").alias("contiguous_id")).distinct(), frame(s, d, "categories"))
 SQL["to_dataset_id"] = oracle(("px",), "select distinct image_id, pred as contiguous_id, pred*3+1 as category_id from px")
-Q["id_map_things"] = lambda s, d: ann.mark_things(frame(s, d, "categories").select("pos", "name"), _id_map(s).filter("sem_id <> 2"), "pos")
-SQL["id_map_things"] = "select c as pos, concat('cat_',cast(c as varchar)) as name, case when c<5 and c<>2 then 1 else 0 end as isthing from (select range as c from range(11)) r"
+Q["id_map_things"] = lambda s, d: ann.mark_things(frame(s, d, "categories").select("pos", "name"), frame(s, d, "id_map").filter("sem_id <> 2"), "pos")
+SQL["id_map_things"] = oracle(("categories", "id_map"), "select pos, name, case when pos in (select sem_id from id_map where sem_id<>2) then 1 else 0 end as isthing from categories")
 Q["global_ids"] = lambda s, d: ann.global_numbers(_segments(s, d)[1].select("image_id", "seg_id"), "image_id", "seg_id", "id")
 SQL["global_ids"] = oracle(("px",), "select image_id, seg_id, row_number() over (order by image_id, seg_id) as id from dc", *_DOC)
 
 
 def id_map_scan(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.orderBy("p_partkey")
-    lines = frame(spark, d, "part").filter("p_partkey < 300").select((F.row_number().over(w)).alias("line_no"), F.concat_ws("\t", F.col("p_size").cast("string"), F.col("p_partkey").cast("string"), F.col("p_brand")).alias("value"))
+    lines = frame(spark, d, "part").select((F.col("p_partkey") + 1).alias("line_no"), F.concat_ws("\t", F.col("p_size").cast("string"), F.col("p_partkey").cast("string"), F.col("p_brand")).alias("value"))
     return ann.read_id_map_lines(lines)
 
 
 Q["id_map_later_line_wins"] = id_map_scan
-SQL["id_map_later_line_wins"] = "select cast(p_size as bigint) as ins_id, max(p_partkey)-1 as sem_id from part where p_partkey<300 group by 1"
+SQL["id_map_later_line_wins"] = "select cast(p_size as bigint) as ins_id, max(p_partkey)-1 as sem_id from part group by 1"

@@ -84,8 +84,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 def raster_pixels(images: DataFrame, channels: str = "grey") -> DataFrame:
     """(stem, y, x, label) of decoded images: `grey` is the first byte, `rgb_id` packs colour; bytes are BGR, row-major."""
     n = F.col("nChannels")
-    text = F.hex("data")
-    byte = lambda k: F.conv(F.substring(text, (F.col("p") * n + k) * 2 + 1, F.lit(2)), 16, 10).cast("bigint")
+    byte = lambda k: F.conv(F.hex(F.substring("data", F.col("p") * n + k + 1, F.lit(1))), 16, 10).cast("bigint")
     px = images.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)))
     label = byte(0) if channels == "grey" else codes.rgb_to_id(byte(2), byte(1), byte(0))
     return px.select("stem", F.floor(F.col("p") / F.col("width")).alias("y"), (F.col("p") % F.col("width")).alias("x"), label.alias("label"))
@@ -112,8 +111,9 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(codes.stem_first_dot(F.col("file_name")).alias("stem"), "category_id", F.col("segmentation").alias("rle"), F.monotonically_increasing_id().alias("seq"))
 
 
-def read_detections(spark: SparkSession, path: str, drop_boxes: bool = False) -> DataFrame:
-    rows = spark.read.schema(f"image_id bigint, category_id int, bbox array<double>, score double, segmentation {RLE}").option("multiLine", True).json(path)
+def read_detections(spark: SparkSession, path: str, drop_boxes: bool = False, lines: bool = False) -> DataFrame:
+    """Detections of a document that is a list, or of JSON lines as write_detections leaves them."""
+    rows = spark.read.schema(f"image_id bigint, category_id int, bbox array<double>, score double, segmentation {RLE}").option("multiLine", not lines).json(path)
     return rows.drop("bbox") if drop_boxes else rows
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -21,3 +21,10 @@ def scratch_dir(spark: SparkSession) -> str:
             _own[context.applicationId] = tempfile.mkdtemp(prefix="spark-scratch-")
         base = _own[context.applicationId]
     return f"{base.rstrip('/')}/{context.applicationId}-{uuid.uuid4().hex[:12]}"
+
+
+def land(df: DataFrame) -> DataFrame:
+    """Write df once to the shared scratch folder and read it back: later uses see the same rows, and lost executors cost nothing."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
