@@ -34,31 +34,34 @@ _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 #: Elements nested deeper stay empty, their content goes to the parent; tables nested deeper are laid out as blocks.
 _DEEPEST, _DEEPEST_TABLE = 512, 8
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_SPAN = re.compile(r"colspan\s*=\s*[\"']?(\d{1,3})", re.I)
-_START = re.compile(r"start\s*=\s*[\"']?(\d{1,9})", re.I)
+_SPAN = re.compile(r"(?<![\w-])colspan\s*=\s*[\"']?(\d{1,3})", re.I)
+_ROWS = re.compile(r"(?<![\w-])rowspan\s*=\s*[\"']?(\d{1,3})", re.I)
+_START = re.compile(r"(?<![\w-])start\s*=\s*[\"']?(\d{1,9})", re.I)
 
 
-def hidden(attrs: str) -> bool:
-    """Whether an element has a `hidden` attribute, or a style of its own that shows nothing; of equal names the first counts."""
+def look(attrs: str, seen: bool) -> tuple[bool, bool]:
+    """Whether an element and all in it is left out, and whether its text is seen, where that of its parent is `seen`.
+
+    A `hidden` attribute or `display: none` leaves it out; `visibility` passes to what is inside, where it may be set
+    anew. Of equal attributes the first counts, of equal declarations the last, but important ones before others."""
     if not attrs or not _MAY_HIDE.search(attrs):
-        return False
+        return False, seen
     style = None
     for m in _ATTRIBUTE.finditer(attrs):
         name = m["name"].lower()
         if name == "hidden":
-            return True
+            return True, seen
         if name == "style" and style is None:
             style = m["double"] or m["single"] or m["bare"] or ""
-    if not style:
-        return False
     now: dict[str, tuple[bool, str]] = {}
-    for part in _COMMENT.sub(" ", html.unescape(style)).lower().split(";"):
+    for part in _COMMENT.sub(" ", html.unescape(style or "")).lower().split(";"):
         name, _, value = part.partition(":")
         value, mark, _ = value.partition("!")
         name = name.strip()
-        if bool(mark) >= now.get(name, (False, ""))[0]:  # the last one counts, unless an earlier one is important
+        if bool(mark) >= now.get(name, (False, ""))[0]:
             now[name] = bool(mark), value.strip()
-    return now.get("display", (False, ""))[1] == "none" or now.get("visibility", (False, ""))[1] == "hidden"
+    sight = now.get("visibility", (False, ""))[1]
+    return now.get("display", (False, ""))[1] == "none", sight == "visible" if sight in ("visible", "hidden", "collapse") else seen
 
 
 class Node:
@@ -186,61 +189,91 @@ class _Page:
         self.line, self.space = [], False
 
 
-def _table_lines(table: Node, depth: int) -> list[str]:
-    """Rows of a table, cells padded to the width of their columns and parted by two blanks; caption first."""
-    rows: list[list[tuple[str, int]]] = []
+def _table_lines(table: Node, depth: int, seen: bool) -> list[str]:
+    """Rows of a table, caption first. A cell is a block of lines, as wide as its column; columns are two blanks apart.
+
+    A cell over several columns takes their widths; one over several rows stands in the first and keeps its columns
+    free in the others."""
+    rows: list[list[tuple[list[str], int, int]]] = []
     lines: list[str] = []
-    todo = list(reversed(table.kids))
+    todo = [(n, seen) for n in reversed(table.kids)]
+
+    def block(node: Node, seen: bool) -> list[str]:
+        return render(node, depth, seen).split("\n")
+
     while todo:
-        n = todo.pop()
+        n, sight = todo.pop()
         if isinstance(n, str):
-            if n.strip():
+            if n.strip() and sight:
                 lines.append(_SPACES.sub(" ", n).strip())
-        elif hidden(n.attrs) or n.tag in _UNSEEN:
             continue
-        elif n.tag == "tr":
+        gone, sight = look(n.attrs, sight)
+        if gone or n.tag in _UNSEEN:
+            continue
+        if n.tag == "tr":
             cells = []
             for c in n.kids:
-                if isinstance(c, str) or c.tag not in ("td", "th"):
-                    if (own := c.strip() if isinstance(c, str) else render(c, depth)):
-                        cells.append((_SPACES.sub(" ", own), 1))
-                elif not hidden(c.attrs):
-                    span = _SPAN.search(c.attrs)
+                if isinstance(c, str):
+                    if c.strip() and sight:
+                        cells.append(([_SPACES.sub(" ", c).strip()], 1, 1))
+                    continue
+                if c.tag not in ("td", "th"):
+                    own = block(c, sight)
+                    if own != [""]:
+                        cells.append((own, 1, 1))
+                    continue
+                gone, own_sight = look(c.attrs, sight)
+                if not gone:
                     inside = Node("div")
                     inside.kids = c.kids
-                    cells.append((_SPACES.sub(" ", render(inside, depth)), max(1, min(100, int(span[1]))) if span else 1))
+                    wide, high = (max(1, min(100, int(m[1]))) if m else 1 for m in (_SPAN.search(c.attrs), _ROWS.search(c.attrs)))
+                    cells.append((block(inside, own_sight), wide, high))
             if cells:
                 rows.append(cells)
         elif n.tag in ("thead", "tbody", "tfoot"):
-            todo += reversed(n.kids)
+            todo += [(kid, sight) for kid in reversed(n.kids)]
         elif n.tag != "colgroup":
-            own = render(n, depth)
-            lines += own.split("\n") if own else []
+            own = block(n, sight)
+            lines += own if own != [""] else []
+
+    taken: dict[int, int] = {}  # rows for which a column is still held by a cell from above
+    placed: list[list[tuple[int, list[str], int]]] = []
     width: dict[int, int] = {}
     for cells in rows:
-        at = 0
-        for s, span in cells:
-            if span == 1:
-                width[at] = max(width.get(at, 0), len(s))
-            at += span
-    for cells in rows:
-        at, out = 0, []
-        for s, span in cells:
-            out.append(s.ljust(sum(width.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)))
-            at += span
-        lines.append("  ".join(out).rstrip())
-    return [x for x in lines if x]
-
-
-def render(root: Node, depth: int = 0) -> str:
+        at, row, held = 0, [], {}
+        for own, wide, high in cells:
+            while taken.get(at, 0):
+                at += 1
+            row.append((at, own, wide))
+            if wide == 1:
+                width[at] = max(width.get(at, 0), *map(len, own))
+            if high > 1:
+                held |= {i: high - 1 for i in range(at, at + wide)}
+            at += wide
+        taken = {i: n - 1 for i, n in taken.items() if n > 1} | held
+        placed.append(row)
+    for row in placed:
+        for k in range(max(len(own) for _, own, _ in row)):
+            out, end = "", 0
+            for at, own, wide in row:
+                out += "".join(" " * width.get(i, 0) + "  " for i in range(end, at))
+                room = sum(width.get(i, 0) for i in range(at, at + wide)) + 2 * (wide - 1)
+                out += (own[k] if k < len(own) else "").ljust(room) + "  "
+                end = at + wide
+            lines.append(out.rstrip())
+    return lines
+
+
+def render(root: Node, depth: int = 0, seen: bool = True) -> str:
     """The visible text below a node, walked with an own stack, so that depth has no limit but memory."""
     page = _Page()
-    stack: list[tuple] = [("in", root, False)]
+    stack: list[tuple] = [("in", root, False, seen)]
     counters: list[int | None] = []
     while stack:
-        what, node, pre = stack.pop()
+        what, node, pre, seen = stack.pop()
         if what == "text":
-            page.text(node, pre)
+            if seen:
+                page.text(node, pre)
         elif what == "out":
             if node.tag in _BLOCK:
                 page.flush(2 if node.tag in _PARAGRAPH else 1)
@@ -253,7 +286,8 @@ def render(root: Node, depth: int = 0) -> str:
                 page.mark = ""
         else:
             tag = node.tag
-            if tag in _UNSEEN or hidden(node.attrs):
+            gone, seen = look(node.attrs, seen)
+            if gone or tag in _UNSEEN:
                 continue
             if tag == "br":
                 page.flush(1, True)
@@ -280,15 +314,18 @@ def render(root: Node, depth: int = 0) -> str:
                     page.indent += " " * len(mark)
                     page.mark = mark if tag == "li" else ""
                 elif tag == "table" and depth < _DEEPEST_TABLE:
-                    for line in _table_lines(node, depth + 1):
-                        page.line.append(line)
-                        page.flush(1)
+                    for line in _table_lines(node, depth + 1, seen):
+                        if line:
+                            page.line.append(line)
+                            page.flush(1)
+                        else:  # a gap inside a cell
+                            page.gap = 2
                     page.flush(2)
                     continue
             keep = tag == "pre" or (pre if isinstance(pre, bool) else False)
-            stack.append(("out", node, after))
+            stack.append(("out", node, after, seen))
             for kid in reversed(node.kids):
-                stack.append(("text", kid, keep) if isinstance(kid, str) else ("in", kid, keep))
+                stack.append(("text" if isinstance(kid, str) else "in", kid, keep, seen))
     page.flush(0)
     return "\n".join(page.lines).strip("\n")
 
