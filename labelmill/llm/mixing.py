@@ -1,7 +1,9 @@
 """Mixing sources to target weights: iterative proportional fitting of token weights, then calibrated sampling.
 
 Documents collapse to cells (one for each source, language and topic that occurs together); raking works on the cells
-alone, which are few whatever the corpus holds. The documents are read twice: for the cell totals and to be sampled.
+alone, which are few whatever the corpus holds. No cell can give more than its tokens: cells that are full are held and
+the others raked again, so that the expected sample meets budget and target shares. The documents are read twice: for
+the cell totals and to be sampled.
 """
 
 from __future__ import annotations
@@ -12,16 +14,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, land
+from .common import discard, land, unused
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Topics by the first pattern that a text is LIKE.
 TOPICS = (("table", "% | %"), ("licence", "%icense%"), ("contact", "%@%"), ("link", "%http%"))
-ROUNDS = 10
 #: Up to so many cells are fitted in the driver (some 12 MB); more stay distributed. Both ways give the same weights.
 LOCAL_CELLS = 200_000
-#: Rounds at most, and the residual of a marginal (a share of the budget) that ends them, where full cells are held.
-HELD_ROUNDS, TOLERANCE = 100, 1e-6
+#: Rounds at most, and the residual of a marginal (a share of the budget) that ends them.
+ROUNDS, TOLERANCE = 200, 1e-12
+#: A marginal further than this share of the budget from its target is logged.
+MISSED = 1e-6
 
 
 def topic(text: Column) -> Column:
@@ -41,41 +44,6 @@ def uniform(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(seed))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, local: int = LOCAL_CELLS) -> DataFrame:
-    """cells (dimensions, w) with w fitted to the target shares of each dimension in turn, `rounds` times over.
-
-    targets: for each dimension (its values, share). A value without a target has weight 0. A table of at most `local`
-    cells is fitted as one array; a larger one by joins, where sums per value are partly aggregated before their
-    shuffle and each round lands in the scratch folder."""
-    cells = cells.withColumn("w", F.col("w").cast("double"))
-    if cells.limit(local + 1).count() <= local:
-        return _raked_array(cells, targets, rounds)
-    targets = {d: land(wanted) for d, wanted in targets.items()}
-    now = cells
-    for k in range(rounds):
-        for d, wanted in targets.items():
-            sums = now.groupBy(d).agg(F.sum("w").alias("have")).join(wanted, d, "left").select(d, (F.coalesce("share", F.lit(0.0)) / F.col("have")).alias("factor"))
-            after = land(now.join(sums, d).withColumn("w", F.coalesce(F.col("w") * F.col("factor"), F.lit(0.0))).select(*cells.columns))
-            discard(now)
-            now = after
-    return now
-
-
-def _raked_array(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFrame:
-    rows = [r.asDict() for r in cells.collect()]
-    w, steps = np.array([r["w"] for r in rows], dtype=np.float64), []
-    for d, wanted in targets.items():
-        share = {r[d]: r["share"] for r in wanted.collect()}
-        values = sorted({r[d] for r in rows})
-        index = {v: i for i, v in enumerate(values)}
-        steps.append((np.array([index[r[d]] for r in rows], dtype=np.int64), np.array([share.get(v, 0.0) for v in values])))
-    for _ in range(rounds):
-        for at, share in steps:
-            have = np.bincount(at, weights=w, minlength=len(share))
-            w = w * np.divide(share, have, out=np.zeros_like(share), where=have > 0)[at]
-    return cells.sparkSession.createDataFrame([tuple((r | {"w": float(x)})[c] for c in cells.columns) for r, x in zip(rows, w)], cells.schema)
-
-
 def _factors(full: np.ndarray, w: np.ndarray, at: np.ndarray, target: np.ndarray) -> np.ndarray:
     """For each group the factor f with sum(min(full, f * w)) = target, or the least that fills the group."""
     use = w > 0
@@ -105,7 +73,7 @@ def _factor_table(df: DataFrame, d: list[str], target: Column) -> DataFrame:
     )
 
 
-def rake_held(cells: DataFrame, targets: dict[str, DataFrame], budget: float, rounds: int = HELD_ROUNDS, local: int = LOCAL_CELLS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float, rounds: int = ROUNDS, local: int = LOCAL_CELLS) -> DataFrame:
     """cells (dimensions, tokens, w) with w the expected tokens, in all `budget` of the tokens, at the target shares.
 
     No cell gives more than its tokens: full cells are held and the others raked again, until every marginal is met
@@ -113,7 +81,7 @@ def rake_held(cells: DataFrame, targets: dict[str, DataFrame], budget: float, ro
     of its share falls to the other values of its dimension in proportion. What is still missed is logged by value."""
     cells = cells.withColumns({"w": F.col("tokens").cast("double"), "full": F.col("tokens").cast("double")})
     if cells.limit(local + 1).count() > local:
-        return _held_table(cells, targets, budget, rounds)
+        return _raked_table(cells, targets, budget, rounds)
     rows = [r.asDict() for r in cells.collect()]
     full, steps = np.array([r["full"] for r in rows]), []
     want, w = budget * full.sum(), full.copy()
@@ -132,7 +100,7 @@ def rake_held(cells: DataFrame, targets: dict[str, DataFrame], budget: float, ro
         if max(np.abs(x - s[3]).max() for x, s in zip(got, steps)) <= TOLERANCE * want:
             break
     if rows:
-        missed = [(d, v, float(s), float(x / want)) for x, (d, values, _, _, p) in zip(got, steps) for v, s, x in zip(values, p, x) if abs(x / want - s) > TOLERANCE]
+        missed = [(d, v, float(s), float(x / want)) for x, (d, values, _, _, p) in zip(got, steps) for v, s, x in zip(values, p, x) if abs(x / want - s) > MISSED]
     _log(missed)
     return cells.sparkSession.createDataFrame([tuple((r | {"w": float(min(f, x))})[c] for c in cells.columns) for r, f, x in zip(rows, full, w)], cells.schema).drop("full")
 
@@ -142,7 +110,7 @@ def _log(missed: list[tuple[str, str, float, float]]) -> None:
         logging.getLogger(__name__).warning("mixing: %s %s has share %.6f of the budget, target %.6f", d, v, x, s)
 
 
-def _held_table(cells: DataFrame, targets: dict[str, DataFrame], budget: float, rounds: int) -> DataFrame:
+def _raked_table(cells: DataFrame, targets: dict[str, DataFrame], budget: float, rounds: int) -> DataFrame:
     want = budget * cells.agg(F.sum("full")).first()[0]
     aims = {}
     for d, wanted in targets.items():
@@ -160,7 +128,7 @@ def _held_table(cells: DataFrame, targets: dict[str, DataFrame], budget: float,
         if max(gap(d, F.col("aim")).agg(F.max("gap")).first()[0] for d in aims) <= TOLERANCE * want:
             break
     for d in aims:  # the 20 largest of each dimension are logged
-        left = gap(d, F.col("share") * want).filter(F.col("gap") > TOLERANCE * want).orderBy(F.col("gap").desc()).limit(20).collect()
+        left = gap(d, F.col("share") * want).filter(F.col("gap") > MISSED * want).orderBy(F.col("gap").desc()).limit(20).collect()
         _log([(d, r[d], r["share"], r["x"] / want) for r in left])
     return now.withColumn("w", F.least("full", "w")).drop("full")
 
@@ -177,59 +145,61 @@ def smoothed_targets(cells: DataFrame, powers: dict[str, float]) -> dict[str, Da
 POWERS = {"source": 0.5, "lang": 0.5, "topic": 0.7}
 
 
-def mixed(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = 0.5, rounds: int = ROUNDS, seed: str = ":mix", targets: dict[str, DataFrame] | None = None, hold: bool = False) -> DataFrame:
+def mixed(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = 0.5, rounds: int = ROUNDS, seed: str = ":mix", targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """docs with `topic`, `n_words`, `chance` and `sampled`: kept with probability `chance`, by a hash of doc_id.
 
-    The expected tokens of the sample are at most `budget` of all tokens, with the raked shares of every source,
-    language and topic as far as no chance exceeds 1: what is above 1 is lost, as in the SQL, or with `hold` falls to
-    the others (`rake_held`), so that marginals and budget are met wherever the documents allow it. Null sources or languages form a value of their own (`?`).
+    The expected tokens of the sample are `budget` of all tokens, with the target share of every source, language and
+    topic (`targets`: for each dimension its values and shares; else the smoothed shares of the corpus) wherever the
+    documents hold so many tokens; see `rake` for the rest. Null sources or languages form a value of their own (`?`).
     Null and empty texts count one token. Rows that repeat a doc_id are sampled alike. An empty table gives no rows.
-    Columns of docs with the four names are replaced; all others stay as they are."""
+    Columns of docs with the four names are replaced; all others stay as they are, whatever their names."""
     docs = docs.drop("topic", "n_words", "chance", "sampled")
-    keyed = docs.withColumns({"_source": F.coalesce("source", F.lit("?")), "_lang": F.coalesce("lang", F.lit("?")), "topic": topic(F.col("text")), "n_words": tokens(F.col("text"))})
-    cells = land(
-        keyed.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic")
-        .agg(F.sum("n_words").alias("tokens")).withColumn("w", F.col("tokens").cast("double"))
-    )
-    targets = targets or smoothed_targets(cells, powers)
-    fitted = rake_held(cells, targets, budget) if hold else rake(cells, targets, rounds)
-    total = fitted.agg(F.sum("tokens").cast("double").alias("all_tokens"), F.sum("w").alias("all_w"))
-    chances = fitted.crossJoin(F.broadcast(total)).select(
-        F.col("source").alias("_source"), F.col("lang").alias("_lang"), "topic",
-        (F.col("w") / F.col("tokens") if hold else F.least(F.lit(1.0), F.try_divide(F.lit(budget) * F.col("all_tokens") * F.col("w"), F.col("all_w")) / F.col("tokens"))).alias("chance"),
-    )
+    source, lang = unused(docs, "source_"), unused(docs, "lang_")
+    keyed = docs.withColumns({source: F.coalesce("source", F.lit("?")), lang: F.coalesce("lang", F.lit("?")), "topic": topic(F.col("text")), "n_words": tokens(F.col("text"))})
+    cells = land(keyed.groupBy(F.col(source).alias("source"), F.col(lang).alias("lang"), "topic").agg(F.sum("n_words").alias("tokens")))
+    fitted = rake(cells, targets or smoothed_targets(cells, powers), budget, rounds)
+    chances = fitted.select(F.col("source").alias(source), F.col("lang").alias(lang), "topic", (F.col("w") / F.col("tokens")).alias("chance"))
     if cells.limit(LOCAL_CELLS + 1).count() <= LOCAL_CELLS:
         chances = F.broadcast(chances)  # counted: texts then need no shuffle
     return (
-        keyed.join(chances, ["_source", "_lang", "topic"], "left").drop("_source", "_lang")
+        keyed.join(chances, [source, lang, "topic"], "left")
         .withColumn("sampled", uniform(F.col("doc_id"), seed) < F.col("chance"))
         .select(*docs.columns, "topic", "n_words", "chance", "sampled")
     )
 
 
 def mixed_sql(powers: dict[str, float] = POWERS, budget: float = 0.5, rounds: int = ROUNDS, seed: str = ":mix") -> str:
-    """The same rows in SQL: one common table expression for each fitting step."""
+    """The same rows in SQL: the rounds are a recursion over the cells."""
     case = "case when text is null or text = '' then 'empty' " + " ".join(f"when text like '{p}' then '{n}'" for n, p in TOPICS) + " else 'prose' end"
     ctes = [
         f"d as (select doc_id, coalesce(source,'?') as source, coalesce(lang,'?') as lang, {case} as topic, "
         "coalesce(length(text)-length(replace(text,' ','')),0)+1 as n_words from documents)",
-        "c as materialized (select source, lang, topic, sum(n_words) as tokens, cast(sum(n_words) as double) as w from d group by all)",
+        "c as materialized (select source, lang, topic, sum(n_words) as tokens, cast(sum(n_words) as double) as f from d group by all)",
+        f"wanted as (select {budget}*sum(f) as want from c)",
+    ]
+    for k, power in powers.items():  # shares, held to what a value has
+        ctes += [
+            f"p_{k} as (select {k}, sum(f) as have, pow(sum(f),{power}) as p from c group by all)",
+            f"t_{k} as (select *, p/(select sum(p) from p_{k}) as share from p_{k})",
+            f"l_{k} as (select *, sum(have) over (order by have/share) + have/share*greatest(0,sum(share) over ()-sum(share) over (order by have/share))<=want as low from t_{k}, wanted)",
+            f"a_{k} as materialized (select {k}, least(have, share*case when sum(case when low then 0 else share end) over ()>0 "
+            f"then greatest(0,want-sum(case when low then have else 0 end) over ())/sum(case when low then 0 else share end) over () else max(have/share) over () end) as aim_{k} from l_{k})",
+        ]
+    state = "it, source, lang, topic, f, " + ", ".join(f"aim_{k}" for k in powers)
+    step = "r"
+    for k in powers:
+        step = (
+            f"(select {state}, w*case when free>0 then greatest(0,aim_{k}-held)/free else most end as w from (select *, sum(case when low then f else 0 end) over g as held, "
+            f"sum(case when low then 0 else w end) over g as free, max(f/w) over g as most from (select *, sum(f) over u + f/w*greatest(0,sum(w) over g-sum(w) over u)<=aim_{k} as low "
+            f"from {step} q_{k} where w>0 window g as (partition by {k}), u as (partition by {k} order by f/w)) s_{k} window g as (partition by {k})) v_{k})"
+        )
+    ctes += [
+        "r as (select 0 as it, source, lang, topic, f, " + ", ".join(f"aim_{k}" for k in powers) + ", f as w from c " + " ".join(f"join a_{k} using ({k})" for k in powers)
+        + f" union all select it+1, source, lang, topic, f, {', '.join(f'aim_{k}' for k in powers)}, w from {step.replace('from r q_', f'from (select * from r where it<{rounds}) q_')} z)",
+        f"e as (select source, lang, topic, least(f,w)/f as chance from r where it={rounds})",
     ]
-    for k, p in powers.items():
-        ctes.append(f"p_{k} as (select {k}, pow(cast(sum(tokens) as double),{p}) as p from c group by all)")
-        ctes.append(f"t_{k} as materialized (select {k}, p/(select sum(p) from p_{k}) as share from p_{k})")
-    last = "c"
-    for r in range(rounds):
-        for k in powers:
-            name = f"s{r}_{k}"
-            ctes.append(
-                f"{name} as materialized (select x.source, x.lang, x.topic, x.tokens, x.w*(t.share/h.have) as w from {last} x "
-                f"join (select {k}, sum(w) as have from {last} group by all) h using ({k}) join t_{k} t using ({k}))"
-            )
-            last = name
-    ctes.append(f"f as (select source, lang, topic, least(1.0, {budget}*(select sum(tokens) from {last})*w/(select sum(w) from {last})/tokens) as chance from {last})")
     return (
-        "with " + ", ".join(ctes) + " select d.doc_id, d.topic, cast(d.n_words as bigint) as n_words, round(f.chance, 6) as chance, "
-        f"cast('0x'||substr(md5(concat(cast(d.doc_id as varchar),'{seed}')),1,8) as bigint)/4294967296.0 < f.chance as sampled "
-        "from d join f using (source, lang, topic)"
+        "with recursive " + ", ".join(ctes) + " select d.doc_id, d.topic, cast(d.n_words as bigint) as n_words, round(e.chance, 6) as chance, "
+        f"cast('0x'||substr(md5(concat(cast(d.doc_id as varchar),'{seed}')),1,8) as bigint)/4294967296.0 < e.chance as sampled "
+        "from d join e using (source, lang, topic)"
     )
