@@ -1,8 +1,8 @@
 """Language ID by nearest centroid: normalised TF-IDF n-gram vectors against several centroids per language.
 
 The classifier is fitted on a bounded sample of labelled rows; prediction reads every text whole, in one narrow pass.
-A text whose cosine to its nearest centroid is below that centroid's own limit is rejected: it lies too far from all
-that was learned.
+A short text lies further from any centroid than a long one, so the distance at which a text is rejected depends on how
+many n-grams it has: it is taken from the sampled rows and their beginnings of 1, 2, 4, ... words, by size.
 """
 
 from __future__ import annotations
@@ -14,13 +14,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hashed n-gram features, labelled rows fitted on for each language (about), centroids for each language.
-FEATURES, SAMPLE_PER_LANGUAGE, CENTROIDS = 1 << 13, 300, 3
-#: A text is rejected below this share of the least usual cosine (the 0.5 % quantile) of a centroid's own rows.
-SLACK = 0.2
+#: Hashed n-gram features, labelled rows fitted on for each language at most, letters of a fitted row, centroids for each language.
+FEATURES, SAMPLE_PER_LANGUAGE, LONGEST_FITTED, CENTROIDS = 1 << 13, 300, 100_000, 3
+#: A text is rejected below this share of the least cosine that sampled rows of its size have to their own language.
+SLACK = 0.6
+#: Sizes of a text: powers of two of its n-grams.
+SIZES = 24
 UNKNOWN = "und"
 _WORD_RUN = re.compile(r"[^\W\d_]+")
 
@@ -31,7 +33,7 @@ class Centroids:
     owner: np.ndarray
     idf: np.ndarray
     vectors: np.ndarray
-    limit: np.ndarray
+    limit: np.ndarray  # by size
 
 
 @lru_cache(1)
@@ -102,38 +104,60 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centre
 
 
-def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS) -> Centroids:
-    """Centroids from (doc_id, text, lang): about `per_language` rows of each language, picked by a hash of doc_id.
+def _size(count: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(1, count.sum(axis=1))).astype(np.int64), SIZES - 1)
 
-    Rows without text, lang or any letter are left out. Only this bounded sample reaches the driver; at most 1,000
-    languages are learned, else ValueError. Without usable rows nothing is learned and every text is rejected."""
-    usable = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
+
+def _beginnings(text: str) -> list[str]:
+    words, out, n = text.split(), [text], 1
+    while n < len(words):
+        out.append(" ".join(words[:n]))
+        n *= 2
+    return out
+
+
+def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS, longest: int = LONGEST_FITTED) -> Centroids:
+    """Centroids from (doc_id, text, lang): at most `per_language` rows of each language, picked by a hash of id and text.
+
+    Rows without text, lang or any letter, and those of more than `longest` letters, are left out. Only this bounded
+    sample reaches the driver; at most 1,000 languages are learned, else ValueError. Null and repeated ids do not matter.
+    Without usable rows nothing is learned and every text is rejected."""
+    usable = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= longest) & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(1001).collect()}
     if len(sizes) > 1000:
         raise ValueError("more than 1,000 languages")
     if not sizes:
-        return Centroids([], np.zeros(0, int), np.ones(FEATURES, np.float32), np.zeros((0, FEATURES), np.float32), np.zeros(0))
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, per_language / n))])
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    sample = sorted(usable.filter(chance < share[F.col("lang")]).collect(), key=lambda r: (r["lang"], str(r["doc_id"]), r["text"]))
-    names = np.array([r["lang"] for r in sample], dtype=object)
-    count = np.concatenate([np.minimum(counts(p), 255).astype(np.uint8) for p in _text_parts([r["text"] for r in sample])])
-    idf = np.log((1 + len(count)) / (1 + (count > 0).sum(axis=0))).astype(np.float32) + 1
-    languages = sorted(set(names.tolist()))
-    owner, vectors, limit, usual = [], [], [], []
-    for i, name in enumerate(languages):
-        own = _vectors(count[names == name], idf)
-        centre = _clusters(own, centroids)
-        cos = own @ centre.T
-        near = cos.argmax(axis=1)
-        usual += cos.max(axis=1).tolist()
-        for j in range(len(centre)):
-            mine = cos[near == j, j]
-            owner.append(i)
-            vectors.append(centre[j])
-            limit.append(float(np.quantile(mine, 0.005)) if len(mine) else 0.0)
-    limit = SLACK * np.minimum(np.array(limit), np.quantile(usual, 0.005))
-    return Centroids(languages, np.array(owner), idf, np.array(vectors, dtype=np.float32), limit)
+        return Centroids([], np.zeros(0, int), np.ones(FEATURES, np.float32), np.zeros((0, FEATURES), np.float32), np.zeros(SIZES))
+    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, 1.25 * per_language / n))])
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1 << 30))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_draw", F.col("doc_id").cast("string")))
+
+    def picked(df: DataFrame) -> list:
+        return df.withColumn("_rank", rank).filter(F.col("_rank") <= per_language).select("lang", "text").collect()
+
+    drawn = usable.withColumn("_draw", draw)
+    sample = picked(drawn.filter(F.col("_draw") / float(1 << 30) < share[F.col("lang")]))
+    missed = sorted(set(sizes) - {r["lang"] for r in sample})  # equal rows are drawn together or not at all
+    if missed:
+        sample += picked(drawn.filter(F.col("lang").isin(missed)))
+    own = {lang: sorted(r["text"] for r in sample if r["lang"] == lang) for lang in sorted({r["lang"] for r in sample})}
+    languages, seen, rows = list(own), np.zeros(FEATURES, np.int64), 0
+    for texts in own.values():
+        for part in _text_parts(texts):
+            seen += (counts(part) > 0).sum(axis=0)
+            rows += len(part)
+    idf = np.log((1 + rows) / (1 + seen)).astype(np.float32) + 1
+    owner, vectors, limit = [], [], np.full(SIZES, np.inf)
+    for i, texts in enumerate(own.values()):
+        centre = _clusters(np.concatenate([_vectors(counts(p), idf) for p in _text_parts(texts)]), centroids)
+        owner += [i] * len(centre)
+        vectors += list(centre)
+        for part in _text_parts([b for t in texts for b in _beginnings(t) if any(map(str.isalpha, b))]):
+            count = counts(part)
+            np.minimum.at(limit, _size(count), (_vectors(count, idf) @ centre.T).max(axis=1))
+    limit = np.minimum.accumulate(limit[::-1])[::-1]  # a shorter text may lie as far away as a longer one
+    limit = np.where(np.isfinite(limit), limit, limit[np.isfinite(limit)][-1:].sum())
+    return Centroids(languages, np.array(owner), idf, np.array(vectors, dtype=np.float32), SLACK * limit)
 
 
 def judged_batches(batches: Iterable[pa.RecordBatch], model: Centroids) -> Iterator[pa.RecordBatch]:
@@ -149,7 +173,7 @@ def judged_batches(batches: Iterable[pa.RecordBatch], model: Centroids) -> Itera
                 top = cos[np.arange(len(part)), best]
                 lang += [model.languages[model.owner[b]] if ok else UNKNOWN for b, ok in zip(best, spoken)]
                 score += np.where(spoken, np.clip(top, 0, 1), 0.0).tolist()
-                far += (~spoken | (top < model.limit[best])).tolist()
+                far += (~spoken | (top < model.limit[_size(count)])).tolist()
             else:
                 lang += [UNKNOWN] * len(part)
                 score += [0.0] * len(part)
@@ -164,7 +188,7 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
     """docs with lang_pred, score (cosine, 0 to 1) and rejected; columns of these names are replaced.
 
     A null, empty or letterless text is `und` with score 0 and rejected. Any other text has the language of its
-    nearest centroid (ties: the first in order of language), and is rejected if it is too far from it."""
+    nearest centroid (ties: the first in order of language), and is rejected if it is too far from it for its size."""
     docs = docs.drop("lang_pred", "score", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: languages x centroids x features
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
