@@ -13,7 +13,7 @@ from labelmill.functions import activations as act
 from labelmill.functions import codes
 from labelmill.functions import geometry as G
 from labelmill.operators import annotations as ann
-from labelmill.operators import boxes, decode, matching, metrics, rasters, sampling
+from labelmill.operators import boxes, coco, decode, matching, metrics, ordering, rasters, sampling
 
 PX = "image_id long, y long, x long, gt long, pred long"
 
@@ -301,3 +301,92 @@ def test_noise_without_room_is_empty_and_repeatable(spark):
 def test_activations(spark):
     row = spark.createDataFrame([(2.0, 1.0)], "x double, t double").select(act.bce_with_logits(F.col("x"), F.col("t")).alias("b"), act.softplus(-F.col("x")).alias("s"), act.inverse_sigmoid(F.lit(2.0)).alias("i")).first()
     assert row["b"] == pytest.approx(row["s"]) and row["i"] == pytest.approx(math.log(1 / 1e-5))
+
+
+def coco_loop(gt, det, t, lo, hi):
+    """(hits, ignored) of one image and category by the public rules: gt and det are (id, box, crowd or score)."""
+    size = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+    skip = {g: bool(crowd) or not lo <= size(b) <= hi for g, b, crowd in gt}
+    used, hits, ignored = set(), set(), set()
+    for d, box, _ in sorted(det, key=lambda x: (-x[2], x[0])):
+        found = []
+        for g, b, crowd in gt:
+            w, h = min(box[2], b[2]) - max(box[0], b[0]), min(box[3], b[3]) - max(box[1], b[1])
+            inter = max(0.0, w) * max(0.0, h)
+            v = inter / (size(box) if crowd else size(box) + size(b) - inter)
+            if round(v, 12) >= t and (crowd or g not in used):
+                found.append((skip[g], -round(v, 12), g, crowd))
+        if found:
+            out, _, g, crowd = min(found)
+            used |= set() if crowd else {g}
+            (ignored if out else hits).add(d)
+        elif not lo <= size(box) <= hi:
+            ignored.add(d)
+    return hits, ignored
+
+
+def test_matches_by_area_equal_a_loop(spark):
+    rng = random.Random(21)
+    box = lambda: (lambda x, y, s: [x, y, x + s, y + s])(float(rng.randrange(0, 120)), float(rng.randrange(0, 120)), float(rng.choice([20, 31, 32, 60, 96, 120])))
+    gt = [(i, box(), int(i % 6 == 0)) for i in range(30)]
+    det = [(100 + i, [v + rng.randrange(-4, 5) for v in gt[i % 30][1]], rng.randrange(8) / 8) for i in range(70)]
+    frame = lambda rows, key, last: spark.createDataFrame([(1, 2, k, *b, v, (b[2] - b[0]) * (b[3] - b[1])) for k, b, v in rows], f"image_id long, category_id int, {key} long, x0 double, y0 double, x1 double, y1 double, {last}, area double")
+    g, d = frame(gt, "gt_id", "iscrowd int"), frame(det, "det_id", "score double")
+    got = coco.matched(matching.box_pairs(g, d), d, g, (0.5, 0.75)).collect()
+    assert len(got) == 70 * 4 * 2
+    for name, (lo, hi) in coco.AREAS.items():
+        for t in (0.5, 0.75):
+            hits, ignored = coco_loop(gt, det, t, lo, hi)
+            mine = [r for r in got if r["range"] == name and r["t"] == t]
+            assert {r["det_id"] for r in mine if r["tp"]} == hits and {r["det_id"] for r in mine if r["ignored"]} == ignored
+    few = coco.matched(matching.box_pairs(g, d), d, g, (0.5,), most=10).collect()
+    assert {r["det_id"] for r in few} == {k for k, _, _ in sorted(det, key=lambda x: (-x[2], x[0]))[:10]}
+    per = coco.by_category(coco.matched(matching.box_pairs(g, d), d, g), coco.truths(g))
+    rows = {r["metric"]: r["value"] for r in coco.summary(per).collect()}
+    assert list(rows) == ["AP", "AP50", "AP75", "APs", "APm", "APl", "AR1", "AR10", "AR100", "ARs", "ARm", "ARl"]
+    assert 0 < rows["AP75"] <= rows["AP50"] <= 1 and rows["AR1"] <= rows["AR10"] <= rows["AR100"]
+    none = coco.by_category(coco.matched(matching.box_pairs(g, d), d, g), coco.truths(g.filter("area < 0")))
+    assert {r["value"] for r in coco.summary(none).collect()} == {-1.0}
+
+
+def test_numbers_run_over_range_partitions(spark):
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("k"), F.concat(F.lit("g"), F.col("id") % 37).alias("g")).repartition(5)
+    assert [r["n"] for r in ordering.numbered(df, ["k"], "n").orderBy("k").collect()] == list(range(500))
+    want = {k: i for i, (_, k) in enumerate(sorted((r["g"], r["k"]) for r in df.collect()), 1)}
+    assert {r["k"]: r["n"] for r in ann.global_numbers(df, "g", "k", "n").collect()} == want
+    assert ordering.numbered(df.limit(0), ["k"], "n").count() == 0 and ann.global_numbers(df.limit(0), "g", "k", "n").count() == 0
+
+
+def test_boundary_distance_by_image(spark):
+    rng = random.Random(3)
+    mask = {(i, y, x) for i in range(3) for y in range(12) for x in range(12) if rng.random() < 0.93}
+    px = spark.createDataFrame(sorted(mask), "image_id long, y long, x long")
+    got = {tuple(r) for r in rasters.boundary_band(px, ["image_id"], (F.col("image_id") + 1).cast("int")).select("image_id", "y", "x").collect()}
+    want = {(i, y, x) for i, y, x in mask if any((i, y + a, x + b) not in mask for a in range(-i - 1, i + 2) for b in range(-i - 1, i + 2))}
+    assert got == want
+    sizes = spark.createDataFrame([(8, 8), (480, 640)], "h int, w int").select(rasters.boundary_distance(F.col("h"), F.col("w")).alias("d"))
+    assert [r["d"] for r in sizes.collect()] == [1, 16]
+
+
+def test_semantic_labels_equal_the_long_form(spark):
+    rng = random.Random(14)
+    cls = spark.createDataFrame([(i, q, c, rng.uniform(-3, 3)) for i in range(2) for q in range(3) for c in (1, 4, 7)], "image_id long, q long, c long, logit double")
+    mask = spark.createDataFrame([(i, q, y, x, rng.uniform(-3, 3)) for i in range(2) for q in range(3) for y in range(4) for x in range(4)], "image_id long, q long, y long, x long, logit double")
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    want = defaultdict(float)
+    for a in cls.collect():
+        for m in mask.filter((F.col("image_id") == a["image_id"]) & (F.col("q") == a["q"])).collect():
+            want[a["image_id"], m["y"], m["x"], a["c"]] += sig(a["logit"]) * sig(m["logit"])
+    scores = decode.semantic_scores(cls, mask)
+    assert {(r["image_id"], r["y"], r["x"], r["c"]): r["score"] for r in scores.collect()} == pytest.approx(dict(want))
+    labels = sorted(tuple(r) for r in decode.semantic_labels(cls, mask).collect())
+    assert labels == sorted((r["image_id"], r["y"], r["x"], r["label"]) for r in decode.argmax_label(scores).collect())
+
+
+def test_checks_and_branches(spark):
+    over = spark.createDataFrame([(1, 0, 3, 5), (1, 0, 255, 2), (2, 1, 1, 4)], "image_id long, gt long, pred long, n long")
+    known = spark.createDataFrame([(1,), (255,)], "category_id long")
+    assert sorted(tuple(r) for r in metrics.unknown_predictions(over, known, 255).collect()) == [(1, 3, 5), (1, 255, 2)]
+    one = spark.createDataFrame([(0.5,)], "loss double")
+    got = metrics.merged_branches({("", None): one, ("interm", None): one, ("dn", 3): one}).collect()
+    assert [(r["metric"], r["branch"], r["layer"]) for r in got] == [("loss", "", None), ("loss_interm", "interm", None), ("loss_dn_3", "dn", 3)]
