@@ -124,6 +124,53 @@ def test_vector_links_equal_brute_force(spark, monkeypatch):
     assert vecdedup.linked_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_several_lengths(spark):
+    rows = [(i, 0, [1.0, 0.1 * i] + [0.0] * (i % 3)) for i in range(12)]
+    got = {r["vec_id"]: r for r in vecdedup.linked_vectors(spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>").repartition(2)).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, _, v in rows}
+    links = [(a, b) for a in unit for b in unit if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.93]
+    want = components(unit, links)
+    assert links and {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {i: (sum(i in x for x in links), want[i]) for i in unit}
+    with pytest.raises(ValueError):
+        ann.nearest(spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>"), F.lit(True))
+
+
+def test_passes_find_all_links_of_a_large_label(spark):
+    """4,000 vectors of one label, half of them in a cone of cosine 0.9 to its axis: the components of all true links."""
+    rng = np.random.default_rng(8)
+    axis = rng.normal(size=32)
+    axis /= np.linalg.norm(axis)
+    side = rng.normal(size=(2000, 32))
+    side -= (side @ axis)[:, None] * axis
+    cone = 0.9 * axis + 0.436 * side / np.linalg.norm(side, axis=1)[:, None]
+    base = rng.normal(size=(1000, 32))
+    near = base + 0.05 * np.linalg.norm(base, axis=1)[:, None] * rng.normal(size=(1000, 32))
+    x = np.concatenate([cone, base, near])
+    got = {r["vec_id"]: r for r in vecdedup.linked_vectors(spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "vec_id long, label long, embedding array<double>")).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    link = np.triu(unit @ unit.T >= 0.93, 1)
+    want = components(range(len(x)), np.argwhere(link).tolist())
+    true = (link | link.T).sum(axis=1)
+    assert link.sum() > 900
+    found = sum(got[i]["n_links"] for i in want)
+    assert all(got[i]["n_links"] <= true[i] for i in want) and found / true.sum() >= 0.99
+    assert sum(got[i]["component_id"] == want[i] for i in want) / len(want) >= 0.99
+
+
+def test_recall_on_the_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = {r["vec_id"]: np.array(r["embedding"], dtype=np.float64) for r in df.collect()}
+    ids, x = np.array(list(rows)), np.array(list(rows.values()))
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in ids[ids % 20 == 0].tolist():
+        s = np.where(ids == q, -np.inf, x @ rows[q])
+        hit += len(got[q] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    assert hit / (20 * len(got)) >= 0.9
+
+
 def test_neighbours(spark):
     rows = [(r[0], r[2]) for r in vectors()] + [(900 + i, [0.5] * 8) for i in range(30)]
     df = spark.createDataFrame([(*r, 0.0) for r in rows], "vec_id long, embedding array<float>, score double").repartition(3)
