@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import group_bounds, land, whole_groups
 
-#: Rows that the trees are fitted on at most; trees; rows of the sample in a leaf at least.
-SAMPLE, TREES, LEAF = 8192, 16, 48
+#: Rows that the trees are fitted on: one in EACH of all, between these bounds; trees; rows of the sample in a leaf at least.
+SAMPLE, EACH, TREES, LEAF = (8192, 131_072), 32, 16, 48
 #: Rows, and queries, of one block of a leaf.
 BLOCK = 4096
 #: Neighbours found that a task holds before it thins them.
@@ -72,12 +72,20 @@ class Forest:
         return out
 
 
-def fit(rows: DataFrame, key: str, vector: str, k: int = 20, trees: int = TREES, sample: int = SAMPLE, recall: float = RECALL, seed: int = 5) -> Forest | None:
-    """A forest from at most `sample` usable rows, picked by a hash of the key; None without any usable row."""
-    picked = rows.orderBy(F.xxhash64(key), key).limit(sample).select(vector).collect()
-    if not picked:
+def fit(rows: DataFrame, key: str, vector: str, k: int = 20, trees: int = TREES, sample: tuple[int, int] = SAMPLE, recall: float = RECALL, seed: int = 5) -> Forest | None:
+    """A forest from a sample of the usable rows, picked by a hash of key and vector; None without any usable row.
+
+    The sample, and with it the number of leaves, grows with the rows up to its bound; beyond it leaves grow."""
+    total = rows.count()
+    if not total:
+        return None
+    size = min(total, max(sample[0], min(sample[1], total // EACH)))
+    draw = F.pmod(F.xxhash64(key, vector, F.lit(29)), F.lit(1 << 30))
+    some = rows.withColumn("_d", draw).filter(F.col("_d") <= int((1 << 30) * min(1.0, 1.1 * size / total + 64 / total)))
+    picked = sorted(some.select("_d", vector).collect(), key=lambda r: (r[0], r[1]))[:size]
+    x = np.array([r[1] for r in picked], dtype=np.float64)
+    if not len(x):
         return None
-    x = np.array([r[0] for r in picked], dtype=np.float64)
     rng = np.random.default_rng(seed)
     depth = max(0, int(np.log2(max(1, len(x) / LEAF))))
     directions = rng.normal(size=(trees, 2**depth - 1, x.shape[1]))
@@ -106,9 +114,16 @@ def fit(rows: DataFrame, key: str, vector: str, k: int = 20, trees: int = TREES,
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The vectors as rows; shorter ones are filled with zeros."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    return flat.flatten().to_numpy().reshape(len(flat), -1).astype(np.float64)
+    size = np.diff(flat.offsets.to_numpy())
+    x = flat.flatten().to_numpy()
+    if not len(size) or (size == size[0]).all():
+        return x.reshape(len(flat), -1).astype(np.float64)
+    out = np.zeros((len(size), size.max()))
+    out[np.arange(size.max()) < size[:, None]] = x
+    return out
 
 
 def placed_batches(batches: Iterable[pa.RecordBatch], forest: Forest, query: bool) -> Iterator[pa.RecordBatch]:
@@ -199,10 +214,13 @@ def nearest(rows: DataFrame, queries: Column, key: str = "vec_id", vector: str =
     `queries` selects, itself left out; nearest first, ties to the smaller key. Fewer rows give fewer neighbours.
 
     Rows with a null key, and vectors that are null, empty, zero or hold null or non-finite components, take no part.
-    Equal vectors are neighbours of one another like any others. All vectors must have one length. An empty table
+    Equal vectors are neighbours of one another like any others. Vectors of several lengths raise ValueError. An empty table
     gives no rows; other columns are not read."""
     spark = rows.sparkSession
     good = rows.filter(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias(key), F.col(vector).cast("array<double>").alias(vector), queries.alias("_q"))
+    longest = good.agg(F.min(F.size(vector)).alias("a"), F.max(F.size(vector)).alias("b")).first()
+    if longest["a"] != longest["b"]:
+        raise ValueError(f"vectors have {longest['a']} to {longest['b']} components")
     forest = fit(good, key, vector, k, **fitting)
     if forest is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
