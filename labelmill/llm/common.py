@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_dir
 
@@ -33,6 +34,16 @@ def land(df: DataFrame) -> DataFrame:
     return out
 
 
+def keyed_join(rows: DataFrame, table: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
+    """rows joined to a table that has one row a key. Keys with more than a 1/share of all rows, of which there are fewer
+    than share, are joined by broadcast, so no task gets all rows of a very frequent key; the others are shuffled."""
+    per = land(rows.groupBy(*keys).agg(F.count("*").alias("n_")))
+    total = per.agg(F.sum("n_")).first()[0] or 0
+    often = F.broadcast(per.filter(F.col("n_") > total / share).select(*keys))
+    hot = rows.join(F.broadcast(table.join(often, keys, "left_semi")), keys)
+    return hot.unionByName(rows.join(often, keys, "left_anti").join(table, keys))
+
+
 def discard(df: DataFrame) -> None:
     """Remove a landed table that nothing reads any more."""
     path = getattr(df, "scratch_path", None)

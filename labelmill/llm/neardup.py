@@ -9,7 +9,7 @@
 4. Components of that forest are candidate clusters. Their full shingle sets are compared, again in bounded blocks,
    and a spanning forest of the exact links gives the components.
 
-A pair at the threshold 0.85 agrees in fewer than t=38 of 64 coordinates with a probability below 1e-6; above it less.
+A pair at the threshold 0.85 agrees in fewer than t = 37 of 64 coordinates with a probability below 1e-6; above it less.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ BROADCAST_IDS = 2_000_000
 
 
 def match_threshold(percent: int, k: int = COORDINATES) -> int:
-    """Collisions out of k that a pair at the similarity has with near certainty: six standard deviations below."""
+    """Collisions out of k that a pair at the similarity has with near certainty: 5.75 standard deviations below the mean."""
     p = percent / 100
     return max(1, int(k * p - 5.75 * (k * p * (1 - p)) ** 0.5))
 

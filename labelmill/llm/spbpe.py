@@ -61,6 +61,13 @@ class MergeTable:
         self.even_spaces = sorted(map(len, spaces)) == list(range(1, self.widest + 1)) and len({sp.get_score(pieces[p]) for p in spaces if len(p) > 1}) == 1 and (
             min(sp.get_score(i) for p, i in pieces.items() if len(p) > 1) == sp.get_score(pieces[SPACE * 2]) if self.widest > 1 else True
         )
+        self._check()
+
+    def _check(self) -> None:
+        """What units() takes for granted (a dummy prefix, escaped spaces, characters left as they are) holds for this model."""
+        for text in ("a b", "  two   spaces ", "\n\tline\r\n", "\uff21\ufb01\u2460 e\u0301\u00e9", "\u2581x \u200b", "\u6f22\U0001f600 A1.5"):
+            if [i for own in self.ids(self.units(text)) for i in own] != self.library.encode(text):
+                raise ValueError(f"this model's normaliser or prefix is not supported: {text!r}")
 
     def _unit_pattern(self, pieces: dict[str, int]) -> str:
         """A unit: spaces, then up to the end of a run of letters, where no piece goes from a letter to what follows."""

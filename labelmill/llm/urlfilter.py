@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import land
+from .common import keyed_join, land
 
 #: Rules of the filter: verdict, host and path as one text.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -155,7 +155,7 @@ def split_batches(batches: Iterable[pa.RecordBatch], total: int) -> Iterator[pa.
 def splits(tokens: DataFrame, counts: DataFrame) -> DataFrame:
     """(token, words) of distinct tokens by the unigram costs of all counted words."""
     total = counts.agg(F.sum("n")).first()[0] or 1
-    met = tokens.mapInArrow(piece_batches, "token string, word string").join(counts, "word")
+    met = keyed_join(tokens.mapInArrow(piece_batches, "token string, word string"), counts, ["word"])
     known = met.groupBy("token").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     ready = tokens.join(known, "token", "left").withColumn("known", F.coalesce("known", F.expr("cast(array() as array<struct<word: string, n: bigint>>)")))
     return ready.mapInArrow(lambda it: split_batches(it, total), "token string, words array<string>")
@@ -216,9 +216,9 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", text: str =
     # what each marked token adds: its words in order, and their weights
     marked = found.select("mark", "token").distinct().join(split, "token")
     each = marked.select("mark", "token", F.posexplode("words").alias("k", "w")).withColumn("word", F.concat("mark", "w"))
-    parted = each.join(weight, "word", "left").groupBy("mark", "token").agg(F.sort_array(F.collect_list(F.struct("k", "w", F.coalesce("weight", F.lit(0.0)).alias("x")))).alias("ws"))
+    parted = land(each.join(weight, "word", "left").groupBy("mark", "token").agg(F.sort_array(F.collect_list(F.struct("k", "w", F.coalesce("weight", F.lit(0.0)).alias("x")))).alias("ws")))
     scored = (
-        found.join(parted, ["mark", "token"]).groupBy(*one).agg(F.sort_array(F.collect_list(F.struct("pos", "ws"))).alias("all"))
+        keyed_join(found, parted, ["mark", "token"]).groupBy(*one).agg(F.sort_array(F.collect_list(F.struct("pos", "ws"))).alias("all"))
         .withColumn("all", F.flatten(F.col("all.ws")))
         .select(*one, F.col("all.w").alias("words"), (F.aggregate(F.col("all.x"), F.lit(0.0), lambda a, x: a + x) + F.lit(start)).alias("score"))
     )

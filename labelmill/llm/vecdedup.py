@@ -4,6 +4,9 @@ Each pass gives every distinct vector the signs of random projections, orders th
 lexicographically by them, and compares each with its neighbours in a bounded window. Verified pairs of all passes
 are united. What the windows leave out is then done exactly: inside each united group all pairs are compared, in
 bounded blocks, to count every link. A link is missed only if no chain of window pairs joins its two vectors.
+
+The number of passes follows from the largest label: two vectors at the least cosine agree in a sign with probability
+p, and lie in one window if they agree in the first log2(rows / window) signs or so.
 """
 
 from __future__ import annotations
@@ -12,8 +15,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ann import _matrix, usable
@@ -21,7 +25,16 @@ from .common import group_bounds, land, whole_groups
 from .components import connected_components
 from .neardup import _forest, sorted_blocks
 
-PASSES, WINDOW, BITS, GROUP_BLOCK = 20, 64, 40, 512
+WINDOW, BITS, GROUP_BLOCK = 64, 60, 512
+#: Chance that no pass puts a pair at the threshold into one window, for vectors that are spread evenly; passes at least.
+MISS, LEAST_PASSES = 1e-5, 16
+
+
+def passes_for(rows: int, least: float, window: int = WINDOW) -> int:
+    """Passes that a label of so many rows needs."""
+    agree = 1 - np.arccos(min(1.0, max(-1.0, least))) / np.pi
+    together = agree ** max(0.0, np.log2(max(1, rows) / window))
+    return max(LEAST_PASSES, int(np.ceil(np.log(MISS) / np.log1p(-min(together, 1 - 1e-9)))))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -33,8 +46,10 @@ def keyed_batches(batches: Iterable[pa.RecordBatch], passes: int, seed: int = 11
     planes: dict[int, np.ndarray] = {}
     weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
     for batch in batches:
-        for a in range(0, batch.num_rows, 2048):
-            part = batch.slice(a, 2048)
+        size = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+        borders = np.union1d(np.flatnonzero(np.diff(size, prepend=-1)), np.arange(0, batch.num_rows, 512))
+        for a, b in zip(borders.tolist(), [*borders[1:].tolist(), batch.num_rows]):  # vectors of one length
+            part = batch.slice(a, b - a)
             x = _matrix(part.column("v"))
             if x.shape[1] not in planes:
                 planes[x.shape[1]] = np.random.default_rng(seed).normal(size=(x.shape[1], passes * BITS))
@@ -50,12 +65,12 @@ def keyed_batches(batches: Iterable[pa.RecordBatch], passes: int, seed: int = 11
 def _pairs(tab: pa.Table, least: float, window: int) -> pa.RecordBatch:
     """Links of each row with the next `window` rows of its pass and label, thinned to a forest where they are many."""
     order, label, ids = tab.column("pass").to_numpy(), tab.column("label").to_numpy(), tab.column("id").to_numpy()
-    x = _unit(_matrix(tab.column("v")))
+    x, size = _unit(_matrix(tab.column("v"))), pc.list_value_length(tab.column("v")).to_numpy()
     out = []
     for a in range(0, len(x), 256):
         b = min(len(x), a + 256 + window)
         i, j = np.nonzero(x[a : min(a + 256, len(x))] @ x[a:b].T >= least)
-        near = (j > i) & (j - i <= window) & (order[a + i] == order[a + j]) & (label[a + i] == label[a + j])
+        near = (j > i) & (j - i <= window) & (order[a + i] == order[a + j]) & (label[a + i] == label[a + j]) & (size[a + i] == size[a + j])
         i, j = i[near], j[near]
         if len(i) > 2 * (b - a):
             link = np.zeros((b - a, b - a), dtype=bool)
@@ -114,27 +129,36 @@ def link_batches(batches: Iterable[pa.RecordBatch], least: float, keys: list[str
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["doc_id", "n"])
 
 
-def linked_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def linked_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row: links join rows of one label with cosine >= least.
 
-    Equal vectors collapse first and are counted in n_links. Rows with a null key or label, and vectors that are null,
+    Equal vectors collapse first and are counted in n_links. Vectors of different lengths never link. Rows with a null key or label, and vectors that are null,
     empty, zero or hold null or non-finite components, link with nothing: they are their own component and kept. Rows
-    repeating a key share its component. An empty table gives no rows; other columns are not read."""
+    repeating a key are vectors of their own, each with its own links. An empty table gives no rows; other columns are not read."""
     spark = rows.sparkSession
     slim = rows.select(F.col(key).cast("bigint").alias("id"), F.col(label).cast("bigint").alias("label"), F.col(vector).cast("array<double>").alias("v"))
     fit = usable("v") & F.col("id").isNotNull() & F.col("label").isNotNull()
     good, rest = slim.filter(fit), slim.filter(~F.coalesce(fit, F.lit(False)))
-    distinct = land(good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    most = distinct.count() * passes // (8 * window) + 1  # partitions far wider than the window
+    distinct = land(good.groupBy("label", "v").agg(F.min("id").alias("key"), F.count("*").alias("copies")).withColumn("id", F.col("key")))
+    shared = distinct.groupBy("key").count().filter("count > 1").select("key")
+    if shared.limit(1).count():  # different vectors of one key are nodes of their own
+        other = F.row_number().over(Window.partitionBy("key").orderBy("label", "v")) > 1
+        some = distinct.join(shared, "key", "left_semi").withColumn("id", F.when(other, F.xxhash64("key", "label", "v")).otherwise(F.col("key")))
+        distinct = land(distinct.join(shared, "key", "left_anti").unionByName(some))
+    sizes = distinct.groupBy("label").count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
+    if passes is None:
+        passes = passes_for(sizes["most"] or 0, least, window)
+    most = (sizes["n"] or 0) * passes // (8 * window) + 1  # partitions far wider than the window
     parts = min(most, int(spark.conf.get("spark.sql.shuffle.partitions")))
     row = "pass int, label long, key long, id long, v array<double>"
     order = ["pass", "label", "key", "id"]
-    ordered = distinct.mapInArrow(lambda it: keyed_batches(it, passes), row).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered = distinct.select("id", "label", "v").mapInArrow(lambda it: keyed_batches(it, passes), row).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     compared = land(ordered.mapInArrow(lambda it: window_batches(it, least, window), f"a long, b long, border long, {row}"))
     met = compared.filter("border is not null").drop("a", "b").repartition("border").sortWithinPartitions("border", *order)
     across = met.mapInArrow(lambda it: border_pairs(it, least, window), "a long, b long")
     inside = compared.filter("a is not null").select("a", "b")
     groups = connected_components(inside.unionByName(across))
+    named = groups.join(distinct.select(F.col("id").alias("node"), "key"), "node").groupBy("component").agg(F.min("key").alias("least"))
     blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / GROUP_BLOCK).alias("nb"))
     members = (
         groups.join(blocks, "component").join(distinct, F.col("node") == F.col("id"))
@@ -147,8 +171,8 @@ def linked_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embeddin
         .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "nb")
     )
     links = sorted_blocks(blocked, keys).mapInArrow(lambda it: link_batches(it, least, keys), "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("n"))
-    found = distinct.join(links, F.col("id") == F.col("doc_id"), "left").join(groups, F.col("id") == F.col("node"), "left").select(
-        "label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
+    found = distinct.join(links, F.col("id") == F.col("doc_id"), "left").join(groups.join(named, "component"), F.col("id") == F.col("node"), "left").select(
+        "label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "key").alias("component_id")
     )
     out = good.join(found, ["label", "v"]).select(F.col("id").alias(key), "n_links", "component_id")
     alone = rest.select(F.col("id").alias(key), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))

@@ -135,6 +135,12 @@ def test_vectors_of_several_lengths(spark):
         ann.nearest(spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>"), F.lit(True))
 
 
+def test_rows_that_repeat_a_key_have_links_of_their_own(spark):
+    rows = [(1, 0, [1.0, 0.0]), (1, 0, [0.0, 1.0]), (2, 0, [1.0, 0.01]), (3, 0, [0.01, 1.0]), (1, 0, [1.0, 0.0]), (4, 0, [-1.0, 0.0])]
+    got = vecdedup.linked_vectors(spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 0, 4)]
+
+
 def test_passes_find_all_links_of_a_large_label(spark):
     """4,000 vectors of one label, half of them in a cone of cosine 0.9 to its axis: the components of all true links."""
     rng = np.random.default_rng(8)
