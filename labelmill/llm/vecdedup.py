@@ -141,7 +141,8 @@ def linked_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embeddin
     good, rest = slim.filter(fit), slim.filter(~F.coalesce(fit, F.lit(False)))
     distinct = land(good.groupBy("label", "v").agg(F.min("id").alias("key"), F.count("*").alias("copies")).withColumn("id", F.col("key")))
     shared = distinct.groupBy("key").count().filter("count > 1").select("key")
-    if shared.limit(1).count():  # different vectors of one key are nodes of their own
+    apart = shared.limit(1).count() > 0
+    if apart:  # different vectors of one key are nodes of their own
         other = F.row_number().over(Window.partitionBy("key").orderBy("label", "v")) > 1
         some = distinct.join(shared, "key", "left_semi").withColumn("id", F.when(other, F.xxhash64("key", "label", "v")).otherwise(F.col("key")))
         distinct = land(distinct.join(shared, "key", "left_anti").unionByName(some))
@@ -158,7 +159,6 @@ def linked_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embeddin
     across = met.mapInArrow(lambda it: border_pairs(it, least, window), "a long, b long")
     inside = compared.filter("a is not null").select("a", "b")
     groups = connected_components(inside.unionByName(across))
-    named = groups.join(distinct.select(F.col("id").alias("node"), "key"), "node").groupBy("component").agg(F.min("key").alias("least"))
     blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / GROUP_BLOCK).alias("nb"))
     members = (
         groups.join(blocks, "component").join(distinct, F.col("node") == F.col("id"))
@@ -171,7 +171,11 @@ def linked_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embeddin
         .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "nb")
     )
     links = sorted_blocks(blocked, keys).mapInArrow(lambda it: link_batches(it, least, keys), "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("n"))
-    found = distinct.join(links, F.col("id") == F.col("doc_id"), "left").join(groups.join(named, "component"), F.col("id") == F.col("node"), "left").select(
+    named = groups.withColumn("least", F.col("component"))  # a node is its key
+    if apart:
+        least = groups.join(distinct.select(F.col("id").alias("node"), "key"), "node").groupBy("component").agg(F.min("key").alias("least"))
+        named = groups.join(least, "component")
+    found = distinct.join(links, F.col("id") == F.col("doc_id"), "left").join(named, F.col("id") == F.col("node"), "left").select(
         "label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "key").alias("component_id")
     )
     out = good.join(found, ["label", "v"]).select(F.col("id").alias(key), "n_links", "component_id")
