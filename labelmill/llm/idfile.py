@@ -323,7 +323,7 @@ def encode(ids: np.ndarray) -> bytes:
                 low[lane_new[x:y]] += part * value_new[x:y]
                 span[lane_new[x:y]] = part
                 put(_narrow(low, span))
-        if b < STEPS:
+        if b <= BUILDS[-1]:  # a build is still to come
             model.note(now, row, k, np.tile(model.block, b - a))
         a = b
         if b == tail and b < STEPS:
@@ -415,10 +415,12 @@ def decode(segment: bytes) -> np.ndarray:
                 span[escaped] = part
                 ids[escaped] = x.astype(np.int32)
                 take(_narrow(low, span))
-            now[t], rows[t], places[t] = ids, row, k
+            now[t] = ids
+            if b <= BUILDS[-1]:
+                rows[t], places[t] = row, k
             p2, p1 = p1, ids
         past[: model.blocks].reshape(lanes, steps)[:, a:b] = now.T
-        if b < steps:
+        if b <= BUILDS[-1]:
             model.note(now.ravel(), rows.ravel(), places.ravel(), np.tile(model.block, b - a))
         a = b
         if b == tail and b < steps:
@@ -512,7 +514,7 @@ class Words:
         texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.values.dictionary_encode()
-        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         fresh = [r for r in distinct if r not in self.known]
         if len(self.known) + len(fresh) > self.REMEMBERED:
             self._clear()
@@ -528,7 +530,7 @@ class Words:
         borders = [0, *(np.flatnonzero(special[1:] != special[:-1]) + 1).tolist(), len(special)]
         for x, y in zip(borders[:-1], borders[1:]):
             data, offsets = strings(texts.slice(x, y - x))
-            for _, _, part, off in byte_chunks(data, offsets, 1 << 22):
+            for _, _, part, off in byte_chunks(data, offsets, 1 << 23):
                 index, runs = self._runs(part, off, not special[x])
                 size = self.size.take(index)
                 ends = np.append(0, np.cumsum(size))
