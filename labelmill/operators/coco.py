@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import land
 from . import matching, metrics
 
 KEYS = ["image_id", "category_id"]
@@ -51,7 +52,7 @@ def by_category(found: DataFrame, n_gt: DataFrame, thresholds: Sequence[float] =
     """(category_id, range, t, n_gt, ap, ar_1, ar_10, ...) for each category, range and threshold with truth."""
     keys = ["category_id", "range", "t"]
     every = n_gt.withColumn("t", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    counted = found.filter("not ignored")
+    counted = land(found.filter("not ignored"))  # matched once, used for recall and for precision
     hits = counted.groupBy(*keys).agg(*[F.sum(F.when(F.col("rank") <= m, F.col("tp")).otherwise(0)).alias(f"hits_{m}") for m in max_dets])
     ap = metrics.average_precision(counted, every, keys, ties=("image_id", "det_id")).drop("ar")
     recall: list[Column] = [(F.coalesce(f"hits_{m}", F.lit(0)) / F.col("n_gt")).alias(f"ar_{m}") for m in max_dets]

@@ -13,13 +13,13 @@ _GRID = "cross join (select {r} as x from range(8)) t cross join (select {r} as
 _TILED = f"(select o.*, {_IMAGE} as image_id, ({_SLOT}%2)*4+dx as x, cast(floor({_SLOT}/2) as bigint)*4+dy as y, dx, ({_SLOT}*3+o_custkey)%10 as k from orders o {_TILE}) z"
 
 SQL: dict[str, tuple[tuple[str, ...], str]] = {
-    "gt_box": (("lineitem",), """select l_orderkey as image_id, (l_partkey*10000+l_suppkey)*10+l_linenumber as ann_id, l_suppkey%5 as category_id,
+    "gt_box": (("lineitem",), """select l_orderkey as image_id, ((l_partkey*10000+l_suppkey)*10+l_linenumber)*100+cast(l_quantity as bigint) as ann_id, l_suppkey%5 as category_id,
  cast(l_partkey%400 as double) as x0, cast((l_partkey*7)%300 as double) as y0,
  cast(l_partkey%400 as double)+20+l_quantity as x1, cast((l_partkey*7)%300 as double)+20+(l_suppkey%60) as y1,
  case when l_returnflag='R' and l_linenumber=7 then 1 else 0 end as iscrowd, 1-l_discount*5 as visibility_fraction from lineitem"""),
     "det_box": (("gt_box",), """select image_id, ann_id as det_id, case when p%13=0 then (s+1)%5 else s%5 end as category_id,
  x0+s%7-3 as x0, y0+s%5-2 as y0, x1+s%11-5 as x1, y1+s%9-4 as y1, cast((p*31+s*17+ln*7)%1000 as double)/1000 as score
-from (select g.*, cast(floor(ann_id/100000) as bigint) as p, cast(floor(ann_id/10) as bigint)%10000 as s, ann_id%10 as ln from gt_box g) t where p%10<8"""),
+from (select g.*, cast(floor(ann_id/10000000) as bigint) as p, cast(floor(ann_id/1000) as bigint)%10000 as s, cast(floor(ann_id/100) as bigint)%10 as ln from gt_box g) t where p%10<8"""),
     "px": (("orders",), f"""select image_id, y, x,
  case when (x*3+y*5+o_orderkey)%23=0 or (k=9 and image_id%3=0) then 255 else k end as gt,
  case when x=7 and y=7 then 10 when (x*5+y*3+o_custkey)%(2+image_id%9)=0 then (k+1)%10 else k end as pred from {_TILED}"""),
