@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelmill.llm import ann, neardup, vecdedup
+from labelmill.llm import components as components_
+from labelmill.llm.common import keyed_join
 from labelmill.llm.components import connected_components
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -85,7 +87,18 @@ def test_chunks_of_fewer_words_than_the_width(spark, texts):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {r["doc_id"]: (1, r["doc_id"] % len(texts)) for r in df.collect()}
 
 
-def test_components_of_chains_and_stars(spark):
+def test_frequent_keys_are_joined_like_others(spark):
+    rows = spark.range(200).select(F.when(F.col("id") % 2 == 0, "often").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k"), "id")
+    table = rows.select("k").distinct().filter("k <> 'k7'").withColumn("w", F.length("k"))
+    want = sorted(map(tuple, rows.join(table, ["k"]).select("k", "id", "w").collect()))
+    for share in (2, 4, 1000):
+        assert sorted(map(tuple, keyed_join(rows, table, ["k"], share).select("k", "id", "w").collect())) == want
+    assert keyed_join(rows.limit(0), table, ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("share", [1000, 4])
+def test_components_of_chains_and_stars(spark, monkeypatch, share):
+    monkeypatch.setattr(components_, "HUBS", share)
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
