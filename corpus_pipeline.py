@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.llm import langid, mixing, neardup, spbpe
-from labelmill.llm.common import land
+from labelmill.llm.common import discard, land
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -46,5 +46,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = land(stage(spark, docs, sf_dir))
+        kept = land(stage(spark, docs, sf_dir))
+        discard(docs)  # what the stage before left
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
