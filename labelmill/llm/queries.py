@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import ann, htmltext, idfile, langid, mixing, neardup, shard, spbpe, urlfilter, vecdedup
+from . import ann, convrepair, htmltext, idfile, langid, mixing, neardup, shard, spbpe, urlfilter, vecdedup
 from .common import table
 
 
@@ -68,6 +68,10 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convrepair.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hypergeometric_shards": op1_hypergeometric_shards,
     "op2_segmented_url_filter": op2_segmented_url_filter,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_context_mixing_ids": op8_context_mixing_ids,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_conversation_repair": op11_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 
