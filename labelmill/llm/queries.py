@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import ann, convrepair, htmltext, idfile, langid, merkle, mixing, neardup, shard, spbpe, urlfilter, vecdedup
+from . import ann, convrepair, htmltext, idfile, langid, merkle, mixing, neardup, packing, shard, spbpe, urlfilter, vecdedup
 from .common import table
 
 
@@ -72,6 +72,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convrepair.repaired_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op12_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_proofs(table(spark, sf_dir, "documents"))
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_grouping_packing": op12_grouping_packing,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }

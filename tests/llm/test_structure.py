@@ -1,14 +1,18 @@
 """Conversation repair, packing and Merkle proofs against brute force and on edge cases."""
 
+import functools
 import hashlib
 import itertools
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from labelmill.llm import convrepair, merkle
+from labelmill.llm import convrepair, merkle, packing
+from labelmill.llm.queries import tokenizer
 
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -242,3 +246,130 @@ def test_stored_levels_are_every_eighth_and_proofs_lead_to_the_root(spark):
         assert r["root"] == r["subroot"] == tree[-1][0]
         assert merkle.folded(r["leaf"].encode(), bytes(r["path"])).decode() == r["root"]
         assert [s.decode() or None for _, s in merkle.steps(bytes(r["path"]))] == [s for s, _ in path_of(tree, r["key"])]
+
+
+# --- packing -----------------------------------------------------------------------------------------------------------
+BPE = "byte_bpe_50k.json"
+
+
+@functools.cache
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer(BPE))
+
+
+def ids_of(text):
+    return [*library().encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def odd_texts():
+    rng = random.Random(2)
+    bits = ["a", "paé", "été", "à", "'s", "'ll", "don't", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\u3000", "\u2028", "\u0085", "\x1c", "\x00", "!", "...", "x,y", "12.5", "日本", "ß", "<|endoftext|>", "<|", "_", "-", "\r\n", "É", "ǅ", "٣", "e\u0301"]
+    return [None, "", " ", "word", *("".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) for _ in range(600))]
+
+
+def test_ids_equal_the_library():
+    """Texts of odd white space, signs and special tokens, with the memory emptied on the way."""
+    texts, coder = odd_texts(), packing.Pieces(tokenizer(BPE))
+    coder.REMEMBERED, coder.TOGETHER = 300, 500
+    got = []
+    for flat, count in coder.encode(pa.array(texts)):
+        got += [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])]
+    assert got == [ids_of(t) for t in texts]
+
+
+def check_packing(rows, docs, room):
+    """Pieces, offsets and room of packed documents {doc_id: texts}."""
+    seen = sorted((r["doc_id"] is not None, r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
+    want = []
+    for doc_id, texts in docs.items():
+        for t in texts:
+            ids = ids_of(t)
+            first = (len(ids) - 1) % room + 1
+            cuts = [0, *range(first, len(ids) + 1, room)]
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                want.append((doc_id is not None, doc_id, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())))
+    assert seen == sorted(want)
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in bins.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= room
+    return len(bins)
+
+
+def test_packing_equals_brute_force_pieces(spark):
+    texts = [*odd_texts()[:150], "long text " * 700, "z" * 9000, "word " * 63]
+    rows = [(k if k else None, t, 1, "x") for k, t in enumerate(texts)] + [(3, texts[3], 2, "y")] * 4
+    df = spark.createDataFrame(rows, "doc_id int, text string, rid int, sequence_id string").repartition(3)
+    docs = {}
+    for doc_id, t, _, _ in rows:
+        docs.setdefault(doc_id, []).append(t)
+    packed = packing.packed(df, tokenizer(BPE), room=64, ids=True).cache()
+    used = check_packing(packed.collect(), docs, 64)
+    total = sum(len(ids_of(t)) for ts in docs.values() for t in ts)
+    assert -(-total // 64) <= used <= -(-total // 64) * 1.02 + 1
+    whole = {r["sequence_id"]: r["ids"] for r in packing.token_sequences(packed).collect()}
+    for r in packed.collect():
+        part = whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]
+        assert zlib.crc32(np.array(part, "<u4").tobytes()) == r["ids_crc32"]
+    packed.unpersist()
+
+
+def test_packing_of_empty_tables(spark):
+    assert packing.packed(spark.createDataFrame([], "doc_id long, text string"), tokenizer(BPE)).collect() == []
+    row = packing.packed(spark.createDataFrame([(1, None)], "doc_id long, text string"), tokenizer(BPE)).collect()
+    assert [(r["length"], r["offset"], r["ids_crc32"]) for r in row] == [(1, 0, zlib.crc32(bytes(4)))]
+
+
+def fewest(lengths, room):
+    """The least number of bins, by trying."""
+    best = len(lengths)
+    order = sorted(lengths, reverse=True)
+
+    def place(k, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if k == len(order):
+            best = len(fills)
+            return
+        for b in range(len(fills)):
+            if fills[b] + order[k] <= room and fills[b] not in fills[:b]:
+                place(k + 1, [*fills[:b], fills[b] + order[k], *fills[b + 1 :]])
+        place(k + 1, [*fills, order[k]])
+
+    place(0, [])
+    return best
+
+
+def test_evolution_finds_the_fewest_bins():
+    """Small instances against exhaustive search; the bound is never above, and children keep every piece once."""
+    rng = np.random.default_rng(3)
+    for seed in range(60):
+        lengths = rng.integers(1, [40, 90, 50][seed % 3], 11) + [0, 10, 20][seed % 3]
+        island = packing.Island(lengths.astype(np.int64), 100, [seed])
+        want = fewest(lengths.tolist(), 100)
+        assert island.bound <= want
+        island.evolve()
+        for bins, fills in island.members:
+            assert (np.bincount(bins, lengths) == fills).all() and fills.max() <= 100 and fills.min() > 0
+        assert len(island.members[0][1]) == want
+
+
+def test_evolution_beats_best_fit():
+    """Triples that fill a bin exactly, where falling best fit wastes bins."""
+    rng = np.random.default_rng(5)
+    for seed in range(6):
+        a, b = rng.integers(380, 490, 60), rng.integers(260, 300, 60)
+        lengths = np.concatenate([a, b, 1000 - a - b])
+        fills: list = []
+        packing.best_fit(np.argsort(-lengths, kind="stable").tolist(), lengths.tolist(), 1000, np.zeros(180, np.int32), fills)
+        island = packing.Island(lengths, 1000, [seed])
+        island.evolve()
+        assert len(fills) >= 68 and len(island.members[0][1]) <= 62
