@@ -89,7 +89,9 @@ class Pieces:
         if len(odd):  # after white space beyond ASCII nothing ends; C3 begins Latin letters only
             odd = odd[data[at[odd] - 2] != 0xC3]
             at = np.delete(at, odd)
-        borders = np.union1d(at, offsets)
+        border = np.zeros(len(data) + 1, bool)
+        border[at] = border[offsets] = True
+        borders = np.flatnonzero(border)
         return borders, np.diff(np.searchsorted(borders, offsets))
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
