@@ -94,6 +94,64 @@ def scale_polygon(points: Column, sx: Column, sy: Column) -> Column:
     return F.transform(points, lambda v, i: F.when(i % 2 == 0, v * sx).otherwise(v * sy))
 
 
+_POINTS = "array<struct<x:double,y:double>>"
+
+
+def polygon_points(points: Column) -> Column:
+    """A flat x0,y0,x1,y1,... polygon as an array of (x, y)."""
+    n = F.floor(F.size(points) / 2).cast("int")
+    pairs = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at(points, 2 * i - 1).cast("double").alias("x"), F.element_at(points, 2 * i).cast("double").alias("y")))
+    return F.when(n > 0, pairs).otherwise(F.array()).cast(_POINTS)
+
+
+def flat_polygon(points: Column) -> Column:
+    return F.flatten(F.transform(points, lambda p: F.array(p["x"], p["y"])))
+
+
+def _next(points: Column, i: Column) -> Column:
+    """The point after the i-th (from 0), the first one after the last."""
+    return F.get(points, F.pmod(i + 1, F.size(points)))
+
+
+def polygon_area(points: Column) -> Column:
+    """Area of a flat polygon, by the sum over its edges; 0 for fewer than three points."""
+    p = polygon_points(points)
+    terms = F.aggregate(F.array(p), F.array().cast("array<double>"), lambda _, q: F.transform(q, lambda a, i: a["x"] * _next(q, i)["y"] - _next(q, i)["x"] * a["y"]))
+    return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)) / 2
+
+
+def clip_polygon(points: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """A flat polygon inside a window, in the window's own coordinates; empty where fewer than three points remain.
+
+    The polygon is cut by the window's four half-planes in turn, each a fold step over the edges: the inner end points
+    stay, and an edge that crosses the border adds the place where it does. A concave polygon that falls into several
+    parts keeps edges along the border between them, which changes no area and no covered pixel centre beside them."""
+    plane = lambda a, b, c: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"), c.cast("double").alias("c"))
+    one, none = F.lit(1.0), F.lit(0.0)
+    planes = F.array(plane(one, none, -x0), plane(-one, none, x1), plane(none, one, -y0), plane(none, -one, y1))  # a x + b y + c >= 0
+
+    def cut(poly: Column, h: Column) -> Column:
+        side = lambda p: h["a"] * p["x"] + h["b"] * p["y"] + h["c"]
+
+        def edge(p: Column, i: Column) -> Column:
+            q = _next(poly, i)
+            s, t = side(p), side(q)
+            at = F.struct((p["x"] + (q["x"] - p["x"]) * s / (s - t)).alias("x"), (p["y"] + (q["y"] - p["y"]) * s / (s - t)).alias("y"))
+            return F.when((s >= 0) & (t >= 0), F.array(p)).when(s >= 0, F.when(s > 0, F.array(p, at)).otherwise(F.array(p))).when(t > 0, F.array(at)).otherwise(F.array().cast(_POINTS)).cast(_POINTS)
+
+        return F.flatten(F.transform(poly, edge)).cast(_POINTS)
+
+    kept = F.aggregate(planes, polygon_points(points), cut)
+    moved = F.transform(kept, lambda p: F.struct((p["x"] - x0).alias("x"), (p["y"] - y0).alias("y")))
+    flat = flat_polygon(moved)
+    return F.when(F.size(flat) >= 6, flat).otherwise(F.array().cast("array<double>"))
+
+
+def clip_polygons(parts: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The parts of an annotation inside a window; parts of which nothing remains are dropped."""
+    return F.filter(F.transform(parts, lambda p: clip_polygon(p, x0, y0, x1, y1)), lambda p: F.size(p) > 0)
+
+
 def shortest_edge_size(h: Column, w: Column, min_size: int, max_size: int) -> tuple[Column, Column]:
     """Height and width after the shorter side becomes min_size, unless the longer would pass max_size."""
     scale = F.lit(float(min_size)) / F.least(h, w)

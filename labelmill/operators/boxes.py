@@ -21,17 +21,40 @@ def pairs(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return left.join(right, on)
 
 
-def _cells(df: DataFrame, mark: str, grid: float) -> DataFrame:
-    span = lambda lo, hi: F.sequence(F.floor(F.col(mark + lo) / grid), F.floor(F.col(mark + hi) / grid))
+def _cells(df: DataFrame, mark: str, side: Column) -> DataFrame:
+    """df once for each cell of width `side` that its box touches."""
+    span = lambda lo, hi: F.sequence(F.floor(F.col(mark + lo) / side), F.floor(F.col(mark + hi) / side))
     return df.withColumn("_gx", F.explode(span("x0", "x1"))).withColumn("_gy", F.explode(span("y0", "y1")))
 
 
+def _level(mark: str, grid: float) -> Column:
+    """The level whose cells, grid * 2 ** level wide, are at least as wide and high as the box."""
+    longest = F.greatest(F.col(mark + "x1") - F.col(mark + "x0"), F.col(mark + "y1") - F.col(mark + "y0"))
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(longest, F.lit(grid)) / grid))).cast("int")
+
+
 def overlapping_pairs(a: DataFrame, b: DataFrame, on: list[str], grid: float) -> DataFrame:
-    """Pairs whose boxes overlap, met once each: in the grid cell that holds their intersection's top left corner."""
-    left, right = _sides(a, b, on)
-    met = _cells(left, "a_", grid).join(_cells(right, "b_", grid), [*on, "_gx", "_gy"])
-    home = (F.floor(F.greatest("a_x0", "b_x0") / grid) == F.col("_gx")) & (F.floor(F.greatest("a_y0", "b_y0") / grid) == F.col("_gy"))
-    return met.filter(home & (G.intersection(G.columns("a_"), G.columns("b_")) > 0)).drop("_gx", "_gy")
+    """Pairs whose boxes overlap, met once each: in the cell that holds their intersection's top left corner.
+
+    Cells come in levels, each twice as wide as the one below; a box lies in at most four cells of its own level. A pair
+    meets at the level of its larger box, so a box is also entered at the coarser levels that the other side has under
+    the same keys: the rows for a box are bounded by four a level, whatever its size."""
+    left, right = (df.withColumn("_own", _level(m, grid)) for df, m in zip(_sides(a, b, on), ("a_", "b_")))
+    levels = lambda df: df.groupBy(*on).agg(F.collect_set("_own").alias("_levels"))  # noqa: E731  some dozens at most
+    width = F.lit(float(grid)) * F.pow(F.lit(2.0), F.col("_level"))
+
+    def entered(df: DataFrame, mark: str) -> DataFrame:
+        return _cells(df.drop("_own"), mark, width)
+
+    def coarser(df: DataFrame, other: DataFrame) -> DataFrame:
+        met = df.join(levels(other), on)
+        return met.withColumn("_level", F.explode(F.filter("_levels", lambda x: x > F.col("_own")))).drop("_levels")
+
+    place = [*on, "_level", "_gx", "_gy"]
+    own_a, own_b = (entered(df.withColumn("_level", F.col("_own")), m) for df, m in ((left, "a_"), (right, "b_")))
+    met = own_a.join(own_b.unionByName(entered(coarser(right, left), "b_")), place).unionByName(entered(coarser(left, right), "a_").join(own_b, place))
+    home = (F.floor(F.greatest("a_x0", "b_x0") / width) == F.col("_gx")) & (F.floor(F.greatest("a_y0", "b_y0") / width) == F.col("_gy"))
+    return met.filter(home & (G.intersection(G.columns("a_"), G.columns("b_")) > 0)).drop("_level", "_gx", "_gy")
 
 
 def pairwise_iou(a: DataFrame, b: DataFrame, on: list[str], eps: float = 1e-6, grid: float | None = None) -> DataFrame:

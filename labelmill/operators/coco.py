@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import land
-from . import matching, metrics
+from . import matching, ordering
 
 KEYS = ["image_id", "category_id"]
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
@@ -17,46 +16,93 @@ AREAS = {"all": (0.0, 1e10), "small": (0.0, 1024.0), "medium": (1024.0, 9216.0),
 MAX_DETS = (1, 10, 100)
 
 
-def _by_area(df: DataFrame, areas: Mapping[str, tuple[float, float]]) -> DataFrame:
-    """df once for every area range, with whether its own area lies outside."""
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("range"), F.lit(float(a)).alias("lo"), F.lit(float(b)).alias("hi")) for n, (a, b) in areas.items()]))
-    out = df.withColumn("_a", each).withColumn("range", F.col("_a.range"))
-    return out.withColumn("outside", (F.col("area") < F.col("_a.lo")) | (F.col("area") > F.col("_a.hi"))).drop("_a")
+def _outside(areas: Mapping[str, tuple[float, float]], width: int) -> Column:
+    """The settings (`width` bits for each range) of the ranges that the column `area` lies outside of."""
+    every = (1 << width) - 1
+    out = [F.when((F.col("area") < float(lo)) | (F.col("area") > float(hi)), F.lit(every << (k * width))).otherwise(F.lit(0)) for k, (lo, hi) in enumerate(areas.values())]
+    return sum(out[1:], out[0]).cast("bigint")
 
 
 def matched(pairs: DataFrame, det: DataFrame, gt: DataFrame, thresholds: Sequence[float] = THRESHOLDS, areas: Mapping[str, tuple[float, float]] = AREAS, most: int = max(MAX_DETS)) -> DataFrame:
-    """Every detection among the `most` best of its image and category, for each area range and threshold: rank, tp, ignored.
+    """Every detection among the `most` best of its image and category: keys, det_id, score, rank, and as bit sets over
+    settings where it is a true positive (`tp`) and where it is ignored (`ignored`). A setting is an area range and a
+    threshold: bit number of the range * thresholds + number of the threshold.
 
-    pairs: as from matching.box_pairs or mask_pairs; det: keys, det_id, score, area; gt: keys, gt_id, area, iscrowd.
+    pairs: as from matching.box_pairs or runs.mask_pairs; det: keys, det_id, score, area; gt: keys, gt_id, area, iscrowd.
     A truth that is a crowd or outside the range is matched last and the detection that takes it is ignored; so is an
     unmatched detection outside the range."""
+    n = len(thresholds)
     rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.col("score").desc(), "det_id"))
-    best = det.select(*KEYS, "det_id", "score", "area").withColumn("rank", rank).filter(F.col("rank") <= most)
-    flags = _by_area(gt.select(*KEYS, "gt_id", "area"), areas).select(*KEYS, "gt_id", "range", "outside")
-    met = pairs.join(best.select(*KEYS, "det_id"), [*KEYS, "det_id"], "left_semi").join(flags, [*KEYS, "gt_id"])
-    met = met.withColumn("ignore", F.col("crowd") | F.col("outside")).drop("outside")
-    each = _by_area(best, areas)
-    found = matching.greedy_match(met, each, thresholds, [*KEYS, "range"])
-    return found.join(each.select(*KEYS, "range", "det_id", "rank", "outside"), [*KEYS, "range", "det_id"]).withColumn(
-        "ignored", F.col("ignored") | (F.col("gt_id").isNull() & F.col("outside"))
-    ).drop("outside")
+    best = det.select(*KEYS, "det_id", "score", _outside(areas, n).alias("outside")).withColumn("rank", rank).filter(F.col("rank") <= most)
+    met = pairs.filter(F.col("v") >= float(min(thresholds))).join(best.select(*KEYS, "det_id"), [*KEYS, "det_id"], "left_semi")
+    met = met.join(gt.select(*KEYS, "gt_id", _outside(areas, n).alias("skip")), [*KEYS, "gt_id"])
+    repeated = sum(1 << (k * n) for k in range(len(areas)))
+    left = matching.threshold_bits(F.col("v"), thresholds) * F.lit(repeated)
+    met = met.withColumns({"left": left, "skip": F.when(F.col("crowd"), F.lit(-1).cast("bigint")).otherwise(F.col("skip"))})
+    won = F.bit_or(F.when(F.col("ignore"), F.lit(0).cast("bigint")).otherwise(F.col("bits")))
+    hits = matching.match_rounds(met, KEYS).groupBy(*KEYS, "det_id").agg(won.alias("tp"), F.bit_or("bits").alias("any"))
+    none = F.lit(0).cast("bigint")
+    out = best.join(hits, [*KEYS, "det_id"], "left").withColumns({"tp": F.coalesce("tp", none), "any": F.coalesce("any", none)})
+    ignored = F.col("any").bitwiseAND(F.bitwise_not("tp")).bitwiseOR(F.col("outside").bitwiseAND(F.bitwise_not("any")))
+    return out.select(*KEYS, "det_id", "score", "rank", "tp", ignored.alias("ignored"))
 
 
-def truths(gt: DataFrame, areas: Mapping[str, tuple[float, float]] = AREAS) -> DataFrame:
-    """(category_id, range, n_gt): truths that count; categories without any in a range have no row."""
-    kept = gt.filter(F.coalesce(F.col("iscrowd"), F.lit(0)) == 0).select("category_id", "area")
-    return _by_area(kept, areas).filter("not outside").groupBy("category_id", "range").agg(F.count("*").alias("n_gt"))
+def _settings(thresholds: Sequence[float], areas: Iterable[str]) -> list[tuple[str, float]]:
+    return [(r, float(t)) for r in areas for t in thresholds]
+
+
+def _bit(column: str, i: int) -> Column:
+    return F.shiftright(column, i).bitwiseAND(F.lit(1))
 
 
-def by_category(found: DataFrame, n_gt: DataFrame, thresholds: Sequence[float] = THRESHOLDS, max_dets: Sequence[int] = MAX_DETS) -> DataFrame:
-    """(category_id, range, t, n_gt, ap, ar_1, ar_10, ...) for each category, range and threshold with truth."""
-    keys = ["category_id", "range", "t"]
-    every = n_gt.withColumn("t", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    counted = land(found.filter("not ignored"))  # matched once, used for recall and for precision
-    hits = counted.groupBy(*keys).agg(*[F.sum(F.when(F.col("rank") <= m, F.col("tp")).otherwise(0)).alias(f"hits_{m}") for m in max_dets])
-    ap = metrics.average_precision(counted, every, keys, ties=("image_id", "det_id")).drop("ar")
+def expanded(found: DataFrame, thresholds: Sequence[float] = THRESHOLDS, areas: Iterable[str] = tuple(AREAS)) -> DataFrame:
+    """`matched` as rows: keys, range, t, det_id, score, rank, tp (0 or 1), ignored."""
+    each = [F.struct(F.lit(r).alias("range"), F.lit(t).alias("t"), _bit("tp", i).cast("int").alias("tp"), (_bit("ignored", i) == 1).alias("ignored")) for i, (r, t) in enumerate(_settings(thresholds, areas))]
+    return found.select(*KEYS, "det_id", "score", "rank", F.inline(F.array(*each)))
+
+
+def truths(gt: DataFrame, areas: Mapping[str, tuple[float, float]] = AREAS) -> DataFrame:
+    """(category_id, range, n_gt): truths that count; categories without any in a range have no row."""
+    kept = gt.filter(F.coalesce(F.col("iscrowd"), F.lit(0)) == 0)
+    counts = kept.groupBy("category_id").agg(*[F.count_if(F.col("area").between(float(lo), float(hi))).alias(r) for r, (lo, hi) in areas.items()])
+    return counts.select("category_id", F.inline(F.array(*[F.struct(F.lit(r).alias("range"), F.col(r).alias("n_gt")) for r in areas]))).filter("n_gt > 0")
+
+
+def by_category(found: DataFrame, n_gt: DataFrame, thresholds: Sequence[float] = THRESHOLDS, max_dets: Sequence[int] = MAX_DETS, areas: Iterable[str] = tuple(AREAS), points: int = 101) -> DataFrame:
+    """(category_id, range, t, n_gt, ap, ar_1, ar_10, ...) for each category, range and threshold with truth.
+
+    `found` as from `matched`: one row a detection. Its rows lie in range partitions of (category, falling score), and the
+    counts of all settings run over them side by side, so no task holds a category and nothing is sorted for each setting.
+    Only a detection's true positives are expanded, into the recall point they reach and the precision there, of which
+    the highest for each point is kept before anything is shuffled."""
+    areas, cells = list(areas), _settings(thresholds, areas)
+    kept = lambda i: F.lit(1) - _bit("ignored", i)
+    wide = n_gt.groupBy("category_id").agg(*[F.max(F.when(F.col("range") == r, F.col("n_gt"))).alias(f"_g{k}") for k, r in enumerate(areas)])
+    order = ["category_id", F.col("score").desc(), "image_id", "det_id"]
+    rows = ordering.ranged(found.select("category_id", "score", "image_id", "det_id", "rank", "tp", "ignored"), *order)
+    counts = {f"_h{i}": F.sum(_bit("tp", i)) for i in range(len(cells))} | {f"_k{i}": F.sum(kept(i)) for i in range(len(cells))}
+    totals = rows.groupBy("category_id", "_part").agg(*[c.alias(n) for n, c in counts.items()])
+    start = ordering.before_parts(totals, ["category_id"], {f"b{n}": n for n in counts})
+    inside = Window.partitionBy("category_id", "_part").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.select("*", *[c.over(inside).alias(n) for n, c in counts.items()])
+    run = run.filter("tp <> 0").join(start, ["category_id", "_part"]).join(wide, "category_id")
+    hit = []
+    for i, (r, _) in enumerate(cells):
+        total = F.col(f"_h{i}") + F.col(f"b_h{i}")
+        recall = total / F.col(f"_g{areas.index(r)}")
+        hit.append(F.when(_bit("tp", i) == 1, F.struct(F.lit(i).alias("i"), F.floor(recall * (points - 1) + 1e-9).cast("int").alias("q"), (total / (F.col(f"_k{i}") + F.col(f"b_k{i}"))).alias("p"))))
+    reached = run.select("category_id", F.inline(F.array_compact(F.array(*hit)))).groupBy("category_id", "i", "q").agg(F.max("p").alias("p"))
+    # at most `points` rows a setting: the precision of a point is the highest at it or beyond
+    setting = Window.partitionBy("category_id", "i")
+    beyond = F.max("p").over(setting.orderBy(F.col("q").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    since = F.col("q") - F.lag("q", 1, -1).over(setting.orderBy("q"))
+    ap = reached.withColumns({"_p": beyond, "_n": since}).groupBy("category_id", "i").agg((F.sum(F.col("_p") * F.col("_n")) / points).alias("ap"))
+    hits = rows.groupBy("category_id").agg(*[F.sum(F.when(F.col("rank") <= m, _bit("tp", i)).otherwise(0)).alias(f"_{m}_{i}") for i in range(len(cells)) for m in max_dets])
+    hits = hits.select("category_id", F.inline(F.array(*[F.struct(F.lit(i).alias("i"), *[F.col(f"_{m}_{i}").alias(f"hits_{m}") for m in max_dets]) for i in range(len(cells))])))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r).alias("of"), F.lit(t).alias("t")) for i, (r, t) in enumerate(cells)]))
+    every = n_gt.withColumn("c", each).filter("range = c.of").select("category_id", "range", "n_gt", "c.i", "c.t")
     recall: list[Column] = [(F.coalesce(f"hits_{m}", F.lit(0)) / F.col("n_gt")).alias(f"ar_{m}") for m in max_dets]
-    return ap.join(hits, keys, "left").select(*keys, "n_gt", "ap", *recall)
+    return every.join(ap, ["category_id", "i"], "left").join(hits, ["category_id", "i"], "left").select("category_id", "range", "t", "n_gt", F.coalesce("ap", F.lit(0.0)).alias("ap"), *recall)
 
 
 def summary(per: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import activations as act
 from ..functions import geometry as G
+from ..sources.scratch import land
 from . import boxes
 
 WEIGHTS = {"cls": 4.0, "l1": 5.0, "giou": 2.0, "mask": 5.0, "dice": 5.0}
@@ -130,36 +131,55 @@ def mask_pairs(gt_px: DataFrame, det_px: DataFrame, det: DataFrame, on: Sequence
     return met.select(*on, "det_id", "score", "gt_id", F.round(F.col("n") / (F.col("g") + F.col("d") - F.col("n")), 12).alias("v"), F.lit(False).alias("crowd"))
 
 
+def threshold_bits(v: Column, thresholds: Sequence[float]) -> Column:
+    """Bit i is set if v reaches the i-th threshold."""
+    return sum((F.when(v >= float(t), F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(thresholds)), F.lit(0)).cast("bigint")
+
+
+def match_rounds(pairs: DataFrame, on: Sequence[str], unrolled: int = 2) -> DataFrame:
+    """(keys, det_id, gt_id, ignore, bits): the greedy matching of many settings at once, one bit a setting (62 at most).
+
+    pairs: keys, det_id, score, gt_id, v, crowd, `left` (settings in which the pair counts), `skip` (those in which the
+    truth is to be ignored). In each setting detections by falling score (then det_id) take the free truth of highest v
+    (then gt_id), truths to ignore last; a crowd stays free. That is settled in rounds: a pair is final where the truth is
+    the detection's best one left and the detection the first one left of the truth, which is what running ORs over
+    the two orders show; what it rules out is dropped. A round settles at least the first detection that is left, and most pairs
+    have no rivals and go in the first one. Rows are dealt by the keys once a landing, `unrolled` rounds need no further shuffle."""
+    on = list(on)
+    bits = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    det, gt = Window.partitionBy(*on, "det_id"), Window.partitionBy(*on, "gt_id")
+    before = (Window.unboundedPreceding, -1)
+    best = det.orderBy("ignore", F.col("v").desc(), "gt_id").rowsBetween(*before)
+    first = gt.orderBy(F.col("score").desc(), "det_id", "ignore").rowsBetween(*before)
+    split = F.explode(F.array(F.struct(F.lit(False).alias("ignore"), F.col("left").bitwiseAND(F.bitwise_not("skip")).alias("left")), F.struct(F.lit(True).alias("ignore"), F.col("left").bitwiseAND(F.col("skip")).alias("left"))))
+    rest = pairs.select(*on, "det_id", "score", "gt_id", "v", "crowd", split.alias("s")).select(*on, "det_id", "score", "gt_id", "v", "crowd", "s.*").filter("left <> 0")
+    out = None
+    while True:
+        rest, done = rest.repartition(*on).withColumn("bits", F.lit(0).cast("bigint")), None
+        for _ in range(unrolled):
+            free = F.bitwise_not(bits(F.bit_or("left").over(best))).bitwiseAND(F.when(F.col("crowd"), F.lit(-1).cast("bigint")).otherwise(F.bitwise_not(bits(F.bit_or("left").over(first)))))
+            rest = rest.withColumn("hit", F.col("left").bitwiseAND(free))
+            gone = F.bit_or("hit").over(det).bitwiseOR(F.when(F.col("crowd"), F.lit(0).cast("bigint")).otherwise(F.bit_or("hit").over(gt)))
+            rest = rest.select(*on, "det_id", "score", "gt_id", "v", "crowd", "ignore", F.col("left").bitwiseAND(F.bitwise_not(gone)).alias("left"), F.col("bits").bitwiseOR(F.col("hit")).alias("bits"))
+        rest = land(rest.filter("left <> 0 or bits <> 0"))
+        done = rest.filter("bits <> 0").select(*on, "det_id", "gt_id", "ignore", "bits")
+        out = done if out is None else out.unionByName(done)
+        rest = rest.filter("left <> 0").drop("bits")
+        if rest.isEmpty():
+            return out
+
+
 def greedy_match(pairs: DataFrame, det: DataFrame, thresholds: Sequence[float], on: Sequence[str] = ("image_id", "category_id")) -> DataFrame:
     """det rows for each threshold with gt_id, tp and ignored: by falling score each takes the free truth of highest v >= t.
 
-    pairs: as from box_pairs or mask_pairs; det: keys, det_id, score. Truths to ignore (column `ignore` of pairs; else the
-    crowds) are tried last, and crowds may absorb several detections. Pairs without rivals match at once; one fold over the score-ordered candidates of an (image,
-    category) does the rest."""
+    pairs: as from box_pairs or runs.mask_pairs; det: keys, det_id, score. Truths to ignore (column `ignore` of pairs; else the
+    crowds) are tried last, and crowds may absorb several detections. Settled in rounds, see match_rounds."""
     on = list(on)
-    least = float(min(thresholds))
-    if "ignore" not in pairs.columns:
-        pairs = pairs.withColumn("ignore", F.col("crowd"))
-    rivals = F.count("*").over(Window.partitionBy(*on, "gt_id")) + F.count("*").over(Window.partitionBy(*on, "det_id"))
-    pairs = pairs.filter(F.col("v") >= least).withColumn("free", (rivals == 2) & ~F.col("crowd"))
-    every_t = F.array(*[F.lit(float(x)) for x in thresholds])
-    free = pairs.filter("free").withColumn("t", F.explode(F.filter(every_t, lambda t: t <= F.col("v"))))  # matched whatever the others take
-    cand = pairs.filter("not free").groupBy(*on, "det_id", "score").agg(F.sort_array(F.collect_list(F.struct("ignore", (-F.col("v")).alias("neg"), "gt_id", "crowd"))).alias("cands"))
-    per = cand.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("negs"), "det_id", "cands"))).alias("dets"))
-    at = per.withColumn("t", F.explode(every_t))
-    start = F.struct(F.array().cast("array<bigint>").alias("taken"), F.array().cast("array<struct<det_id:bigint,gt_id:bigint,ignore:boolean>>").alias("hits"))
-
-    def step(acc, row):
-        free = F.filter(row["cands"], lambda c: (-c["neg"] >= F.col("t")) & (c["crowd"] | ~F.array_contains(acc["taken"], c["gt_id"])))
-        pick = F.try_element_at(free, F.lit(1))
-        found = F.size(free) > 0
-        taken = F.when(found & ~pick["crowd"], F.concat(acc["taken"], F.array(pick["gt_id"]))).otherwise(acc["taken"])
-        hit = F.struct(row["det_id"].cast("bigint").alias("det_id"), pick["gt_id"].cast("bigint").alias("gt_id"), pick["ignore"].alias("ignore"))
-        return F.struct(taken.alias("taken"), F.when(found, F.concat(acc["hits"], F.array(hit))).otherwise(acc["hits"]).alias("hits"))
-
-    hits = at.withColumn("r", F.aggregate("dets", start, step)).select(*on, "t", F.explode("r.hits").alias("h")).select(*on, "t", "h.det_id", "h.gt_id", "h.ignore")
-    hits = hits.unionByName(free.select(*on, "t", "det_id", "gt_id", "ignore"))
-    every = det.select(*on, "det_id", "score").withColumn("t", F.explode(every_t))
+    skip = F.when(F.col("ignore" if "ignore" in pairs.columns else "crowd"), F.lit(-1)).otherwise(F.lit(0)).cast("bigint")
+    hits = match_rounds(pairs.withColumns({"left": threshold_bits(F.col("v"), thresholds), "skip": skip}), on)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("t")) for i, t in enumerate(thresholds)])).alias("e")
+    hits = hits.select("*", each).filter(F.expr("shiftright(bits, e.i) & 1") == 1).select(*on, F.col("e.t").alias("t"), "det_id", "gt_id", "ignore")
+    every = det.select(*on, "det_id", "score", each).select(*on, "det_id", "score", F.col("e.t").alias("t"))
     out = every.join(hits, [*on, "t", "det_id"], "left")
     return out.withColumn("tp", F.coalesce((~F.col("ignore")).cast("int"), F.lit(0))).withColumn("ignored", F.coalesce("ignore", F.lit(False))).drop("ignore")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import runs as sweeps
+
 
 def segment_areas(px: DataFrame, label: str = "label", keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     return px.groupBy(*keys, label).agg(F.count("*").alias("area"))
@@ -88,11 +90,8 @@ def rle_area(rle: Column) -> Column:
 def rle_decode(df: DataFrame, rle: str = "rle") -> DataFrame:
     """The mask pixels (y, x) of each row's run lengths; the other columns stay."""
     keep = [c for c in df.columns if c != rle]
-    counts, height = F.col(f"{rle}.counts"), F.col(f"{rle}.size")[0]
-    ends = F.aggregate(counts, F.array(F.lit(0).cast("bigint")), lambda a, c: F.concat(a, F.array(F.element_at(a, -1) + c)))
-    runs = df.select(*keep, height.alias("_h"), ends.alias("_e"), F.posexplode(counts).alias("_k", "_c")).filter((F.col("_k") % 2 == 1) & (F.col("_c") > 0))
-    p = F.explode(F.sequence(F.element_at("_e", F.col("_k") + 1), F.element_at("_e", F.col("_k") + 2) - 1))
-    return runs.select(*keep, "_h", p.alias("_p")).select(*keep, F.pmod("_p", "_h").alias("y"), F.floor(F.col("_p") / F.col("_h")).alias("x"))
+    places = sweeps.rle_runs(df, rle).select(*keep, "_h", F.explode(F.sequence("_a", F.col("_b") - 1)).alias("_p"))
+    return places.select(*keep, F.pmod("_p", "_h").alias("y"), F.floor(F.col("_p") / F.col("_h")).alias("x"))
 
 
 def union_masks(px: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes
@@ -10,6 +12,7 @@ from ..functions import geometry as G
 from ..operators import annotations as ann
 from ..operators import boxes, coco, matching, metrics, rasters, sampling
 from ..sources import readers
+from ..sources.scratch import scratch_dir
 from ..streaming import frames as streams
 from .fixtures import frame, oracle
 
@@ -107,7 +110,7 @@ Q["greedy_matches"] = lambda s, d: _matches(s, d, (0.5, 0.75)).select("image_id"
 def _coco(spark: SparkSession, d: str, areas: dict[str, tuple[float, float]] = coco.AREAS) -> DataFrame:
     size = ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area")
     g, det = _gt(spark, d).withColumnRenamed("ann_id", "gt_id").select("*", size), _det(spark, d).select("*", size)
-    return coco.by_category(coco.matched(matching.box_pairs(g, det), det, g, areas=areas), coco.truths(g, areas))
+    return coco.by_category(coco.matched(matching.box_pairs(g, det), det, g, areas=areas), coco.truths(g, areas), areas=areas)
 
 
 def box_ap(spark: SparkSession, d: str) -> DataFrame:
@@ -120,14 +123,16 @@ Q["coco_box_by_category"] = lambda s, d: _coco(s, d).select("category_id", "rang
 Q["coco_box_summary"] = lambda s, d: coco.summary(_coco(s, d)).select("metric", F.round("value", 6).alias("value"))
 
 
-def _greedy_sql(ranges: str, thresholds: str) -> list[str]:
+def greedy_sql(ranges: str, thresholds: Sequence[float], gt: str = "gt_box", det: str = "det_box", area: str = "(x1-x0)*(y1-y0)", value: str | None = None) -> list[str]:
     """Greedy matching as recursion: the n-th detection of an image, category and range takes what the ones before it left."""
+    value = value or f"case when a.iscrowd=1 then {_INTER}/((b.x1-b.x0)*(b.y1-b.y0)) else {_INTER}/{_UNION} end"
+    listed = ",".join(f"{t:.2f}" for t in thresholds)
     return [
-        f"ar as (select * from (values {ranges}) v(range_, lo, hi))", f"th as (select cast(unnest([{thresholds}]) as double) as t)",
-        "ga as (select g.*, range_, (x1-x0)*(y1-y0)<lo or (x1-x0)*(y1-y0)>hi as outside from gt_box g cross join ar)",
-        "da as (select d.*, range_, (x1-x0)*(y1-y0)<lo or (x1-x0)*(y1-y0)>hi as outside, row_number() over (partition by image_id, category_id, range_ order by score desc, det_id) as rank from det_box d cross join ar)",
+        f"ar as (select * from (values {ranges}) v(range_, lo, hi))", f"th as (select cast(unnest([{listed}]) as double) as t)",
+        f"ga as (select g.*, range_, {area}<lo or {area}>hi as outside from {gt} g cross join ar)",
+        f"da as (select d.*, range_, {area}<lo or {area}>hi as outside, row_number() over (partition by image_id, category_id, range_ order by score desc, det_id) as rank from {det} d cross join ar)",
         f"""pr as (select * from (select a.image_id, a.category_id, a.range_, b.det_id, b.score, a.ann_id as gt_id, a.iscrowd=1 as crowd, a.iscrowd=1 or a.outside as ign,
- round(case when a.iscrowd=1 then {_INTER}/((b.x1-b.x0)*(b.y1-b.y0)) else {_INTER}/{_UNION} end,12) as v from ga a join da b on a.image_id=b.image_id and a.category_id=b.category_id and a.range_=b.range_ and b.rank<=100) z where v>=0.5)""",
+ round({value},12) as v from ga a join da b on a.image_id=b.image_id and a.category_id=b.category_id and a.range_=b.range_ and b.rank<=100) z where v>=0.5)""",
         "cd as (select *, row_number() over (partition by image_id, category_id, range_ order by score desc, det_id) as n from (select image_id, category_id, range_, det_id, score, list({'ign': ign, 'v': v, 'gt': gt_id, 'crowd': crowd} order by ign, v desc, gt_id) as cs from pr group by all) z)",
         """rc as (select image_id, category_id, range_, t, cast(0 as bigint) as n, cast(null as bigint) as det_id, cast([] as bigint[]) as taken, cast(null as struct(ign boolean, v double, gt bigint, crowd boolean)) as pick from (select distinct image_id, category_id, range_ from cd) k cross join th
  union all select image_id, category_id, range_, t, n, det_id, case when pick is not null and not pick.crowd then list_append(taken, pick.gt) else taken end, pick
@@ -138,9 +143,8 @@ def _greedy_sql(ranges: str, thresholds: str) -> list[str]:
 
 
 _RANGES = "('all',0.0,1e10),('small',0.0,1024.0),('medium',1024.0,9216.0),('large',9216.0,1e10)"
-_TEN = ",".join(f"{t:.2f}" for t in THRESHOLDS)
-_BY_CATEGORY = [
-    *_greedy_sql(_RANGES, _TEN), "nt as (select category_id, range_, count(*) as n_gt from ga where iscrowd=0 and not outside group by all)",
+CURVES = [
+    "nt as (select category_id, range_, count(*) as n_gt from ga where iscrowd=0 and not outside group by all)",
     "kt as (select * from nt cross join th)",
     "cu as (select m.*, n_gt, sum(tp) over w as s, row_number() over w as r from mt m join nt using (category_id, range_) where not ignored window w as (partition by category_id, range_, t order by score desc, image_id, det_id rows unbounded preceding))",
     "hi as (select category_id, range_, t, cast(floor(s/n_gt*100+1e-9) as bigint) as q, max(s/r) as p from cu group by all)",
@@ -151,17 +155,29 @@ _BY_CATEGORY = [
 ]
 
 
-def _recursive(sql: str) -> str:
+_BY_CATEGORY = [*greedy_sql(_RANGES, THRESHOLDS), *CURVES]
+
+
+def recursive(sql: str) -> str:
     return sql.replace("with ", "with recursive ", 1)
 
 
-SQL["greedy_matches"] = _recursive(oracle(("det_box",), "select image_id, category_id, t, det_id, gt_id, tp, ignored from mt", *_greedy_sql("('all',0.0,1e10)", "0.5,0.75")))
-SQL["box_ap"] = _recursive(oracle(("det_box",), "select category_id, t, n_gt, round(ap,6) as ap, round(ar_100,6) as ar from bc where range_='all'", *_BY_CATEGORY))
-SQL["coco_box_by_category"] = _recursive(oracle(("det_box",), 'select category_id, range_ as "range", t, n_gt, round(ap,6) as ap, round(ar_1,6) as ar_1, round(ar_10,6) as ar_10, round(ar_100,6) as ar_100 from bc', *_BY_CATEGORY))
-SQL["coco_box_summary"] = _recursive(oracle(
-    ("det_box",), "select metric, round(coalesce(value,-1.0),6) as value from (" + " union all ".join(
-        f"select '{n}' as metric, avg({c}) as value from bc where range_='{a}'" + (f" and t={t}" if t else "")
-        for n, c, a, t in (("AP", "ap", "all", 0), ("AP50", "ap", "all", 0.5), ("AP75", "ap", "all", 0.75), ("APs", "ap", "small", 0), ("APm", "ap", "medium", 0), ("APl", "ap", "large", 0), ("AR1", "ar_1", "all", 0), ("AR10", "ar_10", "all", 0), ("AR100", "ar_100", "all", 0), ("ARs", "ar_100", "small", 0), ("ARm", "ar_100", "medium", 0), ("ARl", "ar_100", "large", 0))) + ") z", *_BY_CATEGORY))
+SQL["greedy_matches"] = recursive(oracle(("det_box",), "select image_id, category_id, t, det_id, gt_id, tp, ignored from mt", *greedy_sql("('all',0.0,1e10)", (0.5, 0.75))))
+SQL["box_ap"] = recursive(oracle(("det_box",), "select category_id, t, n_gt, round(ap,6) as ap, round(ar_100,6) as ar from bc where range_='all'", *_BY_CATEGORY))
+SQL["coco_box_by_category"] = recursive(oracle(("det_box",), 'select category_id, range_ as "range", t, n_gt, round(ap,6) as ap, round(ar_1,6) as ar_1, round(ar_10,6) as ar_10, round(ar_100,6) as ar_100 from bc', *_BY_CATEGORY))
+
+
+def summary_sql() -> str:
+    """The twelve numbers of bc."""
+    cells = (
+        ("AP", "ap", "all", 0), ("AP50", "ap", "all", 0.5), ("AP75", "ap", "all", 0.75), ("APs", "ap", "small", 0), ("APm", "ap", "medium", 0), ("APl", "ap", "large", 0),
+        ("AR1", "ar_1", "all", 0), ("AR10", "ar_10", "all", 0), ("AR100", "ar_100", "all", 0), ("ARs", "ar_100", "small", 0), ("ARm", "ar_100", "medium", 0), ("ARl", "ar_100", "large", 0),
+    )
+    rows = " union all ".join(f"select '{n}' as metric, avg({c}) as value from bc where range_='{a}'" + (f" and t={t}" if t else "") for n, c, a, t in cells)
+    return f"select metric, round(coalesce(value,-1.0),6) as value from ({rows}) z"
+
+
+SQL["coco_box_summary"] = recursive(oracle(("det_box",), summary_sql(), *_BY_CATEGORY))
 
 
 def precision_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -329,8 +345,6 @@ SQL["frame_association"] = oracle(
 
 def stream_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     """The windowed counts of a stream over the events files, run until all that is there has been read."""
-    from ..sources.scratch import scratch_dir
-
     schema = frame(spark, d, "events").schema
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/events.parquet*")
     scored = events.select(F.col("user_id").alias("stream_id"), "ts", (F.col("value") / 100).alias("score"))
@@ -344,6 +358,56 @@ def stream_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
 
 Q["stream_windowed_counts"] = stream_windowed_counts
 SQL["stream_windowed_counts"] = SQL["windowed_counts"]
+def _in_files(df: DataFrame, deal: Column, files: int) -> DataFrame:
+    """df as a stream of so many files, dealt by a number that `deal` gives each row."""
+    path = scratch_dir(df.sparkSession)
+    for k in range(files):
+        df.filter(F.pmod(deal, F.lit(files)) == k).coalesce(4).write.mode("append").parquet(f"{path}/{k}")
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).option("recursiveFileLookup", True).parquet(path)
+
+
+def ordered_frames(spark: SparkSession, d: str) -> DataFrame:
+    """All events as frames that arrive out of order, in three micro-batches or more, released in order."""
+    f = frame(spark, d, "frames").select("stream_id", "frame_idx", F.col("event_id").alias("payload"), "ts")
+    stream = _in_files(f, F.col("frame_idx") * 7 + F.col("stream_id"), 3)
+    out = streams.drained(streams.in_order(stream, delay="3650 days"), lambda: scratch_dir(spark))
+    return out.select("stream_id", "frame_idx", F.col("payload").cast("bigint").alias("event_id"), "place")
+
+
+Q["ordered_frames"] = ordered_frames
+SQL["ordered_frames"] = oracle(("frames",), "select stream_id, frame_idx, event_id, frame_idx as place from frames")
+
+
+def tracked_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks of boxes that drift through all frames: one is missing in every fifth frame, a stream's frames are split over
+    micro-batches, and the last frame of a stream, which may still be held, is left out."""
+    f = frame(spark, d, "frames").select("stream_id", "frame_idx", "ts")
+    last = f.groupBy("stream_id").agg(F.max("frame_idx").alias("last"))
+    boxes_ = _drifting(f)
+    third = F.floor(F.col("frame_idx") * 2 + F.col("det_id")) / (2 * F.greatest(F.lit(1), F.floor((F.col("last") + 3) / 3)))
+    stream = _in_files(boxes_.join(last, "stream_id").withColumn("_k", F.least(F.lit(2), F.floor(third)).cast("int")), F.col("_k"), 3)
+    out = streams.drained(streams.track(stream, 0.4, age=2, delay="3650 days"), lambda: scratch_dir(spark))
+    return out.join(last, "stream_id").filter("frame_idx < last").drop("last")
+
+
+def _drifting(f: DataFrame) -> DataFrame:
+    """Two boxes a frame that drift right and come back; the second one is missing in every fifth frame."""
+    both = f.select("stream_id", "frame_idx", "ts", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("det_id")).filter("det_id = 0 or frame_idx % 5 <> 3")
+    x = ((F.col("frame_idx") * (3 + F.col("stream_id") % 4)) % 120 + F.col("det_id") * 37).cast("double")
+    return both.select("stream_id", "frame_idx", "ts", "det_id", x.alias("x0"), F.lit(0.0).alias("y0"), (x + 20).alias("x1"), F.lit(20.0).alias("y1"))
+
+
+Q["tracked_frames"] = tracked_frames
+#: The two boxes lie 37 apart and are 20 wide, so a box can only go on with its own track. It does from where it was last seen, one or
+#: two frames before, unless it has moved by more than 60/7 (an overlap below 0.4), as it also has when it comes back. Tracks
+#: are numbered as they begin, by frame and detection.
+SQL["tracked_frames"] = oracle(
+    ("frames",), "select stream_id, frame_idx, det_id, track from t join (select stream_id, max(frame_idx) as last from frames group by 1) l using (stream_id) where frame_idx<last",
+    "m as (select stream_id, frame_idx, det_id, cast((frame_idx*(3+stream_id%4))%120+det_id*37 as double) as x0 from frames cross join (select range as det_id from range(2)) t where det_id=0 or frame_idx%5<>3)",
+    "b as (select *, case when lag(x0) over w is null or 20-abs(x0-lag(x0) over w)<0.4*(20+abs(x0-lag(x0) over w)) then 1 else 0 end as fresh from m window w as (partition by stream_id, det_id order by frame_idx))",
+    "n as (select *, cast(sum(fresh) over (partition by stream_id order by frame_idx, det_id rows unbounded preceding) as bigint)-1 as number from b)",
+    "t as (select stream_id, frame_idx, det_id, max(case when fresh=1 then number end) over (partition by stream_id, det_id order by frame_idx rows unbounded preceding) as track from n)",
+)
 Q["first_images"] = lambda s, d: frame(s, d, "orders").select(F.col("o_orderkey").alias("image_id"), "o_custkey").orderBy("image_id", "o_custkey").limit(50)
 SQL["first_images"] = "select o_orderkey as image_id, o_custkey from orders order by 1, 2 limit 50"
 

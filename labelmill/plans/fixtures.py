@@ -11,6 +11,10 @@ _IMAGE, _SLOT = "cast(floor(o_orderkey/4) as bigint)", "(o_orderkey%4)"
 _TILE = "cross join (select {r} as dx from range(4)) t cross join (select {r} as dy from range(4)) u"
 _GRID = "cross join (select {r} as x from range(8)) t cross join (select {r} as y from range(8)) u"
 _TILED = f"(select o.*, {_IMAGE} as image_id, ({_SLOT}%2)*4+dx as x, cast(floor({_SLOT}/2) as bigint)*4+dy as y, dx, ({_SLOT}*3+o_custkey)%10 as k from orders o {_TILE}) z"
+#: A mask is a box of half the size; every third one has a hole, its middle third; others one that is empty.
+_HOLED = """select image_id, category_id, {key}, {more}, x0, y0, x1, y1, 200+image_id%100 as height, 250+image_id%150 as width,
+ case when {key}%3=0 then x0+cast(floor((x1-x0)/3) as bigint) else 100000 end as hx0, case when {key}%3=0 then y0+cast(floor((y1-y0)/3) as bigint) else 100000 end as hy0,
+ case when {key}%3=0 then x0+2*cast(floor((x1-x0)/3) as bigint) else -100000 end as hx1, case when {key}%3=0 then y0+2*cast(floor((y1-y0)/3) as bigint) else -100000 end as hy1 from ({part}) z"""
 
 SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "gt_box": (("lineitem",), """select l_orderkey as image_id, ((l_partkey*10000+l_suppkey)*10+l_linenumber)*100+cast(l_quantity as bigint) as ann_id, l_suppkey%5 as category_id,
@@ -33,6 +37,8 @@ from orders cross join (select {{r}} as c from range(6)) b"""),
  case when k<5 then k+1 else 0 end as inst_cat_raw, case when k<5 and dx<3 then 1+{_SLOT} else 0 end as inst_id from {_TILED}"""),
     "query_box": (("orders",), f"""select {_IMAGE} as image_id, {_SLOT} as q, cast((o_custkey*7)%8 as double)/8 as cx, cast((o_custkey*5)%8 as double)/8 as cy,
  cast((2+o_orderkey%3)*2 as double)/8 as w, cast((2+o_orderkey%3)*2 as double)/8 as h from orders"""),
+    "gt_mask": (("gt_box",), _HOLED.format(key="gt_id", more="iscrowd", part="select image_id, category_id, ann_id as gt_id, iscrowd, cast(floor(x0/2) as bigint) as x0, cast(floor(y0/2) as bigint) as y0, cast(floor(x1/2) as bigint) as x1, cast(floor(y1/2) as bigint) as y1 from gt_box")),
+    "det_mask": (("det_box",), _HOLED.format(key="det_id", more="score", part="select image_id, category_id, det_id, score, cast(floor(greatest(x0,0.0)/2) as bigint) as x0, cast(floor(greatest(y0,0.0)/2) as bigint) as y0, cast(floor(x1/2) as bigint) as x1, cast(floor(y1/2) as bigint) as y1 from det_box")),
     "frames": (("events",), """select user_id as stream_id, cast(row_number() over (partition by user_id order by event_id)-1 as bigint) as frame_idx, event_id, ts, value as latency_ms, props as annotations_json from events"""),
 }
 

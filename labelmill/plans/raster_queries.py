@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import annotations as ann
 from ..operators import metrics, rasters
+from ..operators import runs as sweeps
 from .fixtures import SIDE, frame, oracle
 
 Q: dict = {}
@@ -120,7 +121,15 @@ Q["rle_round_trip"] = lambda s, d: rasters.rle_decode(_rle(s, d)).select("image_
 SQL["rle_round_trip"] = oracle(("px",), "select image_id, y, x, gt as label from px where gt<>255")
 Q["default_fill"] = lambda s, d: rasters.covered(_px(s, d).select("image_id", "y", "x"), _px(s, d).filter("label < 5"), "label", 0)
 SQL["default_fill"] = oracle(("px",), "select image_id, y, x, case when gt<5 then gt else 0 end as label from px")
-Q["mask_union"] = lambda s, d: rasters.union_masks(frame(s, d, "px").select("image_id", "y", "x", F.explode(F.array("gt", "pred")).alias("label")), ["image_id", "label"]).groupBy("image_id", "label").agg(F.count("*").alias("area"))
+
+
+def mask_union(spark: SparkSession, d: str) -> DataFrame:
+    """Truth and prediction of a label as one mask: their runs are united, not their pixels."""
+    sides = [rasters.pixels_to_runs(frame(spark, d, "px").select("image_id", "y", "x", F.col(c).alias("label"))) for c in ("gt", "pred")]
+    return rasters.run_areas(sweeps.union_runs(sides[0].unionByName(sides[1]), ["image_id", "label"]))
+
+
+Q["mask_union"] = mask_union
 SQL["mask_union"] = oracle(("px",), "select image_id, label, count(*) as area from (select image_id, gt as label, y, x from px union select image_id, pred, y, x from px) z group by all")
 Q["boundary_band"] = lambda s, d: rasters.boundary_band(_px(s, d), ["image_id", "label"], 1).groupBy("image_id", "label").agg(F.count("*").alias("band"))
 SQL["boundary_band"] = oracle(

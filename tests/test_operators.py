@@ -332,7 +332,7 @@ def test_matches_by_area_equal_a_loop(spark):
     det = [(100 + i, [v + rng.randrange(-4, 5) for v in gt[i % 30][1]], rng.randrange(8) / 8) for i in range(70)]
     frame = lambda rows, key, last: spark.createDataFrame([(1, 2, k, *b, v, (b[2] - b[0]) * (b[3] - b[1])) for k, b, v in rows], f"image_id long, category_id int, {key} long, x0 double, y0 double, x1 double, y1 double, {last}, area double")
     g, d = frame(gt, "gt_id", "iscrowd int"), frame(det, "det_id", "score double")
-    got = coco.matched(matching.box_pairs(g, d), d, g, (0.5, 0.75)).collect()
+    got = coco.expanded(coco.matched(matching.box_pairs(g, d), d, g, (0.5, 0.75)), (0.5, 0.75)).collect()
     assert len(got) == 70 * 4 * 2
     for name, (lo, hi) in coco.AREAS.items():
         for t in (0.5, 0.75):
