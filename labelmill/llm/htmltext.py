@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -31,12 +32,15 @@ _IN_HEAD = {"head", "html", "title", "meta", "link", "base", "basefont", "bgsoun
 _MAY_HIDE = re.compile(r"hidden|style", re.I)
 _ATTRIBUTE = re.compile(r"(?P<name>[^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"(?P<double>[^\"]*+)\"?|'(?P<single>[^']*+)'?|(?P<bare>[^\s>\"'][^\s>]*+)))?")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
-#: Elements nested deeper stay empty, their content goes to the parent; tables nested deeper are laid out as blocks.
-_DEEPEST, _DEEPEST_TABLE = 512, 8
+#: Elements nested deeper stay empty, their content goes to the parent, as in browsers; so a table lies in some 170 others at most.
+_DEEPEST = 512
+#: Columns and rows that a cell spans at most, by the HTML standard.
+_WIDEST, _HIGHEST = 1000, 65_534
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_SPAN = re.compile(r"(?<![\w-])colspan\s*=\s*[\"']?(\d{1,3})", re.I)
-_ROWS = re.compile(r"(?<![\w-])rowspan\s*=\s*[\"']?(\d{1,3})", re.I)
-_START = re.compile(r"(?<![\w-])start\s*=\s*[\"']?(\d{1,9})", re.I)
+_SPAN = re.compile(r"(?<![\w-])colspan\s*=\s*[\"']?\s*(\d+)", re.I)
+_ROWS = re.compile(r"(?<![\w-])rowspan\s*=\s*[\"']?\s*(\d+)", re.I)
+_START = re.compile(r"(?<![\w-])start\s*=\s*[\"']?\s*(-?\d{1,9})", re.I)
+_VALUE = re.compile(r"(?<![\w-])value\s*=\s*[\"']?\s*(-?\d{1,9})", re.I)
 
 
 def look(attrs: str, seen: bool) -> tuple[bool, bool]:
@@ -189,17 +193,30 @@ class _Page:
         self.line, self.space = [], False
 
 
-def _table_lines(table: Node, depth: int, seen: bool) -> list[str]:
+def shown(s: str) -> int:
+    """Columns that a line takes: two for wide characters, none for combining and formatting ones."""
+    if s.isascii():
+        return len(s)
+    return sum(0 if unicodedata.category(c) in ("Mn", "Me", "Cf") else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
+
+
+def _span(found: re.Match | None, most: int) -> int:
+    """A cell's span; 0 rows mean all that follow."""
+    return 1 if found is None else min(most, int(found[1][:9]) or most)
+
+
+def _table_lines(table: Node, seen: bool) -> list[str]:
     """Rows of a table, caption first. A cell is a block of lines, as wide as its column; columns are two blanks apart.
 
-    A cell over several columns takes their widths; one over several rows stands in the first and keeps its columns
-    free in the others."""
+    A cell over several columns takes their widths, and what it needs beyond them widens the last one, so every cell
+    begins where its column does; one over several rows stands in the first and keeps its columns free in the others.
+    A column in which no cell shows anything, because it is empty or hidden, takes no room."""
     rows: list[list[tuple[list[str], int, int]]] = []
     lines: list[str] = []
     todo = [(n, seen) for n in reversed(table.kids)]
 
     def block(node: Node, seen: bool) -> list[str]:
-        return render(node, depth, seen).split("\n")
+        return render(node, seen).split("\n")
 
     while todo:
         n, sight = todo.pop()
@@ -226,7 +243,7 @@ def _table_lines(table: Node, depth: int, seen: bool) -> list[str]:
                 if not gone:
                     inside = Node("div")
                     inside.kids = c.kids
-                    wide, high = (max(1, min(100, int(m[1]))) if m else 1 for m in (_SPAN.search(c.attrs), _ROWS.search(c.attrs)))
+                    wide, high = max(1, min(_WIDEST, int(m[1][:9]))) if (m := _SPAN.search(c.attrs)) else 1, _span(_ROWS.search(c.attrs), _HIGHEST)
                     cells.append((block(inside, own_sight), wide, high))
             if cells:
                 rows.append(cells)
@@ -238,37 +255,48 @@ def _table_lines(table: Node, depth: int, seen: bool) -> list[str]:
 
     taken: dict[int, int] = {}  # rows for which a column is still held by a cell from above
     placed: list[list[tuple[int, list[str], int]]] = []
-    width: dict[int, int] = {}
     for cells in rows:
         at, row, held = 0, [], {}
         for own, wide, high in cells:
             while taken.get(at, 0):
                 at += 1
             row.append((at, own, wide))
-            if wide == 1:
-                width[at] = max(width.get(at, 0), *map(len, own))
             if high > 1:
                 held |= {i: high - 1 for i in range(at, at + wide)}
             at += wide
         taken = {i: n - 1 for i, n in taken.items() if n > 1} | held
         placed.append(row)
+    # columns between the same neighbouring borders of cells are one segment; a cell is a range of segments
+    full = [(at, own, wide) for row in placed for at, own, wide in row if any(own)]
+    borders = sorted({b for at, _, wide in full for b in (at, at + wide)})
+    number = {b: k for k, b in enumerate(borders)}
+    width, used = [0] * len(borders), [0] * len(borders)
+    for at, own, wide in sorted(full, key=lambda c: c[2]):
+        first, last = number[at], number[at + wide]
+        need = max(map(shown, own)) - sum(width[first:last]) - 2 * (wide - 1)
+        width[last - 1] += max(0, need)
+        for k in range(first, last):
+            used[k] = 1
+    start, x = [], 0
+    for k, b in enumerate(borders[1:]):
+        start.append(x)
+        x += used[k] * (width[k] + 2 * (b - borders[k]))
     for row in placed:
         for k in range(max(len(own) for _, own, _ in row)):
-            out, end = "", 0
-            for at, own, wide in row:
-                out += "".join(" " * width.get(i, 0) + "  " for i in range(end, at))
-                room = sum(width.get(i, 0) for i in range(at, at + wide)) + 2 * (wide - 1)
-                out += (own[k] if k < len(own) else "").ljust(room) + "  "
-                end = at + wide
-            lines.append(out.rstrip())
+            out, end = [], 0
+            for at, own, _ in row:
+                if k < len(own) and own[k]:
+                    out.append(" " * (start[number[at]] - end) + own[k])
+                    end = start[number[at]] + shown(own[k])
+            lines.append("".join(out).rstrip())
     return lines
 
 
-def render(root: Node, depth: int = 0, seen: bool = True) -> str:
+def render(root: Node, seen: bool = True) -> str:
     """The visible text below a node, walked with an own stack, so that depth has no limit but memory."""
     page = _Page()
     stack: list[tuple] = [("in", root, False, seen)]
-    counters: list[int | None] = []
+    counters: list[list[int] | None] = []  # of the open lists: the next number and the step to the one after it
     while stack:
         what, node, pre, seen = stack.pop()
         if what == "text":
@@ -301,20 +329,26 @@ def render(root: Node, depth: int = 0, seen: bool = True) -> str:
                 if tag in ("ul", "ol", "menu"):
                     if counters:
                         page.gap = min(page.gap, 1)
-                    start = _START.search(node.attrs) if tag == "ol" else None
-                    counters.append((int(start[1]) if start else 1) if tag == "ol" else None)
+                    start = _START.search(node.attrs)
+                    back = any(m["name"].lower() == "reversed" for m in _ATTRIBUTE.finditer(node.attrs))
+                    first = int(start[1]) if start else sum(not isinstance(k, str) and k.tag == "li" for k in node.kids) if back else 1
+                    counters.append([first, -1 if back else 1] if tag == "ol" else None)
                 elif tag in ("li", "dd", "blockquote"):
                     after = (page.indent, page.mark)
                     mark = "  "
                     if tag == "li":
                         number = counters[-1] if counters else None
-                        mark = "- " if number is None else f"{number}. "
                         if number is not None:
-                            counters[-1] += 1
+                            value = _VALUE.search(node.attrs)
+                            number[0] = int(value[1]) if value else number[0]
+                            mark = f"{number[0]}. "
+                            number[0] += number[1]
+                        else:
+                            mark = "- "
                     page.indent += " " * len(mark)
                     page.mark = mark if tag == "li" else ""
-                elif tag == "table" and depth < _DEEPEST_TABLE:
-                    for line in _table_lines(node, depth + 1, seen):
+                elif tag == "table":
+                    for line in _table_lines(node, seen):
                         if line:
                             page.line.append(line)
                             page.flush(1)

@@ -26,6 +26,8 @@ from .components import connected_components
 from .neardup import _forest, sorted_blocks
 
 WINDOW, BITS, GROUP_BLOCK = 64, 60, 512
+#: Rows that make a vector frequent: a share of all.
+OFTEN = 1000
 #: Chance that no pass puts a pair at the threshold into one window, for vectors that are spread evenly; passes at least.
 MISS, LEAST_PASSES = 1e-5, 16
 
@@ -37,7 +39,13 @@ def passes_for(rows: int, least: float, window: int = WINDOW) -> int:
     return max(LEAST_PASSES, int(np.ceil(np.log(MISS) / np.log1p(-min(together, 1 - 1e-9)))))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to 0.5 .. 1: squares neither over- nor underflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -50,7 +58,7 @@ def keyed_batches(batches: Iterable[pa.RecordBatch], passes: int, seed: int = 11
         borders = np.union1d(np.flatnonzero(np.diff(size, prepend=-1)), np.arange(0, batch.num_rows, 512))
         for a, b in zip(borders.tolist(), [*borders[1:].tolist(), batch.num_rows]):  # vectors of one length
             part = batch.slice(a, b - a)
-            x = _matrix(part.column("v"))
+            x = _scaled(_matrix(part.column("v")))
             if x.shape[1] not in planes:
                 planes[x.shape[1]] = np.random.default_rng(seed).normal(size=(x.shape[1], passes * BITS))
             sign = ((x @ planes[x.shape[1]]) > 0).reshape(len(x), passes, BITS)
@@ -147,6 +155,7 @@ def linked_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embeddin
         some = distinct.join(shared, "key", "left_semi").withColumn("id", F.when(other, F.xxhash64("key", "label", "v")).otherwise(F.col("key")))
         distinct = land(distinct.join(shared, "key", "left_anti").unionByName(some))
     sizes = distinct.groupBy("label").count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
+    often = F.broadcast(distinct.filter(F.col("copies") > F.lit((distinct.agg(F.sum("copies")).first()[0] or 0) / OFTEN)).select("label", "v"))
     if passes is None:
         passes = passes_for(sizes["most"] or 0, least, window)
     most = (sizes["n"] or 0) * passes // (8 * window) + 1  # partitions far wider than the window
@@ -175,9 +184,12 @@ def linked_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embeddin
     if apart:
         least = groups.join(distinct.select(F.col("id").alias("node"), "key"), "node").groupBy("component").agg(F.min("key").alias("least"))
         named = groups.join(least, "component")
-    found = distinct.join(links, F.col("id") == F.col("doc_id"), "left").join(named, F.col("id") == F.col("node"), "left").select(
+    found = land(distinct.join(links, F.col("id") == F.col("doc_id"), "left").join(named, F.col("id") == F.col("node"), "left").select(
         "label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "key").alias("component_id")
-    )
-    out = good.join(found, ["label", "v"]).select(F.col("id").alias(key), "n_links", "component_id")
+    ))
+    # a vector with more than a 1/OFTEN of all rows, of which there are fewer than OFTEN, is joined by broadcast
+    of = ["label", "v"]
+    met = good.join(F.broadcast(found.join(often, of, "left_semi")), of).unionByName(good.join(often, of, "left_anti").join(found, of))
+    out = met.select(F.col("id").alias(key), "n_links", "component_id")
     alone = rest.select(F.col("id").alias(key), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
