@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -24,8 +23,8 @@ from .common import keyed_join, land
 
 #: Rules of the filter: verdict, host and path as one text.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Letters of the longest piece of a split, tokens remembered by one task.
-LONGEST, REMEMBERED = 20, 200_000
+#: Letters of the pieces that a token meets word counts by; longer words meet it by their first letters.
+PIECE = 20
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
 
 
@@ -68,15 +67,22 @@ class Unigrams:
         return Unigrams({w: math.log(total / n) for w, n in counts.items()}, total)
 
     def split(self, token: str) -> list[str]:
-        """The cheapest split into words; an unknown run of letters costs ten times more with each letter."""
+        """The cheapest split into words; an unknown run of letters costs ten times more with each letter.
+
+        A word or run may have any length. Of the runs that end at a letter the cheapest begins where the cost so far
+        less the cost of the letters so far is least, so one running minimum stands for all of them."""
         base, ten = math.log(self.total) - math.log(10), math.log(10)
+        longest = max(map(len, self.cost), default=0)
         best, back = [0.0] + [math.inf] * len(token), [0] * (len(token) + 1)
+        start, low = 0, 0.0
         for i in range(1, len(token) + 1):
-            for j in range(max(0, i - LONGEST), i):
+            best[i], back[i] = best[start] + base + ten * (i - start), start
+            for j in range(max(0, i - longest), i):
                 c = self.cost.get(token[j:i])
-                c = best[j] + (base + ten * (i - j) if c is None else c)
-                if c < best[i]:
-                    best[i], back[i] = c, j
+                if c is not None and (best[j] + c, j) < (best[i], back[i]):
+                    best[i], back[i] = best[j] + c, j
+            if best[i] - ten * i < low:
+                start, low = i, best[i] - ten * i
         out, i = [], len(token)
         while i:
             out.append(token[back[i] : i])
@@ -89,86 +95,55 @@ def parts(host_: str, path_: str) -> list[tuple[str, str]]:
     return [(mark, "0" if token[0].isdigit() else token) for mark, text in (("h:", host_), ("p:", path_)) for token in _TOKEN.findall(text.lower())]
 
 
-class Splitter:
-    """Words of hosts and paths, remembered by token up to a bound."""
-
-    def __init__(self, unigrams: Unigrams):
-        self.unigrams, self.known = unigrams, {}
-
-    def words(self, host_: str, path_: str) -> list[str]:
-        """h:WORD of the host and p:WORD of the path; digits of any number become one word."""
-        out = []
-        for mark, token in parts(host_, path_):
-            if token not in self.known:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[token] = [token] if token == "0" else self.unigrams.split(token)
-            out += [mark + w for w in self.known[token]]
-        return out
-
-
-def counted_batches(batches: Iterable[pa.RecordBatch], unigrams: Unigrams) -> Iterator[pa.RecordBatch]:
-    """(word, verdict, n) of the labelled (host, path, verdict), added up over each batch."""
-    splitter = Splitter(unigrams)
-    for batch in batches:
-        count: Counter = Counter()
-        for h, p, v in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "verdict"))):
-            count.update((w, v) for w in splitter.words(h, p))
-        rows = [(w, v, n) for (w, v), n in count.items()]
-        yield pa.RecordBatch.from_pydict({"word": pa.array([r[0] for r in rows], pa.string()), "verdict": pa.array([r[1] for r in rows], pa.string()), "n": pa.array([r[2] for r in rows], pa.int64())})
+def _id(*texts: Column) -> Column:
+    """The MD5 of texts, by which urls and tokens go where they meet many rows, for they may be long."""
+    return F.unhex(F.md5(F.concat_ws("\0", *texts).cast("binary")))
 
 
 def part_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, pos, mark, token) of the parts of each (host, path)."""
+    """(uid, pos, mark, token) of the parts of each (uid, host, path)."""
     for batch in batches:
         for a in range(0, batch.num_rows, 4096):
             some = batch.slice(a, 4096)
             found = [parts(h, p) for h, p in zip(some.column("host").to_pylist(), some.column("path").to_pylist())]
             at = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [some.column("host").take(at), some.column("path").take(at), pa.array([k for f in found for k in range(len(f))], pa.int32()),
+                [some.column("uid").take(at), pa.array([k for f in found for k in range(len(f))], pa.int32()),
                  pa.array([m for f in found for m, _ in f], pa.string()), pa.array([t for f in found for _, t in f], pa.string())],
-                names=["host", "path", "pos", "mark", "token"],
+                names=["uid", "pos", "mark", "token"],
             )
 
 
 def piece_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, word): the distinct pieces of each token that can be words of a split."""
+    """(tid, word): the pieces of each (tid, token) of up to PIECE letters, some thousand places at a time, each once in these."""
     for batch in batches:
-        for token in batch.column("token").to_pylist():
-            pieces = sorted({token[j:i] for i in range(1, len(token) + 1) for j in range(max(0, i - LONGEST), i)})
-            for a in range(0, len(pieces), 10_000):
-                some = pieces[a : a + 10_000]
-                yield pa.RecordBatch.from_pydict({"token": pa.array([token] * len(some), pa.string()), "word": pa.array(some, pa.string())})
+        for tid, token in zip(batch.column("tid").to_pylist(), batch.column("token").to_pylist()):
+            for a in range(0, len(token), 4096):
+                some = sorted({token[j:i] for j in range(a, min(len(token), a + 4096)) for i in range(j + 1, min(len(token), j + PIECE) + 1)})
+                yield pa.RecordBatch.from_pydict({"tid": pa.array([tid] * len(some), pa.binary()), "word": pa.array(some, pa.string())})
 
 
 def split_batches(batches: Iterable[pa.RecordBatch], total: int) -> Iterator[pa.RecordBatch]:
-    """(token, words) of tokens with the counts of their known pieces."""
+    """(tid, words) of tokens with the counts of their known pieces."""
     for batch in batches:
         words = []
         for token, known in zip(batch.column("token").to_pylist(), batch.column("known").to_pylist()):
             cost = {k["word"]: math.log(total / k["n"]) for k in known}
             words.append([token] if token == "0" else Unigrams(cost, total).split(token))
-        yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array(words, pa.list_(pa.string()))], names=["token", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(words, pa.list_(pa.string()))], names=["tid", "words"])
 
 
 def splits(tokens: DataFrame, counts: DataFrame) -> DataFrame:
-    """(token, words) of distinct tokens by the unigram costs of all counted words."""
+    """(tid, words) of distinct tokens (tid, token) by the unigram costs of all counted words."""
     total = counts.agg(F.sum("n")).first()[0] or 1
-    met = keyed_join(tokens.mapInArrow(piece_batches, "token string, word string"), counts, ["word"])
-    known = met.groupBy("token").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    ready = tokens.join(known, "token", "left").withColumn("known", F.coalesce("known", F.expr("cast(array() as array<struct<word: string, n: bigint>>)")))
-    return ready.mapInArrow(lambda it: split_batches(it, total), "token string, words array<string>")
-
-
-@dataclass(frozen=True)
-class Bayes:
-    unigrams: Unigrams
-    weight: dict[str, float]  # log odds of block
-    prior: float
-
-    def score(self, words: list[str]) -> float:
-        return self.prior + sum(self.weight.get(w, 0.0) for w in words)
+    pieces = land(tokens.mapInArrow(piece_batches, "tid binary, word string"))
+    met = keyed_join(pieces, counts, ["word"]).select("tid", "word", "n")
+    # a longer word may lie in a token that has its first PIECE letters; the split finds out
+    long = counts.filter(F.length("word") > PIECE).groupBy(F.left("word", F.lit(PIECE)).alias("word")).agg(F.collect_list(F.struct("word", "n")).alias("more"))
+    whole = keyed_join(pieces.filter(F.length("word") == PIECE), long, ["word"]).select("tid", F.explode("more").alias("m")).select("tid", "m.word", "m.n")
+    known = met.unionByName(whole).groupBy("tid").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+    ready = tokens.join(known, "tid", "left").select("tid", "token", F.coalesce("known", F.expr("cast(array() as array<struct<word: string, n: bigint>>)")).alias("known"))
+    return ready.mapInArrow(lambda it: split_batches(it, total), "tid binary, words array<string>")
 
 
 def weights(words: DataFrame) -> DataFrame:
@@ -184,15 +159,6 @@ def prior(labelled: DataFrame) -> float:
     return math.log((rows.get("block", 0) + 1) / (rows.get("allow", 0) + 1))
 
 
-def fit(judged: DataFrame, unigrams: Unigrams) -> Bayes:
-    """Multinomial naive Bayes on all rule-decided (host, path, verdict), as one object: for models that fit in memory.
-
-    Words are those of the unigram model and its unknown runs. With one class only, its prior decides."""
-    labelled = judged.filter("verdict is not null")
-    words = labelled.select("host", "path", "verdict").mapInArrow(lambda it: counted_batches(it, unigrams), "word string, verdict string, n long")
-    return Bayes(unigrams, {r["word"]: r["weight"] for r in weights(words).collect()}, prior(labelled.withColumn("n", F.lit(1))))
-
-
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html", rules=RULES) -> DataFrame:
     """key, host, path, rule, verdict, words and score (log odds of block) for every row.
 
@@ -203,24 +169,27 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", text: str =
     name, verdict = rule(F.col("host"), F.col("path"), rules)
     judged = named.withColumns({"rule": name, "verdict": verdict})
     one = ["host", "path"]
-    urls = land(judged.groupBy(*one, "verdict").agg(F.count("*").alias("n")))  # a verdict follows from host and path
-    found = land(urls.select(*one).mapInArrow(part_batches, "host string, path string, pos int, mark string, token string"))
-    split = land(splits(land(found.select("token").distinct()), land(word_counts(pages, text))))
+    urls = land(judged.groupBy(*one, "verdict").agg(F.count("*").alias("n")).withColumn("uid", _id(F.col("host"), F.col("path"))))  # a verdict follows from host and path
+    found = land(urls.select("uid", *one).mapInArrow(part_batches, "uid binary, pos int, mark string, token string").withColumn("tid", _id(F.col("token"))))
+    tokens = land(found.groupBy("tid").agg(F.max("token").alias("token")))
+    split = land(splits(tokens, land(word_counts(pages, text))))
+    found = found.drop("token")
 
     labelled = urls.filter("verdict is not null")
-    times = found.join(labelled, one).groupBy("mark", "token", "verdict").agg(F.sum("n").alias("n"))
-    words = times.join(split, "token").select(F.explode("words").alias("w"), "mark", "verdict", "n").select(F.concat("mark", "w").alias("word"), "verdict", "n")
+    times = found.join(labelled.select("uid", "verdict", "n"), "uid").groupBy("mark", "tid", "verdict").agg(F.sum("n").alias("n"))
+    words = times.join(split, "tid").select(F.explode("words").alias("w"), "mark", "verdict", "n").select(F.concat("mark", "w").alias("word"), "verdict", "n")
     weight = weights(words)
     start = prior(labelled)
 
     # what each marked token adds: its words in order, and their weights
-    marked = found.select("mark", "token").distinct().join(split, "token")
-    each = marked.select("mark", "token", F.posexplode("words").alias("k", "w")).withColumn("word", F.concat("mark", "w"))
-    parted = land(each.join(weight, "word", "left").groupBy("mark", "token").agg(F.sort_array(F.collect_list(F.struct("k", "w", F.coalesce("weight", F.lit(0.0)).alias("x")))).alias("ws")))
+    marked = found.select("mark", "tid").distinct().join(split, "tid")
+    each = marked.select("mark", "tid", F.posexplode("words").alias("k", "w")).withColumn("word", F.concat("mark", "w"))
+    parted = land(each.join(weight, "word", "left").groupBy("mark", "tid").agg(F.sort_array(F.collect_list(F.struct("k", "w", F.coalesce("weight", F.lit(0.0)).alias("x")))).alias("ws")))
     scored = (
-        keyed_join(found, parted, ["mark", "token"]).groupBy(*one).agg(F.sort_array(F.collect_list(F.struct("pos", "ws"))).alias("all"))
+        keyed_join(found, parted, ["mark", "tid"]).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("pos", "ws"))).alias("all"))
         .withColumn("all", F.flatten(F.col("all.ws")))
-        .select(*one, F.col("all.w").alias("words"), (F.aggregate(F.col("all.x"), F.lit(0.0), lambda a, x: a + x) + F.lit(start)).alias("score"))
+        .select("uid", F.col("all.w").alias("words"), (F.aggregate(F.col("all.x"), F.lit(0.0), lambda a, x: a + x) + F.lit(start)).alias("score"))
     )
-    out = judged.join(scored, one, "left").withColumns({"words": F.coalesce("words", F.expr("cast(array() as array<string>)")), "score": F.coalesce("score", F.lit(start))})
+    met = judged.withColumn("uid", _id(F.col("host"), F.col("path"))).join(scored, "uid", "left")
+    out = met.withColumns({"words": F.coalesce("words", F.expr("cast(array() as array<string>)")), "score": F.coalesce("score", F.lit(start))})
     return out.select(*judged.columns, "words", "score").withColumn("verdict", F.coalesce("verdict", F.when(F.col("score") > 0, "block").otherwise("allow")))

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+import url_reference
 from labelmill.llm import htmltext, idfile, langid, mixing, shard, spbpe, urlfilter
 from labelmill.llm.queries import ORACLE_SQL, QUERIES, tokenizer
 
@@ -401,13 +402,23 @@ def test_splits_cost_the_least_of_all_splits():
         assert cost(words.split(token)) == pytest.approx(min(map(cost, every))), (counts, token)
 
 
+def test_long_words_and_tokens(spark):
+    """Words of more letters than a piece, and a token of a hundred thousand letters."""
+    long, tail = "abcdefghij" * 5, "klmnopqrst" * 3
+    rows = [(0, f"http://{long}{tail}cat.org/{'x' * 100_000}", f"{long} {tail} cat cat {long} " + "other words " * 200), (1, f"http://{long[:45]}.org/{tail}z", f"{tail}y {long}{long}")]
+    got = {r["page_id"]: r["words"] for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == [long, tail, "cat", "org", "x" * 100_000]
+    words = urlfilter.Unigrams.of({long: 2, tail: 1, "cat": 2, f"{tail}y": 1, long * 2: 1, "other": 200, "words": 200})
+    assert got[1] == [*words.split(long[:45]), "org", *words.split(f"{tail}z")]
+
+
 def test_verdicts_of_held_out_rules(spark):
     """Urls that a rule decides, judged without it by the words of the others: right for most, and more often than the commoner verdict."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     judged = urlfilter.judge(pages).filter("rule is not null")
     seen, held = (judged.filter(f"crc32(cast(page_id as string)) % 4 {how} 0").select("host", "path", "verdict") for how in ("<>", "="))
     words = urlfilter.Unigrams.of({r["word"]: r["n"] for r in urlfilter.word_counts(pages, "html").collect()})
-    model, split = urlfilter.fit(seen, words), urlfilter.Splitter(words)
+    model, split = url_reference.fit(seen, words), url_reference.Splitter(words)
     rows = held.collect()
     right = sum((model.score(split.words(r["host"], r["path"])) > 0) == (r["verdict"] == "block") for r in rows)
     common = max(Counter(r["verdict"] for r in rows).values())
@@ -418,8 +429,8 @@ def test_verdicts_of_held_out_rules(spark):
 def test_naive_bayes_equals_counts(spark):
     rows = [("a.b", "/x/y", "block"), ("a.c", "/x", "allow"), ("a.b", "/1/2", "block")]
     words = urlfilter.Unigrams.of({w: 10 for w in "abcxy"})
-    model = urlfilter.fit(spark.createDataFrame(rows, "host string, path string, verdict string"), words)
-    count = {v: Counter(w for h, p, x in rows if x == v for w in urlfilter.Splitter(words).words(h, p)) for v in ("block", "allow")}
+    model = url_reference.fit(spark.createDataFrame(rows, "host string, path string, verdict string"), words)
+    count = {v: Counter(w for h, p, x in rows if x == v for w in url_reference.Splitter(words).words(h, p)) for v in ("block", "allow")}
     vocabulary = set(count["block"]) | set(count["allow"])
     for w in vocabulary:
         odds = np.log((count["block"][w] + 1) / (sum(count["block"].values()) + len(vocabulary))) - np.log((count["allow"][w] + 1) / (sum(count["allow"].values()) + len(vocabulary)))
@@ -442,8 +453,8 @@ def test_models_hold_every_word(spark, monkeypatch):
     got = urlfilter.judge(df).collect()
     assert len(got) == len(rows)
     unigrams = urlfilter.Unigrams.of(counts)
-    model = urlfilter.fit(spark.createDataFrame([(r["host"], r["path"], r["verdict"] if r["rule"] else None) for r in got], "host string, path string, verdict string"), unigrams)
-    splitter = urlfilter.Splitter(unigrams)
+    model = url_reference.fit(spark.createDataFrame([(r["host"], r["path"], r["verdict"] if r["rule"] else None) for r in got], "host string, path string, verdict string"), unigrams)
+    splitter = url_reference.Splitter(unigrams)
     for r in got:
         words = splitter.words(r["host"], r["path"])
         assert r["words"] == [w[2:] for w in words] and r["score"] == pytest.approx(model.score(words), abs=1e-9)
