@@ -40,7 +40,7 @@ MAGIC = b"IDS2"
 #: Streams of a block at most and ids of a stream; ids that a segment holds about (a longer document makes a longer one).
 STREAMS, STEPS, SEGMENT = 512, 1024, 1 << 23
 #: Steps after which the model is built again.
-BUILDS = (4, 32, 192)
+BUILDS = (4, 16, 64, 192, 384, 640)
 #: The end id appended to each document.
 END = 1
 _H1, _H2 = 13, 16  # bits of the hashed contexts of order 1 and order 2 of a block
@@ -90,6 +90,12 @@ def _best(keys: np.ndarray, counts: np.ndarray, most: int, least: int) -> tuple[
     return ctx[start], total, ids, n
 
 
+def _with_zero(chance: np.ndarray, ids: np.ndarray, zero: np.ndarray) -> np.ndarray:
+    """Chances of a list's ids with what order 0 (of the whole block) gives them of the rest; ids that are not listed keep none."""
+    rest = np.maximum(0, 65000 - chance.sum(axis=1, keepdims=True))
+    return chance + np.where(chance > 0, rest * zero[ids] // 65000, 0)
+
+
 class Model:
     """The models of all blocks of a segment that are still active: the last block may be shorter and leave early."""
 
@@ -193,7 +199,10 @@ class Model:
             low = times * 65000 // n[:, None]
             first = count
             nothing = np.zeros((len(ctx), _OWN), np.int64)
-            chances.append(np.append(nothing, low * won[g * 16 + sure + _BUCKETS][:, None] >> 12, axis=1))
+            zero = (np.bincount(ids, minlength=_NONE + 1) * 65000 // max(1, len(ids))).astype(np.int64)
+            zero[_NONE] = 0
+            alone = low * won[g * 16 + sure + _BUCKETS][:, None] >> 12
+            chances.append(np.append(nothing, _with_zero(alone, low_id, zero), axis=1))
             ids_.append(np.append(nothing + _NONE, low_id, axis=1))
             owns.append(nothing)
             marks.append(np.minimum(sure + _BUCKETS, _EMPTY - 1))
@@ -211,8 +220,9 @@ class Model:
                 same = (other_id == own_id[:, i : i + 1]) & (other_id != _NONE)
                 both[:, i] += (other * same).sum(axis=1)
                 other[same] = 0
-            chances.append(np.append(both, other, axis=1))
-            ids_.append(np.append(own_id, other_id, axis=1))
+            every = np.append(own_id, other_id, axis=1)
+            chances.append(_with_zero(np.append(both, other, axis=1), every, zero))
+            ids_.append(every)
             owns.append(own)
             marks.append(sure)
             self.list2[ctx + (g << _H2)] = np.arange(count, count + len(ctx))
