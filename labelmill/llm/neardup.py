@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, group_bounds, land, mix, shingle_sets, signed, strings, whole_groups
+from .common import byte_chunks, group_bounds, keyed_join, land, mix, shingle_sets, signed, strings, whole_groups
 from .components import connected_components
 
 COORDINATES = 64
@@ -176,14 +176,14 @@ def candidate_edges(reps: DataFrame, threshold: int, k: int = COORDINATES) -> Da
     """(a, b): a spanning forest of the pairs of (doc_id, sig) that agree in at least `threshold` of k coordinates."""
     posted = reps.select("doc_id", F.posexplode("sig").alias("i", "value")).select("doc_id", F.xxhash64("i", "value").alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    ordered = posted.join(shared, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
+    ordered = keyed_join(posted, shared, ["token"]).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
     room = F.lit(k - threshold + 1 - k) + F.size("ts")  # the coordinates of no other document come first
     prefix = land(
         ordered.withColumn("room", room).filter("room > 0")
         .select("doc_id", F.explode(F.slice("ts", F.lit(1), F.col("room"))).alias("t")).select("doc_id", "t.token")
     )
     lists = prefix.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token", F.ceil(F.col("n") / POSTING_BLOCK).alias("nb"))
-    blocks = in_blocks(prefix.join(lists, "token").join(reps.select("doc_id", "sig"), "doc_id"), "token")
+    blocks = in_blocks(keyed_join(prefix, lists, ["token"]).join(reps.select("doc_id", "sig"), "doc_id"), "token")
     keys = ["token", "lo", "hi"]
     return sorted_blocks(blocks, keys).mapInArrow(lambda it: collision_batches(it, threshold, keys, k), "a long, b long")
 
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; texts link with 100 * intersection >= percent * union of
     their sets of `width`-word shingles. component_id is the smallest doc_id reachable, kept marks it. Null or empty
     texts have n_shingles 0 and link with nothing; a null doc_id takes no part, has a null component and is kept;
-    rows repeating a doc_id share a component. Other columns of docs are not read. An empty table gives no rows."""
+    rows repeating a doc_id share a component, except those without shingles, whose component is their doc_id. Other columns of docs are not read. An empty table gives no rows."""
     found = land(docs.select("doc_id", "text").mapInArrow(lambda it: signature_batches(it, width), "doc_id long, n_shingles long, d1 long, d2 long, sig array<int>"))
     linked = found.filter("n_shingles > 0 and doc_id is not null")
     rep = linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
