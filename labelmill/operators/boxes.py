@@ -33,13 +33,13 @@ def _level(mark: str, grid: float) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(longest, F.lit(grid)) / grid))).cast("int")
 
 
-def overlapping_pairs(a: DataFrame, b: DataFrame, on: list[str], grid: float) -> DataFrame:
-    """Pairs whose boxes overlap, met once each: in the cell that holds their intersection's top left corner.
+def _pairs_by_cell(left: DataFrame, right: DataFrame, on: list[str], grid: float) -> DataFrame:
+    """Overlapping pairs, met once each: in the cell that holds their intersection's top left corner.
 
     Cells come in levels, each twice as wide as the one below; a box lies in at most four cells of its own level. A pair
     meets at the level of its larger box, so a box is also entered at the coarser levels that the other side has under
     the same keys: the rows for a box are bounded by four a level, whatever its size."""
-    left, right = (df.withColumn("_own", _level(m, grid)) for df, m in zip(_sides(a, b, on), ("a_", "b_")))
+    left, right = left.withColumn("_own", _level("a_", grid)), right.withColumn("_own", _level("b_", grid))
     levels = lambda df: df.groupBy(*on).agg(F.collect_set("_own").alias("_levels"))  # noqa: E731  some dozens at most
     width = F.lit(float(grid)) * F.pow(F.lit(2.0), F.col("_level"))
 
@@ -57,6 +57,17 @@ def overlapping_pairs(a: DataFrame, b: DataFrame, on: list[str], grid: float) ->
     return met.filter(home & (G.intersection(G.columns("a_"), G.columns("b_")) > 0)).drop("_level", "_gx", "_gy")
 
 
+def overlapping_pairs(a: DataFrame, b: DataFrame, on: list[str], grid: float, dense: int = 4096) -> DataFrame:
+    """Pairs whose boxes overlap. Keys with more than `dense` pairs of rows, as crowded images have them, meet by grid cells
+    (`grid` is the smallest one's width); the others in a plain join, whose rows are then bounded by that."""
+    left, right = _sides(a, b, on)
+    n = [df.groupBy(*on).agg(F.count("*").alias(c)) for df, c in ((left, "_n"), (right, "_m"))]
+    crowded = n[0].join(n[1], on).filter(F.col("_n") * F.col("_m") > dense).select(*on)
+    few = left.join(crowded, on, "left_anti").join(right, on)
+    many = _pairs_by_cell(left.join(crowded, on, "left_semi"), right.join(crowded, on, "left_semi"), on, grid)
+    return few.filter(G.intersection(G.columns("a_"), G.columns("b_")) > 0).unionByName(many)
+
+
 def pairwise_iou(a: DataFrame, b: DataFrame, on: list[str], eps: float = 1e-6, grid: float | None = None) -> DataFrame:
     """Pairs with `iou` and `union_area`; with `grid` only overlapping pairs, found by cell."""
     met = pairs(a, b, on) if grid is None else overlapping_pairs(a, b, on, grid)

@@ -51,14 +51,10 @@ def _settings(thresholds: Sequence[float], areas: Iterable[str]) -> list[tuple[s
     return [(r, float(t)) for r in areas for t in thresholds]
 
 
-def _bit(column: str, i: int) -> Column:
-    return F.shiftright(column, i).bitwiseAND(F.lit(1))
-
-
 def expanded(found: DataFrame, thresholds: Sequence[float] = THRESHOLDS, areas: Iterable[str] = tuple(AREAS)) -> DataFrame:
     """`matched` as rows: keys, range, t, det_id, score, rank, tp (0 or 1), ignored."""
-    each = [F.struct(F.lit(r).alias("range"), F.lit(t).alias("t"), _bit("tp", i).cast("int").alias("tp"), (_bit("ignored", i) == 1).alias("ignored")) for i, (r, t) in enumerate(_settings(thresholds, areas))]
-    return found.select(*KEYS, "det_id", "score", "rank", F.inline(F.array(*each)))
+    each = ",".join(f"struct('{r}' as range,{t!r}D as t,cast(shiftright(tp,{i})&1 as int) as tp,(shiftright(ignored,{i})&1)=1 as ignored)" for i, (r, t) in enumerate(_settings(thresholds, areas)))
+    return found.selectExpr(*KEYS, "det_id", "score", "rank", f"inline(array({each}))")
 
 
 def truths(gt: DataFrame, areas: Mapping[str, tuple[float, float]] = AREAS) -> DataFrame:
@@ -76,31 +72,29 @@ def by_category(found: DataFrame, n_gt: DataFrame, thresholds: Sequence[float] =
     Only a detection's true positives are expanded, into the recall point they reach and the precision there, of which
     the highest for each point is kept before anything is shuffled."""
     areas, cells = list(areas), _settings(thresholds, areas)
-    kept = lambda i: F.lit(1) - _bit("ignored", i)
+    numbers = range(len(cells))
+    hit, skipped = [f"(shiftright(tp,{i})&1)" for i in numbers], [f"(shiftright(ignored,{i})&1)" for i in numbers]
     wide = n_gt.groupBy("category_id").agg(*[F.max(F.when(F.col("range") == r, F.col("n_gt"))).alias(f"_g{k}") for k, r in enumerate(areas)])
-    order = ["category_id", F.col("score").desc(), "image_id", "det_id"]
-    rows = ordering.ranged(found.select("category_id", "score", "image_id", "det_id", "rank", "tp", "ignored"), *order)
-    counts = {f"_h{i}": F.sum(_bit("tp", i)) for i in range(len(cells))} | {f"_k{i}": F.sum(kept(i)) for i in range(len(cells))}
-    totals = rows.groupBy("category_id", "_part").agg(*[c.alias(n) for n, c in counts.items()])
+    rows = ordering.ranged(found.select("category_id", "score", "image_id", "det_id", "rank", "tp", "ignored"), "category_id", F.col("score").desc(), "image_id", "det_id")
+    # of a part of a category: true positives of each setting, and detections that count
+    counts = {f"_h{i}": f"sum({hit[i]})" for i in numbers} | {f"_k{i}": f"sum(1-{skipped[i]})" for i in numbers}
+    totals = rows.groupBy("category_id", "_part").agg(*[F.expr(c).alias(n) for n, c in counts.items()])
     start = ordering.before_parts(totals, ["category_id"], {f"b{n}": n for n in counts})
-    inside = Window.partitionBy("category_id", "_part").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.select("*", *[c.over(inside).alias(n) for n, c in counts.items()])
-    run = run.filter("tp <> 0").join(start, ["category_id", "_part"]).join(wide, "category_id")
-    hit = []
-    for i, (r, _) in enumerate(cells):
-        total = F.col(f"_h{i}") + F.col(f"b_h{i}")
-        recall = total / F.col(f"_g{areas.index(r)}")
-        hit.append(F.when(_bit("tp", i) == 1, F.struct(F.lit(i).alias("i"), F.floor(recall * (points - 1) + 1e-9).cast("int").alias("q"), (total / (F.col(f"_k{i}") + F.col(f"b_k{i}"))).alias("p"))))
-    reached = run.select("category_id", F.inline(F.array_compact(F.array(*hit)))).groupBy("category_id", "i", "q").agg(F.max("p").alias("p"))
+    inside = "over (partition by category_id, _part order by score desc, image_id, det_id rows between unbounded preceding and current row)"
+    run = rows.selectExpr("category_id", "_part", "tp", *[f"{c} {inside} as {n}" for n, c in counts.items()]).filter("tp <> 0")
+    run = run.join(ordering.small(start), ["category_id", "_part"]).join(wide, "category_id")
+    reach = [f"if({hit[i]}=1, struct({i} as i, cast(floor((_h{i}+b_h{i})/_g{areas.index(r)}*{points - 1}+1e-9) as int) as q, (_h{i}+b_h{i})/(_k{i}+b_k{i}) as p), null)" for i, (r, _) in enumerate(cells)]
+    reached = run.selectExpr("category_id", f"inline(array_compact(array({','.join(reach)})))").groupBy("category_id", "i", "q").agg(F.max("p").alias("p"))
     # at most `points` rows a setting: the precision of a point is the highest at it or beyond
     setting = Window.partitionBy("category_id", "i")
     beyond = F.max("p").over(setting.orderBy(F.col("q").desc()).rowsBetween(Window.unboundedPreceding, 0))
     since = F.col("q") - F.lag("q", 1, -1).over(setting.orderBy("q"))
     ap = reached.withColumns({"_p": beyond, "_n": since}).groupBy("category_id", "i").agg((F.sum(F.col("_p") * F.col("_n")) / points).alias("ap"))
-    hits = rows.groupBy("category_id").agg(*[F.sum(F.when(F.col("rank") <= m, _bit("tp", i)).otherwise(0)).alias(f"_{m}_{i}") for i in range(len(cells)) for m in max_dets])
-    hits = hits.select("category_id", F.inline(F.array(*[F.struct(F.lit(i).alias("i"), *[F.col(f"_{m}_{i}").alias(f"hits_{m}") for m in max_dets]) for i in range(len(cells))])))
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r).alias("of"), F.lit(t).alias("t")) for i, (r, t) in enumerate(cells)]))
-    every = n_gt.withColumn("c", each).filter("range = c.of").select("category_id", "range", "n_gt", "c.i", "c.t")
+    hits = rows.groupBy("category_id").agg(*[F.expr(f"sum(if(rank<={m},{hit[i]},0))").alias(f"_{m}_{i}") for i in numbers for m in max_dets])
+    named = ",".join(f"struct({i} as i,{','.join(f'_{m}_{i} as hits_{m}' for m in max_dets)})" for i in numbers)
+    hits = hits.selectExpr("category_id", f"inline(array({named}))")
+    each = ",".join(f"struct({i} as i,'{r}' as of,{t!r}D as t)" for i, (r, t) in enumerate(cells))
+    every = n_gt.selectExpr("category_id", "range", "n_gt", f"explode(array({each})) as c").filter("range = c.of").select("category_id", "range", "n_gt", "c.i", "c.t")
     recall: list[Column] = [(F.coalesce(f"hits_{m}", F.lit(0)) / F.col("n_gt")).alias(f"ar_{m}") for m in max_dets]
     return every.join(ap, ["category_id", "i"], "left").join(hits, ["category_id", "i"], "left").select("category_id", "range", "t", "n_gt", F.coalesce("ap", F.lit(0.0)).alias("ap"), *recall)
 

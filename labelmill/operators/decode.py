@@ -41,11 +41,6 @@ def topk_instances(query_cls: DataFrame, query_mask: DataFrame, query_box: DataF
     )
 
 
-def instance_pixels(top: DataFrame, query_mask: DataFrame) -> DataFrame:
-    """The mask pixels (logit > 0) of selected (image_id, q, c) rows."""
-    return top.select("image_id", "q", "c").join(query_mask.filter("logit > 0"), ["image_id", "q"]).select("image_id", "q", "c", "y", "x")
-
-
 def class_scores(query_cls: DataFrame, mode: str = "sigmoid", temperature: float = 0.06) -> DataFrame:
     """query_cls with `p`: sigmoid; softmax_t = softmax(sigmoid / T); ce = softmax without its last class."""
     if mode == "sigmoid":

@@ -110,11 +110,13 @@ def assign(costs: DataFrame) -> DataFrame:
     return rows.repartition("image_id").sortWithinPartitions("image_id", "q", "gt_id").mapInArrow(_solved, "image_id long, q long, gt_id long, cost double")
 
 
-def box_pairs(gt: DataFrame, det: DataFrame, on: Sequence[str] = ("image_id", "category_id"), grid: float = 64.0) -> DataFrame:
-    """(keys, det_id, score, gt_id, v, crowd) of overlapping boxes, met by grid cell; v is IoU, or for a crowd truth
-    intersection over detection area. gt: keys, gt_id, x0..y1, iscrowd; det: keys, det_id, x0..y1, score."""
+def box_pairs(gt: DataFrame, det: DataFrame, on: Sequence[str] = ("image_id", "category_id"), grid: float | None = None) -> DataFrame:
+    """(keys, det_id, score, gt_id, v, crowd) of overlapping boxes; v is IoU, or for a crowd truth intersection over
+    detection area. gt: keys, gt_id, x0..y1, iscrowd; det: keys, det_id, x0..y1, score. Boxes of equal keys meet in one join;
+    where keys may be crowded, `grid` makes those meet by cells."""
     on = list(on)
-    met = boxes.overlapping_pairs(det.select(*on, "det_id", "score", *boxes.XYXY), gt.select(*on, "gt_id", "iscrowd", *boxes.XYXY), on, grid)
+    d, g = det.select(*on, "det_id", "score", *boxes.XYXY), gt.select(*on, "gt_id", "iscrowd", *boxes.XYXY)
+    met = boxes.pairs(d, g, on).filter(G.intersection(G.columns("a_"), G.columns("b_")) > 0) if grid is None else boxes.overlapping_pairs(d, g, on, grid)
     a, b, crowd = G.columns("a_"), G.columns("b_"), F.col("b_iscrowd") == 1
     value = F.when(crowd, G.intersection(a, b) / G.area(a)).otherwise(G.iou(a, b, 0.0))
     return met.select(*on, F.col("a_det_id").alias("det_id"), F.col("a_score").alias("score"), F.col("b_gt_id").alias("gt_id"), F.round(value, 12).alias("v"), crowd.alias("crowd"))
@@ -136,7 +138,7 @@ def threshold_bits(v: Column, thresholds: Sequence[float]) -> Column:
     return sum((F.when(v >= float(t), F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(thresholds)), F.lit(0)).cast("bigint")
 
 
-def match_rounds(pairs: DataFrame, on: Sequence[str], unrolled: int = 2) -> DataFrame:
+def match_rounds(pairs: DataFrame, on: Sequence[str], unrolled: int = 1) -> DataFrame:
     """(keys, det_id, gt_id, ignore, bits): the greedy matching of many settings at once, one bit a setting (62 at most).
 
     pairs: keys, det_id, score, gt_id, v, crowd, `left` (settings in which the pair counts), `skip` (those in which the

@@ -117,7 +117,7 @@ def precision_recall(matches: DataFrame, keys: list[str], ties: tuple[str, ...]
     order = [F.col("score").desc(), *[F.col(c) for c in ties]]
     rows = ordering.ranged(matches, *[F.col(k) for k in keys], *order)
     totals = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_rows"), F.sum("tp").alias("_hits"))
-    start = ordering.before_parts(totals, keys, {"_n0": "_rows", "_tp0": "_hits"})
+    start = ordering.small(ordering.before_parts(totals, keys, {"_n0": "_rows", "_tp0": "_hits"}))  # one row a key and part
     inside = Window.partitionBy(*keys, "_part")
     w = inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     run = rows.join(start, [*keys, "_part"]).withColumns({"_tp": F.col("_tp0") + F.sum("tp").over(w), "_n": F.col("_n0") + F.count("*").over(w)})
@@ -125,7 +125,7 @@ def precision_recall(matches: DataFrame, keys: list[str], ties: tuple[str, ...]
     later = Window.partitionBy(*keys).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
     peaks = run.groupBy(*keys, "_part").agg(F.max("precision").alias("_peak")).withColumn("_later", F.max("_peak").over(later)).drop("_peak")
     back = inside.orderBy(F.col("score"), *[F.col(c).desc() for c in ties]).rowsBetween(Window.unboundedPreceding, 0)  # a running maximum, in linear time
-    out = run.join(peaks, [*keys, "_part"]).withColumn("envelope", F.greatest(F.max("precision").over(back), "_later"))
+    out = run.join(ordering.small(peaks), [*keys, "_part"]).withColumn("envelope", F.greatest(F.max("precision").over(back), "_later"))
     return out.drop("_part", "_n0", "_tp0", "_tp", "_n", "_later")
 
 

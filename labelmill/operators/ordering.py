@@ -17,8 +17,16 @@ def before_parts(totals: DataFrame, keys: list[str], sums: dict[str, str]) -> Da
     """Of (keys, _part, numbers): for each part the sums of the parts before it, by new name.
 
     A key has one row for each part, so its window holds no more rows than there are parts."""
-    w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(*keys, "_part", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(name) for name, c in sums.items()])
+    quoted = [f"`{k}`" for k in keys]
+    part = f"partition by {', '.join(quoted)} " if keys else ""
+    w = f"over ({part}order by _part rows between unbounded preceding and 1 preceding)"
+    return totals.selectExpr(*quoted, "_part", *[f"coalesce(sum(`{c}`) {w}, 0) as `{name}`" for name, c in sums.items()])
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df landed; a broadcast side if it has so few rows, as counted."""
+    out = land(df)
+    return F.broadcast(out) if out.count() <= most else out
 
 
 def numbered(df: DataFrame, order: list[str], out: str, first: int = 0) -> DataFrame:
@@ -26,4 +34,4 @@ def numbered(df: DataFrame, order: list[str], out: str, first: int = 0) -> DataF
     parts = ranged(df, *order)
     start = before_parts(parts.groupBy("_part").agg(F.count("*").alias("_n")), [], {"_before": "_n"})
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.withColumn("_own", own).join(F.broadcast(start), "_part").withColumn(out, F.col("_before") + F.col("_own") - 1 + first).drop("_part", "_own", "_before")
+    return parts.withColumn("_own", own).join(small(start), "_part").withColumn(out, F.col("_before") + F.col("_own") - 1 + first).drop("_part", "_own", "_before")

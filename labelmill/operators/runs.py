@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from . import boxes
 
 Sweep = tuple[np.ndarray, np.ndarray]
@@ -154,14 +155,15 @@ def with_boundary(masks: DataFrame, distance: Column | int) -> DataFrame:
     return df.mapInArrow(_boundaries, _ddl(df, more="band array<bigint>")).drop("_d")
 
 
-def mask_pairs(gt: DataFrame, det: DataFrame, on: Sequence[str] = ("image_id", "category_id"), boundary: bool = False, grid: float = 64.0) -> DataFrame:
+def mask_pairs(gt: DataFrame, det: DataFrame, on: Sequence[str] = ("image_id", "category_id"), boundary: bool = False, grid: float | None = None) -> DataFrame:
     """(keys, det_id, score, gt_id, v, crowd) of masks that overlap; v is IoU, or for a crowd intersection over detection.
 
     gt: keys, gt_id, iscrowd, runs, x0..y1; det: keys, det_id, score, runs, x0..y1, of the same image widths. With
-    `boundary` both also have `band`, and v is the smaller one of the masks' and the bands' value. Boxes meet first, by
-    grid cell; the runs of the pairs that do are joined by id and swept together."""
+    `boundary` both also have `band`, and v is the smaller one of the masks' and the bands' value. Boxes meet first, as in
+    matching.box_pairs; the runs of the pairs that overlap are joined by id and swept together."""
     on = list(on)
-    met = boxes.overlapping_pairs(det.select(*on, "det_id", *boxes.XYXY), gt.select(*on, "gt_id", *boxes.XYXY), on, grid)
+    d, g = det.select(*on, "det_id", *boxes.XYXY), gt.select(*on, "gt_id", *boxes.XYXY)
+    met = boxes.pairs(d, g, on).filter(G.intersection(G.columns("a_"), G.columns("b_")) > 0) if grid is None else boxes.overlapping_pairs(d, g, on, grid)
     met = met.select(*on, F.col("a_det_id").alias("det_id"), F.col("b_gt_id").alias("gt_id"))
     parts = ("runs", "band") if boundary else ("runs",)
 

@@ -61,8 +61,8 @@ Q["score_filter"] = lambda s, d: ann.score_filter(_det(s, d), 0.5).select("image
 SQL["score_filter"] = oracle(("det_box",), "select image_id, det_id, score from det_box where score>0.5")
 Q["kept_counts"] = lambda s, d: ann.kept_counts(_det(s, d), 0.5)
 SQL["kept_counts"] = oracle(("det_box",), "select image_id, count(*) as raw, count(*) filter (where score>0.5) as kept from det_box group by 1")
-Q["thing_detections"] = lambda s, d: ann.things(_det(s, d), frame(s, d, "categories").filter("pos % 2 = 0"), pos="pos").groupBy("category_id").agg(F.count("*").alias("n"))
-SQL["thing_detections"] = oracle(("det_box",), "select category_id, count(*) as n from det_box where category_id in (0,2,4) group by 1")
+Q["thing_detections"] = lambda s, d: ann.things(_det(s, d), frame(s, d, "categories"), pos="pos").groupBy("category_id").agg(F.count("*").alias("n"))
+SQL["thing_detections"] = oracle(("det_box",), "select category_id, count(*) as n from det_box where category_id<5 group by 1")
 
 
 def size_mismatches(spark: SparkSession, d: str) -> DataFrame:

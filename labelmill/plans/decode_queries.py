@@ -67,6 +67,8 @@ Q["semantic_scores"] = lambda s, d: _semantic(s, d).groupBy("image_id", "c").agg
 SQL["semantic_scores"] = oracle(("query_cls", "query_mask"), "select image_id, c, round(sum(score),4) as total, round(max(score),6) as peak from se group by 1, 2", _PC, _SEM)
 Q["semantic_labels"] = lambda s, d: decode.semantic_labels(_cls(s, d), _mask(s, d), range(6), 9).groupBy("image_id", "label").agg(F.count("*").alias("area"))
 SQL["semantic_labels"] = oracle(("query_cls", "query_mask"), "select image_id, label, count(*) as area from (select image_id, y, x, c as label from (select *, row_number() over (partition by image_id, y, x order by round(score,9) desc, c) as r from se) z where r=1) v group by 1, 2", _PC, _SEM)
+Q["argmax_label"] = lambda s, d: decode.argmax_label(_semantic(s, d), 9).groupBy("image_id", "label").agg(F.count("*").alias("area"))
+SQL["argmax_label"] = SQL["semantic_labels"]
 
 
 def tta(spark: SparkSession, d: str) -> DataFrame:

@@ -97,7 +97,7 @@ SQL["raster_round_trip"] = oracle(("px",), "select case when image_id%5=0 then '
 def annotation_sink(spark: SparkSession, d: str) -> DataFrame:
     """The three outputs of an annotation set, each read back and counted."""
     path, gt = scratch_dir(spark), frame(spark, d, "gt_box")
-    readers.write_instances(gt.select("image_id").distinct(), frame(spark, d, "categories"), gt.select("ann_id", "image_id", "category_id"), path)
+    readers.write_instances(gt.select("image_id").distinct(), frame(spark, d, "categories"), gt.select("ann_id", "image_id", "category_id"), path, "json")
     counts = [spark.read.schema("image_id long").json(f"{path}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("part"), "n") for n in ("images", "categories", "annotations")]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
@@ -106,6 +106,49 @@ Q["annotation_sink"] = annotation_sink
 SQL["annotation_sink"] = oracle(("gt_box", "categories"), "select 'images' as part, count(distinct image_id) as n from gt_box union all select 'categories', count(*) from categories union all select 'annotations', count(*) from gt_box")
 
 
+def annotation_tables(spark: SparkSession, d: str) -> DataFrame:
+    """An annotation set written as Parquet tables and joined again from them: all values of every annotation."""
+    path, gt = scratch_dir(spark), frame(spark, d, "gt_box")
+    readers.write_instances(gt.select("image_id", F.lit(400).alias("height")).distinct(), frame(spark, d, "categories"), gt, path)
+    images, categories, annotations = (spark.read.parquet(f"{path}/{n}") for n in ("images", "categories", "annotations"))
+    named = categories.select(F.col("pos").alias("category_id"), "name")
+    return annotations.join(images, "image_id").join(named, "category_id", "left").select("image_id", "ann_id", "name", "height", "x0", "y0", "x1", "y1", "iscrowd")
+
+
+Q["annotation_tables"] = annotation_tables
+SQL["annotation_tables"] = oracle(("gt_box", "categories"), "select image_id, ann_id, name, 400 as height, x0, y0, x1, y1, iscrowd from gt_box g left join categories c on c.pos=g.category_id")
+
+
+def id_map_file(spark: SparkSession, d: str) -> DataFrame:
+    """An id map as a text file with a header, every instance id twice, read back: the later line counts."""
+    path = scratch_dir(spark)
+    rows = frame(spark, d, "id_map")
+    lines = rows.select(F.concat_ws("\t", F.col("ins_id"), F.lit(99), F.lit("old")).alias("v"), "ins_id", F.lit(0).alias("k")).unionByName(rows.select(F.concat_ws(" ", F.col("ins_id"), F.col("sem_id") + 1, F.lit("new")).alias("v"), "ins_id", F.lit(1).alias("k")))
+    whole = lines.agg(F.concat_ws("\n", F.lit("ins sem name"), F.transform(F.sort_array(F.collect_list(F.struct("k", "ins_id", "v"))), lambda x: x["v"])).alias("value"))  # a mapping of a few ids
+    whole.write.option("lineSep", "\n").text(path)
+    return readers.read_id_map(spark, f"{path}/part-*")
+
+
+Q["id_map_file"] = id_map_file
+SQL["id_map_file"] = oracle(("id_map",), "select ins_id, sem_id from id_map")
+
+
+def raster_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """The bytes of every customer's name as a grey image of two rows, and of colours packed from threes."""
+    names = frame(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("stem"), F.col("c_name").cast("binary").alias("data"))
+    grey = names.select("stem", F.lit(2).alias("height"), F.floor(F.octet_length("data") / 2).cast("int").alias("width"), F.lit(1).alias("nChannels"), "data")
+    rgb = names.select("stem", F.lit(1).alias("height"), F.floor(F.octet_length("data") / 3).cast("int").alias("width"), F.lit(3).alias("nChannels"), "data")
+    both = readers.raster_pixels(grey).withColumn("kind", F.lit("grey")).unionByName(readers.raster_pixels(rgb, "rgb_id").withColumn("kind", F.lit("rgb")))
+    return both.groupBy("kind", F.col("stem").cast("bigint").alias("c_custkey"), "y").agg(F.count("*").alias("n"), F.sum(F.col("label") * (F.col("x") + 1)).alias("weighted"))
+
+
+Q["raster_bytes"] = raster_bytes
+SQL["raster_bytes"] = """with c as (select c_custkey, c_name, length(c_name) as l from customer),
+ g as (select c_custkey, cast(floor(p/floor(l/2)) as bigint) as y, cast(p%floor(l/2) as bigint) as x, ascii(c_name[p+1]) as label from (select *, unnest(range(cast(2*floor(l/2) as bigint))) as p from c) z),
+ r as (select c_custkey, 0 as y, p as x, ascii(c_name[3*p+3])+256*ascii(c_name[3*p+2])+65536*ascii(c_name[3*p+1]) as label from (select *, unnest(range(cast(floor(l/3) as bigint))) as p from c) z)
+ select kind, c_custkey, cast(y as bigint) as y, count(*) as n, cast(sum(label*(x+1)) as bigint) as weighted from (select 'grey' as kind, * from g union all select 'rgb', * from r) v group by 1, 2, 3"""
+
+
 def category_file(spark: SparkSession, d: str) -> DataFrame:
     """A category dimension kept as CSV, read back, its evaluated rows alone."""
     path = scratch_dir(spark) + ".csv"
@@ -122,8 +165,8 @@ SQL["dataset_checks"] = oracle(
     ("gt_box", "categories"), "select 'boxes is not empty' as rule, count(*) as value, count(*)>0 as passed from gt_box union all select 'none is not empty', count(*), count(*)>0 from gt_box where ann_id<0 union all select 'at most 10 categories', count(*), count(*)<=10 from categories")
 Q["unknown_predictions"] = lambda s, d: metrics.unknown_predictions(metrics.overlaps(frame(s, d, "px")), frame(s, d, "categories").filter("pos <> 9").select(F.col("pos").alias("category_id")), 255)
 SQL["unknown_predictions"] = oracle(("px",), "select image_id, pred, count(*) as pixels from px where pred=9 or pred=255 group by 1, 2")
-Q["without_annotations"] = lambda s, d: ann.without_columns(frame(s, d, "frames"), "annotations_json", "latency_ms", "ts").filter("frame_idx % 2 = 0")
-SQL["without_annotations"] = oracle(("frames",), "select stream_id, frame_idx, event_id from frames where frame_idx%2=0")
+Q["without_annotations"] = lambda s, d: ann.without_columns(frame(s, d, "frames"), "annotations_json", "latency_ms", "ts")
+SQL["without_annotations"] = oracle(("frames",), "select stream_id, frame_idx, event_id from frames")
 Q["flat_indices"] = lambda s, d: frame(s, d, "query_cls").select("image_id", (F.col("q") * 6 + F.col("c")).alias("i")).select("image_id", *[c.cast("bigint").alias(n) for c, n in zip(codes.split_flat_index(F.col("i"), 6), ("q", "c"))])
 SQL["flat_indices"] = oracle(("query_cls",), "select image_id, q, c from query_cls")
 

@@ -119,6 +119,8 @@ SQL["rle_encode"] = oracle(
 )
 Q["rle_round_trip"] = lambda s, d: rasters.rle_decode(_rle(s, d)).select("image_id", "y", "x", "label")
 SQL["rle_round_trip"] = oracle(("px",), "select image_id, y, x, gt as label from px where gt<>255")
+Q["mask_boxes_default"] = lambda s, d: rasters.mask_boxes_or_default(frame(s, d, "px").select("image_id", F.explode(F.array("gt", "pred")).alias("label")), _px(s, d), ["image_id", "label"])
+SQL["mask_boxes_default"] = oracle(("px",), "select m.image_id, m.label, cast(coalesce(min(x),1e8) as double) as x0, cast(coalesce(min(y),1e8) as double) as y0, cast(coalesce(max(x),0) as double) as x1, cast(coalesce(max(y),0) as double) as y1 from (select image_id, gt as label from px union select image_id, pred from px) m left join px p on p.image_id=m.image_id and p.gt=m.label group by 1, 2")
 Q["default_fill"] = lambda s, d: rasters.covered(_px(s, d).select("image_id", "y", "x"), _px(s, d).filter("label < 5"), "label", 0)
 SQL["default_fill"] = oracle(("px",), "select image_id, y, x, case when gt<5 then gt else 0 end as label from px")
 

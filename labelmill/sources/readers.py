@@ -2,32 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..operators import annotations as ann
 from ..operators import sampling
+from . import jsonsplit
 
 SEGMENT = "struct<id:bigint,category_id:int,area:bigint,bbox:array<int>,iscrowd:int>"
-IMAGE = "struct<id:string,file_name:string,height:int,width:int>"
-CATEGORY = "struct<id:bigint,name:string,isthing:int,color:array<int>>"
+IMAGE = "id string, file_name string, height int, width int"
+CATEGORY = "id bigint, name string, isthing int, color array<int>"
 RLE = "struct<size:array<int>,counts:array<bigint>>"
-PANOPTIC = f"annotations array<struct<image_id:string,file_name:string,segments_info:array<{SEGMENT}>>>, images array<{IMAGE}>, categories array<{CATEGORY}>"
-INSTANCE = f"annotations array<struct<id:bigint,image_id:string,iscrowd:int,category_id:int,bbox:array<double>,segmentation:{RLE},area:double,visibility_fraction:double>>, images array<{IMAGE}>, categories array<{CATEGORY}>"
+PANOPTIC = f"image_id string, file_name string, segments_info array<{SEGMENT}>"
+INSTANCE = f"id bigint, image_id string, iscrowd int, category_id int, bbox array<double>, segmentation {RLE}, area double, visibility_fraction double"
 FRAME_ANNOTATIONS = "array<struct<category_id:int,bbox:array<double>,iscrowd:int,visibility_fraction:double>>"
 
 
-def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One document is one row and cannot be split: land what is read of a large one as Parquet once."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
-
-
 def read_panoptic_json(spark: SparkSession, path: str, categories: DataFrame, image_dir: str, label_dir: str, semantic_dir: str | None = None, cast_image_id: bool = False) -> DataFrame:
     """One row an annotation: image and label paths, and segments with contiguous category ids and isthing.
 
     Segments of unknown categories keep a null contiguous_id; ann.unknown_ids lists them."""
-    rows = _document(spark, path, PANOPTIC).select(F.explode("annotations").alias("a")).select("a.*")
+    rows = jsonsplit.parsed(jsonsplit.records(spark, path), PANOPTIC, "annotations").drop("file", "at")
     stem = codes.stem_last_dot(F.col("file_name"))
     rows = rows.select(
         (F.col("image_id").cast("bigint") if cast_image_id else F.col("image_id")).alias("image_id"),
@@ -43,14 +43,17 @@ def read_panoptic_json(spark: SparkSession, path: str, categories: DataFrame, im
 
 
 def read_instance_json(spark: SparkSession, path: str) -> DataFrame:
-    """One row an annotation, with its image's file name and size."""
-    doc = _document(spark, path, INSTANCE)
-    images = doc.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), "i.file_name", "i.height", "i.width")
-    return doc.select(F.explode("annotations").alias("a")).select("a.*").join(images, "image_id")
+    """One row an annotation, with its image's file name and size; images and annotations of one document belong together."""
+    found = jsonsplit.records(spark, path)
+    images = jsonsplit.parsed(found, IMAGE, "images").select("file", F.col("id").alias("image_id"), "file_name", "height", "width")
+    rows = jsonsplit.parsed(found, INSTANCE, "annotations").drop("at")
+    return rows.join(images, ["file", "image_id"]).drop("file")
 
 
 def read_categories_json(spark: SparkSession, path: str) -> DataFrame:
-    return _document(spark, path, PANOPTIC).select(F.posexplode("categories").alias("pos", "c")).select("pos", "c.*")
+    """The categories of a document, numbered in its order: a dimension of some hundred rows."""
+    rows = jsonsplit.parsed(jsonsplit.records(spark, path), CATEGORY, "categories")
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1).select("pos", "id", "name", "isthing", "color")
 
 
 def read_categories(spark: SparkSession, path: str) -> DataFrame:
@@ -81,13 +84,25 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return image.select(origin.alias("path"), codes.stem_last_dot(origin).alias("stem"), "image.height", "image.width", "image.nChannels", F.col("image.data").alias("data"))
 
 
+def _pixel_batches(batches: Iterable[pa.RecordBatch], rgb: bool) -> Iterator[pa.RecordBatch]:
+    """The pixels of each image as a view of its bytes, some million a batch."""
+    for batch in batches:
+        stems, data = batch.column("stem"), batch.column("data")
+        for i, (h, w, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("height", "width", "nChannels")))):
+            px = np.frombuffer(data[i].as_buffer(), np.uint8)[: h * w * n].reshape(h * w, n)
+            label = px[:, 2] + px[:, 1].astype(np.int64) * 256 + px[:, 0].astype(np.int64) * 65536 if rgb else px[:, 0]
+            for a in range(0, h * w, 1 << 20):
+                p = np.arange(a, min(a + (1 << 20), h * w))
+                stem = stems.take(pa.array(np.full(len(p), i)))
+                yield pa.RecordBatch.from_arrays([stem, pa.array(p // w), pa.array(p % w), pa.array(label[p].astype(np.int64))], names=["stem", "y", "x", "label"])
+
+
 def raster_pixels(images: DataFrame, channels: str = "grey") -> DataFrame:
-    """(stem, y, x, label) of decoded images: `grey` is the first byte, `rgb_id` packs colour; bytes are BGR, row-major."""
-    n = F.col("nChannels")
-    byte = lambda k: F.conv(F.hex(F.substring("data", F.col("p") * n + k + 1, F.lit(1))), 16, 10).cast("bigint")
-    px = images.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)))
-    label = byte(0) if channels == "grey" else codes.rgb_to_id(byte(2), byte(1), byte(0))
-    return px.select("stem", F.floor(F.col("p") / F.col("width")).alias("y"), (F.col("p") % F.col("width")).alias("x"), label.alias("label"))
+    """(stem, y, x, label) of decoded images: `grey` is the first byte, `rgb_id` packs colour; bytes are BGR, row-major.
+
+    Images without bytes give no pixels."""
+    rows = images.select(F.col("stem").cast("string").alias("stem"), "height", "width", "nChannels", "data").filter("data is not null and height > 0 and width > 0")
+    return rows.mapInArrow(lambda it: _pixel_batches(it, channels != "grey"), "stem string, y bigint, x bigint, label bigint")
 
 
 def paired_by_stem(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
@@ -107,19 +122,21 @@ def read_id_map(spark: SparkSession, path: str, key_shift: int = 0, value_shift:
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """stem, category_id and run lengths of a list of predicted segments, `seq` in order of the list."""
-    rows = spark.read.schema(f"file_name string, category_id int, segmentation {RLE}").option("multiLine", True).json(path)
-    return rows.select(codes.stem_first_dot(F.col("file_name")).alias("stem"), "category_id", F.col("segmentation").alias("rle"), F.monotonically_increasing_id().alias("seq"))
+    rows = jsonsplit.parsed(jsonsplit.records(spark, path, 1), f"file_name string, category_id int, segmentation {RLE}")
+    return rows.select(codes.stem_first_dot(F.col("file_name")).alias("stem"), "category_id", F.col("segmentation").alias("rle"), F.col("at").alias("seq"))
 
 
 def read_detections(spark: SparkSession, path: str, drop_boxes: bool = False, lines: bool = False) -> DataFrame:
     """Detections of a document that is a list, or of JSON lines as write_detections leaves them."""
-    rows = spark.read.schema(f"image_id bigint, category_id int, bbox array<double>, score double, segmentation {RLE}").option("multiLine", not lines).json(path)
+    schema = f"image_id bigint, category_id int, bbox array<double>, score double, segmentation {RLE}"
+    rows = spark.read.schema(schema).json(path) if lines else jsonsplit.parsed(jsonsplit.records(spark, path, 1), schema).drop("file", "at")
     return rows.drop("bbox") if drop_boxes else rows
 
 
-def write_instances(images: DataFrame, categories: DataFrame, annotations: DataFrame, path: str) -> None:
+def write_instances(images: DataFrame, categories: DataFrame, annotations: DataFrame, path: str, kind: str = "parquet") -> None:
+    """An annotation set as three tables below path: Parquet, or JSON lines with kind "json"."""
     for name, df in (("images", images), ("categories", categories), ("annotations", annotations)):
-        df.write.mode("overwrite").json(f"{path}/{name}")
+        df.write.mode("overwrite").format(kind).save(f"{path}/{name}")
 
 
 def panoptic_documents(segments: DataFrame) -> DataFrame:

@@ -100,13 +100,14 @@ def test_run_lengths_decode(spark):
     assert sorted((r["k"], r["y"] + 3 * r["x"]) for r in got) == [(1, p) for p in (2, 3, 4, 5)] + [(2, p) for p in range(12)]
 
 
-def test_levels_of_cells_find_all_pairs(spark):
+@pytest.mark.parametrize("dense", [0, 1500, 10**6])
+def test_levels_of_cells_find_all_pairs(spark, dense):
     """Boxes from a point to the whole image, in three images; at most four cells a box and level."""
     rng = random.Random(8)
     make = lambda n: [(rng.randrange(3), i, x, y, x + rng.choice([0.5, 3.0, 20.0, 200.0, 900.0]), y + rng.choice([0.5, 5.0, 60.0, 500.0])) for i in range(n) for x, y in [(rng.uniform(-50, 900), rng.uniform(-50, 900))]]
     schema = "image_id int, k int, x0 double, y0 double, x1 double, y1 double"
     a, b = (spark.createDataFrame(make(120), schema) for _ in range(2))
-    got = sorted((r["a_k"], r["b_k"]) for r in boxes.overlapping_pairs(a, b, ["image_id"], 4.0).collect())
+    got = sorted((r["a_k"], r["b_k"]) for r in boxes.overlapping_pairs(a, b, ["image_id"], 4.0, dense).collect())
     every = boxes.pairs(a, b, ["image_id"]).filter(G.intersection(G.columns("a_"), G.columns("b_")) > 0)
     assert got == sorted((r["a_k"], r["b_k"]) for r in every.collect())
     placed = boxes._cells(a.select("k", *[F.col(c).alias("a_" + c) for c in boxes.XYXY]), "a_", F.lit(4.0) * F.pow(F.lit(2.0), boxes._level("a_", 4.0)))

@@ -1,13 +1,15 @@
 """Readers and writers on tiny files."""
 
 import json
+import random
 import struct
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from labelmill.plans.catalog import Catalog
-from labelmill.sources import readers
+from labelmill.sources import jsonsplit, readers
 
 
 def png(path, rows, channels):
@@ -73,6 +75,9 @@ def test_frames_and_sinks(spark, tmp_path):
     assert [s["id"] for s in readers.panoptic_documents(seg).first()["segments_info"]] == [1, 2]
     readers.write_detections(seg, str(tmp_path / "det"))
     readers.write_instances(seg, seg, seg, str(tmp_path / "inst"))
+    assert spark.read.parquet(str(tmp_path / "inst/annotations")).count() == 2
+    readers.write_instances(seg, seg, seg, str(tmp_path / "lines"), "json")
+    assert spark.read.json(str(tmp_path / "lines/images")).count() == 2
     assert spark.read.json(str(tmp_path / "det")).count() == 2
 
 
@@ -84,3 +89,42 @@ def test_catalog_is_lazy(spark):
     catalog.mapper("double", lambda df, by: df.select((F.col("id") * by).alias("id")))
     assert catalog.mapped(catalog.load(spark, "n"), "double", by=2).agg(F.max("id")).first()[0] == 4
     assert catalog.describe(spark).first()["value"] == "255"
+
+
+def odd_document(rng, n):
+    """A document with braces, quotes and escapes in strings, nested objects and arrays, and values beside the arrays."""
+    words = ["a", "{", "}", '"', "\\", "[", "]", "}}", "é", "\n", '\\"', ",", ":", "日本", "x" * 50, '"annotations":[{']
+    text = lambda: "".join(rng.choice(words) for _ in range(rng.randint(0, 6)))
+    item = lambda i: {"id": i, "image_id": text(), "segmentation": {"size": [i, 2], "counts": [1, 2, 3]} if rng.random() < 0.5 else None, "bbox": [1.5, 2.0, 3.0, i + 0.5], "extra": rng.choice([None, {"deep": {"er": [{}, {"q": text()}]}}])}
+    image = lambda i: {"id": text(), "file_name": text(), "height": i, "width": 7}
+    parts = [("info", {"year": 1, "by": {"name": text(), "more": [{"a": {}}]}}), ("annotations", [item(i) for i in range(n)]), ("none", []), ("images", [image(i) for i in range(n)]), ("sizes", [1, 2, [3]]), ("licences", [[{"id": 5}]]), ("last", text())]
+    rng.shuffle(parts)
+    return dict(parts)
+
+
+@pytest.mark.parametrize(("seed", "indent"), [(1, None), (2, 1), (3, None)])
+def test_documents_are_read_in_byte_ranges(spark, tmp_path, seed, indent):
+    """Several documents cut into many ranges give the records that a parser gives, in order."""
+    rng = random.Random(seed)
+    docs = {f"d{k}.json": odd_document(rng, n) for k, n in enumerate((0, 1, 400))}
+    for name, doc in docs.items():
+        (tmp_path / name).write_text(json.dumps(doc, indent=indent, ensure_ascii=False), encoding="utf-8")
+    (tmp_path / "list").mkdir()
+    (tmp_path / "list/l.json").write_text(json.dumps(docs["d2.json"]["annotations"], indent=indent))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = jsonsplit.records(spark, str(tmp_path / "*.json"))
+        ranges = jsonsplit._fragments(spark, str(tmp_path / "d2.json")).select("at").distinct().count()
+        listed = jsonsplit.records(spark, str(tmp_path / "list"), 1)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert ranges > 10
+    rows = found.filter("key in ('annotations', 'images')").orderBy("file", "at").collect()
+    for name, doc in docs.items():
+        for key in ("annotations", "images"):
+            assert [json.loads(r["text"]) for r in rows if r["key"] == key and r["file"].endswith(name)] == doc[key]
+    assert [json.loads(r["text"]) for r in listed.orderBy("at").collect()] == docs["d2.json"]["annotations"]
+    got = jsonsplit.parsed(found, readers.INSTANCE, "annotations").filter("id >= 0").collect()
+    assert len(got) == 401 and all(r["bbox"][3] == r["id"] + 0.5 for r in got)
