@@ -124,7 +124,8 @@ def clip_polygon(points: Column, x0: Column, y0: Column, x1: Column, y1: Column)
     """A flat polygon inside a window, in the window's own coordinates; empty where fewer than three points remain.
 
     The polygon is cut by the window's four half-planes in turn, each a fold step over the edges: the inner end points
-    stay, and an edge that crosses the border adds the place where it does. A concave polygon that falls into several
+    stay, and an edge that crosses the border adds the place where it does, which is on the border and between the edge's
+    ends whatever the rounding. A concave polygon that falls into several
     parts keeps edges along the border between them, which changes no area and no covered pixel centre beside them."""
     plane = lambda a, b, c: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"), c.cast("double").alias("c"))
     one, none = F.lit(1.0), F.lit(0.0)
@@ -136,7 +137,8 @@ def clip_polygon(points: Column, x0: Column, y0: Column, x1: Column, y1: Column)
         def edge(p: Column, i: Column) -> Column:
             q = _next(poly, i)
             s, t = side(p), side(q)
-            at = F.struct((p["x"] + (q["x"] - p["x"]) * s / (s - t)).alias("x"), (p["y"] + (q["y"] - p["y"]) * s / (s - t)).alias("y"))
+            between = lambda c: F.greatest(F.least(p[c], q[c]), F.least(F.greatest(p[c], q[c]), p[c] + (q[c] - p[c]) * s / (s - t)))
+            at = F.struct(F.when(h["a"] != 0, -h["c"] * h["a"]).otherwise(between("x")).alias("x"), F.when(h["b"] != 0, -h["c"] * h["b"]).otherwise(between("y")).alias("y"))
             return F.when((s >= 0) & (t >= 0), F.array(p)).when(s >= 0, F.when(s > 0, F.array(p, at)).otherwise(F.array(p))).when(t > 0, F.array(at)).otherwise(F.array().cast(_POINTS)).cast(_POINTS)
 
         return F.flatten(F.transform(poly, edge)).cast(_POINTS)
