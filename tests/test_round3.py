@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from labelmill.functions import geometry as G
-from labelmill.operators import sampling
+from labelmill.operators import decode, sampling
 
 
 def test_clipped_corner_is_not_outside_by_rounding(spark):
@@ -18,3 +18,19 @@ def test_crops_without_labelled_pixels_can_be_left_out(spark):
     found = lambda **how: {(r["image_id"], r["attempt"]) for r in sampling.accepted_crop(px, tries, 0.45, **how).collect()}
     assert found() == {(1, 1), (2, 1)}
     assert found(labelled=True) == {(2, 0)}
+
+
+def exchanges(df):
+    """What the rows of each shuffle of a plan are dealt by."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+
+
+def test_pixels_are_shuffled_by_image_alone(spark):
+    cls = spark.createDataFrame([(1, q, c, float(q - c)) for q in range(2) for c in range(2)], "image_id long, q long, c long, logit double")
+    mask = spark.createDataFrame([(1, q, 0, x, float(x - q)) for q in range(3) for x in range(3)], "image_id long, q long, y long, x long, logit double")
+    things = spark.createDataFrame([(0, 1), (1, 0)], "c long, isthing int")
+    found = [decode.semantic_labels(cls, mask, range(2), 9), decode.argmax_label(decode.semantic_scores(cls, mask, range(2)), 9), *decode.panoptic_merge(cls, mask, things, 0.25, 0.1)]
+    for df in found:
+        assert df.count() > 0 and not [e for e in exchanges(df) if ", y#" in e.split("),")[0]]
+    assert found[0].count() == 3 and found[2].count() == 3  # a query of the masks without classes takes no part, its pixels stay
