@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,19 +126,43 @@ def boundary_band(px: DataFrame, keys: list[str], distance: int | Column) -> Dat
     return cols.filter(~F.col("_ok") | (F.col("_room") < F.col("_d"))).drop("_d", "_i", "_room", "_ok")
 
 
+def _filled(batches: Iterable[pa.RecordBatch], keep: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Runs of (keys, _flat, _n): all coordinates of a row's parts and how many each part has; rows some thousands at a time."""
+    for batch in batches:
+        for part in (batch.slice(a, 2048) for a in range(0, batch.num_rows, 2048)):
+            (flat, _), (n, parts) = sweeps.lists(part.column("_flat")), sweeps.lists(part.column("_n"))
+            first = np.cumsum(n) - n  # of a part, in coordinates
+            corners = n // 2
+            of = np.repeat(np.arange(len(n)), corners)
+            i = np.arange(len(of)) - np.repeat(np.cumsum(corners) - corners, corners)
+            a, b = first[of] + 2 * i, first[of] + 2 * ((i + 1) % corners[of])
+            ax, ay, bx, by = flat[a], flat[a + 1], flat[b], flat[b + 1]
+            row = np.repeat(np.arange(len(parts)), parts)[of]
+            some = np.isfinite(ax + ay + bx + by) & (ay != by)
+            ax, ay, bx, by, row = (v[some] for v in (ax, ay, bx, by, row))
+            low = np.ceil(np.minimum(ay, by) - 0.5).astype(np.int64)
+            high = np.maximum(low, np.ceil(np.maximum(ay, by) - 0.5).astype(np.int64))
+            edge = np.repeat(np.arange(len(low)), high - low)
+            y = np.arange(len(edge)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[edge]
+            c = ax[edge] + (y + 0.5 - ay[edge]) * (bx[edge] - ax[edge]) / (by[edge] - ay[edge])
+            order = np.lexsort((c, y, row[edge]))
+            c, y, row = c[order], y[order], row[edge][order]
+            new = np.append(True, (np.diff(row) != 0) | (np.diff(y) != 0))[: len(row)]
+            place = np.arange(len(row)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            on = np.flatnonzero((place[:-1] % 2 == 0) & ~new[1:])  # every other crossing, with the next one of its row
+            x0, x1 = np.ceil(c[on] - 0.5).astype(np.int64), np.ceil(c[on + 1] - 0.5).astype(np.int64)
+            on, x0, x1 = on[x0 < x1], x0[x0 < x1], x1[x0 < x1]
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row[on])) for k in keep), pa.array(y[on]), pa.array(x0), pa.array(x1)], names=[*keep, "y", "x0", "x1"])
+
+
 def rasterize_polygons(polygons: DataFrame, keys: list[str], points: str = "points") -> DataFrame:
     """Runs covered by flat x0,y0,x1,y1,... polygons: even-odd crossings of each pixel row's centre line.
 
     Crossings of a row are sorted and paired; a pixel belongs to a run if its centre does. Not the contour rule of
-    up-sampling libraries, from which it can differ on the border."""
-    n = (F.size(points) / 2).cast("int")
-    edge = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
-        F.element_at(points, (2 * i + 1).cast("int")).alias("ax"), F.element_at(points, (2 * i + 2).cast("int")).alias("ay"),
-        F.element_at(points, (2 * F.pmod(i + 1, n) + 1).cast("int")).alias("bx"), F.element_at(points, (2 * F.pmod(i + 1, n) + 2).cast("int")).alias("by")))
-    edges = polygons.filter(F.size(points) >= 6).select(*keys, F.explode(edge).alias("e")).select(*keys, "e.*").filter("ay <> by")
-    lo, hi = F.ceil(F.least("ay", "by") - 0.5), F.ceil(F.greatest("ay", "by") - 0.5) - 1
-    rows = edges.filter(lo <= hi).withColumn("y", F.explode(F.sequence(lo, hi)))
-    cross = rows.withColumn("c", F.col("ax") + (F.col("y") + 0.5 - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay")))
-    w = Window.partitionBy(*keys, "y").orderBy("c")
-    paired = cross.withColumn("k", F.row_number().over(w)).withColumn("d", F.lead("c").over(w)).filter("k % 2 = 1 and d is not null")
-    return paired.select(*keys, "y", F.ceil(F.col("c") - 0.5).alias("x0"), F.ceil(F.col("d") - 0.5).alias("x1")).filter("x0 < x1")
+    up-sampling libraries, from which it can differ on the border. Polygons of equal keys are brought together before they are
+    filled, so no crossing is shuffled; runs of a mask leave one task, one after another."""
+    flat = F.transform(points, lambda v: F.coalesce(v.cast("double"), F.lit(float("nan"))))
+    even = F.slice(flat, 1, (F.size(points) / 2).cast("int") * 2)
+    parts = polygons.filter(F.size(points) >= 6).select(*keys, even.alias("_p")).groupBy(*keys).agg(F.collect_list("_p").alias("_p"))
+    rows = parts.select(*keys, F.flatten("_p").alias("_flat"), F.transform("_p", lambda p: F.size(p).cast("bigint")).alias("_n"))
+    return rows.mapInArrow(lambda it: _filled(it, keys), sweeps.ddl(rows, ["_flat", "_n"], "y bigint, x0 bigint, x1 bigint"))

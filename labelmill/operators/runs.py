@@ -67,7 +67,7 @@ def eroded(runs: Sweep, stride: np.ndarray, distance: int) -> Sweep:
     return now[0] + distance * step, now[1] + distance * step
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column, and how many each row has; null counts as empty."""
     n = np.diff(column.offsets.to_numpy())
     return column.values.to_numpy()[column.offsets[0].as_py() : column.offsets[-1].as_py()], n
@@ -89,7 +89,7 @@ def _boundaries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds `band` to (..., runs, width, _d)."""
     for batch in batches:
         for part in (batch.slice(a, 4096) for a in range(0, batch.num_rows, 4096)):
-            values, n = _lists(part.column("runs"))
+            values, n = lists(part.column("runs"))
             width, distance = part.column("width").to_numpy().astype(np.int64), part.column("_d").to_numpy()
             most = int(distance.max(initial=0))
             span = int(values.max(initial=0)) + (4 * most + 4) * int(width.max(initial=1)) + 1
@@ -113,14 +113,14 @@ def _overlaps(batches: Iterable[pa.RecordBatch], sides: Sequence[tuple[str, str,
             kept = [k for k in part.schema.names if k not in gone]
             found = []
             for left, right, _ in sides:
-                (v, n), (w, m) = _lists(part.column(left)), _lists(part.column(right))
+                (v, n), (w, m) = lists(part.column(left)), lists(part.column(right))
                 span = max(int(v.max(initial=0)), int(w.max(initial=0))) + 1
                 (a, _), (b, row) = _apart(v, n, span), _apart(w, m, span)
                 found.append(pa.array(np.bincount(row, covered_by(a, b), part.num_rows).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *found], names=[*kept, *(s[2] for s in sides)])
 
 
-def _ddl(df: DataFrame, drop: Iterable[str] = (), more: str = "") -> str:
+def ddl(df: DataFrame, drop: Iterable[str] = (), more: str = "") -> str:
     gone = set(drop)
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in gone] + ([more] if more else []))
 
@@ -152,7 +152,7 @@ def with_boundary(masks: DataFrame, distance: Column | int) -> DataFrame:
     Beyond the image counts as outside. Runs are shortened, rows intersected with their neighbours, and the rest is
     taken from the mask; a mask is bounded by its image, and masks are worked on some thousands at a time."""
     df = masks.withColumn("_d", (F.lit(distance) if isinstance(distance, int) else distance).cast("bigint")).withColumn("width", F.col("width").cast("bigint"))
-    return df.mapInArrow(_boundaries, _ddl(df, more="band array<bigint>")).drop("_d")
+    return df.mapInArrow(_boundaries, ddl(df, more="band array<bigint>")).drop("_d")
 
 
 def mask_pairs(gt: DataFrame, det: DataFrame, on: Sequence[str] = ("image_id", "category_id"), boundary: bool = False, grid: float | None = None) -> DataFrame:
@@ -172,7 +172,7 @@ def mask_pairs(gt: DataFrame, det: DataFrame, on: Sequence[str] = ("image_id", "
 
     met = met.join(side(det, "det_id", "d_", "score"), [*on, "det_id"]).join(side(gt, "gt_id", "g_", "iscrowd"), [*on, "gt_id"])
     sides = [(f"g_{p}", f"d_{p}", f"{p}_n") for p in parts]
-    counted = met.mapInArrow(lambda it: _overlaps(it, sides), _ddl(met, [c for s in sides for c in s[:2]], ", ".join(f"{s[2]} bigint" for s in sides)))
+    counted = met.mapInArrow(lambda it: _overlaps(it, sides), ddl(met, [c for s in sides for c in s[:2]], ", ".join(f"{s[2]} bigint" for s in sides)))
     crowd = F.coalesce(F.col("iscrowd"), F.lit(0)) == 1
     value = [F.when(crowd, F.try_divide(f"{p}_n", f"d_{p}_n")).otherwise(F.try_divide(F.col(f"{p}_n"), F.col(f"d_{p}_n") + F.col(f"g_{p}_n") - F.col(f"{p}_n"))) for p in parts]
     v = F.least(*value) if boundary else value[0]
@@ -192,7 +192,7 @@ def union_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _decoded(batches: Iterable[pa.RecordBatch], keep: Sequence[str]) -> Iterator[pa.RecordBatch]:
     """The on-runs of each row's counts as (kept columns, start, end) of column-major positions."""
     for batch in batches:
-        values, n = _lists(batch.column("_counts"))
+        values, n = lists(batch.column("_counts"))
         ends = np.cumsum(values)
         row, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
         base = np.append(0, ends)[first]
@@ -208,5 +208,5 @@ def rle_runs(df: DataFrame, rle: str = "rle") -> DataFrame:
     Sums run over the counts in batches, so a mask of many runs costs no more than its length. A null mask has none."""
     keep = [c for c in df.columns if c != rle]
     rows = df.filter(F.col(rle).isNotNull()).select(*keep, F.col(f"{rle}.size")[0].cast("bigint").alias("_h"), F.col(f"{rle}.counts").cast("array<bigint>").alias("_counts"))
-    return rows.mapInArrow(lambda it: _decoded(it, [*keep, "_h"]), _ddl(rows, ["_counts"], "_a bigint, _b bigint"))
+    return rows.mapInArrow(lambda it: _decoded(it, [*keep, "_h"]), ddl(rows, ["_counts"], "_a bigint, _b bigint"))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from labelmill.functions import geometry as G
-from labelmill.operators import decode, sampling
+from labelmill.operators import decode, rasters, sampling
 
 
 def test_clipped_corner_is_not_outside_by_rounding(spark):
@@ -40,3 +40,11 @@ def test_losses_of_masks_need_no_join(spark):
     from labelmill.plans import registry
 
     assert len(exchanges(registry.QUERIES["mask_losses"](spark, "/root/testdata/sf0.001"))) == 1
+
+
+def test_crossings_of_polygons_are_not_shuffled(spark):
+    """A square with a hole as two polygons of equal keys, one without a place, one with a null."""
+    rows = [(1, [0.0, 0.0, 6.0, 0.0, 6.0, 4.0, 0.0, 4.0]), (1, [2.0, 1.0, 4.0, 1.0, 4.0, 3.0, 2.0, 3.0]), (2, [0.0, 0.0, 1.0, 1.0]), (3, [0.0, 0.0, None, 0.0, 2.0, 2.0])]
+    runs = rasters.rasterize_polygons(spark.createDataFrame(rows, "k long, points array<double>"), ["k"])
+    assert {tuple(r) for r in runs.filter("k < 3").collect()} == {(1, 0, 0, 6), (1, 1, 0, 2), (1, 1, 4, 6), (1, 2, 0, 2), (1, 2, 4, 6), (1, 3, 0, 6)}
+    assert [e.split("#")[0] for e in exchanges(runs.filter("k < 3"))] == ["k"]
