@@ -105,8 +105,18 @@ def _boundaries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns, _packed((start, end), start // span, part.num_rows, span)], names=[*part.schema.names, "band"])
 
 
+def _steps(runs: Column) -> Column:
+    """A packed mask as steps from each place to the next: rows of a mask repeat, so a shuffle packs them to little."""
+    return F.transform(runs, lambda v, i: v - F.coalesce(F.get(runs, i - 1), F.lit(0).cast("bigint")))
+
+
+def _from_steps(steps: np.ndarray, n: np.ndarray) -> np.ndarray:
+    total = np.append(0, np.cumsum(steps))
+    return total[1:] - np.repeat(total[np.cumsum(n) - n], n)
+
+
 def _overlaps(batches: Iterable[pa.RecordBatch], sides: Sequence[tuple[str, str, str]]) -> Iterator[pa.RecordBatch]:
-    """For each (left, right, out) of list columns how many places both hold; the lists are dropped."""
+    """For each (left, right, out) of columns of steps how many places both hold; the lists are dropped."""
     gone = {c for a, b, _ in sides for c in (a, b)}
     for batch in batches:
         for part in (batch.slice(a, 8192) for a in range(0, batch.num_rows, 8192)):
@@ -114,6 +124,7 @@ def _overlaps(batches: Iterable[pa.RecordBatch], sides: Sequence[tuple[str, str,
             found = []
             for left, right, _ in sides:
                 (v, n), (w, m) = lists(part.column(left)), lists(part.column(right))
+                v, w = _from_steps(v, n), _from_steps(w, m)
                 span = max(int(v.max(initial=0)), int(w.max(initial=0))) + 1
                 (a, _), (b, row) = _apart(v, n, span), _apart(w, m, span)
                 found.append(pa.array(np.bincount(row, covered_by(a, b), part.num_rows).astype(np.int64)))
@@ -159,18 +170,21 @@ def mask_pairs(gt: DataFrame, det: DataFrame, on: Sequence[str] = ("image_id", "
     """(keys, det_id, score, gt_id, v, crowd) of masks that overlap; v is IoU, or for a crowd intersection over detection.
 
     gt: keys, gt_id, iscrowd, runs, x0..y1; det: keys, det_id, score, runs, x0..y1, of the same image widths. With
-    `boundary` both also have `band`, and v is the smaller one of the masks' and the bands' value. Boxes meet first, as in
-    matching.box_pairs; the runs of the pairs that overlap are joined by id and swept together."""
+    `boundary` both also have `band`, and v is the smaller one of the masks' and the bands' value. Masks meet by their keys where
+    their boxes overlap, so runs are shuffled once a side; with `grid` boxes meet by cells, and runs are joined by id."""
     on = list(on)
-    d, g = det.select(*on, "det_id", *boxes.XYXY), gt.select(*on, "gt_id", *boxes.XYXY)
-    met = boxes.pairs(d, g, on).filter(G.intersection(G.columns("a_"), G.columns("b_")) > 0) if grid is None else boxes.overlapping_pairs(d, g, on, grid)
-    met = met.select(*on, F.col("a_det_id").alias("det_id"), F.col("b_gt_id").alias("gt_id"))
     parts = ("runs", "band") if boundary else ("runs",)
 
-    def side(df: DataFrame, key: str, mark: str, more: str) -> DataFrame:
-        return df.select(*on, key, more, *[F.col(p).alias(mark + p) for p in parts], *[area(F.col(p)).alias(f"{mark}{p}_n") for p in parts])
+    def side(df: DataFrame, key: str, mark: str, more: str, *place: Column) -> DataFrame:
+        return df.select(*on, key, more, *place, *[_steps(F.col(p)).alias(mark + p) for p in parts], *[area(F.col(p)).alias(f"{mark}{p}_n") for p in parts])
 
-    met = met.join(side(det, "det_id", "d_", "score"), [*on, "det_id"]).join(side(gt, "gt_id", "g_", "iscrowd"), [*on, "gt_id"])
+    if grid is None:
+        box = lambda mark: [F.col(c).alias(mark + c) for c in boxes.XYXY]
+        met = side(det, "det_id", "d_", "score", *box("a_")).join(side(gt, "gt_id", "g_", "iscrowd", *box("b_")), on)
+        met = met.filter(G.intersection(G.columns("a_"), G.columns("b_")) > 0).drop(*[m + c for m in ("a_", "b_") for c in boxes.XYXY])
+    else:
+        met = boxes.overlapping_pairs(det.select(*on, "det_id", *boxes.XYXY), gt.select(*on, "gt_id", *boxes.XYXY), on, grid).select(*on, F.col("a_det_id").alias("det_id"), F.col("b_gt_id").alias("gt_id"))
+        met = met.join(side(det, "det_id", "d_", "score"), [*on, "det_id"]).join(side(gt, "gt_id", "g_", "iscrowd"), [*on, "gt_id"])
     sides = [(f"g_{p}", f"d_{p}", f"{p}_n") for p in parts]
     counted = met.mapInArrow(lambda it: _overlaps(it, sides), ddl(met, [c for s in sides for c in s[:2]], ", ".join(f"{s[2]} bigint" for s in sides)))
     crowd = F.coalesce(F.col("iscrowd"), F.lit(0)) == 1

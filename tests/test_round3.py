@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from labelmill.functions import geometry as G
 from labelmill.operators import decode, rasters, sampling
+from labelmill.operators import runs as sweeps
 
 
 def test_clipped_corner_is_not_outside_by_rounding(spark):
@@ -48,3 +49,12 @@ def test_crossings_of_polygons_are_not_shuffled(spark):
     runs = rasters.rasterize_polygons(spark.createDataFrame(rows, "k long, points array<double>"), ["k"])
     assert {tuple(r) for r in runs.filter("k < 3").collect()} == {(1, 0, 0, 6), (1, 1, 0, 2), (1, 1, 4, 6), (1, 2, 0, 2), (1, 2, 4, 6), (1, 3, 0, 6)}
     assert [e.split("#")[0] for e in exchanges(runs.filter("k < 3"))] == ["k"]
+
+
+def test_runs_of_masks_are_shuffled_by_keys_alone(spark):
+    rows = [(1, 0, 5, 0, 0.5, [0, 3, 10, 13], 10), (1, 0, 6, 0, 0.4, [35, 38], 10)]
+    masks = spark.createDataFrame(rows, "image_id long, category_id long, id long, iscrowd int, score double, runs array<bigint>, width long")
+    boxed = sweeps.with_boxes(masks)
+    met = sweeps.mask_pairs(boxed.withColumnRenamed("id", "gt_id"), boxed.withColumnRenamed("id", "det_id"))
+    assert [(r["det_id"], r["gt_id"], r["v"]) for r in met.orderBy("det_id").collect()] == [(5, 5, 1.0), (6, 6, 1.0)]
+    assert not [e for e in exchanges(met) if "_id#" in e.split("category_id#")[1].split(")")[0]]
