@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE = ("orders", "lineitem", "events", "part")
 #: An image is four consecutive orders. Each order is one 4 x 4 tile of its rasters, and one query of its saved outputs.
@@ -43,13 +44,25 @@ from orders cross join (select {{r}} as c from range(6)) b"""),
 }
 
 
+#: Orders of a task, each of which becomes 64 pixels at most; lines of a task where each becomes a mask.
+ORDERS, LINES = 16_384, 32_768
+
+
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df by an expression into so many parts that each has some `rows`: what a part becomes does not grow with the table."""
+    return df.repartition(max(2, -(-df.count() // rows)), F.expr(key))
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table or a fixture."""
+    """A base table or a fixture.
+
+    Fixtures of orders are dealt by image before they become pixels, so groups within an image need no shuffle of them."""
     if name not in SQL:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     needs, text = SQL[name]
     for n in needs:
-        frame(spark, sf_dir, n).createOrReplaceTempView(n)
+        df = frame(spark, sf_dir, n)
+        (dealt(df, _IMAGE, ORDERS) if n == "orders" else df).createOrReplaceTempView(n)
     return spark.sql(text.replace("{r}", "id"))
 
 

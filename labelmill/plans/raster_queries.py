@@ -127,8 +127,9 @@ SQL["default_fill"] = oracle(("px",), "select image_id, y, x, case when gt<5 the
 
 def mask_union(spark: SparkSession, d: str) -> DataFrame:
     """Truth and prediction of a label as one mask: their runs are united, not their pixels."""
-    sides = [rasters.pixels_to_runs(frame(spark, d, "px").select("image_id", "y", "x", F.col(c).alias("label"))) for c in ("gt", "pred")]
-    return rasters.run_areas(sweeps.union_runs(sides[0].unionByName(sides[1]), ["image_id", "label"]))
+    side = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("label")) for c in ("gt", "pred")]))
+    runs = rasters.pixels_to_runs(frame(spark, d, "px").select("image_id", "y", "x", side.alias("label")))
+    return rasters.run_areas(sweeps.union_runs(runs.withColumn("label", F.col("label.label")), ["image_id", "label"]))
 
 
 Q["mask_union"] = mask_union

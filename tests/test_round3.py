@@ -58,3 +58,17 @@ def test_runs_of_masks_are_shuffled_by_keys_alone(spark):
     met = sweeps.mask_pairs(boxed.withColumnRenamed("id", "gt_id"), boxed.withColumnRenamed("id", "det_id"))
     assert [(r["det_id"], r["gt_id"], r["v"]) for r in met.orderBy("det_id").collect()] == [(5, 5, 1.0), (6, 6, 1.0)]
     assert not [e for e in exchanges(met) if "_id#" in e.split("category_id#")[1].split(")")[0]]
+
+
+def test_pixels_of_an_image_are_dealt_once(spark):
+    """Orders are shuffled before they become pixels; after that nothing is, and a part has so many orders whatever the table."""
+    from labelmill.plans import fixtures, registry
+
+    before, fixtures.ORDERS = fixtures.ORDERS, 400
+    try:
+        for name in ("rle_encode", "rle_round_trip", "mask_union", "uncertainty_sample"):
+            found = exchanges(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+            assert len(found) == 1 and found[0].startswith("FLOOR((cast(o_orderkey"), (name, found)
+            assert ", 4)" in found[0], found  # 1,500 orders
+    finally:
+        fixtures.ORDERS = before
