@@ -70,9 +70,12 @@ def size_mismatches(images: DataFrame, inventory: DataFrame, on: str = "image_id
 
 
 def id_differences(px: DataFrame, segments: DataFrame, keys: tuple[str, ...] = ("image_id", "seg_id")) -> DataFrame:
-    """Segment ids that only the raster or only the document has, with `side`."""
-    a, b = px.select(*keys).distinct(), segments.select(*keys).distinct()
-    return a.join(b, list(keys), "left_anti").withColumn("side", F.lit("raster")).unionByName(b.join(a, list(keys), "left_anti").withColumn("side", F.lit("document")))
+    """Segment ids that only the raster or only the document has, with `side`. Both sides meet in one grouping; ids with a
+    null are equal to none, so each side keeps its own."""
+    both = px.select(*keys, F.lit("raster").alias("side")).unionByName(segments.select(*keys, F.lit("document").alias("side")))
+    alone = F.when(reduce(Column.__or__, [F.col(k).isNull() for k in keys]), F.col("side"))
+    found = both.groupBy(*keys, alone.alias("_alone")).agg(F.min("side").alias("side"), F.max("side").alias("_other"))
+    return found.filter(F.col("side") == F.col("_other")).select(*keys, "side")
 
 
 def dataset_checks(tables: Mapping[str, DataFrame], categories: DataFrame, most: int = 254) -> DataFrame:

@@ -72,3 +72,13 @@ def test_pixels_of_an_image_are_dealt_once(spark):
             assert ", 4)" in found[0], found  # 1,500 orders
     finally:
         fixtures.ORDERS = before
+
+
+def test_segment_ids_of_one_side(spark):
+    from labelmill.operators import annotations as ann
+
+    a = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, None)], "image_id long, seg_id long")
+    b = spark.createDataFrame([(1, 2), (1, 3), (2, None)], "image_id long, seg_id long")
+    found = ann.id_differences(a, b)
+    assert len(exchanges(found)) == 1
+    assert sorted(map(str, map(tuple, found.collect()))) == ["(1, 1, 'raster')", "(1, 3, 'document')", "(2, None, 'document')", "(2, None, 'raster')"]
