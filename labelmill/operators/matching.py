@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,15 +18,91 @@ from . import boxes
 WEIGHTS = {"cls": 4.0, "l1": 5.0, "giou": 2.0, "mask": 5.0, "dice": 5.0}
 
 
+def _packed_points(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(image_id, side, k, p, v): consecutive points of one mask as one row with lists of places and values."""
+    for batch in batches:
+        image, k = batch.column("image_id"), batch.column("k")
+        change = np.ones(batch.num_rows, bool)
+        for c in (image, k):
+            v = c.to_numpy(zero_copy_only=False)
+            change[1:] &= v[1:] == v[:-1]
+        change[1:] = ~change[1:]
+        first = np.flatnonzero(change)
+        ends = pa.array(np.append(first, batch.num_rows).astype(np.int32))
+        at = pa.array(first)
+        yield pa.RecordBatch.from_arrays(
+            [image.take(at), batch.column("side").take(at), k.take(at), pa.ListArray.from_arrays(ends, batch.column("p")), pa.ListArray.from_arrays(ends, batch.column("v"))], names=["image_id", "side", "k", "p", "v"]
+        )
+
+
+def _pair_sums(table: pa.Table) -> pa.RecordBatch:
+    """dice and bce of all pairs of the two sides' masks that share points, for the packed points of whole images."""
+    table = table.combine_chunks()
+    lengths = pc.list_value_length(table.column("p")).to_numpy().astype(np.int64)
+    image, side, k = (np.repeat(table.column(c).to_numpy(), lengths) for c in ("image_id", "side", "k"))
+    p, v = (pc.list_flatten(table.column(c)) for c in ("p", "v"))
+    p, some, v = p.to_numpy(), pc.is_valid(v).to_numpy(), pc.fill_null(v, 0.0).to_numpy()
+    place = np.empty(len(p), np.int64)  # the same number for the same point of an image
+    order = np.lexsort((p, image))
+    place[order] = np.cumsum(np.append(0, (np.diff(image[order]) != 0) | (np.diff(p[order]) != 0)))[: len(p)]
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    b = b[np.argsort(place[b], kind="stable")]
+    low = np.searchsorted(place[b], place[a], "left")
+    n = np.searchsorted(place[b], place[a], "right") - low
+    i = np.repeat(np.arange(len(a)), n)
+    j = b[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + low[i]]
+    x = v[a]
+    with np.errstate(over="ignore"):
+        prob = 1.0 / (1.0 + np.exp(-x))
+    rest = np.maximum(x, 0.0) + np.log1p(np.exp(-np.abs(x)))  # what the cross-entropy has beside x * t
+    left, right, t = some[a][i], some[j], v[j]
+    order = np.lexsort((k[j], k[a][i], image[j]))
+    keys = [c[order] for c in (image[j], k[a][i], k[j])]
+    first = np.flatnonzero(np.append(True, np.any([np.diff(c) != 0 for c in keys], axis=0))) if len(order) else np.zeros(0, np.int64)
+    add = lambda w: np.add.reduceat(w[order].astype(float), first) if len(first) else np.zeros(0)
+    both, prob = left & right, prob[i]
+    hits, count = add(prob * t * both), add(both)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        dice = 1.0 - (2.0 * hits + 1.0) / (add(prob * left) + add(t) + 1.0)
+        bce = add((rest[i] - x[i] * t) * both) / count
+    empty = count == 0  # no point where both have a value
+    return pa.RecordBatch.from_arrays([*(pa.array(c[first], pa.int64()) for c in keys), pa.array(dice, mask=empty), pa.array(bce, mask=empty)], names=["image_id", "q", "gt_id", "dice", "bce"])
+
+
+def _costs_of_images(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by image, worked off in whole images of some thousand masks together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        image = batch.column("image_id").to_numpy()
+        new = np.append(0, np.flatnonzero(np.diff(image)) + 1)  # where images begin
+        some = new[np.searchsorted(new, np.arange(0, batch.num_rows, 4096), "right") - 1]
+        begun = bool(held) and held[-1].column("image_id")[-1].as_py() != image[0]
+        cuts = [c for c in np.unique(np.append(some, new[-1])).tolist() if c or begun]
+        last = 0
+        for cut in cuts:
+            held.append(batch.slice(last, cut - last))
+            yield _pair_sums(pa.Table.from_batches(held))
+            held, last = [], cut
+        held.append(batch.slice(last))
+    if held:
+        yield _pair_sums(pa.Table.from_batches(held))
+
+
 def mask_pair_costs(pred_points: DataFrame, gt_points: DataFrame) -> DataFrame:
     """(image_id, q, gt_id, dice, bce) from logits (image_id, p, q, logit) and truth (image_id, p, gt_id, t) at points.
 
-    Pairs meet on the point; sums, not points, leave the join."""
-    prob = act.sigmoid(F.col("logit"))
-    met = pred_points.withColumn("prob", prob).join(gt_points, ["image_id", "p"])
-    return met.groupBy("image_id", "q", "gt_id").agg(
-        (1.0 - (2.0 * F.sum(F.col("prob") * F.col("t")) + 1.0) / (F.sum("prob") + F.sum("t") + 1.0)).alias("dice"), F.avg(act.bce_with_logits(F.col("logit"), F.col("t"))).alias("bce")
-    )
+    Pairs meet on the point. Consecutive points of a mask are packed into one row before the one shuffle, by image, and the
+    pairs of an image's points exist only inside a batch of some images; an image is bounded by the model's queries and points.
+    A missing logit or truth counts as in SQL's sums; points without a mask's number are left out."""
+
+    def side(df: DataFrame, number: int, key: str, value: str) -> DataFrame:
+        rows = df.select(*[F.col(c).cast("bigint").alias(n) for c, n in (("image_id", "image_id"), (key, "k"), ("p", "p"))], F.lit(number).alias("side"), F.col(value).cast("double").alias("v"))
+        return rows.filter("image_id is not null and p is not null and k is not null")
+
+    packed = side(pred_points, 0, "q", "logit").unionByName(side(gt_points, 1, "gt_id", "t")).mapInArrow(_packed_points, "image_id bigint, side int, k bigint, p array<bigint>, v array<double>")
+    return packed.repartition("image_id").sortWithinPartitions("image_id").mapInArrow(_costs_of_images, "image_id bigint, q bigint, gt_id bigint, dice double, bce double")
 
 
 def match_costs(query_cls: DataFrame, query_box: DataFrame, gt: DataFrame, mask_pairs: DataFrame | None = None, weights: dict[str, float] = WEIGHTS) -> DataFrame:

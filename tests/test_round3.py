@@ -82,3 +82,25 @@ def test_segment_ids_of_one_side(spark):
     found = ann.id_differences(a, b)
     assert len(exchanges(found)) == 1
     assert sorted(map(str, map(tuple, found.collect()))) == ["(1, 1, 'raster')", "(1, 3, 'document')", "(2, None, 'document')", "(2, None, 'raster')"]
+
+
+def test_pairs_of_masks_meet_in_whole_images(spark):
+    """Against the join: several batches, points of only one side, a repeated point, missing values."""
+    from labelmill.functions import activations as act
+    from labelmill.operators import matching
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        pred = spark.createDataFrame([(i, p, q, None if (i, p, q) == (1, 2, 1) else float((p * 3 + q + i) % 7 - 3)) for i in range(9) for q in range(3) for p in range(5)] + [(2, 1, 0, 9.0)], "image_id long, p long, q long, logit double")
+        gt = spark.createDataFrame([(i, p, g, None if (i, p) == (4, 3) else float((p + g + i) % 2)) for i in range(1, 10) for g in range(2) for p in range(1, 7)], "image_id long, p long, gt_id long, t double")
+        got = matching.mask_pair_costs(pred, gt)
+        assert [e.split("#")[0] for e in exchanges(got)] == ["image_id"]
+        prob = act.sigmoid(F.col("logit"))
+        met = pred.withColumn("prob", prob).join(gt, ["image_id", "p"]).groupBy("image_id", "q", "gt_id").agg(
+            (1.0 - (2.0 * F.sum(F.col("prob") * F.col("t")) + 1.0) / (F.sum("prob") + F.sum("t") + 1.0)).alias("dice"), F.avg(act.bce_with_logits(F.col("logit"), F.col("t"))).alias("bce"))
+        key = lambda df: {tuple(r)[:3]: tuple(r)[3:] for r in df.collect()}
+        a, b = key(got), key(met)
+        assert a.keys() == b.keys() and len(a) == 8 * 6
+        assert all(abs(x - y) < 1e-12 for k in a for x, y in zip(a[k], b[k]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
