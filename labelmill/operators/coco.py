@@ -82,7 +82,7 @@ def by_category(found: DataFrame, n_gt: DataFrame, thresholds: Sequence[float] =
     start = ordering.before_parts(totals, ["category_id"], {f"b{n}": n for n in counts})
     inside = "over (partition by category_id, _part order by score desc, image_id, det_id rows between unbounded preceding and current row)"
     run = rows.selectExpr("category_id", "_part", "tp", *[f"{c} {inside} as {n}" for n, c in counts.items()]).filter("tp <> 0")
-    run = run.join(ordering.small(start), ["category_id", "_part"]).join(wide, "category_id")
+    run = run.join(ordering.small(start), ["category_id", "_part"]).join(ordering.small(wide), "category_id")  # no row goes by its category
     reach = [f"if({hit[i]}=1, struct({i} as i, cast(floor((_h{i}+b_h{i})/_g{areas.index(r)}*{points - 1}+1e-9) as int) as q, (_h{i}+b_h{i})/(_k{i}+b_k{i}) as p), null)" for i, (r, _) in enumerate(cells)]
     reached = run.selectExpr("category_id", f"inline(array_compact(array({','.join(reach)})))").groupBy("category_id", "i", "q").agg(F.max("p").alias("p"))
     # at most `points` rows a setting: the precision of a point is the highest at it or beyond

@@ -131,7 +131,7 @@ def precision_recall(matches: DataFrame, keys: list[str], ties: tuple[str, ...]
 
 def average_precision(matches: DataFrame, truth: DataFrame, keys: list[str], points: int = 101, ties: tuple[str, ...] = ("det_id",)) -> DataFrame:
     """ap and ar for each key with truth (keys, n_gt): precision at the first recall >= r, mean over r = 0, .01, ..."""
-    curve = precision_recall(matches.join(truth, keys), keys, ties)
+    curve = precision_recall(matches.join(ordering.small(truth), keys), keys, ties)  # one row a key
     low = F.when(F.col("before") <= 0, 0).otherwise(F.floor(F.col("before") * (points - 1) + 1e-9) + 1)
     low = F.when((F.col("before") <= 0) & (F.col("recall") <= 0), points).otherwise(low)  # nothing is reached before the first hit
     high = F.least(F.lit(points - 1), F.floor(F.col("recall") * (points - 1) + 1e-9))

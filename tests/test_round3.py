@@ -104,3 +104,18 @@ def test_pairs_of_masks_meet_in_whole_images(spark):
         assert all(abs(x - y) < 1e-12 for k in a for x, y in zip(a[k], b[k]))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_no_row_goes_by_its_category(spark):
+    """Tables of one row a category are broadcast whatever Spark takes their size for."""
+    import re
+
+    from labelmill.plans import registry
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("precision_recall", "box_ap"):
+            plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            assert not re.search(r"SortMergeJoin\S* \[category_id#\d+L?\]", plan), name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
