@@ -85,24 +85,42 @@ def _packed(runs: Sweep, row: np.ndarray, rows: int, span: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
 
 
+def _bands(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int, Sweep]:
+    """Of masks (runs, width, _d): their flat runs, how many numbers each has, the span between masks, and the bands on one line."""
+    values, n = lists(part.column("runs"))
+    width, distance = part.column("width").to_numpy().astype(np.int64), part.column("_d").to_numpy()
+    most = int(distance.max(initial=0))
+    span = int(values.max(initial=0)) + (4 * most + 4) * int(width.max(initial=1)) + 1
+    runs, row = _apart(values, n, span)
+    starts, ends = [], []
+    for d in np.unique(distance):
+        own = distance[row] == d
+        one = runs[0][own], runs[1][own]
+        band = without(one, eroded(one, width[row[own]], int(d)))
+        starts.append(band[0])
+        ends.append(band[1])
+    start, end = (np.sort(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in (starts, ends))
+    return values, n, span, (start, end)
+
+
 def _boundaries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds `band` to (..., runs, width, _d)."""
     for batch in batches:
         for part in (batch.slice(a, 4096) for a in range(0, batch.num_rows, 4096)):
-            values, n = lists(part.column("runs"))
-            width, distance = part.column("width").to_numpy().astype(np.int64), part.column("_d").to_numpy()
-            most = int(distance.max(initial=0))
-            span = int(values.max(initial=0)) + (4 * most + 4) * int(width.max(initial=1)) + 1
-            runs, row = _apart(values, n, span)
-            starts, ends = [], []
-            for d in np.unique(distance):
-                own = distance[row] == d
-                one = runs[0][own], runs[1][own]
-                band = without(one, eroded(one, width[row[own]], int(d)))
-                starts.append(band[0])
-                ends.append(band[1])
-            start, end = (np.sort(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in (starts, ends))
-            yield pa.RecordBatch.from_arrays([*part.columns, _packed((start, end), start // span, part.num_rows, span)], names=[*part.schema.names, "band"])
+            _, _, span, band = _bands(part)
+            yield pa.RecordBatch.from_arrays([*part.columns, _packed(band, band[0] // span, part.num_rows, span)], names=[*part.schema.names, "band"])
+
+
+def _boundary_areas(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`area` and `band` (places) instead of (..., runs, width, _d)."""
+    for batch in batches:
+        for part in (batch.slice(a, 4096) for a in range(0, batch.num_rows, 4096)):
+            values, n, span, band = _bands(part)
+            row = np.repeat(np.arange(part.num_rows), n // 2)
+            area = np.bincount(row, values[1::2] - values[0::2], part.num_rows).astype(np.int64)
+            near = np.bincount(band[0] // span, band[1] - band[0], part.num_rows).astype(np.int64)
+            kept = [k for k in part.schema.names if k not in ("runs", "width", "_d")]
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(area), pa.array(near)], names=[*kept, "area", "band"])
 
 
 def _steps(runs: Column) -> Column:
@@ -166,6 +184,12 @@ def with_boundary(masks: DataFrame, distance: Column | int) -> DataFrame:
     return df.mapInArrow(_boundaries, ddl(df, more="band array<bigint>")).drop("_d")
 
 
+def boundary_areas(masks: DataFrame, distance: Column | int) -> DataFrame:
+    """Places of each mask (`area`) and of its boundary (`band`) instead of its runs and width; only numbers come back."""
+    df = masks.withColumn("_d", (F.lit(distance) if isinstance(distance, int) else distance).cast("bigint")).withColumn("width", F.col("width").cast("bigint"))
+    return df.mapInArrow(_boundary_areas, ddl(df, ["runs", "width", "_d"], "area bigint, band bigint"))
+
+
 def mask_pairs(gt: DataFrame, det: DataFrame, on: Sequence[str] = ("image_id", "category_id"), boundary: bool = False, grid: float | None = None) -> DataFrame:
     """(keys, det_id, score, gt_id, v, crowd) of masks that overlap; v is IoU, or for a crowd intersection over detection.
 

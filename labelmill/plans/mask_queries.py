@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import coco, rasters, runs
 from .box_queries import CURVES, greedy_sql, recursive, summary_sql
-from .fixtures import frame, oracle
+from .fixtures import LINES, dealt, frame, oracle
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -17,11 +17,16 @@ AREAS = {"all": (0.0, 1e10), "small": (0.0, 256.0), "medium": (256.0, 600.0), "l
 RATIO = 0.01
 
 
-def masks(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """The fixture's masks as packed runs: a run for each row, two where the hole is."""
+def masks(spark: SparkSession, d: str, name: str, boxed: bool = True) -> DataFrame:
+    """The fixture's masks as packed runs: a run for each row, two where the hole is; with boxes and area if `boxed`."""
     y, w = F.sequence("y0", F.col("y1") - 1), F.col("width")
     row = lambda v: F.when((v >= F.col("hy0")) & (v < F.col("hy1")), F.array(v * w + F.col("x0"), v * w + F.col("hx0"), v * w + F.col("hx1"), v * w + F.col("x1"))).otherwise(F.array(v * w + F.col("x0"), v * w + F.col("x1")))
-    own = frame(spark, d, name).withColumn("runs", F.flatten(F.transform(y, row))).drop("x0", "y0", "x1", "y1", "hx0", "hy0", "hx1", "hy1")
+    own = frame(spark, d, name)
+    if not boxed:  # nothing else deals them
+        own = dealt(own, "image_id", LINES)
+    own = own.withColumn("runs", F.flatten(F.transform(y, row))).drop("x0", "y0", "x1", "y1", "hx0", "hy0", "hx1", "hy1")
+    if not boxed:
+        return own
     return runs.with_boxes(own).withColumn("area", runs.area(F.col("runs")))
 
 
@@ -92,8 +97,9 @@ for _name, _boundary in (("segm", False), ("boundary", True)):
 
 def boundary_runs(spark: SparkSession, d: str) -> DataFrame:
     """Places of each truth mask's boundary, at a distance that follows the size of its image."""
-    banded = runs.with_boundary(masks(spark, d, "gt_mask"), rasters.boundary_distance(F.col("height"), F.col("width"), RATIO))
-    return banded.select("image_id", "gt_id", "area", runs.area(F.col("band")).alias("band"))
+    own = masks(spark, d, "gt_mask", boxed=False)
+    own = own.select("image_id", "gt_id", "runs", "width", rasters.boundary_distance(F.col("height"), F.col("width"), RATIO).alias("_near"))
+    return runs.boundary_areas(own, F.col("_near")).select("image_id", "gt_id", "area", "band")
 
 
 Q["boundary_runs"] = boundary_runs

@@ -119,3 +119,12 @@ def test_no_row_goes_by_its_category(spark):
             assert not re.search(r"SortMergeJoin\S* \[category_id#\d+L?\]", plan), name
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_boundary_areas_equal_the_bands(spark):
+    rows = [(k, [v for y in range(k % 5) for v in (y * 20 + 2, y * 20 + 4 + k)], 20, 1 + k % 2) for k in range(12)]
+    masks = spark.createDataFrame(rows, "k int, runs array<bigint>, width bigint, d int").repartition(3)
+    want = {r["k"]: (r["a"], r["b"]) for r in sweeps.with_boundary(masks, F.col("d")).select("k", sweeps.area(F.col("runs")).alias("a"), sweeps.area(F.col("band")).alias("b")).collect()}
+    found = sweeps.boundary_areas(masks, F.col("d"))
+    assert found.columns == ["k", "d", "area", "band"]
+    assert {r["k"]: (r["area"], r["band"]) for r in found.collect()} == want
