@@ -1,4 +1,5 @@
-"""Large JSON documents read by many tasks: the records of their top-level arrays, found by prefix sums over byte ranges.
+"""JSON documents read by many tasks: short ones whole, one task each; of long ones the records of their top-level arrays,
+found by prefix sums over byte ranges.
 
 Spark's text source cuts a file into byte ranges and, told that lines end with `}`, into fragments. What a fragment means
 depends on all before it only through two numbers: whether it begins inside a string, and how deep it lies. Each fragment
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .scratch import land
 
+#: Documents of up to so many bytes are read whole.
+WHOLE = 4 << 20
 #: What precedes the first brace of a fragment: no braces, or strings. Then: the name of an array that begins right there.
 _HEAD = r'^((?:[^"{]++|"(?:[^"\\]++|\\.)*+")*+)\{'
 _ARRAY = r'"((?:[^"\\]|\\.)*)"\s*:\s*\[\s*$'
@@ -20,11 +23,14 @@ _STRING = r'"(?:[^"\\]++|\\.)*+"'
 _NAMED = r'"(?:[^"\\]|\\.)*"\s*:'
 
 
-def _fragments(spark: SparkSession, path: str) -> DataFrame:
+def _in_ranges(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", "}").text(path)
+
+
+def _fragments(spark: SparkSession, path: str, over: int = -1) -> DataFrame:
     """(file, at, seq, value, odd, out, inside): the fragments of each byte range in order of seq; `odd` is the parity of
     the quotes, the others the change of depth if the fragment begins outside or inside a string."""
-    raw = spark.read.option("lineSep", "}").text(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("seq"), "value")
+    raw = _in_ranges(spark, path).filter(F.col("_metadata.file_size") > over).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("seq"), "value")
     parts = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"', -1)
 
     def change(parity: int) -> Column:
@@ -37,12 +43,12 @@ def _fragments(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("*", odd.alias("odd"), (change(0) - (1 - odd)).alias("out"), (change(1) - odd).alias("inside"))
 
 
-def records(spark: SparkSession, path: str, depth: int = 2) -> DataFrame:
+def records(spark: SparkSession, path: str, depth: int = 2, over: int = -1) -> DataFrame:
     """(file, key, at, text) of the objects in arrays of `depth`: 2 for those of the arrays named in one object, 1 for a document
-    that is a list (key ''). `at` orders a file's records; a record may lie in several byte ranges.
+    that is a list (key ''). `at` orders a file's records; a record may lie in several byte ranges. Only files of more than `over` bytes.
 
     Documents must be valid JSON, in UTF-8, one a file. Landed twice: the fragments, so that all see the same ones, and the records."""
-    parts = land(_fragments(spark, path))
+    parts = land(_fragments(spark, path, over))
     block = Window.partitionBy("file", "at")
     order = block.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("odd").over(order), F.lit(0)) % 2
@@ -91,3 +97,29 @@ def records(spark: SparkSession, path: str, depth: int = 2) -> DataFrame:
 def parsed(found: DataFrame, schema: str, key: str = "") -> DataFrame:
     """The records of one array as columns of a schema (DDL of a struct's fields), with `file` and `at`."""
     return found.filter(F.col("key") == key).select("file", "at", F.from_json("text", schema).alias("r")).select("file", "at", "r.*")
+
+
+def _whole(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """The objects in one array of each document of up to WHOLE bytes as columns, with `file` and `at`: plain projections of its text.
+
+    A document is parsed once. Where some value does not fit the schema, its objects are parsed again one by one, so that each loses only its own."""
+    docs = spark.read.text(path, wholetext=True).filter(F.col("_metadata.file_size") <= WHOLE)
+    text = F.when(F.startswith("value", F.lit("\ufeff")), F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))
+    docs = docs.select(F.col("_metadata.file_path").alias("file"), F.concat(F.lit('{"v":'), text, F.lit("}")).alias("text"))
+    of = lambda item: f"v struct<`{key}`:array<{item}>>" if key else f"v array<{item}>"
+    items = lambda p: p["v"][key] if key else p["v"]
+    docs = docs.select("file", "text", F.from_json("text", of(f"struct<{schema}>") + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("p"))
+    single = F.filter(items(F.from_json("text", of("string"))), lambda x: F.startswith(x, F.lit("{")))
+    found = F.when(F.col("p._bad").isNull(), items(F.col("p"))).otherwise(F.transform(single, lambda x: F.from_json(x, schema)))
+    return docs.select("file", F.posexplode(found).alias("at", "r")).filter("r is not null").select("file", F.col("at").cast("bigint").alias("at"), "r.*")
+
+
+def arrays(spark: SparkSession, path: str, schemas: dict[str, str]) -> list[DataFrame]:
+    """For each array, by its key ('' alone: documents that are lists) and schema, its objects as columns, with `file` and `at`.
+
+    Documents must be valid JSON, in UTF-8, one a file. Short ones are neither shuffled nor landed."""
+    found = [_whole(spark, path, schema, key) for key, schema in schemas.items()]
+    if _in_ranges(spark, path).filter(F.col("_metadata.file_size") > WHOLE).isEmpty():  # decided by the listing, no such file is read
+        return found
+    cut = records(spark, path, 1 if "" in schemas else 2, WHOLE)
+    return [whole.unionByName(parsed(cut, schema, key)) for whole, (key, schema) in zip(found, schemas.items())]

@@ -44,10 +44,9 @@ def read_panoptic_json(spark: SparkSession, path: str, categories: DataFrame, im
 
 def read_instance_json(spark: SparkSession, path: str) -> DataFrame:
     """One row an annotation, with its image's file name and size; images and annotations of one document belong together."""
-    found = jsonsplit.records(spark, path)
-    images = jsonsplit.parsed(found, IMAGE, "images").select("file", F.col("id").alias("image_id"), "file_name", "height", "width")
-    rows = jsonsplit.parsed(found, INSTANCE, "annotations").drop("at")
-    return rows.join(images, ["file", "image_id"]).drop("file")
+    images, rows = jsonsplit.arrays(spark, path, {"images": IMAGE, "annotations": INSTANCE})
+    images = images.select("file", F.col("id").alias("image_id"), "file_name", "height", "width")
+    return rows.drop("at").join(images, ["image_id", "file"]).drop("file")  # ids first: paths share long beginnings, so they sort slowly
 
 
 def read_categories_json(spark: SparkSession, path: str) -> DataFrame:

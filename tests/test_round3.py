@@ -144,3 +144,49 @@ def test_streams_of_more_rows_have_more_files(spark, monkeypatch):
         folder = Path(f"{made[0]}/{k}")
         assert len(list(folder.glob("part-*.parquet"))) == 6
         assert {r["id"] % 3 for r in spark.read.parquet(str(folder)).collect()} == {k}
+
+
+def test_short_documents_are_neither_shuffled_nor_landed(spark, tmp_path, monkeypatch):
+    """As the byte ranges give them: a byte order mark, a null, a value that does not fit, a document without images."""
+    import json
+
+    from labelmill.sources import jsonsplit, readers, scratch
+
+    items = [{"id": 1, "image_id": "7", "bbox": [0.5, 1, 2, 3]}, {"id": "odd", "image_id": "7", "iscrowd": 1}, None, {"id": 3, "image_id": "8"}, {"id": 4, "image_id": "9", "iscrowd": 0}]
+    images = [{"id": str(i), "file_name": f"{i}.jpg", "height": i, "width": 5} for i in (7, 8)]
+    (tmp_path / "a.json").write_text("﻿" + json.dumps({"info": {"a": [1]}, "images": images, "annotations": items}), encoding="utf-8")
+    (tmp_path / "b.json").write_text(json.dumps({"annotations": items[:1] * 50, "images": images[:1], "none": None}, indent=1))
+    (tmp_path / "c.json").write_text(json.dumps({"annotations": items[:1]}))
+    found = {}
+    for size in (4 << 20, 400, -1):  # all whole, one of them whole, none
+        monkeypatch.setattr(jsonsplit, "WHOLE", size, raising=False)
+        made = []
+        monkeypatch.setattr(jsonsplit, "land", lambda df: made.append(1) or scratch.land(df))
+        df = readers.read_instance_json(spark, str(tmp_path))
+        found[size] = sorted(str(tuple(r)) for r in df.collect())
+        assert bool(made) == (size < 4 << 20), size
+    assert len(found[-1]) == 53 and found[-1] == found[400] == found[4 << 20]
+
+
+def written(spark, monkeypatch, name):
+    """The documents that a query writes, and their folder."""
+    from labelmill.plans import io_queries, registry
+
+    docs, folders = [], []
+    monkeypatch.setattr(io_queries, "_written", lambda df, body, real=io_queries._written: docs.append(df) or folders.append(real(df, body)) or folders[-1])
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    return docs[0], folders[0].removeprefix("file:")
+
+
+def test_lines_are_dealt_by_document_once(spark, monkeypatch):
+    """Into parts of so many lines, whatever the table; each document is a file, none a folder."""
+    from pathlib import Path
+
+    from labelmill.plans import io_queries
+
+    monkeypatch.setattr(io_queries, "LINES", 1000, raising=False)
+    docs, folder = written(spark, monkeypatch, "instance_round_trip")
+    found = exchanges(docs)
+    assert len(found) == 1 and found[0].startswith("FLOOR((cast(image_id") and ", 6), REPARTITION" in found[0], found  # 6,000 lines
+    assert not [p for p in Path(folder).iterdir() if p.is_dir()]
+    assert len([p for p in Path(folder).glob("part-*.txt") if p.stat().st_size]) == docs.count() == 2  # the first part has a file in any case
