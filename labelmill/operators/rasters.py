@@ -72,15 +72,15 @@ def run_overlap(a: DataFrame, b: DataFrame, a_label: str, b_label: str) -> DataF
 def rle_encode(px: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
     """Column-major run lengths of the mask pixels of each group, alternately off and on, off first.
 
-    Only mask pixels move: islands of consecutive positions give on-runs, the gaps before them off-runs."""
+    Only mask pixels move, sorted once: a run goes from a pixel that none precedes to one that none follows."""
     w = Window.partitionBy(*keys).orderBy("_p")
-    islands = (
-        px.withColumn("_p", F.col("x") * height + F.col("y")).withColumn("_i", F.col("_p") - F.row_number().over(w))
-        .groupBy(*keys, "_i").agg(F.min("_p").alias("_a"), (F.max("_p") + 1).alias("_b"))
-    )
-    gaps = islands.withColumn("_off", F.col("_a") - F.coalesce(F.lag("_b").over(Window.partitionBy(*keys).orderBy("_a")), F.lit(0)))
-    runs = gaps.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_a", "_off", (F.col("_b") - F.col("_a")).alias("_on")))).alias("_r"), F.max("_b").alias("_end"))
-    counts = F.flatten(F.transform("_r", lambda r: F.array(r["_off"], r["_on"])))
+    near = px.select(*keys, (F.col("x") * height + F.col("y")).cast("bigint").alias("_p")).withColumns({"_l": F.lag("_p").over(w), "_n": F.lead("_p").over(w)})
+    begin = F.when(F.coalesce(F.col("_l") < F.col("_p") - 1, F.lit(True)), F.col("_p"))
+    end = F.when(F.coalesce(F.col("_n") > F.col("_p") + 1, F.lit(True)), F.col("_p") + 1)
+    ends = near.select(*keys, begin.alias("_a"), end.alias("_b")).filter("_a is not null or _b is not null")
+    runs = ends.groupBy(*keys).agg(F.sort_array(F.collect_list("_a")).alias("_a"), F.sort_array(F.collect_list("_b")).alias("_b"), F.max("_b").alias("_end"))
+    off = lambda a, i: a - F.when(i > 0, F.get("_b", i - 1)).otherwise(0)
+    counts = F.flatten(F.transform("_a", lambda a, i: F.array(off(a, i), F.get("_b", i) - a)))
     rest = F.lit(height * width) - F.col("_end")
     counts = F.when(rest > 0, F.concat(counts, F.array(rest))).otherwise(counts)
     return runs.select(*keys, F.struct(F.array(F.lit(height), F.lit(width)).alias("size"), F.transform(counts, lambda c: c.cast("bigint")).alias("counts")).alias("rle"))

@@ -10,6 +10,8 @@ BASE = ("orders", "lineitem", "events", "part")
 SIDE, QUERIES = 8, 4
 _IMAGE, _SLOT = "cast(floor(o_orderkey/4) as bigint)", "(o_orderkey%4)"
 _TILE = "cross join (select {r} as dx from range(4)) t cross join (select {r} as dy from range(4)) u"
+#: A document of so many images, as an expression of orders.
+DOCUMENT = f"floor({_IMAGE}/100)"
 _GRID = "cross join (select {r} as x from range(8)) t cross join (select {r} as y from range(8)) u"
 _TILED = f"(select o.*, {_IMAGE} as image_id, ({_SLOT}%2)*4+dx as x, cast(floor({_SLOT}/2) as bigint)*4+dy as y, dx, ({_SLOT}*3+o_custkey)%10 as k from orders o {_TILE}) z"
 #: A mask is a box of half the size; every third one has a hole, its middle third; others one that is empty.
@@ -53,16 +55,17 @@ def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.repartition(max(2, -(-df.count() // rows)), F.expr(key))
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def frame(spark: SparkSession, sf_dir: str, name: str, by: str = _IMAGE) -> DataFrame:
     """A base table or a fixture.
 
-    Fixtures of orders are dealt by image before they become pixels, so groups within an image need no shuffle of them."""
+    Fixtures of orders are dealt by image before they become pixels, so groups within an image need no shuffle of them;
+    or `by` what holds whole images."""
     if name not in SQL:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     needs, text = SQL[name]
     for n in needs:
-        df = frame(spark, sf_dir, n)
-        (dealt(df, _IMAGE, ORDERS) if n == "orders" else df).createOrReplaceTempView(n)
+        df = frame(spark, sf_dir, n, by)
+        (dealt(df, by, ORDERS) if n == "orders" else df).createOrReplaceTempView(n)
     return spark.sql(text.replace("{r}", "id"))
 
 

@@ -14,7 +14,7 @@ from ..sources.scratch import scratch_dir
 from ..streaming import frames as streams
 from .catalog import Catalog
 from .decode_queries import _HL, _I, _T, _truth
-from .fixtures import LINES, SIDE, dealt, frame, oracle
+from .fixtures import DOCUMENT, LINES, SIDE, dealt, frame, oracle
 from .raster_queries import _DOC, _ID, _segments
 
 Q: dict = {}
@@ -60,10 +60,10 @@ SQL["instance_round_trip"] = oracle(("gt_box",), "select image_id, ann_id, conca
 
 def prediction_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Lists of predicted segments with run lengths, paired with truth by file stem."""
-    px = frame(spark, d, "px").filter("pred <> 10").select("image_id", F.col("pred").alias("label"), "y", "x")
-    rle = rasters.rle_encode(px, ["image_id", "label"], SIDE, SIDE)
+    px = frame(spark, d, "px", DOCUMENT).filter("pred <> 10").select(F.floor(F.col("image_id") / 100).alias("doc"), "image_id", F.col("pred").alias("label"), "y", "x")
+    rle = rasters.rle_encode(px, ["image_id", "label", "doc"], SIDE, SIDE)
     item = F.struct(F.concat(F.lit("d/"), F.col("image_id").cast("string"), F.lit(".x.jpg")).alias("file_name"), F.col("label").alias("category_id"), F.col("rle").alias("segmentation"))
-    docs = rle.groupBy(F.floor(F.col("image_id") / 100).alias("doc")).agg(F.collect_list(item).alias("v"))
+    docs = rle.groupBy("doc").agg(F.collect_list(item).alias("v"))
     back = readers.read_predictions(spark, _written(docs, F.col("v")))
     return back.select(F.col("stem").cast("bigint").alias("image_id"), "category_id", rasters.rle_area(F.col("rle")).alias("area"))
 

@@ -121,14 +121,14 @@ def read_id_map(spark: SparkSession, path: str, key_shift: int = 0, value_shift:
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """stem, category_id and run lengths of a list of predicted segments, `seq` in order of the list."""
-    rows = jsonsplit.parsed(jsonsplit.records(spark, path, 1), f"file_name string, category_id int, segmentation {RLE}")
+    [rows] = jsonsplit.arrays(spark, path, {"": f"file_name string, category_id int, segmentation {RLE}"})
     return rows.select(codes.stem_first_dot(F.col("file_name")).alias("stem"), "category_id", F.col("segmentation").alias("rle"), F.col("at").alias("seq"))
 
 
 def read_detections(spark: SparkSession, path: str, drop_boxes: bool = False, lines: bool = False) -> DataFrame:
     """Detections of a document that is a list, or of JSON lines as write_detections leaves them."""
     schema = f"image_id bigint, category_id int, bbox array<double>, score double, segmentation {RLE}"
-    rows = spark.read.schema(schema).json(path) if lines else jsonsplit.parsed(jsonsplit.records(spark, path, 1), schema).drop("file", "at")
+    rows = spark.read.schema(schema).json(path) if lines else jsonsplit.arrays(spark, path, {"": schema})[0].drop("file", "at")
     return rows.drop("bbox") if drop_boxes else rows
 
 

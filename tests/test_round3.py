@@ -190,3 +190,18 @@ def test_lines_are_dealt_by_document_once(spark, monkeypatch):
     assert len(found) == 1 and found[0].startswith("FLOOR((cast(image_id") and ", 6), REPARTITION" in found[0], found  # 6,000 lines
     assert not [p for p in Path(folder).iterdir() if p.is_dir()]
     assert len([p for p in Path(folder).glob("part-*.txt") if p.stat().st_size]) == docs.count() == 2  # the first part has a file in any case
+
+
+def test_orders_are_dealt_by_document_once(spark, monkeypatch):
+    """Pixels, run lengths and documents need no other shuffle, and the encoder sorts pixels once."""
+    from labelmill.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "ORDERS", 400)
+    for name in ("prediction_round_trip",):
+        docs, _ = written(spark, monkeypatch, name)
+        found = exchanges(docs)
+        assert len(found) == 1 and found[0].startswith("FLOOR((cast(FLOOR((cast(o_orderkey") and ", 4), REPARTITION" in found[0], (name, found)
+    px = spark.createDataFrame([(1, p % 4, p // 4) for p in (1, 2, 2, 3, 6, 15)] + [(2, 0, 0)], "k long, y long, x long")
+    rle = rasters.rle_encode(px, ["k"], 4, 4)
+    assert rle._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    assert {r["k"]: r["rle"]["counts"] for r in rle.collect()} == {1: [1, 3, 2, 1, 8, 1], 2: [0, 1, 15]}
