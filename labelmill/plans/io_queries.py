@@ -30,8 +30,8 @@ def _written(docs: DataFrame, body: Column) -> str:
 
 def panoptic_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Panoptic documents of 100 images each, written and read with contiguous category ids."""
-    seg = _segments(spark, d)[1].withColumns({"area": F.lit(1).cast("bigint"), **{c: F.lit(0) for c in ("x", "y", "w", "h")}})
-    rows = readers.panoptic_documents(seg).withColumn("doc", F.floor(F.col("image_id") / 100))
+    seg = _segments(spark, d, F.floor(F.col("image_id") / 100).alias("doc"), by=DOCUMENT)[1].withColumns({"area": F.lit(1).cast("bigint"), **{c: F.lit(0) for c in ("x", "y", "w", "h")}})
+    rows = readers.panoptic_documents(seg, "doc")
     item = F.struct(F.col("image_id").cast("string").alias("image_id"), "file_name", "segments_info")
     path = _written(rows.groupBy("doc").agg(F.collect_list(item).alias("annotations")), F.struct("annotations"))
     back = readers.read_panoptic_json(spark, path, frame(spark, d, "categories"), "images", "labels", cast_image_id=True)

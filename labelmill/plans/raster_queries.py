@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import annotations as ann
 from ..operators import metrics, rasters
 from ..operators import runs as sweeps
-from .fixtures import SIDE, frame, oracle
+from .fixtures import IMAGE, SIDE, frame, oracle
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -187,12 +187,14 @@ SQL["panoptic_from_parts_pixels"] = oracle(
 )
 
 
-def _segments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Pixels with a segment id, and a document that lacks some segments and has one too many."""
-    px = frame(spark, d, "px").select("image_id", "y", "x", (F.col("pred") + 1).alias("seg_id"))
-    doc = px.select("image_id", "seg_id").distinct().filter("(image_id + seg_id) % 7 <> 0")
-    extra = px.select("image_id").distinct().select("image_id", F.lit(99).cast("bigint").alias("seg_id"))
-    doc = doc.unionByName(extra).withColumn("category_id", (F.col("seg_id") - 1) % 11 * 3 + 1).withColumn("seq", F.col("seg_id")).withColumn("iscrowd", (F.col("seg_id") % 5 == 0).cast("int"))
+def _segments(spark: SparkSession, d: str, *more: Column, by: str = IMAGE) -> tuple[DataFrame, DataFrame]:
+    """Pixels with a segment id, and a document that lacks some segments and has one too many; `more` columns of an image go along."""
+    image = [F.col("image_id"), *more]
+    px = frame(spark, d, "px", by).select(*image, "y", "x", (F.col("pred") + 1).alias("seg_id"))
+    keys = [c for c in px.columns if c not in ("y", "x", "seg_id")]
+    kept = F.filter(F.collect_list("seg_id"), lambda s: (F.col("image_id") + s) % 7 != 0)
+    doc = px.select(*keys, "seg_id").distinct().groupBy(*keys).agg(F.concat(kept, F.array(F.lit(99).cast("bigint"))).alias("seg_id")).withColumn("seg_id", F.explode("seg_id"))
+    doc = doc.withColumn("category_id", (F.col("seg_id") - 1) % 11 * 3 + 1).withColumn("seq", F.col("seg_id")).withColumn("iscrowd", (F.col("seg_id") % 5 == 0).cast("int"))
     return px, doc
 
 

@@ -16,6 +16,7 @@ from . import jsonsplit
 
 SEGMENT = "struct<id:bigint,category_id:int,area:bigint,bbox:array<int>,iscrowd:int>"
 IMAGE = "id string, file_name string, height int, width int"
+NAMED = "struct<id:bigint,category_id:bigint,area:bigint,bbox:array<int>,iscrowd:int,isthing:boolean>"
 CATEGORY = "id bigint, name string, isthing int, color array<int>"
 RLE = "struct<size:array<int>,counts:array<bigint>>"
 PANOPTIC = f"image_id string, file_name string, segments_info array<{SEGMENT}>"
@@ -27,19 +28,19 @@ def read_panoptic_json(spark: SparkSession, path: str, categories: DataFrame, im
     """One row an annotation: image and label paths, and segments with contiguous category ids and isthing.
 
     Segments of unknown categories keep a null contiguous_id; ann.unknown_ids lists them."""
-    rows = jsonsplit.parsed(jsonsplit.records(spark, path), PANOPTIC, "annotations").drop("file", "at")
+    rows = jsonsplit.arrays(spark, path, {"annotations": PANOPTIC})[0]
     stem = codes.stem_last_dot(F.col("file_name"))
-    rows = rows.select(
+    known = ann.to_contiguous(categories.select(F.col("id").alias("category_id")).distinct(), categories)
+    known = known.groupBy(F.col("category_id").cast("bigint").alias("k")).agg(F.min(F.struct("contiguous_id", "isthing")).alias("v")).filter("k is not null")
+    known = known.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("known"))  # a dimension of some hundred rows
+    item = lambda s: F.struct(s["id"].alias("id"), F.col("known")[s["category_id"].cast("bigint")]["contiguous_id"].alias("category_id"), *[s[c].alias(c) for c in ("area", "bbox", "iscrowd")], F.col("known")[s["category_id"].cast("bigint")]["isthing"].alias("isthing"))
+    segments = F.transform(F.filter("segments_info", lambda s: s["id"].isNotNull()), item)
+    return rows.crossJoin(F.broadcast(known)).select(
         (F.col("image_id").cast("bigint") if cast_image_id else F.col("image_id")).alias("image_id"),
         F.concat(F.lit(image_dir + "/"), stem, F.lit(".jpg")).alias("file_name"), F.concat(F.lit(label_dir + "/"), F.col("file_name")).alias("pan_seg_file_name"),
-        *([] if semantic_dir is None else [F.concat(F.lit(semantic_dir + "/"), F.col("file_name")).alias("sem_seg_file_name")]), "segments_info",
+        *([] if semantic_dir is None else [F.concat(F.lit(semantic_dir + "/"), F.col("file_name")).alias("sem_seg_file_name")]),
+        F.coalesce(segments, F.array().cast(f"array<{NAMED}>")).alias("segments_info"),
     )
-    keys = [c for c in rows.columns if c != "segments_info"]
-    flat = rows.select(*keys, F.posexplode_outer("segments_info").alias("pos", "s")).select(*keys, "pos", "s.*")
-    named = ann.to_contiguous(flat, categories)
-    item = F.struct("pos", "id", F.col("contiguous_id").alias("category_id"), "area", "bbox", "iscrowd", "isthing")
-    packed = named.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), item))).alias("segments_info"))
-    return packed.withColumn("segments_info", F.transform("segments_info", lambda s: s.dropFields("pos")))
 
 
 def read_instance_json(spark: SparkSession, path: str) -> DataFrame:
@@ -51,7 +52,7 @@ def read_instance_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_categories_json(spark: SparkSession, path: str) -> DataFrame:
     """The categories of a document, numbered in its order: a dimension of some hundred rows."""
-    rows = jsonsplit.parsed(jsonsplit.records(spark, path), CATEGORY, "categories")
+    [rows] = jsonsplit.arrays(spark, path, {"categories": CATEGORY})
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1).select("pos", "id", "name", "isthing", "color")
 
 
@@ -138,10 +139,10 @@ def write_instances(images: DataFrame, categories: DataFrame, annotations: DataF
         df.write.mode("overwrite").format(kind).save(f"{path}/{name}")
 
 
-def panoptic_documents(segments: DataFrame) -> DataFrame:
-    """One row an image: file name and its segments in order of id."""
+def panoptic_documents(segments: DataFrame, *more: str) -> DataFrame:
+    """One row an image: file name and its segments in order of id; `more` columns of an image go along."""
     item = F.sort_array(F.collect_list(F.struct(F.col("seg_id").alias("id"), "category_id", "area", F.array("x", "y", "w", "h").alias("bbox"), F.lit(0).alias("iscrowd"))))
-    return segments.groupBy("image_id").agg(item.alias("segments_info")).withColumn("file_name", F.concat(F.col("image_id").cast("string"), F.lit(".png")))
+    return segments.groupBy("image_id", *more).agg(item.alias("segments_info")).withColumn("file_name", F.concat(F.col("image_id").cast("string"), F.lit(".png")))
 
 
 def write_rasters(px: DataFrame, path: str, split: str = "split") -> None:

@@ -197,7 +197,7 @@ def test_orders_are_dealt_by_document_once(spark, monkeypatch):
     from labelmill.plans import fixtures
 
     monkeypatch.setattr(fixtures, "ORDERS", 400)
-    for name in ("prediction_round_trip",):
+    for name in ("prediction_round_trip", "panoptic_round_trip"):
         docs, _ = written(spark, monkeypatch, name)
         found = exchanges(docs)
         assert len(found) == 1 and found[0].startswith("FLOOR((cast(FLOOR((cast(o_orderkey") and ", 4), REPARTITION" in found[0], (name, found)
@@ -205,3 +205,19 @@ def test_orders_are_dealt_by_document_once(spark, monkeypatch):
     rle = rasters.rle_encode(px, ["k"], 4, 4)
     assert rle._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
     assert {r["k"]: r["rle"]["counts"] for r in rle.collect()} == {1: [1, 3, 2, 1, 8, 1], 2: [0, 1, 15]}
+
+
+def test_panoptic_segments_are_named_where_they_are_read(spark, tmp_path):
+    """Unknown and missing categories, segments without id, annotations without segments, and two of one image."""
+    import json
+
+    from labelmill.sources import readers
+
+    seg = lambda i, c: {"id": i, "category_id": c, "area": 1, "bbox": [0, 0, 1, 1], "iscrowd": 0}
+    items = [("1", [seg(5, 20), seg(4, 10), seg(3, 99), seg(2, None), seg(None, 10)]), ("2", []), ("3", None), ("1", [seg(9, 30)])]
+    (tmp_path / "p.json").write_text(json.dumps({"annotations": [{"image_id": i, "file_name": f"{i}.png", "segments_info": s} for i, s in items]}))
+    cats = spark.createDataFrame([(0, 20, 0), (1, 10, 1), (2, 30, 1)], "pos long, id int, isthing int")
+    df = readers.read_panoptic_json(spark, str(tmp_path), cats, "a", "b", cast_image_id=True)
+    assert not [e for e in exchanges(df) if "image_id#" in e]
+    found = [(r["image_id"], r["file_name"], [(s["id"], s["category_id"], s["isthing"]) for s in r["segments_info"]]) for r in df.collect()]
+    assert sorted(found) == [(1, "a/1.jpg", [(5, 0, False), (4, 0, True), (3, None, None), (2, None, None)]), (1, "a/1.jpg", [(9, 1, True)]), (2, "a/2.jpg", []), (3, "a/3.jpg", [])]
