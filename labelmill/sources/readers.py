@@ -47,7 +47,9 @@ def read_instance_json(spark: SparkSession, path: str) -> DataFrame:
     """One row an annotation, with its image's file name and size; images and annotations of one document belong together."""
     images, rows = jsonsplit.arrays(spark, path, {"images": IMAGE, "annotations": INSTANCE})
     images = images.select("file", F.col("id").alias("image_id"), "file_name", "height", "width")
-    return rows.drop("at").join(images, ["image_id", "file"]).drop("file")  # ids first: paths share long beginnings, so they sort slowly
+    keys = ["image_id", "file"]  # ids first: paths share long beginnings, so they sort slowly
+    parts = rows.rdd.getNumPartitions()  # as many as tasks that read, so that what one sorts does not grow with the documents
+    return rows.drop("at").repartition(parts, *keys).join(images.repartition(parts, *keys), keys).drop("file")
 
 
 def read_categories_json(spark: SparkSession, path: str) -> DataFrame:

@@ -221,3 +221,19 @@ def test_panoptic_segments_are_named_where_they_are_read(spark, tmp_path):
     assert not [e for e in exchanges(df) if "image_id#" in e]
     found = [(r["image_id"], r["file_name"], [(s["id"], s["category_id"], s["isthing"]) for s in r["segments_info"]]) for r in df.collect()]
     assert sorted(found) == [(1, "a/1.jpg", [(5, 0, False), (4, 0, True), (3, None, None), (2, None, None)]), (1, "a/1.jpg", [(9, 1, True)]), (2, "a/2.jpg", []), (3, "a/3.jpg", [])]
+
+
+def test_annotations_meet_images_in_as_many_parts_as_are_read(spark, tmp_path):
+    import json
+
+    from labelmill.sources import readers
+
+    for k in range(12):
+        (tmp_path / f"{k}.json").write_text(json.dumps({"images": [{"id": "1", "file_name": f"{k}.jpg"}], "annotations": [{"id": k, "image_id": "1"}]}))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        df = readers.read_instance_json(spark, str(tmp_path))
+        assert len(exchanges(df)) == 2 and all(", 12), REPARTITION" in e for e in exchanges(df)), exchanges(df)
+        assert sorted((r["id"], r["file_name"]) for r in df.collect()) == [(k, f"{k}.jpg") for k in range(12)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
