@@ -25,7 +25,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_chunks, land, strings
 
-MAGIC = b"IDS2"
+MAGIC = b"IDS3"
 #: Streams of a block at most and ids of a stream; ids that a segment holds about (a longer document makes a longer one).
 STREAMS, STEPS, SEGMENT = 512, 1024, 1 << 23
 #: Steps after which the model is built again.
@@ -51,6 +51,7 @@ _NONE = 65535  # no id
 _BUCKETS, _EMPTY = 8, 15  # confidences of an order; the mark of the empty list
 _AT_ONCE = 32  # steps whose intervals are computed together
 _M32 = np.uint64(0xFFFFFFFF)
+_EACH = np.uint64(0x0001000100010001)  # spreads 16 bits to all four places of 64
 _U14, _U16, _U32 = np.uint64(_ZERO), np.uint64(16), np.uint64(32)
 _BUCKET = np.minimum(np.array([0] + [v.bit_length() - 1 for v in range(1, 1 << 12)]), _BUCKETS - 1)
 
@@ -71,29 +72,36 @@ def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.diff(first, append=len(key))
 
 
-def _best(keys: np.ndarray, counts: np.ndarray, most: int, least: int) -> tuple[np.ndarray, ...]:
-    """From counted (context << 16 | id): the contexts seen `least` times, how often, and their `most` commonest ids with counts."""
-    ctx = (keys >> 16).astype(np.int64)
-    start = np.flatnonzero(np.diff(ctx, prepend=-1))
-    total = np.add.reduceat(counts, start) if len(start) else counts
-    keep = np.repeat(total >= least, np.diff(start, append=len(ctx)))
-    keys, counts, ctx, total = keys[keep], counts[keep], ctx[keep], total[total >= least]
-    start = np.flatnonzero(np.diff(ctx, prepend=-1))
-    order = (ctx << 32) | ((65535 - np.minimum(counts, 65535)) << 16) | (keys & 65535)
-    order.sort()
-    size = np.diff(start, append=len(ctx))
-    ids, n = np.full((len(start), most), _NONE, np.int64), np.zeros((len(start), most), np.int64)
+def _best(key: np.ndarray, most: int, least: int) -> tuple[np.ndarray, ...]:
+    """From keys (context << 16 | id): the contexts seen `least` times, how often, and their `most` commonest ids with counts.
+
+    Sorts key in place. Ids and counts have a row for each place, so that what is computed from them runs along contexts."""
+    key.sort()
+    new = np.ones(len(key) + 1, bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:-1])
+    first = np.flatnonzero(new)
+    key = key.take(first[:-1])
+    ctx = key >> 16
+    new = np.ones(len(key), bool)
+    np.not_equal(ctx[1:], ctx[:-1], out=new[1:])
+    start = np.flatnonzero(new)
+    total = np.diff(first.take(start), append=first[-1])
+    keep = np.flatnonzero(total >= least)
+    rank = (np.minimum(np.diff(first), 65535).astype(np.uint32) << 16) | (~key & 65535)  # the commonest id, then the smallest
+    ids, n = np.empty((most, len(keep)), np.uint32), np.empty((most, len(keep)), np.uint32)
     for j in range(most):
-        some = np.flatnonzero(size > j)
-        top = order.take(start[some] + j)
-        ids[some, j], n[some, j] = top & 65535, 65535 - ((top >> 16) & 65535)
-    return ctx[start], total, ids, n
+        if j:  # the best so far are out
+            rank *= rank != np.repeat(top, np.diff(start, append=len(rank)))
+        top = np.maximum.reduceat(rank, start)
+        best = top.take(keep)
+        ids[j], n[j] = ~best & 65535, best >> 16
+    return ctx.take(start.take(keep)), total.take(keep), ids, n
 
 
 def _with_zero(chance: np.ndarray, ids: np.ndarray, zero: np.ndarray) -> np.ndarray:
     """Chances of a list's ids with what order 0 (of the whole block) gives them of the rest; ids that are not listed keep none."""
-    rest = np.maximum(0, 65000 - chance.sum(axis=1, keepdims=True))
-    return chance + np.where(chance > 0, rest * zero[ids] // 65000, 0)
+    rest = 65000 - np.minimum(chance.sum(axis=0, dtype=np.uint32), 65000)
+    return chance + rest * zero.take(ids) // 65000 * (chance > 0)
 
 
 class Model:
@@ -103,7 +111,7 @@ class Model:
         self.blocks, self.streams = blocks, streams
         self.list1, self.list2 = np.zeros(blocks << _H1, np.int32), np.zeros(blocks << _H2, np.int32)
         self.block = np.arange(blocks * streams, dtype=np.int32) // streams
-        self.base1, self.base2, self.base0 = self.block << _H1, self.block << _H2, self.block << _ZERO
+        self.base1, self.base2, self.base0 = (self.block.astype(np.uint32) << bits for bits in (_H1, _H2, _ZERO))
         self._lists([], [], [], [])
         # for each block and confidence (of order 2, then of order 1 alone): ids coded, shares that the context's own
         # ids and those of the order below had in them; with a start
@@ -113,6 +121,7 @@ class Model:
         self.lacked, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)  # block << 16 | id, and how often
         self.fresh, self.missed = np.ones(blocks, np.int64), np.ones(blocks, np.int64)
         self.gone: list[np.ndarray] = []
+        self.built, self.often = 0, np.zeros((blocks, 1 << 16), np.int64)  # steps of the last build, and how often each id came
         self._order_zero()
 
     def shrink(self) -> None:
@@ -125,6 +134,7 @@ class Model:
             setattr(self, name, getattr(self, name)[: n * 16])
         keep = (self.lacked >> 16) < n
         self.lacked, self.times, self.fresh, self.missed = self.lacked[keep], self.times[keep], self.fresh[:n], self.missed[:n]
+        self.often = self.often[:n]
 
     def _order_zero(self) -> None:
         """Slots for the ids that lists lacked (half of all slots at most: later ones escape), the rest for escapes."""
@@ -141,12 +151,14 @@ class Model:
         self.zero_end = np.bincount(block, width, self.blocks).astype(np.int64)
         at = np.cumsum(width) - width - (np.cumsum(self.zero_end) - self.zero_end)[block]
         known = np.repeat(np.tile([True, False], self.blocks), np.stack([self.zero_end, full - self.zero_end], axis=1).ravel())
-        self.zero_slot = np.full(self.blocks * full, len(key), np.int32)
+        self.zero_kinds, rest = len(key), np.arange(len(key), len(key) + self.blocks, dtype=np.int32)  # the escape of each block comes last
+        self.zero_slot = np.repeat(rest, full)
         self.zero_slot[known] = np.repeat(np.arange(len(key), dtype=np.int32), width)
-        self.zero_of = np.full(self.blocks << 16, len(key), np.int32)
+        self.zero_of = np.repeat(rest, 1 << 16)
         self.zero_of[key] = np.arange(len(key), dtype=np.int32)
-        self.zero_id = np.append(key & 65535, _NONE).astype(np.int32)
-        self.zero_at, self.zero_width = np.append(at, 0).astype(np.uint64), np.append(width, 0).astype(np.uint64)
+        self.zero_id = np.append(key & 65535, np.full(self.blocks, _NONE)).astype(np.uint32)
+        self.zero_at = np.append(at, self.zero_end).astype(np.uint64)
+        self.zero_width = np.append(width, full - self.zero_end).astype(np.uint64)
 
     def rows(self, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
         """The list for each pair of ids before: of order 2, of order 1 where that is unknown, or the empty one."""
@@ -158,21 +170,22 @@ class Model:
 
     def note(self, ids: np.ndarray, row: np.ndarray, k: np.ndarray, block: np.ndarray) -> None:
         """Of ids just coded with place k of a list: what each order had in them, and what the lists lacked."""
-        at = self.mark.take(row) + (block << 4)
-        n = self.blocks * 16
+        mark, n = self.mark.take(row), self.blocks * 16
+        at = mark + (block << 4)
         self.seen += np.bincount(at, minlength=n)
-        hit = np.flatnonzero(k < _LIST)
-        r, place, at = row[hit], k[hit].astype(np.int32), at[hit]
-        f = self.cum1.take(r * 8 + place + 1).astype(np.int32) - self.cum1.take(r * 8 + place)
-        own = np.where(place < _OWN, self.own.take(r * _OWN + np.minimum(place, _OWN - 1)), 0).astype(np.int32)
-        share = np.where((at & 15) >= _BUCKETS, 256, np.minimum(own * 256 // f, 256))
-        self.won += np.bincount(at, share, n) / 256
-        self.lent += np.bincount(at, 256 - share, n) / 256
+        hits = np.bincount(at[k < _LIST], minlength=n)
+        both = np.flatnonzero((k < _OWN) & (mark < _BUCKETS))
+        r, place = row.take(both), k.take(both)
+        f = self.flat.take(r * 16 + place + 1).astype(np.int32) - self.flat.take(r * 16 + place)
+        share = np.bincount(at.take(both), np.minimum(self.own.take(r * _OWN + place).astype(np.int32) * 256 // f, 256), n) / 256
+        alone = np.arange(n) % 16 >= _BUCKETS
+        self.won += np.where(alone, hits, share)
+        self.lent += np.where(alone, 0, hits - share)
         gone = np.flatnonzero(k == _LIST)
         self.gone.append((block[gone].astype(np.int64) << 16) | ids[gone])
 
     def build(self, past: np.ndarray) -> None:
-        """Order 0 and the lists of all contexts from past: blocks x streams x steps so far."""
+        """Order 0 and the lists of all contexts from past: two steps of zeros and the steps so far, of all lanes."""
         found, n = _counted(np.concatenate(self.gone))
         self.gone = []
         before = np.bincount(self.lacked >> 16, minlength=self.blocks)
@@ -185,73 +198,79 @@ class Model:
         self.fresh = np.bincount(self.lacked >> 16, minlength=self.blocks) - before
         self._order_zero()
 
-        won, lent = ((x / (self.seen + 1) * 4096).astype(np.int64) for x in (self.won, self.lent))
+        won, lent = ((x / (self.seen + 1) * 4096).astype(np.uint32) for x in (self.won, self.lent))
         self.list1[:], self.list2[:] = 0, 0
         chances, ids_, owns, marks, count = [], [], [], [], 1
-        p1, p2 = np.zeros(past.shape[1:], np.int32), np.zeros(past.shape[1:], np.int32)
         for g in range(self.blocks):
-            h = past[g]
-            p1[:, 1:], p2[:, 2:] = h[:, :-1], h[:, :-2]
-            s1, s2 = (s.ravel() for s in _slots(p1, p2))
-            ids = h.ravel().astype(np.uint32)
-            ctx, n, low_id, times = _best(*_counted((s1.astype(np.uint32) << 16) | ids), _LOW, 1)
-            sure = _BUCKET[np.minimum(n, len(_BUCKET) - 1)]
-            low = times * 65000 // n[:, None]
-            first = count
-            nothing = np.zeros((len(ctx), _OWN), np.int64)
-            zero = (np.bincount(ids, minlength=_NONE + 1) * 65000 // max(1, len(ids))).astype(np.int64)
-            zero[_NONE] = 0
-            alone = low * won[g * 16 + sure + _BUCKETS][:, None] >> 12
-            chances.append(np.append(nothing, _with_zero(alone, low_id, zero), axis=1))
-            ids_.append(np.append(nothing + _NONE, low_id, axis=1))
+            h = past[:, g * self.streams : (g + 1) * self.streams]
+            s1, s2 = _slots(h[1:-1], h[:-2])
+            self.often[g] += np.bincount(h[2 + self.built :].ravel(), minlength=1 << 16)
+            zero = (self.often[g] * 65000 // s1.size).astype(np.uint32)
+            ctx, n, low_id, times = _best(((s1 << 16) | h[2:]).ravel(), _LOW, 1)
+            sure = _BUCKET.take(np.minimum(n, len(_BUCKET) - 1))
+            low = (times * 65000.0 / n).astype(np.uint32)
+            first, nothing = count, np.zeros((_OWN, len(ctx)), np.uint32)
+            alone = low * won.take(g * 16 + sure + _BUCKETS) >> 12
+            chances.append(np.append(nothing, _with_zero(alone, low_id, zero), axis=0))
+            ids_.append(np.append(nothing + _NONE, low_id, axis=0))
             owns.append(nothing)
             marks.append(np.minimum(sure + _BUCKETS, _EMPTY - 1))
-            self.list1[ctx + (g << _H1)] = np.arange(count, count + len(ctx))
+            self.list1[(g << _H1) + ctx.astype(np.int64)] = np.arange(count, count + len(ctx))
             count += len(ctx)
-            below = np.zeros(1 << _H2, np.int32)
-            below[s2] = self.list1.take(s1 + (g << _H1)) - first
-            ctx, n, own_id, times = _best(*_counted((s2.astype(np.uint32) << 16) | ids), _OWN, 2)
-            sure = _BUCKET[np.minimum(n, len(_BUCKET) - 1)]
-            own = times * 65000 // np.maximum(n, 1)[:, None] * won[g * 16 + sure][:, None] >> 12
-            at = below[ctx]
-            other_id, other = low_id[at], low[at] * lent[g * 16 + sure][:, None] >> 12
+            below = np.zeros(1 << _H2, np.uint16)
+            below[s2] = s1
+            ctx, n, own_id, times = _best(((s2 << 16) | h[2:]).ravel(), _OWN, 2)
+            sure = _BUCKET.take(np.minimum(n, len(_BUCKET) - 1))
+            own = (times * 65000.0 / n).astype(np.uint32) * won.take(g * 16 + sure) >> 12
+            at = self.list1.take((g << _H1) + below.take(ctx).astype(np.int64)) - first
+            other_id, other = low_id.take(at, axis=1), low.take(at, axis=1) * lent.take(g * 16 + sure) >> 12
             both = own.copy()
             for i in range(_OWN):
-                same = (other_id == own_id[:, i : i + 1]) & (other_id != _NONE)
-                both[:, i] += (other * same).sum(axis=1)
-                other[same] = 0
-            every = np.append(own_id, other_id, axis=1)
-            chances.append(_with_zero(np.append(both, other, axis=1), every, zero))
+                same = (other_id == own_id[i]) & (other_id != _NONE)
+                both[i] += (other * same).sum(axis=0, dtype=np.uint32)
+                other *= ~same
+            every = np.append(own_id, other_id, axis=0)
+            chances.append(_with_zero(np.append(both, other, axis=0), every, zero))
             ids_.append(every)
             owns.append(own)
             marks.append(sure)
-            self.list2[ctx + (g << _H2)] = np.arange(count, count + len(ctx))
+            self.list2[(g << _H2) + ctx.astype(np.int64)] = np.arange(count, count + len(ctx))
             count += len(ctx)
+        self.built = len(past) - 2
         self._lists(chances, ids_, owns, marks)
 
     def _lists(self, chances: list, ids: list, owns: list, marks: list) -> None:
-        """The empty list, then all others: eight bounds and eight ids a row, of 16 bits, unused ones at the end."""
-        rows = 1 + sum(map(len, chances))
-        self.cum, self.ids = np.full((rows, 8), _NONE, np.uint16), np.full((rows, 8), _NONE, np.uint16)
+        """The empty list, then all others. A row is eight bounds, then eight ids, of 16 bits, unused ones at the end: half a cache line."""
+        rows = 1 + sum(map(len, marks))
+        table = np.full((rows, 16), _NONE, np.uint16)
         self.own, self.mark = np.zeros((rows, _OWN), np.uint16), np.full(rows, _EMPTY, np.uint8)
-        self.cum[:, 0], self.cum[0] = 0, [0] * (_LIST + 1) + [_NONE] * (7 - _LIST)
+        table[:, 0], table[0, : _LIST + 1] = 0, 0
         at = 1
         for f, i, own, mark in zip(chances, ids, owns, marks):
-            end = at + len(f)
-            self.cum[at:end, 1 : _LIST + 1] = np.cumsum(f, axis=1)
-            self.ids[at:end, :_LIST] = np.where(f > 0, i, _NONE)
-            self.own[at:end], self.mark[at:end] = own, mark
+            end, i[f == 0] = at + len(mark), _NONE
+            table[at:end, 1 : _LIST + 1] = np.cumsum(f, axis=0, dtype=np.uint32).T
+            table[at:end, 8 : 8 + _LIST] = i.T
+            self.own[at:end], self.mark[at:end] = own.T, mark
             at = end
-        self.cum1, self.ids1, self.own = self.cum.ravel(), self.ids.ravel(), self.own.ravel()
-        self.cum8, self.ids8 = self.cum.view(np.complex128).ravel(), self.ids.view(np.complex128).ravel()  # a row is one item
+        self.own, self.flat, self.eights = self.own.ravel(), table.ravel(), table.view(np.complex128).ravel()
+
+    def beside(self, half: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Eight bounds or ids of each list (its row twice, and 1 for ids), and eight times the value below 65,536 to compare them with."""
+        wide = np.empty((len(half), 2), np.uint64)
+        wide[:, 0] = value
+        wide[:, 0] *= _EACH
+        wide[:, 1] = wide[:, 0]
+        return self.eights.take(half).view(np.uint16), wide.view(np.uint16).ravel()
 
 
-def _narrow(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """The lanes whose span is below 2**32, to put out a word; a span that straddles a word border is cut at it."""
+def _narrow(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lanes whose span is below 2**32, moved on by a word, and their low before; a span that straddles a word border is cut at it."""
     lanes = np.flatnonzero(span <= _M32)
+    top = low.take(lanes)
     if len(lanes):
-        span[lanes] = np.minimum(span[lanes], (_M32 + np.uint64(1)) - (low[lanes] & _M32))
-    return lanes
+        span[lanes] = np.minimum(span.take(lanes), (_M32 + np.uint64(1)) - (top & _M32)) << _U32
+        low[lanes] = top << _U32
+    return lanes, top
 
 
 def _layout(n: int) -> tuple[int, int, int]:
@@ -261,6 +280,11 @@ def _layout(n: int) -> tuple[int, int, int]:
     return blocks, streams, -(-(n - (blocks - 1) * streams * STEPS) // streams)
 
 
+def _steps(steps: int, lanes: int) -> np.ndarray:
+    """Room for the ids of all lanes, a row a step, after two rows of zeros. Rows are padded: at a power of two they would share cache lines."""
+    return np.zeros((steps + 2, lanes + 16), np.uint32)
+
+
 def encode(ids: np.ndarray) -> bytes:
     """A segment of ids below 65,535."""
     if len(ids) and int(ids.max()) >= _NONE:
@@ -269,50 +293,44 @@ def encode(ids: np.ndarray) -> bytes:
         return MAGIC + struct.pack("<QIII", 0, 0, 0, 0)
     blocks, streams, tail = _layout(len(ids))
     whole, size = blocks, streams * STEPS
-    past = np.zeros((blocks, streams, STEPS), dtype=np.int32)
-    past[:-1].reshape(-1)[:] = ids[: (blocks - 1) * size]
-    rest = np.full(tail * streams, END, np.int32)
-    rest[: len(ids) - (blocks - 1) * size] = ids[(blocks - 1) * size :]
-    past[-1, :, :tail] = rest.reshape(streams, tail)
     model, lanes = Model(blocks, streams), blocks * streams
+    rest = np.full(tail * streams, END, np.uint32)
+    rest[: len(ids) - (blocks - 1) * size] = ids[(blocks - 1) * size :]
+    past = _steps(STEPS, lanes)
+    past[2:, : lanes - streams] = ids[: (blocks - 1) * size].reshape(-1, STEPS).T
+    past[2 : tail + 2, lanes - streams : lanes] = rest.reshape(streams, tail).T
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     width = STEPS * 3 // 2 + 8
-    words, fill = np.zeros(lanes * width, np.uint32), np.zeros(lanes, np.int64)
+    words, fill = np.zeros(lanes * width, np.uint32), np.arange(lanes) * width
 
-    def put(at: np.ndarray) -> None:
+    def put() -> None:
+        at, top = _narrow(low, span)
         if len(at):
-            n = fill[at]
-            words[at * width + n] = low[at] >> _U32
-            fill[at] = n + 1
-            low[at] <<= _U32
-            span[at] <<= _U32
+            place = fill.take(at)
+            words[place] = top >> _U32
+            fill[at] = place + 1
 
     def flush(a: int, b: int) -> None:
-        at = np.arange(a, b) * width + fill[a:b]
+        at = fill[a:b]
         words[at], words[at + 1] = low[a:b] >> _U32, low[a:b] & _M32
         fill[a:b] += 2
 
     a = 0
     for b in sorted({*BUILDS, tail, STEPS, *range(0, STEPS, _AT_ONCE)} - {0}):
-        flat = past[: model.blocks].reshape(lanes, STEPS)
-        steps = np.zeros((b - a + 2, lanes), np.int32)
-        steps[max(0, 2 - a) :] = flat[:, max(0, a - 2) : b].T
-        row = model.rows(steps[1:-1], steps[:-2]).ravel()
-        now = steps[2:].ravel()
-        same = model.ids8.take(row).view(np.uint16).reshape(-1, 8) == now.astype(np.uint16)[:, None]
-        k = np.minimum(np.bitwise_count(same.view(np.uint64).ravel() - np.uint64(1)) >> 3, _LIST)  # the place of the one true byte
-        at = row * 8 + k
-        begin = model.cum1.take(at).astype(np.uint64)
+        row = model.rows(past[a + 1 : b + 1, :lanes], past[a:b, :lanes]).ravel()
+        now = past[a + 2 : b + 2, :lanes].ravel()
+        own, value = model.beside(row * 2 + 1, now)
+        k = np.minimum(np.bitwise_count((own == value).view(np.uint64) - np.uint64(1)) >> 3, _LIST)  # the place of the one true byte
+        at = row * 16 + k
+        begin = model.flat.take(at).astype(np.uint64)
         lacks = k == _LIST
-        freq = np.where(lacks, _FULL, model.cum1.take(at + 1).astype(np.int32)).astype(np.uint64) - begin
+        freq = np.where(lacks, _FULL, model.flat.take(at + 1).astype(np.int32)).astype(np.uint64) - begin
         gone = np.flatnonzero(lacks)
         step, lane = np.divmod(gone, lanes)
-        block = model.block[lane].astype(np.int64)
+        block = model.block.take(lane)
         z = model.zero_of.take((block << 16) | now[gone])
         begin0, freq0 = model.zero_at.take(z), model.zero_width.take(z)
-        new = np.flatnonzero(z == len(model.zero_id) - 1)
-        begin0[new] = model.zero_end[block[new]]
-        freq0[new] = (1 << _ZERO) - model.zero_end[block[new]]
+        new = np.flatnonzero(z >= model.zero_kinds)
         every = np.arange(b - a + 1)
         ends, ends_new = np.searchsorted(step, every).tolist(), np.searchsorted(step[new], every).tolist()
         lane_new, value_new = lane[new], now[gone[new]].astype(np.uint64)
@@ -323,16 +341,17 @@ def encode(ids: np.ndarray) -> bytes:
             np.multiply(part, freq[t], out=span)
             x, y = ends[t], ends[t + 1]
             if x < y:
-                part = span[lane[x:y]] >> _U14
-                low[lane[x:y]] += part * begin0[x:y]
-                span[lane[x:y]] = part * freq0[x:y]
-            put(_narrow(low, span))
+                ln = lane[x:y]
+                part = span.take(ln) >> _U14
+                low[ln] = low.take(ln) + part * begin0[x:y]
+                span[ln] = part * freq0[x:y]
+            put()
             x, y = ends_new[t], ends_new[t + 1]
             if x < y:
                 part = span[lane_new[x:y]] >> _U16
                 low[lane_new[x:y]] += part * value_new[x:y]
                 span[lane_new[x:y]] = part
-                put(_narrow(low, span))
+                put()
         if b <= BUILDS[-1]:  # a build is still to come
             model.note(now, row, k, np.tile(model.block, b - a))
         a = b
@@ -344,12 +363,12 @@ def encode(ids: np.ndarray) -> bytes:
             lanes = model.blocks * streams
             low, span = low[:lanes].copy(), span[:lanes].copy()
         if b in BUILDS:
-            model.build(past[: model.blocks, :, :b])
+            model.build(past[: b + 2, :lanes])
     else:
         flush(0, lanes)
-    rows = words.reshape(-1, width)
+    rows, fill = words.reshape(-1, width), fill - np.arange(len(fill)) * width
     out = np.concatenate([w[:n] for w, n in zip(rows, fill.tolist())])
-    plain = ids.astype("<u4")
+    plain = ids.astype("<u4", copy=False)
     crc = np.array([zlib.crc32(plain[i : i + size]) for i in range(0, len(ids), size)], dtype="<u4")
     return MAGIC + struct.pack("<QIII", len(ids), whole, streams, STEPS) + crc.tobytes() + fill.astype("<u2").tobytes() + out.astype("<u4").tobytes()
 
@@ -379,70 +398,69 @@ def decode(segment: bytes) -> np.ndarray:
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     code = (flat[at] << _U32) | flat[at + 1]
     at = at + 2
-    past = np.zeros((blocks, streams, steps), dtype=np.int32)
+    past = _steps(steps, lanes)
 
-    def take(ln: np.ndarray) -> None:
+    def take() -> None:
+        ln, _ = _narrow(low, span)
         if len(ln):
-            low[ln] <<= _U32
-            span[ln] <<= _U32
-            word = at[ln]
-            code[ln] = (code[ln] << _U32) | flat[np.minimum(word, last)]  # a damaged stream may ask for more
+            word = at.take(ln)
+            code[ln] = (code.take(ln) << _U32) | flat.take(np.minimum(word, last))  # a damaged stream may ask for more
             at[ln] = word + 1
 
-    p1, p2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
     a = 0
     for b in sorted({*BUILDS, tail, steps, *range(0, steps, _AT_ONCE)} - {0}):
-        now, rows, places = np.zeros((b - a, lanes), np.int32), np.zeros((b - a, lanes), np.int32), np.zeros((b - a, lanes), np.uint8)
+        rows, places = np.zeros((b - a, lanes), np.int32), np.zeros((b - a, lanes), np.uint8)
         for t in range(b - a):
-            row = model.rows(p1, p2)
+            row = model.rows(past[a + t + 1, :lanes], past[a + t, :lanes])
             part = span >> _U16
-            x = np.minimum((code - low) // part, np.uint64(_NONE - 1)).astype(np.uint16)
-            k = np.bitwise_count((model.cum8.take(row).view(np.uint16).reshape(-1, 8) <= x[:, None]).view(np.uint64).ravel()) - np.uint8(1)
-            i = row * 8 + k
-            begin = model.cum1.take(i)
-            end = model.cum1.take(i + 1).astype(np.uint64)
+            bounds, x = model.beside(row * 2, np.minimum((code - low) // part, np.uint64(_NONE - 1)))
+            k = np.bitwise_count((bounds <= x).view(np.uint64)) - np.uint8(1)
+            i = row * 16 + k
+            begin = model.flat.take(i).astype(np.uint64)
+            end = model.flat.take(i + 1).astype(np.uint64)
             ln = np.flatnonzero(k == _LIST)
             end[ln] = _FULL
             low += part * begin
             np.multiply(part, end - begin, out=span)
-            ids = model.ids1.take(i).astype(np.int32)
+            ids = past[a + t + 2, :lanes]
+            ids[:] = model.flat.take(i + 8)
             escaped = ln[:0]
             if len(ln):
-                part = span[ln] >> _U14
-                x = np.minimum((code[ln] - low[ln]) // part, np.uint64((1 << _ZERO) - 1)).astype(np.int32)
-                z = model.zero_slot.take(model.base0[ln] + x)
-                new = z == len(model.zero_id) - 1
-                border = model.zero_end[model.block[ln]].astype(np.uint64)
-                low[ln] += part * np.where(new, border, model.zero_at.take(z))
-                span[ln] = part * np.where(new, np.uint64(1 << _ZERO) - border, model.zero_width.take(z))
+                part, base = span.take(ln) >> _U14, low.take(ln)
+                x = np.minimum((code.take(ln) - base) // part, np.uint64((1 << _ZERO) - 1)).astype(np.int64)
+                z = model.zero_slot.take(model.base0.take(ln) + x)
+                low[ln] = base + part * model.zero_at.take(z)
+                span[ln] = part * model.zero_width.take(z)
                 ids[ln] = model.zero_id.take(z)
-                escaped = ln[new]
-            take(_narrow(low, span))
+                escaped = ln[z >= model.zero_kinds]
+            take()
             if len(escaped):
                 part = span[escaped] >> _U16
                 x = np.minimum((code[escaped] - low[escaped]) // part, np.uint64(_NONE))
                 low[escaped] += part * x
                 span[escaped] = part
-                ids[escaped] = x.astype(np.int32)
-                take(_narrow(low, span))
-            now[t] = ids
+                ids[escaped] = x
+                take()
             if b <= BUILDS[-1]:
                 rows[t], places[t] = row, k
-            p2, p1 = p1, ids
-        past[: model.blocks].reshape(lanes, steps)[:, a:b] = now.T
         if b <= BUILDS[-1]:
-            model.note(now.ravel(), rows.ravel(), places.ravel(), np.tile(model.block, b - a))
+            model.note(past[a + 2 : b + 2, :lanes].ravel(), rows.ravel(), places.ravel(), np.tile(model.block, b - a))
         a = b
         if b == tail and b < steps:
             if model.blocks == 1:
                 break
             _leave(model)
             lanes = model.blocks * streams
-            low, span, code, at, p1, p2 = (v[:lanes].copy() for v in (low, span, code, at, p1, p2))
+            low, span, code, at = (v[:lanes].copy() for v in (low, span, code, at))
         if b in BUILDS:
-            model.build(past[: model.blocks, :, :b])
-    ids = np.concatenate([past[:-1].ravel(), past[-1, :, :tail].ravel()])[:total].astype(np.uint32)
-    plain = ids.astype("<u4")
+            model.build(past[: b + 2, :lanes])
+    ids = np.empty(((whole - 1) * streams * steps + tail * streams), np.uint32)
+    full = ids[: (whole - 1) * streams * steps].reshape(-1, steps)
+    for i in range(0, len(full), 64):  # few lanes at a time stay in the cache
+        full[i : i + 64] = past[2:, i : min(i + 64, len(full))].T
+    ids[full.size :].reshape(streams, tail)[:] = past[2 : tail + 2, len(full) : len(full) + streams].T
+    ids = ids[:total]
+    plain = ids.astype("<u4", copy=False)
     for i in range(whole):
         if zlib.crc32(plain[i * size : (i + 1) * size]) != crc[i]:
             raise ValueError(f"block {i} is damaged")
@@ -525,13 +543,15 @@ class Words:
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.values.dictionary_encode()
         distinct = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
-        fresh = [r for r in distinct if r not in self.known]
-        if len(self.known) + len(fresh) > self.REMEMBERED:
+        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(number < 0)
+        if len(self.known) + len(missing) > self.REMEMBERED:
             self._clear()
-            fresh = [r for r in distinct if r]
-        if fresh:
+            missing = np.flatnonzero(number)  # all but the empty run
+        if len(missing):
+            fresh = [distinct[i] for i in missing.tolist()]
             self._add(fresh)
-        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+            number[missing] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
         return number.take(coded.indices.to_numpy()), np.diff(lists.offsets.to_numpy())
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:

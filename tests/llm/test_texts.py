@@ -125,6 +125,50 @@ def test_ids_of_documents_are_small(spark):
     assert len(coded) < len(zlib.compress(ids.astype("<u2").tobytes(), 9))
 
 
+def test_commonest_ids_equal_a_count():
+    """Of each context the commonest ids, of equals the smallest, a row for each place; contexts seen too rarely are left out."""
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 5000):
+        ctx, ids = rng.zipf(1.5, n).clip(0, 300), rng.zipf(1.3, n).clip(0, 65534)
+        for most, least in ((3, 1), (2, 2)):
+            seen = {}
+            for c, i in zip(ctx.tolist(), ids.tolist()):
+                seen.setdefault(c, Counter())[i] += 1
+            want = []
+            for c in sorted(c for c in seen if seen[c].total() >= least):
+                top = sorted(seen[c].items(), key=lambda x: (-x[1], x[0]))[:most] + [(65535, 0)] * most
+                want.append((c, seen[c].total(), [i for i, _ in top[:most]], [k for _, k in top[:most]]))
+            got = idfile._best(((ctx << 16) | ids).astype(np.uint32), most, least)
+            assert got[2].shape == got[3].shape == (most, len(want))
+            assert list(zip(got[0].tolist(), got[1].tolist(), got[2].T.tolist(), got[3].T.tolist())) == want
+
+
+def test_each_distinct_run_is_looked_up_once():
+    """A known run costs one lookup of a chunk; a new one costs a second after it was learnt."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return super().__contains__(key)
+
+    words = idfile.Words(tokenizer("word_bpe_49k.json"))
+    words.known, texts = Counted(words.known), pa.array(["one two three two one", "four one"], pa.string())
+    first = np.concatenate([flat for flat, _ in words.encode(texts)])
+    Counted.asked = 0
+    assert (np.concatenate([flat for flat, _ in words.encode(texts)]) == first).all()
+    assert Counted.asked == 4
+
+
 def test_words_equal_the_library():
     words, rng = idfile.Words(tokenizer("word_bpe_49k.json")), random.Random(5)
     parts = list("abAB z'12.,$<|>\t\n'st rell éÉñßçİıſKÅǻ…—ªº²½٣中あ  \x1c\x85\x0b\x00≠<'") + ["<|endoftext|>", "<|startoftext|>", "'s", "'re", "'LL", "</w>", "ǅ", "Σς", "ﬁ"]
