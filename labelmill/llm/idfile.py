@@ -488,19 +488,28 @@ class Words:
 
     No token of a tokenizer that drops white space spans it, and neither does its normaliser. Where the tokenizer also
     ends words between ASCII letters, digits and signs (tried on a few texts), runs are cut there too, which makes few
-    of them. Texts with `<|`, as special tokens have it, are neither cut nor lower-cased."""
+    of them. Texts with `<|`, as special tokens have it, are neither cut nor lower-cased.
 
-    REMEMBERED, TOGETHER = 1_000_000, 500
+    Runs of Latin letters alone need neither normaliser nor regular expression: the library encodes them, in lower case, by
+    the same model, split at spaces, if each such letter, alone and inside a word, then has the ids that it has with both."""
+
+    REMEMBERED, TOGETHER = 1_000_000, 100
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         own = lambda text: self.library.encode(text, add_special_tokens=False).ids
         probe = (("ab.cd,e1 23's$x(y)-z'q", "ab . cd , e 1 2 3 's $ x ( y )- z 'q"), ("a'sb''c4.5%'t7", "a 'sb ''c 4 . 5 %'t 7"))
         self.cut = all(own(x) == own(y) for x, y in probe)
         self.lower = all(own(chr(c)) == own(chr(c).lower()) for c in range(65, 91))
+        self.plain = Tokenizer(self.library.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        letters = [c for c in map(chr, range(0x250)) if c.isalpha() and c != "\u0130"]
+        for text in (" ".join(letters), " ".join(f"a{c}b{c}" for c in letters)):
+            if own(text) != self.plain.encode(text.lower(), add_special_tokens=False).ids:
+                self.plain = self.library
         ends = [t.endswith("</w>") for t, _ in sorted(self.library.get_vocab().items(), key=lambda x: x[1])]
         self.ends = np.array(ends, dtype=bool)  # tokens that end a word
         self._clear()
@@ -515,7 +524,10 @@ class Words:
         plain = [i for i, t in enumerate(texts) if t.isalpha() and (t.isascii() or max(t) < "\u0250" and "\u0130" not in t)]
         parts = [plain[a : a + self.TOGETHER] for a in range(0, len(plain), self.TOGETHER)]
         order, sizes, flats = [], [], []
-        for part, e in zip(parts, self.library.encode_batch_fast([" ".join([texts[i] for i in p]) for p in parts], add_special_tokens=False)):
+        joined = [" ".join([texts[i] for i in p]) for p in parts]
+        if self.plain is not self.library:
+            joined = [t.lower() for t in joined]
+        for part, e in zip(parts, self.plain.encode_batch_fast(joined, add_special_tokens=False)):
             flat = np.array(e.ids, np.int32)
             last = np.flatnonzero(self.ends.take(flat))
             if len(last) == len(part) and last[-1] == len(flat) - 1:  # each run has ended once

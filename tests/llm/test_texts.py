@@ -143,6 +143,20 @@ def test_commonest_ids_equal_a_count():
             assert list(zip(got[0].tolist(), got[1].tolist(), got[2].T.tolist(), got[3].T.tolist())) == want
 
 
+def test_plain_words_skip_the_normaliser():
+    """Latin words equal the library's without its normaliser; where a letter's ids would differ, nothing is skipped."""
+    path, rng = tokenizer("word_bpe_49k.json"), random.Random(9)
+    words = idfile.Words(path)
+    assert words.plain is not words.library and words.plain.normalizer is None
+    letters = [c for c in map(chr, range(0x250)) if c.isalpha()]
+    texts = ["".join(rng.choice(letters[:80] if rng.random() < 0.5 else letters) for _ in range(rng.randint(1, 14))) for _ in range(5000)]
+    flat, count = (np.concatenate(c) for c in zip(*words.encode(pa.array(texts, pa.string()))))
+    ends = np.cumsum(count)
+    for t, e, n in zip(texts, ends.tolist(), count.tolist()):
+        assert flat[e - n : e].tolist() == [*words.library.encode(t, add_special_tokens=False).ids, 1], t
+    assert (other := idfile.Words(tokenizer("byte_bpe_50k.json"))).plain is other.library
+
+
 def test_each_distinct_run_is_looked_up_once():
     """A known run costs one lookup of a chunk; a new one costs a second after it was learnt."""
 
