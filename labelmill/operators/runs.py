@@ -6,7 +6,7 @@ one row a run: keys, y, x0, x1 (exclusive)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ from ..functions import geometry as G
 from . import boxes
 
 Sweep = tuple[np.ndarray, np.ndarray]
+#: From a column of masks in any form to the flat runs of all of them, and how many numbers each has; null has none.
+Decode = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
 # --- sweeps over sorted intervals of many masks at once ---------------------------------------------------------------
@@ -50,20 +52,44 @@ def covered_by(a: Sweep, b: Sweep) -> np.ndarray:
     return below(b[1]) - below(b[0])
 
 
-def eroded(runs: Sweep, stride: np.ndarray, distance: int) -> Sweep:
+def _below(line: np.ndarray, more: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs of intervals i and j that lie `more` lines below, of intervals sorted by line, where each line between has some; none
+    if lines are so full of intervals that their pairs are many."""
+    first = np.flatnonzero(np.append(True, line[1:] != line[:-1])[: len(line)])
+    own, n = line[first], np.diff(np.append(first, len(line)))
+    to = np.minimum(np.arange(len(first)) + more, len(first) - 1)
+    m = np.where(own[to] == own + more, n[to], 0)
+    each = np.repeat(m, n)
+    if each.sum() > 4 * len(line):
+        return None
+    i = np.repeat(np.arange(len(line)), each)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(np.repeat(first[to], n), each)
+
+
+def eroded(runs: Sweep, stride: np.ndarray, line: np.ndarray, distance: int) -> Sweep:
     """Places whose square of 2 * distance + 1 is full: runs shortened on both sides, then rows intersected with their
-    neighbours, twice as many at a time. stride: the row length of each run's mask."""
+    neighbours, twice as many at a time. stride: the row length of each run's mask; line: its row, a number for each mask and row
+    in their order, and rows of masks far apart."""
     start, end = runs[0] + distance, runs[1] - distance
     some = start < end
-    now, step = (start[some], end[some]), stride[some]
+    now, step, line = (start[some], end[some]), stride[some], line[some]
     have, want = 1, 2 * distance + 1
     while have < want and len(now[0]):
+        # a row meets the one `more` below it: what both hold is held by all rows between, so none of these is missing
         more = min(have, want - have)
-        # a row meets the one `more` below it; shifted intervals keep their order within a mask, and masks lie far apart
-        shifted = (now[0] - more * step, now[1] - more * step)
-        first = np.searchsorted(shifted[1], now[0], "right")
-        n = np.maximum(0, np.searchsorted(shifted[0], now[1], "left") - first)
-        step, now, have = np.repeat(step, n), intersect(now, shifted), have + more
+        met = _below(line, more)
+        if met is None:  # shifted intervals keep their order within a mask, and masks lie far apart
+            shifted = (now[0] - more * step, now[1] - more * step)
+            first = np.searchsorted(shifted[1], now[0], "right")
+            n = np.maximum(0, np.searchsorted(shifted[0], now[1], "left") - first)
+            step, line, now = np.repeat(step, n), np.repeat(line, n), intersect(now, shifted)
+        else:
+            (i, j), far = met, more * step
+            step, line, far = step[i], line[i], far[i]
+            start, end = np.maximum(now[0][i], now[0][j] - far), np.minimum(now[1][i], now[1][j] - far)
+            some = start < end
+            now, step, line = (start[some], end[some]), step[some], line[some]
+        have += more
     return now[0] + distance * step, now[1] + distance * step
 
 
@@ -85,6 +111,20 @@ def _packed(runs: Sweep, row: np.ndarray, rows: int, span: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
 
 
+def _inner(runs: Sweep, row: np.ndarray, span: int, width: np.ndarray, distance: np.ndarray) -> Sweep:
+    """What erosion leaves of masks on one line, `span` apart, each by its own distance; width and distance: of each row."""
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    near, stride = distance[row], width[row]
+    y = (runs[0] - row * span) // stride
+    line = row * (int(y.max(initial=0)) + 2 * int(near.max(initial=0)) + 2) + y
+    for d in np.unique(near):
+        own = near == d
+        one = eroded((runs[0][own], runs[1][own]), stride[own], line[own], int(d))
+        starts.append(one[0])
+        ends.append(one[1])
+    return np.sort(np.concatenate(starts)), np.sort(np.concatenate(ends))
+
+
 def _bands(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int, Sweep]:
     """Of masks (runs, width, _d): their flat runs, how many numbers each has, the span between masks, and the bands on one line."""
     values, n = lists(part.column("runs"))
@@ -92,15 +132,7 @@ def _bands(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int, Sweep]:
     most = int(distance.max(initial=0))
     span = int(values.max(initial=0)) + (4 * most + 4) * int(width.max(initial=1)) + 1
     runs, row = _apart(values, n, span)
-    starts, ends = [], []
-    for d in np.unique(distance):
-        own = distance[row] == d
-        one = runs[0][own], runs[1][own]
-        band = without(one, eroded(one, width[row[own]], int(d)))
-        starts.append(band[0])
-        ends.append(band[1])
-    start, end = (np.sort(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in (starts, ends))
-    return values, n, span, (start, end)
+    return values, n, span, without(runs, _inner(runs, row, span, width, distance))
 
 
 def _boundaries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +181,59 @@ def _overlaps(batches: Iterable[pa.RecordBatch], sides: Sequence[tuple[str, str,
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *found], names=[*kept, *(s[2] for s in sides)])
 
 
+def _measures(batches: Iterable[pa.RecordBatch], mask: str, decode: Decode) -> Iterator[pa.RecordBatch]:
+    """Adds `area` and the box to (..., mask, width): null where the mask is, and no box where it is empty."""
+    for batch in batches:
+        for part in (batch.slice(a, 1024) for a in range(0, batch.num_rows, 1024)):
+            values, n = decode(part.column(mask))
+            start, end, n = values[0::2], values[1::2], n // 2
+            row, some = np.repeat(np.arange(len(n)), n), np.flatnonzero(n)
+            width = part.column("width").fill_null(1).to_numpy().astype(np.int64)
+            first = (np.cumsum(n) - n)[some]
+            line = width[row]
+            sides = [np.minimum.reduceat(start % line, first), start[first] // width[some], np.maximum.reduceat((end - 1) % line + 1, first), (end[first + n[some] - 1] - 1) // width[some] + 1] if len(some) else [np.zeros(0)] * 4
+            box = [np.zeros(len(n)) for _ in sides]
+            for to, side in zip(box, sides):
+                to[some] = side
+            area = np.bincount(row, end - start, len(n)).astype(np.int64)
+            none = part.column(mask).is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(area, mask=none), *(pa.array(b, mask=n == 0) for b in box)], names=[*part.schema.names, "area", *boxes.XYXY])
+
+
+def _close(batches: Iterable[pa.RecordBatch], least: float, decode: Decode, boundary: bool) -> Iterator[pa.RecordBatch]:
+    """Of pairs of masks (..., crowd, d_mask, g_mask; with `boundary` d_width, d_near, g_width, g_near) those whose value is `least`
+    or a rounding below: places that both hold (`n`) and those of each (`d_n`, `g_n`), and the same of the bands."""
+    gone = {f"{m}_{c}" for m in "dg" for c in ("mask", "width", "near")}
+    for batch in batches:
+        for part in (batch.slice(a, 1024) for a in range(0, batch.num_rows, 1024)):
+            rows, sides = part.num_rows, [decode(part.column(f"{m}_mask")) for m in "dg"]
+            column = lambda c: part.column(c).to_numpy().astype(np.int64)
+            room = 0
+            if boundary:
+                wide, near = ([column(f"{m}_{c}") for m in "dg"] for c in ("width", "near"))
+                room = (4 * int(np.max(near, initial=0)) + 4) * int(np.max(wide, initial=1))
+            span = max(int(v.max(initial=0)) for v, _ in sides) + room + 1
+            (d, of_d), (g, of_g) = (_apart(v, n, span) for v, n in sides)
+            common = lambda a, b: np.bincount(b[0] // span, covered_by(a, b), rows).astype(np.int64)
+            size = lambda a: np.bincount(a[0] // span, a[1] - a[0], rows).astype(np.int64)
+            both, d_n, g_n = common(d, g), size(d), size(g)
+            crowd = part.column("crowd").to_numpy(zero_copy_only=False)
+            reach = lambda n, a, b: (n > 0) & (n >= (least - 1e-9) * np.where(crowd, a, a + b - n))
+            kept, found = reach(both, d_n, g_n), [both, d_n, g_n]
+            if boundary:  # bands only where the masks reach it
+                d, of_d, g, of_g = ((x[0][at], x[1][at]) if isinstance(x, tuple) else x[at] for at, pair in ((kept[of_d], (d, of_d)), (kept[of_g], (g, of_g))) for x in pair)
+                in_d, in_g = _inner(d, of_d, span, wide[0], near[0]), _inner(g, of_g, span, wide[1], near[1])
+                bands = [both - common(d, in_g) - common(in_d, g) + common(in_d, in_g), d_n - size(in_d), g_n - size(in_g)]
+                kept &= reach(*bands)
+                found += bands
+            at = np.flatnonzero(kept)
+            names = [k for k in part.schema.names if k not in gone]
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(at)) for k in names), *(pa.array(c[at]) for c in found)], names=[*names, *_COUNTS[: len(found)]])
+
+
+_COUNTS = ("n", "d_n", "g_n", "band_n", "d_band_n", "g_band_n")
+
+
 def ddl(df: DataFrame, drop: Iterable[str] = (), more: str = "") -> str:
     gone = set(drop)
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in gone] + ([more] if more else []))
@@ -217,6 +302,37 @@ def mask_pairs(gt: DataFrame, det: DataFrame, on: Sequence[str] = ("image_id", "
     return counted.filter("runs_n > 0").select(*on, "det_id", "score", "gt_id", F.round(v, 12).alias("v"), crowd.alias("crowd"))
 
 
+def measured(masks: DataFrame, mask: str = "runs", decode: Decode = lists) -> DataFrame:
+    """Masks of any form that `decode` knows, with `area` and their boxes x0..y1 (exclusive, double), as `area` and `with_boxes` give them of runs."""
+    df = masks.withColumn("width", F.col("width").cast("bigint"))
+    return df.mapInArrow(lambda it: _measures(it, mask, decode), ddl(df, more="area bigint, x0 double, y0 double, x1 double, y1 double"))
+
+
+def close_pairs(gt: DataFrame, det: DataFrame, least: float, on: Sequence[str] = ("image_id", "category_id"), distance: Column | None = None, mask: str = "runs", decode: Decode = lists) -> DataFrame:
+    """Pairs as from mask_pairs whose v is `least` (above 0) or more, with the truth's `area`; by bands too where a `distance` is given.
+
+    gt: keys, gt_id, iscrowd, width, mask; det: keys, det_id, score, width, mask; both with `area` and boxes as from `measured`. Masks
+    meet by their keys in the form they come in. Two masks share no more than their boxes do and than the smaller one has: of the pairs that
+    may reach `least` by that the runs are decoded and counted, and bands exist only of those whose masks reach it."""
+    on, boundary = list(on), distance is not None
+
+    def side(df: DataFrame, mark: str, *own: Column | str) -> DataFrame:
+        near = [] if not boundary else [F.col("width").cast("bigint").alias(f"{mark}_width"), distance.cast("bigint").alias(f"{mark}_near")]
+        return df.select(*on, *own, F.col("area").alias(f"{mark}_area"), F.col(mask).alias(f"{mark}_mask"), *near, *[F.col(c).alias(f"{mark}_{c}") for c in boxes.XYXY])
+
+    crowd = F.coalesce(F.col("iscrowd"), F.lit(0)) == 1
+    met = side(det, "d", "det_id", "score").join(side(gt, "g", "gt_id", crowd.alias("crowd")), on)
+    most = F.least(G.intersection(G.columns("d_"), G.columns("g_")), "d_area", "g_area")
+    whole = F.when(F.col("crowd"), F.col("d_area")).otherwise(F.col("d_area") + F.col("g_area") - most)
+    met = met.filter((most > 0) & (most >= F.lit(least - 1e-9) * whole)).drop("d_area", *[f"{m}_{c}" for m in "dg" for c in boxes.XYXY])
+    parts = ("", "band_") if boundary else ("",)
+    counts = _COUNTS[: 3 * len(parts)]
+    counted = met.mapInArrow(lambda it: _close(it, least, decode, boundary), ddl(met, [f"{m}_{c}" for m in "dg" for c in ("mask", "width", "near")], ", ".join(f"{c} bigint" for c in counts)))
+    value = [F.when(F.col("crowd"), F.try_divide(f"{p}n", f"d_{p}n")).otherwise(F.try_divide(F.col(f"{p}n"), F.col(f"d_{p}n") + F.col(f"g_{p}n") - F.col(f"{p}n"))) for p in parts]
+    v = F.least(*value) if boundary else value[0]
+    return counted.select(*on, "det_id", "score", "gt_id", F.col("g_area").alias("area"), F.round(v, 12).alias("v"), "crowd").filter(F.col("v") >= float(least))
+
+
 # --- run tables -------------------------------------------------------------------------------------------------------
 def union_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Overlapping or touching runs of a row as one: an island begins where no run before reaches."""

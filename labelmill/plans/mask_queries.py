@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import coco, rasters, runs
+from ..sources.scratch import land
 from .box_queries import CURVES, greedy_sql, recursive, summary_sql
 from .fixtures import LINES, dealt, frame, oracle
 
@@ -30,12 +33,42 @@ def masks(spark: SparkSession, d: str, name: str, boxed: bool = True) -> DataFra
     return runs.with_boxes(own).withColumn("area", runs.area(F.col("runs")))
 
 
+_SHAPE = ("x0", "y0", "x1", "y1", "hx0", "hy0", "hx1", "hy1", "width")
+#: Masks of a part in which they are ranked and meet by image and category.
+MASKS = 131_072
+
+
+def _runs_of(shapes: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The fixture's shapes, a box less a box, as the runs of all of them; a null shape has none."""
+    numbers, given = runs.lists(shapes)
+    x0, y0, x1, y1, hx0, hy0, hx1, hy1, width = numbers.reshape(-1, len(_SHAPE)).T
+    high = np.maximum(y1 - y0, 0)
+    of = np.repeat(np.arange(len(high)), high)
+    y = np.arange(len(of)) - np.repeat(np.cumsum(high) - high, high) + y0[of]
+    at = y * width[of]
+    one = np.stack([at + x0[of], at + x1[of]], axis=1)
+    cut = np.flatnonzero((y >= hy0[of]) & (y < hy1[of]))  # rows with a hole
+    hole = np.stack([at[cut] + hx0[of[cut]], at[cut] + hx1[of[cut]]], axis=1)
+    n = np.zeros(len(shapes), np.int64)
+    n[given > 0] = 2 * (high + np.bincount(of[cut], minlength=len(high)))
+    return np.insert(one.ravel(), np.repeat(2 * cut + 1, 2), hole.ravel()), n
+
+
+def _shapes(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """The fixture's masks as shapes, measured from their runs once; the lines are dealt before."""
+    own = dealt(frame(spark, d, name), "image_id", LINES)
+    whole = F.expr(" and ".join(f"{c} is not null" for c in _SHAPE))
+    own = own.withColumn("shape", F.when(whole, F.array(*[F.col(c).cast("bigint") for c in _SHAPE]))).drop(*[c for c in _SHAPE if c != "width"])
+    return land(runs.measured(own, "shape", _runs_of))
+
+
 def _coco(spark: SparkSession, d: str, boundary: bool) -> DataFrame:
-    sides = [masks(spark, d, n) for n in ("gt_mask", "det_mask")]
-    if boundary:
-        sides = [runs.with_boundary(m, rasters.boundary_distance(F.col("height"), F.col("width"), RATIO)) for m in sides]
-    gt, det = sides
-    return coco.by_category(coco.matched(runs.mask_pairs(gt, det, boundary=boundary), det, gt, areas=AREAS), coco.truths(gt, AREAS), areas=AREAS)
+    gt, det = (_shapes(spark, d, n) for n in ("gt_mask", "det_mask"))
+    parts = max(2, -(-max(gt.count(), det.count()) // MASKS))
+    best = coco.ranked(det.repartition(parts, *coco.KEYS), areas=AREAS)
+    near = rasters.boundary_distance(F.col("height"), F.col("width"), RATIO) if boundary else None
+    pairs = runs.close_pairs(gt.repartition(parts, *coco.KEYS), best, min(coco.THRESHOLDS), distance=near, mask="shape", decode=_runs_of)
+    return coco.by_category(coco.matched(pairs, best, gt, areas=AREAS), coco.truths(gt, AREAS), areas=AREAS)
 
 
 def _rows(df: DataFrame) -> DataFrame:
