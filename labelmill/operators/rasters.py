@@ -126,6 +126,67 @@ def boundary_band(px: DataFrame, keys: list[str], distance: int | Column) -> Dat
     return cols.filter(~F.col("_ok") | (F.col("_room") < F.col("_d"))).drop("_d", "_i", "_room", "_ok")
 
 
+def _whole_images(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by image, in whole images; `_of` is how many rows an image has."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        image, of = batch.column("image_id").to_numpy(), batch.column("_of").to_numpy()
+        begin = int(np.searchsorted(image, image[-1]))  # of the last image, which may go on in the next batch
+        begun = bool(held) and held[-1].column("image_id")[-1].as_py() == image[0]
+        if begin or not begun:
+            if begin:
+                held.append(batch.slice(0, begin))
+            if held:
+                yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(begin))
+        if sum(b.num_rows for b in held) == of[-1]:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _band_overlaps(batches: Iterable[pa.RecordBatch], labels: Sequence[str], distance: int, ignore: int) -> Iterator[pa.RecordBatch]:
+    """(image_id, label, places of the band in each raster, n) of sorted pixels (image_id, y, x, labels, _of): masks of whole images
+    lie one after another as runs on one line."""
+    for table in _whole_images(batches):
+        image, y, x = (table.column(c).to_numpy() for c in ("image_id", "y", "x"))
+        of = np.cumsum(np.append(True, image[1:] != image[:-1])) - 1
+        y, x = y - y.min(), x - x.min()
+        width = int(x.max()) + 1
+        span = (int(y.max()) + 1) * width + (4 * distance + 4) * width + 1
+        sides = [table.column(c).to_numpy() for c in labels]
+        known, code = np.unique(np.concatenate(sides), return_inverse=True)
+        own = of * len(known) + code.reshape(2, -1)
+        some = [s != ignore for s in sides]
+        masks = np.unique(np.concatenate([o[k] for o, k in zip(own, some)]))
+        rows, bands = len(masks), []
+        for o, k in zip(own, some):
+            place = np.unique(np.searchsorted(masks, o[k]) * span + y[k] * width + x[k])  # a place counts once
+            new = np.append(True, (np.diff(place) != 1) | (place[1:] % span % width == 0))[: len(place)]
+            run = place[new], place[np.append(new[1:], True)[: len(place)]] + 1
+            bands.append(sweeps.without(run, sweeps.inner(run, run[0] // span, span, np.full(rows, width), np.full(rows, distance))))
+        size = [np.bincount(a // span, b - a, rows).astype(np.int64) for a, b in bands]
+        n = np.bincount(bands[1][0] // span, sweeps.covered_by(*bands), rows).astype(np.int64)
+        image = image[np.searchsorted(of, masks // len(known))]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (image, known[masks % len(known)], *size, n))], names=["image_id", "label", *(f"{c}_n" for c in labels), "n"])
+
+
+def band_overlaps(px: DataFrame, distance: int, labels: Sequence[str] = ("gt", "pred"), ignore: int = 255) -> DataFrame:
+    """(image_id, label, <labels>_n, n): for each label of an image the places of its boundary band, as of `boundary_band`, in each of two
+    rasters, and those in both. px: image_id, y, x and both labels; null labels are ignored.
+
+    Pixels of an image come together, without a shuffle where they are dealt by image already; runs, erosion and overlaps exist
+    only in batches of whole images, and no pixel is joined."""
+    px = px.select(*[F.col(c).cast("bigint").alias(c) for c in ("image_id", "y", "x")], *[F.coalesce(F.col(c).cast("bigint"), F.lit(ignore)).alias(c) for c in labels])
+    px = px.filter("image_id is not null and y is not null and x is not null").withColumn("_of", F.count("*").over(Window.partitionBy("image_id")))
+    sizes = ", ".join(f"{c}_n bigint" for c in labels)
+    return px.mapInArrow(lambda it: _band_overlaps(it, labels, distance, ignore), f"image_id bigint, label bigint, {sizes}, n bigint")
+
+
 def _filled(batches: Iterable[pa.RecordBatch], keep: Sequence[str]) -> Iterator[pa.RecordBatch]:
     """Runs of (keys, _flat, _n): all coordinates of a row's parts and how many each part has; rows some thousands at a time."""
     for batch in batches:

@@ -111,7 +111,7 @@ def _packed(runs: Sweep, row: np.ndarray, rows: int, span: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
 
 
-def _inner(runs: Sweep, row: np.ndarray, span: int, width: np.ndarray, distance: np.ndarray) -> Sweep:
+def inner(runs: Sweep, row: np.ndarray, span: int, width: np.ndarray, distance: np.ndarray) -> Sweep:
     """What erosion leaves of masks on one line, `span` apart, each by its own distance; width and distance: of each row."""
     starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     near, stride = distance[row], width[row]
@@ -132,7 +132,7 @@ def _bands(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int, Sweep]:
     most = int(distance.max(initial=0))
     span = int(values.max(initial=0)) + (4 * most + 4) * int(width.max(initial=1)) + 1
     runs, row = _apart(values, n, span)
-    return values, n, span, without(runs, _inner(runs, row, span, width, distance))
+    return values, n, span, without(runs, inner(runs, row, span, width, distance))
 
 
 def _boundaries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def _close(batches: Iterable[pa.RecordBatch], least: float, decode: Decode, boun
             kept, found = reach(both, d_n, g_n), [both, d_n, g_n]
             if boundary:  # bands only where the masks reach it
                 d, of_d, g, of_g = ((x[0][at], x[1][at]) if isinstance(x, tuple) else x[at] for at, pair in ((kept[of_d], (d, of_d)), (kept[of_g], (g, of_g))) for x in pair)
-                in_d, in_g = _inner(d, of_d, span, wide[0], near[0]), _inner(g, of_g, span, wide[1], near[1])
+                in_d, in_g = inner(d, of_d, span, wide[0], near[0]), inner(g, of_g, span, wide[1], near[1])
                 bands = [both - common(d, in_g) - common(in_d, g) + common(in_d, in_g), d_n - size(in_d), g_n - size(in_g)]
                 kept &= reach(*bands)
                 found += bands

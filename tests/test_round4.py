@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from labelmill.operators import coco, ordering, runs
+from labelmill.operators import coco, ordering, rasters, runs
 from labelmill.plans import mask_queries, registry
 
 from test_masks import flat_runs, images
@@ -102,3 +102,41 @@ def test_categories_without_a_number(spark):
                 best[: q + 1] = [max(b, hits / counted) for b in best[: q + 1]]
         recall = [sum(r["tp"] >> i & 1 for r in own if r["rank"] <= m) / 50 for m in (1, 2)]
         assert got["cat", t] == (50, pytest.approx(sum(best) / 11), *recall)
+
+
+def test_band_overlaps_equal_the_bands_of_pixels(spark):
+    """Images of several batches, ignored and null labels, a place given twice, one label in both rasters or in one."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for image in range(7):
+        h, w = (20, 30) if image == 3 else (5 + image, 9)
+        a, b = (np.kron(rng.integers(0, 3, (h // 3 + 1, w // 4 + 1)), np.ones((3, 4), int))[:h, :w] for _ in range(2))
+        b[rng.random(b.shape) < 0.05] = 255
+        rows += [(image, y, x, None if (image, y, x) == (2, 1, 1) else int(a[y, x]), int(b[y, x])) for y in range(h) for x in range(w)]
+    schema = "image_id long, y int, x int, gt int, pred long"
+    px = spark.createDataFrame(rows, schema)
+    want = {}
+    for d in (1, 2):
+        bands = [rasters.boundary_band(px.filter(f"{c} <> 255").select("image_id", "y", "x", F.col(c).alias("label")), ["image_id", "label"], d).collect() for c in ("gt", "pred")]
+        gt, pred = ({(r["image_id"], r["label"], r["y"], r["x"]) for r in b} for b in bands)
+        want[d] = {k: tuple(sum(p[:2] == k for p in s) for s in (gt, pred, gt & pred)) for k in {p[:2] for p in gt | pred}}
+    twice = spark.createDataFrame(rows + rows[:9], schema).repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        for d in (1, 2):
+            got = rasters.band_overlaps(twice, d)
+            assert {(r["image_id"], r["label"]): (r["gt_n"], r["pred_n"], r["n"]) for r in got.collect()} == want[d]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_bands_of_rasters_are_made_once_and_no_pixel_is_joined(spark, monkeypatch):
+    from labelmill.plans import box_queries
+
+    seen, landed = [], []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(box_queries, "land", lambda df, real=box_queries.land: landed.append(plan(df)) or real(df))
+    monkeypatch.setattr(box_queries.matching, "greedy_match", lambda pairs, det, *k, real=box_queries.matching.greedy_match: seen.extend([plan(pairs), plan(det)]) or real(pairs, det, *k))
+    registry.QUERIES["boundary_ap"](spark, DATA)
+    assert len(landed) == 1 and landed[0].count("Exchange hashpartitioning(") == 1 and "SortMergeJoin" not in landed[0]  # the orders
+    assert not any(w in p for p in seen for w in ("Window", "Join", "Exchange"))
